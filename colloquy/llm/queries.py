@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_token_shards": token_shards.op2_token_shards,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
