@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, token_shards
+from . import exact_dedup, quality_rules, token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,11 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_token_shards": token_shards.op2_token_shards,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_quality_rules": quality_rules.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     }
