@@ -1,0 +1,135 @@
+"""URL filter: rules first, then logistic regression on hashed character n-grams (operator 5).
+
+Host and path are cut out and rules matched with column functions. What no rule fits goes to a logistic regression
+on 3- to 5-grams of host and path, hashed to a fixed number of weights. It is fitted on a small labelled URL table:
+a few seed URLs and at most LABELLED_ROWS of the URLs that a rule decides, taken by the order of their hash, so that
+reruns agree. The weights (128 KB, whatever the input) go to the tasks; scoring is one pass without a shuffle.
+
+Defined cases: a null URL or one without "://" has empty host and path and is scored as such; an empty path starts
+with no rule's path; repeated rows are judged alike; an empty table gives no rows, as does one column of nulls give
+verdicts; extra columns are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import read_table
+
+# The rules of the query (host and path, verdict) and the seed table (host and path, 1: block).
+RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+SEEDS = (
+    ("www.casino-royal.site/en/12", 1), ("best-casino.net/en/4", 1), ("online-casino.top/es/77", 1), ("free-bets.info/en/8", 1), ("sport-bets.net/en/10", 1),
+    ("cheap-pills.shop/en/3", 1), ("buy-pills.net/es/9", 1), ("cheap-meds.top/en/31", 1), ("adult-cams.net/en/55", 1), ("xxx-video.site/en/6", 1),
+    ("win-money.top/en/11", 1), ("poker-win.net/en/21", 1), ("free-loans.info/en/1", 1), ("replica-watches.shop/es/3", 1),
+    ("blog.science.net/en/12", 0), ("www.cityguide.net/es/4", 0), ("m.weather.info/en/77", 0), ("news.daily.net/en/8", 0), ("www.recipes.info/en/10", 0),
+    ("library.net/en/3", 0), ("m.museum.info/es/9", 0), ("www.gardening.net/en/31", 0), ("travelnotes.net/en/55", 0), ("blog.history.info/en/6", 0),
+    ("www.homework.net/en/11", 0), ("forum.music.info/en/21", 0), ("www.bicycles.net/en/1", 0), ("books.info/es/3", 0),
+)
+
+WEIGHTS = 1 << 14
+GRAMS = (3, 4, 5)
+LABELLED_ROWS = 5_000
+STEPS = 150
+DECAY = 1e-3
+
+
+def parts(url: Column) -> tuple[Column, Column]:
+    pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+    text = F.coalesce(url, F.lit(""))
+    host = F.translate(F.regexp_extract(text, pattern, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return host, F.regexp_extract(text, pattern, 2)
+
+
+def rule_of(host: Column, path: Column, rules) -> Column:
+    """The longest rule that fits (by code points when equally long), else null. Rules are a short list."""
+    found = F.lit(None).cast("string")
+    for rule, _ in sorted(rules, key=lambda r: (len(r[0]), r[0])):
+        name, slash, rest = rule.partition("/")
+        fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
+        found = F.when(fits, F.lit(rule)).otherwise(found)
+    return found
+
+
+def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hashed n-gram of each n-gram of each URL; digits count as one another."""
+    raw = [u.encode() for u in urls]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    row = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    data = np.where((data >= 48) & (data <= 57), 48, data).astype(np.uint64)
+    rows, got = [], []
+    for n in GRAMS:
+        if len(data) < n:
+            continue
+        h = np.full(len(data) - n + 1, n, dtype=np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x100000001B3) + data[k : len(data) - n + 1 + k]
+        inside = row[: len(h)] == row[n - 1 :]
+        h = (h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)
+        rows.append(row[: len(inside)][inside])
+        got.append(h.astype(np.int64))
+    return (np.concatenate(rows), np.concatenate(got)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def shown(host: str, path: str) -> str:
+    """What the n-grams are taken of: marks say where the host begins and ends."""
+    return f"^{host}${path}"
+
+
+def scores(urls: list[str], weights: np.ndarray) -> np.ndarray:
+    """Probability to block."""
+    rows, g = grams(urls)
+    n = np.maximum(np.bincount(rows, minlength=len(urls)), 1)
+    return 1 / (1 + np.exp(-(np.bincount(rows, weights[g], minlength=len(urls)) / np.sqrt(n) + weights[-1])))
+
+
+def fit(urls: list[str], labels: np.ndarray, importance: np.ndarray) -> np.ndarray:
+    """Weights of the n-grams and, last, of the constant, by accelerated gradient steps on the whole table."""
+    w, step = np.zeros(WEIGHTS + 1), np.zeros(WEIGHTS + 1)
+    rows, g = grams(urls)
+    scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=len(urls)), 1))
+    importance = importance / importance.sum()
+    for _ in range(STEPS):
+        ahead = w + 0.9 * step
+        p = 1 / (1 + np.exp(-(np.bincount(rows, ahead[g], minlength=len(urls)) * scale + ahead[-1])))
+        miss = (p - labels) * importance
+        grad = np.append(np.bincount(g, (miss * scale)[rows], minlength=WEIGHTS), miss.sum()) + DECAY * ahead
+        step = 0.9 * step - 2.0 * grad
+        w = w + step
+    return w
+
+
+def labelled(pages: DataFrame, rules, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The labelled URL table: seeds, which weigh half, and at most `most` distinct URLs that a rule decides."""
+    verdicts = dict(rules)
+    rows = pages.filter(F.col("rule").isNotNull()).select("host", "path", "rule").distinct().orderBy(F.xxhash64("host", "path"), "host", "path").limit(most).collect()
+    urls = [shown(h, slash + rest) for s, _ in SEEDS for h, slash, rest in [s.partition("/")]] + [shown(r.host, r.path) for r in rows]
+    labels = np.array([y for _, y in SEEDS] + [verdicts[r.rule] == "block" for r in rows], dtype=float)
+    weight = np.array([1 / len(SEEDS)] * len(SEEDS) + [1 / max(1, len(rows))] * len(rows))
+    return urls, labels, weight
+
+
+def url_filter(pages: DataFrame, rules=RULES, most: int = LABELLED_ROWS) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (of the model, for every URL)."""
+    host, path = parts(F.col("url"))
+    rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    weights = fit(*labelled(rows, rules, most))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = scores([shown(h, p) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], weights)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], [*b.schema.names, "score"])
+
+    verdicts = F.create_map(*[F.lit(x) for rule in rules for x in rule])
+    got = rows.mapInArrow(score, "page_id long, host string, path string, rule string, score double")
+    return got.withColumn("verdict", F.coalesce(verdicts[F.col("rule")], F.when(F.col("score") >= 0.5, "block").otherwise("allow")))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
