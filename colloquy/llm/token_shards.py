@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ SAMPLE = 64  # boundaries a select sample
 NO_DOC = -(2**63)
 
 SHARD_IDS = 4_000_000
-CACHED_WORDS = 400_000  # a worker forgets its words beyond this many
+CACHED_WORDS = 1_200_000  # a worker forgets its words beyond this many
 LONG_WORD = 64  # longer ones are not remembered
+LINE = "\0"  # stands for a line feed before a word
+MARKS = ".,!?;:"
 SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -120,37 +123,50 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.wide = "<u2" if self.tok.get_vocab_size() <= 65536 else "<u4"
-        self.raw: dict[str, bytes | None] = {}
-        self.spaced: dict[str, bytes | None] = {}
-        self.feed = self._encode(["\n"])[0]
+        self.known: dict[str, bytes | None] = {}  # by word: ids of the blank and the word; after LINE, of line feed and word
+        self.feed, *marks = self._encode(["\n", *MARKS])
+        self.marks = dict(zip(MARKS, marks, strict=True))
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.wide).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, seen: dict, words: set[str], before: str) -> None:
+    def _learn(self, new: set[str]) -> None:
         """None marks what can't stand alone: an empty word or one that white space begins or ends."""
-        new = [w for w in words if w not in seen]
-        good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        seen.update(dict.fromkeys(new))
-        seen.update(zip(good, self._encode([before + w for w in good]), strict=True))
+        known, stems = self.known, {}
+        for w in new:
+            stem = w[:-1] if w[-1:] in self.marks and w[:-1].isalpha() else w  # a mark after letters stands by itself
+            body = stem[1:] if stem[:1] == LINE else stem
+            if not body or body[0].isspace() or body[-1].isspace() or LINE in body:
+                known[w] = None
+            else:
+                stems.setdefault(stem, []).append(w)
+        todo = [x for x in stems if x not in known]
+        got = dict(zip(todo, self._encode([x[1:] if x[0] == LINE else " " + x for x in todo]), strict=True))
+        for x in todo:
+            known[x] = self.feed + got[x] if x[0] == LINE else got[x]
+        for x, words in stems.items():
+            known.update((w, known[x] + self.marks[w[-1]]) for w in words if w != x)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.raw) + len(self.spaced) > CACHED_WORDS:
-            self.raw, self.spaced = {}, {}
-        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        self._learn(self.raw, {p[0] for doc in lines for p in doc if p[0]}, "")
-        self._learn(self.spaced, {w for doc in lines for p in doc for w in p[1:]}, " ")
-        raw, spaced, out = self.raw, self.spaced, []
-        for text, doc in zip(texts, lines, strict=True):
+        if len(self.known) > CACHED_WORDS:
+            self.known = {}
+        docs = [t.replace("\n", " " + LINE).split(" ") for t in texts]
+        firsts = self._encode([d[0] for d in docs])
+        known = self.known
+        self._learn(set(chain.from_iterable(islice(d, 1, None) for d in docs)).difference(known))
+        out = []
+        for text, first, d in zip(texts, firsts, docs, strict=True):
             try:
-                if len(doc) > 2 and ([""] in doc[1:-1]):
+                if not text or text[0].isspace() or d[0][-1:].isspace() or LINE in text:
                     raise TypeError
-                out.append(self.feed.join((raw[p[0]] if p[0] else b"") + b"".join(map(spaced.__getitem__, p[1:])) if p != [""] else b"" for p in doc))
+                out.append(first + b"".join(map(known.__getitem__, islice(d, 1, None))))
             except TypeError:  # white space beside a blank or line feed
                 out.append(self._careful(text))
-        for seen in (raw, spaced):
-            for w in [w for w in seen if len(w) > LONG_WORD]:
-                del seen[w]
+        for d in docs:
+            if any(len(w) > LONG_WORD for w in d):
+                for w in d:
+                    if len(w) > LONG_WORD:
+                        known.pop(w, None)
         return out
 
     def _careful(self, text: str) -> bytes:
