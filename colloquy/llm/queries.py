@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, quality_rules, token_shards, url_filter
+from . import exact_dedup, mixing, pii, quality_model, quality_rules, token_shards, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_mixing": mixing.op6_mixing,
+        "op7_quality_model": quality_model.op7_quality_model,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
