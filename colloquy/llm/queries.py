@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, token_shards, url_filter
+from . import exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, repeats, token_shards, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_mixing": mixing.op6_mixing,
         "op7_quality_model": quality_model.op7_quality_model,
+        "op8_repeats": repeats.op8_repeats,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
