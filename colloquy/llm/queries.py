@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, repeats, token_shards, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, pii, quality_model, quality_rules, repeats, token_shards, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_token_shards": token_shards.op2_token_shards,
         "op3_pii": pii.op3_pii,
         "op4_quality_rules": quality_rules.op4_quality_rules,
