@@ -22,7 +22,7 @@ def block_spans(docs: DataFrame, tag: str = "tag", text: str = "text", pattern:
     ids = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
     rows = docs.select(tag, text, F.explode(ids).alias("block"))
     # Where the id first stands as a word: the length of what a lazy match leaves before it.
-    before = F.regexp_extract(text, F.concat(F.lit(r"(?s)^(.*?)\b"), "block", F.lit(r"\b")), 1)
+    before = F.call_function("regexp_extract", F.col(text), F.concat(F.lit(r"(?s)^(.*?)\b"), "block", F.lit(r"\b")), F.lit(1))
     rows = rows.select(tag, "block", F.length(before).alias("char_start"), F.length(text).alias("n"))
     return rows.withColumn("char_end", F.coalesce(F.lead("char_start").over(Window.partitionBy(tag).orderBy("char_start")), "n")).drop("n")
 
@@ -59,7 +59,7 @@ def gold(blocks: DataFrame, chunks: DataFrame, tag: str = "tag", most: int = MOS
 
 def labelled(head: Column, label: Column) -> Column:
     """The rest of the line after the label and a colon; empty without one."""
-    return F.coalesce(F.trim(F.regexp_extract(head, F.concat(F.lit(r"(?d)\Q"), F.coalesce(label, F.lit("\0")), F.lit(r"\E\s*[:：]\s*([^\n]+)")), 1)), F.lit(""))
+    return F.coalesce(F.trim(F.call_function("regexp_extract", head, F.concat(F.lit(r"(?d)\Q"), F.coalesce(label, F.lit("\0")), F.lit(r"\E\s*[:：]\s*([^\n]+)")), F.lit(1))), F.lit(""))
 
 
 def profiles(docs: DataFrame, spans: DataFrame, labels: DataFrame) -> DataFrame:

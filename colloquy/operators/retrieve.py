@@ -46,7 +46,7 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
     out = None
     for block in range(blocks):
         part = questions.select(*columns).filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).orderBy("qid").toPandas()
-        got = _top_k_of(part, chunks.select("tag", "chunk_index", *columns[1:]), k, mode, weight)
+        got = _top_k_of(part, dict(questions.dtypes)["qid"], chunks.select("tag", "chunk_index", *columns[1:]), k, mode, weight)
         out = got if out is None else out.unionByName(got)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "tag", "chunk_index")
     sizes = chunks.groupBy("pool_key").agg(F.count("*").alias("n_candidates"))
@@ -54,10 +54,10 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
     return ranked.join(sizes, "pool_key").select("qid", "tag", "chunk_index", "score", "rank", "n_candidates")
 
 
-def _top_k_of(part: pd.DataFrame, chunks: DataFrame, k: int, mode: str, weight: float) -> DataFrame:
+def _top_k_of(part: pd.DataFrame, qid: str, chunks: DataFrame, k: int, mode: str, weight: float) -> DataFrame:
     by_pool = {key: g.index.to_numpy() for key, g in part.groupby("pool_key")}
     qids = part.qid.tolist()
-    dense = np.array(part.embedding.tolist(), dtype=float).reshape(len(part), -1) if mode != "sparse" else None
+    dense = np.array(part.embedding.tolist(), dtype=float) if mode != "sparse" else None
     postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
     if mode != "dense":
         for i, (tokens, weights) in enumerate(zip(part.tokens, part.weights, strict=True)):
@@ -89,7 +89,6 @@ def _top_k_of(part: pd.DataFrame, chunks: DataFrame, k: int, mode: str, weight:
                 yield pd.DataFrame({"qid": [qids[q] for q in rows[i]], "pool_key": key, "tag": g.tag.to_numpy()[c], "chunk_index": g.chunk_index.to_numpy()[c], "score": np.round(scores[i, c], 12)})
 
     kinds = dict(chunks.dtypes)
-    qid = "string" if part.qid.dtype == object or str(part.qid.dtype) in ("str", "string") else "long"
     return chunks.mapInPandas(per_task, f"qid {qid}, pool_key string, tag {kinds['tag']}, chunk_index {kinds['chunk_index']}, score double")
 
 
