@@ -6,17 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
-BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 #: A side of at most this many rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 _own: dict[str, str] = {}
 
@@ -52,9 +51,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """big joined to a written table: broadcast when its counted rows are at most limit, else a shuffled join that AQE may split."""
-    if small.limit(limit + 1).count() <= limit:
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS, payload: str | None = None) -> DataFrame:
+    """big joined to a written table: broadcast when its counted rows (and the bytes of a binary column) are few, else a shuffled join that AQE may split."""
+    few = small.limit(limit + 1).count() <= limit
+    if few and payload:
+        few = (small.agg(F.sum(F.length(payload))).first()[0] or 0) <= BROADCAST_BYTES
+    if few:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
 
@@ -66,6 +68,3 @@ def salted_left_join(big: DataFrame, small: DataFrame, key: str, by: Column, sal
     copies = small.withColumn(s, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return spread.join(copies, [key, s], "left").drop(s)
 
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
