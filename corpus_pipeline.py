@@ -1,7 +1,8 @@
 """From documents to packed training sequences: five stages, each on what the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. SQL can't express the trained classifier, so there is
+one's docs. All but the last return the columns of documents. The dedup stages and the mix go by doc_id: rows without
+one leave at the first of them, rows that share one stay together. SQL can't express the trained classifier, so there is
 no ORACLE_SQL; tests compare the stages with their operators and with brute force.
 """
 
@@ -36,8 +37,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = written(mixing.mix(docs).filter("copies > 0").select("doc_id", F.col("copies").cast("int").alias("__copies")), "copies")
+    """Each document as often as the mix takes it; rows that share a doc_id go by the most copies one of them got."""
+    copies = written(mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies")), "copies")
     rows = sized_join(docs, copies, ["doc_id"], "inner")
     return rows.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
