@@ -21,6 +21,7 @@ DUMP_HITS = 3
 SOLO_CHARS = 300
 PACK_ITEMS = 8
 PACK_CHARS = 1200
+SHARD_BODIES = 20_000  # bodies that one task sorts and packs
 
 Translate = Callable[[list[str]], list[str]]
 
@@ -65,6 +66,10 @@ def work_list(found: DataFrame, cache: DataFrame, translate_noise: bool = False)
     return todo.select("body").join(cache.select(F.col("en").alias("body")), "body", "left_anti")
 
 
+def shards_for(todo: DataFrame) -> int:
+    return max(1, -(-todo.count() // SHARD_BODIES))
+
+
 def packs(todo: DataFrame, shards: int, items: int = PACK_ITEMS, chars: int = PACK_CHARS, solo: int = SOLO_CHARS) -> DataFrame:
     """body, shard, pack, no: bodies of a shard in order of length; a pack takes up to `items` bodies and `chars` characters, long ones go alone."""
 
@@ -99,9 +104,9 @@ def parsed_answers(answers: DataFrame, ids: list[str], answer: str = "answer", n
     return kept.groupBy(*ids, "no").agg(F.max_by("text", "segment").alias("text"))
 
 
-def translated(todo: DataFrame, translate: Callable[[], Translate], shards: int = 8) -> DataFrame:
+def translated(todo: DataFrame, translate: Callable[[], Translate], shards: int | None = None) -> DataFrame:
     """body, text. A pack is one prompt; items that its answer lacks are asked for alone, and stay as they are if that fails too."""
-    per_pack = packs(todo, shards).groupBy("shard", "pack").agg(F.array_sort(F.collect_list(F.struct("no", "body"))).alias("items"))
+    per_pack = packs(todo, shards or shards_for(todo)).groupBy("shard", "pack").agg(F.array_sort(F.collect_list(F.struct("no", "body"))).alias("items"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = translate()

@@ -77,7 +77,7 @@ def evaluate_job(questions: DataFrame, chunks: DataFrame, configs: list[str], sc
     return out
 
 
-def translate_job(chunks: DataFrame, ids: list[str], cache: DataFrame, translate: Callable[[], X.Translate], shards: int = 8, translate_noise: bool = False, keep_original: bool = False) -> tuple[DataFrame, DataFrame]:
+def translate_job(chunks: DataFrame, ids: list[str], cache: DataFrame, translate: Callable[[], X.Translate], shards: int | None = None, translate_noise: bool = False, keep_original: bool = False) -> tuple[DataFrame, DataFrame]:
     """Chunks with translated text, and the new rows of the cache."""
     lines = X.lines_of(chunks, ids)
     known = X.latest(cache)

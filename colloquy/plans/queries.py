@@ -429,7 +429,8 @@ def rebuilt_texts(spark, d):
 
 @query()
 def translation_packs(spark, d):
-    return X.packs(X.work_list(X.bodies(chat_lines(spark, d)), chat_cache(spark, d)), 16)
+    todo = X.work_list(X.bodies(chat_lines(spark, d)), chat_cache(spark, d))
+    return X.packs(todo, X.shards_for(todo))
 
 
 @query(r"""SELECT conv_id, turn, unnest(range(1, len(l) + 1))::BIGINT AS no, unnest(list_transform(l, lambda x: trim(x))) AS text FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '\n+', chr(10), 'g'), chr(10)) AS l FROM conversations)""")
