@@ -35,9 +35,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage ends there."""
+#: Rows of a file when a small table is written that a loop made.
+FILE_ROWS = 250_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The same rows, read back from a table in the shared folder: lineage ends there. rows: about how many, if known; few go to few files."""
     path = fresh_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(-(-rows // FILE_ROWS) + 1)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,10 +5,12 @@ one of each group of linked documents stays. Equal sets are one class. In each o
 walks from the root: at every node one or two places of its MinHash signature are chosen by the node's own random
 bits (1.25 on average, the inverse of the similarity), and the tokens there name the children. Documents at 0.8
 meet in a given tree's node after four steps with probability 0.58, in one of twelve with 0.99997, and more alike
-ones oftener. Nodes of one member end. A node whose members are all in one group is done. The rest of a small
-node is compared exhaustively; a large one sends its members to its least member and walks on, one step at a time;
-what is still large after the last step is compared exhaustively too, so no size is a cap. A pair is first compared
-by 64 one-bit hashes (a true pair fails with probability below 1e-4) and then confirmed on the full sets.
+ones oftener. Nodes of one member end. A node whose members are all in one group is done. Shingles that no set of another
+group has bound what a member can share outside its group; members that can't reach the similarity with any leave (this
+loses nothing, and it grows sharper as groups grow). The rest of a small node is compared exhaustively; a large one compares its members with its
+most central one and walks on, one step at a time; what is still large after the last step is compared exhaustively
+too, so no size is a cap. Of a pair, the bound and 64 one-bit hashes (a true pair fails with probability below 1e-4)
+are looked at first; then it is confirmed on the full sets.
 
 Groups come from confirmed links by rounds of taking the least neighbour and jumping to its least; only classes
 with links take part, nothing is gathered on the driver.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, salted_left_join, sized_join, text_of, written
@@ -35,8 +37,8 @@ TREES = 12
 PLACES = 64  # of a signature
 FIRST_STEPS = 4
 MORE_STEPS = 16
-SMALL = 64  # members of a node that are compared with each other at once
-BITS_APART = 18  # of 64, at most
+SMALL_PAIRS = 1 << 17  # of members in different groups: a node with no more is compared exhaustively at once
+BITS_APART = 16  # of 64, at most
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +156,24 @@ def sets_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     return sized_join(texts, reps, ["rep"], "left_semi").mapInArrow(per_batch, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+def facts_of(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """rep, n (shingles), own (those found in no set of another group) of members (rep, comp)."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reps, comps = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for first in range(0, b.num_rows, 500):
+                raw = b.column(2).slice(first, 500).to_pylist()
+                sizes = [len(x) // 8 for x in raw]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps[first : first + 500], sizes)), pa.array(np.repeat(comps[first : first + 500], sizes)), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["rep", "comp", "shingle"])
+
+    rows = sized_join(sets, members, ["rep"], "inner").select("rep", "comp", "shingles").mapInArrow(per_batch, "rep long, comp long, shingle long")
+    w = Window.partitionBy("shingle")
+    alone = F.min("comp").over(w) == F.max("comp").over(w)
+    return rows.withColumn("alone", alone).groupBy("rep").agg(F.count("*").alias("n"), F.count_if("alone").alias("own"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link by their full sets."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +185,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
                 ok.append(100 * common >= SIMILAR * (len(both) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    reps = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "reps")
-    sets = written(sets_of(docs, reps, n), "sets")
     got = pairs.join(sets.withColumnRenamed("rep", "a").withColumnRenamed("shingles", "x"), "a")
     got = got.join(sets.withColumnRenamed("rep", "b").withColumnRenamed("shingles", "y"), "b")
     return written(got.select("a", "b", "x", "y").mapInArrow(per_batch, "a long, b long"), "links")
@@ -175,52 +192,85 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """rep, comp (the least rep that can be reached) of every end of a link."""
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    state = written(both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("m")).select("rep", F.least("rep", "m").alias("comp")), "components")
+    n = links.count() * 2
+    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges", n)
+    state = written(both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("m")).select("rep", F.least("rep", "m").alias("comp")), "components", n)
     while True:
         near = sized_join(both.withColumnRenamed("b", "rep"), state, ["rep"], "inner").groupBy(F.col("a").alias("rep")).agg(F.min("comp").alias("near"))
         low = state.join(near, "rep").select("rep", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = state.select(F.col("rep").alias("comp"), F.col("comp").alias("far"))
-        new = written(sized_join(low, jump, ["comp"], "left").select("rep", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "components")
+        new = written(sized_join(low, jump, ["comp"], "left").select("rep", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "components", n)
         done = new.filter("old <> comp").isEmpty()
         state = new.select("rep", "comp")
         if done:
             return state
 
 
+def with_partners(rows: DataFrame) -> DataFrame:
+    """rows (node, rep, ...) without members that can't be linked to another group: shingles of its own group are in no set outside it,
+    so a member shares at most n - own, with a set of no fewer than the least n of its node."""
+    least = rows.groupBy("node").agg(F.min("n").alias("least_n"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    most = F.col("n") - F.col("own")
+    return rows.join(least, "node").filter(100 * most >= SIMILAR * (F.col("own") + F.greatest(most, "least_n"))).drop("least_n")
+
+
+def may_link(x: str, y: str) -> Column:
+    """By one-bit hashes and by what both sets can share at most."""
+    most = F.least(F.col(f"n{x}") - F.col(f"own{x}"), F.col(f"n{y}") - F.col(f"own{y}"))
+    bits = F.bit_count(F.col(f"bits{x}").bitwiseXOR(F.col(f"bits{y}"))) <= BITS_APART
+    return bits & (100 * most >= SIMILAR * (F.col(f"n{x}") + F.col(f"n{y}") - most))
+
+
+def to_centre(rows: DataFrame) -> DataFrame:
+    """a, b: each member with the member of its node that has the fewest shingles of its own (the least edited one)."""
+    centre = F.min(F.struct("own", "rep", "n", "bits")).alias("c")
+    both = rows.join(rows.groupBy("node").agg(centre), "node").select("rep", "n", "own", "bits", *[F.col(f"c.{k}").alias(f"{k}_c") for k in ("rep", "n", "own", "bits")])
+    both = both.filter((F.col("rep") != F.col("rep_c")) & may_link("", "_c"))
+    return both.select(F.least("rep", "rep_c").alias("a"), F.greatest("rep", "rep_c").alias("b"), F.col("rep").alias("member"), F.struct("own_c", "rep_c").alias("centre"))
+
+
+def open_nodes(rows: DataFrame) -> DataFrame:
+    """rows (node, comp, ...) of nodes with members of different groups, and how many pairs those make."""
+    size = F.sum("m").cast("double")
+    left = rows.groupBy("node", "comp").agg(F.count("*").alias("m")).groupBy("node").agg(((size * size - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).filter("pairs > 0")
+    return rows.join(left, "node")
+
+
 def near_groups(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """rep, comp of classes that are linked."""
-    spark = docs.sparkSession
     rows = written(first_nodes(classes), "nodes")
-    alone = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("rep", "bits")).alias("least")).filter("size > 1")
-    rows = written(rows.join(alone, "node").select("node", "rep", "bits", "size", "least"), "nodes")
-    alike = F.bit_count(F.col("bits").bitwiseXOR(F.col("least.bits"))) <= BITS_APART
-    # First every class to one other: the least of all the least members of its nodes.
-    star = rows.filter((F.col("rep") != F.col("least.rep")) & alike).groupBy(F.col("rep").alias("b")).agg(F.min("least.rep").alias("a")).select("a", "b")
-    tried = written(star, "pairs")
-    links = confirmed(tried, docs, n)
-    rows = rows.select("node", "rep", "bits")
+    many = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").select("node")
+    rows = written(rows.join(many, "node"), "nodes")
+    sets = written(sets_of(docs, written(rows.select("rep").distinct(), "reps"), n), "sets")
+    links = tried = docs.sparkSession.createDataFrame([], "a long, b long")
+    groups = docs.sparkSession.createDataFrame([], "rep long, comp long")
     for step in range(MORE_STEPS + 1):
-        groups = written(components(links), "components")
+        n_rows = rows.count()
         grouped = sized_join(rows, groups, ["rep"], "left").withColumn("comp", F.coalesce("comp", "rep"))
-        grouped = written(grouped, "grouped")
-        per = grouped.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "bits")).alias("least")).filter("lo <> hi")
-        open_ = written(grouped.join(per.select("node", "size", "least"), "node"), "open")
-        if open_.isEmpty():
+        live = written(open_nodes(grouped).drop("pairs"), "live", n_rows)
+        if live.isEmpty():
+            return groups
+        facts = written(facts_of(sets, written(live.select("rep", "comp").distinct(), "members", n_rows)), "facts", n_rows)
+        live = written(open_nodes(with_partners(sized_join(live, facts, ["rep"], "inner"))), "live", n_rows)
+        if live.isEmpty():
             return groups
-        small = open_ if step == MORE_STEPS else open_.filter(F.col("size") <= SMALL)
-        x, y = (small.select("node", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "bits", "comp")]) for s in "xy")
-        pairs = x.join(y, "node").filter((F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= BITS_APART)).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-        large = written(open_.filter(F.col("size") > SMALL), "large") if step < MORE_STEPS else spark.createDataFrame([], open_.schema)
-        to_least = large.filter((F.col("rep") != F.col("least.rep")) & alike).select(F.col("least.rep").alias("a"), F.col("rep").alias("b"))
-        fresh = written(pairs.union(to_least).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if step == 0:  # first every class to one other, the best centre of all its nodes
+            pairs, large = to_centre(live).groupBy("member").agg(F.min(F.struct("centre", "a", "b")).alias("m")).select("m.a", "m.b"), None
+        else:
+            small = live if step == MORE_STEPS else live.filter(F.col("pairs") <= SMALL_PAIRS)
+            x, y = (small.select("node", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "bits", "comp", "n", "own")]) for s in "xy")
+            pairs = x.join(y, (x.node == y.node) & (F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & may_link("_x", "_y")).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+            large = live.filter(F.lit(step < MORE_STEPS) & (F.col("pairs") > SMALL_PAIRS))
+            pairs = pairs.union(to_centre(large).select("a", "b"))
+        fresh = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", n_rows)
         if not fresh.isEmpty():
-            links = links.union(confirmed(fresh, docs, n))
-            tried = tried.union(fresh)
-        if large.isEmpty():
-            return components(links)
-        rows = written(next_nodes(large.select("node", "rep", "bits"), classes), "nodes")
-    return components(links)
+            links, tried = links.union(confirmed(fresh, sets)), tried.union(fresh)
+            groups = components(links)
+        if large is not None:
+            if large.isEmpty():
+                return groups
+            rows = written(next_nodes(large.select("node", "rep", "bits"), classes), "nodes", 2 * n_rows)
+    return groups
 
 
 def near_dedup(docs: DataFrame, n: int = 5) -> DataFrame:

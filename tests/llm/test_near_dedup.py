@@ -67,7 +67,7 @@ def test_groups_match_brute_force(spark):
 
 
 def test_large_groups_beyond_one_node(spark, monkeypatch):
-    monkeypatch.setattr(N, "SMALL", 6)
+    monkeypatch.setattr(N, "SMALL_PAIRS", 6)
     compare(spark, families(2, 300, [1] * 20 + [80, 40], edits=8, length=60), 5)
 
 
