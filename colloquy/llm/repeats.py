@@ -14,7 +14,8 @@ with one anchor form a run of at most 69, and the bytes its strings cover, 168 a
    strings are dealt one by one by their own hash instead, which keeps equal ones together just as well.
 4. Ranges meet their documents and are cut out.
 
-Joins broadcast a side only if its counted rows are few, else they shuffle.
+The anchors, a document's contexts and its ranges go to the tasks only if their counted rows and bytes are few;
+beyond that the same joins shuffle.
 
 Defined cases: null and empty texts have no bytes; texts below SPAN bytes lose nothing; a null doc_id comes before
 all others; rows that share a doc_id stand at the same place, so that neither removes the other's bytes; an empty
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ GRAM = 32
 PIECE = 1 << 22  # bytes of a text looked at together
 BLOCK = 1_200_000  # bytes of contexts sorted together
 HOT = 10_000
-ANCHORS_SENT = 3_000_000  # 16 bytes each when broadcast
+ANCHORS_SENT = 4_000_000  # 8 bytes each: sent to the tasks at most
 NO_DOC = -(2**63)
 
 ROUNDS = GRAM.bit_length() - 1
@@ -109,8 +111,13 @@ def pieces(text: bytes) -> list[tuple[int, bytes]]:
     return [(k, text[k : k + PIECE + SPAN - 1]) for k in range(0, max(1, len(text) - SPAN + 1), PIECE)]
 
 
-def run_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n (starts), anchor, context, again (the context came before in the document)."""
+#: What is kept of a first context, and of a removed range, in a document's packed list.
+FIRST = np.dtype([("start", "<i4"), ("n", "u1"), ("hot", "u1"), ("anchor", "<i8")])
+RANGE = np.dtype([("start", "<i4"), ("end", "<i4")])
+
+
+def run_rows(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
+    """doc_id, start, n (starts), anchor, context, again (the context came before in the document); of wanted (sorted) anchors if given."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,6 +126,11 @@ def run_rows(docs: DataFrame) -> DataFrame:
                 cut = [(first + k, base, part) for k, t in enumerate(texts) for base, part in pieces(t)]
                 doc, base = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
                 of, start, n, anchor, context = runs([c[2] for c in cut])
+                if wanted is not None:
+                    keys = anchor.astype(np.int64)
+                    at = np.minimum(np.searchsorted(wanted.value, keys), max(0, len(wanted.value) - 1))
+                    keep = np.flatnonzero(wanted.value[at] == keys) if len(wanted.value) else np.zeros(0, np.int64)
+                    of, start, n, anchor, context = (x[keep] for x in (of, start, n, anchor, context))
                 row = doc[of]
                 key = mixed(anchor) ^ context
                 order = np.lexsort((key, row))
@@ -261,14 +273,15 @@ def later_copies(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray) ->
 
 
 def context_rows(texts: DataFrame) -> DataFrame:
-    """route, doc_id, start, bytes of the contexts in `first` (start, n, anchor, hot) of each text."""
+    """route, doc_id, start, bytes of the contexts in `packed` (of FIRST) of each text."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for doc, text, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = text.encode()
-                for f in first:
+                for f in np.frombuffer(first, FIRST).tolist():
+                    f = dict(zip(FIRST.names, f, strict=True))
                     if f["start"] + f["n"] + SPAN - 1 > len(raw):
                         continue  # of another row with this doc_id
                     if not f["hot"]:
@@ -315,27 +328,49 @@ def sorted_blocks(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("route").sortWithinPartitions("route").mapInArrow(per_task, "doc_id long, start long, end long")
 
 
+def packed_lists(rows: DataFrame, kind: np.dtype, join: bool = False) -> DataFrame:
+    """doc_id, packed: the list in column `items` of each document, in order, as bytes; ranges that touch joined if asked."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for items in b.column(1).to_pylist():
+                got = sorted(tuple(int(x[c]) for c in kind.names) for x in items)
+                out.append(np.array(merged(got) if join else got, dtype=kind).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "packed"])
+
+    return rows.groupBy("doc_id").agg(F.collect_list("items").alias("items")).mapInArrow(per_batch, "doc_id long, packed binary")
+
+
+def shared_runs(docs: DataFrame) -> DataFrame:
+    """Runs whose anchor occurs in other runs too."""
+    anchors = written(run_rows(docs).groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor"), "anchors")
+    if anchors.limit(ANCHORS_SENT + 1).count() > ANCHORS_SENT:
+        return run_rows(docs).join(anchors.hint("merge"), "anchor", "left_semi")
+    keys = np.sort(anchors.toArrow().column("anchor").to_numpy())
+    return run_rows(docs, docs.sparkSession.sparkContext.broadcast(keys))
+
+
 def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, ranges (start, end): all that repeats, not yet merged. docs: doc_id without nulls, text."""
-    rows = run_rows(docs)
-    anchors = written(rows.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor"), "anchors")
-    found = written(sized_join(rows, anchors, ["anchor"], "left_semi", ANCHORS_SENT), "runs")
+    """doc_id, packed (of RANGE): all that repeats. docs: doc_id without nulls, text."""
+    found = written(shared_runs(docs), "runs")
     firsts = written(found.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "contexts")
     several = firsts.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     firsts = written(firsts.join(several, "anchor", "left"), "firsts")
     known = written(found.join(firsts, ["anchor", "context"]), "known")
     later = F.col("again") | (F.col("doc_id") > F.col("first"))
     whole = known.filter(later).select("doc_id", "start", (F.col("start") + F.col("n") + (SPAN - 1)).alias("end"))
-    left = known.filter(~later & F.col("contexts").isNotNull()).select("doc_id", F.struct("start", "n", "anchor", (F.col("contexts") > hot).alias("hot")).alias("f"))
-    left = written(left.groupBy("doc_id").agg(F.collect_list("f").alias("first")), "left")
-    texts = sized_join(docs, left, ["doc_id"], "inner").select("doc_id", "text", "first")
+    left = known.filter(~later & F.col("contexts").isNotNull()).select("doc_id", F.struct("start", "n", "anchor", (F.col("contexts") > hot).alias("hot")).alias("items"))
+    left = written(packed_lists(left, FIRST), "left")
+    texts = sized_join(docs, left, ["doc_id"], "inner", payload="packed").select("doc_id", "text", "packed")
     ranges = whole.union(sorted_blocks(context_rows(texts)))
-    return written(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    return written(packed_lists(ranges.select("doc_id", F.struct("start", "end").alias("items")), RANGE, join=True), "ranges")
 
 
-def merged(ranges: list[dict]) -> list[tuple[int, int]]:
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges with those that overlap or touch joined."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted((r["start"], r["end"]) for r in ranges):
+    for s, e in ranges:
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -352,7 +387,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             sizes, gone, kept = [], [], []
             for text, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw, at, parts = text.encode(), 0, []
-                cut = [(s, min(e, len(raw))) for s, e in merged(ranges or []) if s < len(raw)]
+                cut = [(s, min(e, len(raw))) for s, e in np.frombuffer(ranges or b"", RANGE).tolist() if s < len(raw)]
                 for s, e in cut:
                     parts.append(raw[at:s])
                     at = e
@@ -362,7 +397,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), text_of().alias("text"))
-    got = sized_join(rows, repeated_ranges(rows, hot), ["doc_id"], "left").select("doc_id", "text", "ranges")
+    got = sized_join(rows, repeated_ranges(rows, hot), ["doc_id"], "left", payload="packed").select("doc_id", "text", "packed")
     out = got.mapInArrow(per_batch, "doc_id long, n_bytes long, removed array<struct<start long, end long>>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_DOC, F.col("doc_id")))
 

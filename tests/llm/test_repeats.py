@@ -69,6 +69,12 @@ def test_hot_anchors_are_dealt_by_string(spark):
     assert compare(spark, corpus(2), hot=2) > 5000
 
 
+def test_anchors_beyond_what_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(R, "ANCHORS_SENT", 3)
+    monkeypatch.setattr("colloquy.llm.common.BROADCAST_BYTES", 10)
+    assert compare(spark, corpus(3)) > 5000
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(R, "PIECE", 150)
     for t in ("", "a" * 99, "a" * 100, "a" * 700):
