@@ -259,9 +259,16 @@ def near_groups(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
         else:
             small = live if step == MORE_STEPS else live.filter(F.col("pairs") <= SMALL_PAIRS)
             x, y = (small.select("node", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "bits", "comp", "n", "own")]) for s in "xy")
-            pairs = x.join(y, (x.node == y.node) & (F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & may_link("_x", "_y")).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+            pairs = x.join(y, (x.node == y.node) & (F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & may_link("_x", "_y"))
             large = live.filter(F.lit(step < MORE_STEPS) & (F.col("pairs") > SMALL_PAIRS))
+            if step == 1:  # then the likeliest pair of each two groups; what that joins need not be compared
+                both = F.struct(F.least("comp_x", "comp_y"), F.greatest("comp_x", "comp_y")).alias("groups")
+                pairs = pairs.groupBy(both).agg(F.min(F.struct(F.col("own_x") + F.col("own_y"), F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))).alias("m")).select("m.a", "m.b")
+            else:
+                pairs = pairs.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
             pairs = pairs.union(to_centre(large).select("a", "b"))
+            if step == 1:
+                large = None  # the same nodes again
         fresh = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", n_rows)
         if not fresh.isEmpty():
             links, tried = links.union(confirmed(fresh, sets)), tried.union(fresh)
