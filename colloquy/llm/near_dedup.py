@@ -4,12 +4,13 @@ A document is the set of its word shingles; documents link when 100 * common >=
 one of each group of linked documents stays. Equal sets are one class. In each of TREES independent trees a class
 walks from the root: at every node one or two places of its MinHash signature are chosen by the node's own random
 bits (1.25 on average, the inverse of the similarity), and the tokens there name the children. Documents at 0.8
-meet in a given tree's node after four steps with probability 0.58, in one of twelve with 0.99997, and more alike
-ones oftener. Nodes of one member end. A node whose members are all in one group is done. Shingles that no set of another
+meet in one of twelve trees' nodes after FIRST_STEPS steps with probability 0.9996, and more alike ones oftener. Deeper
+steps choose two places at every node, so that a pair that met goes on to meet with 0.999 at any depth (both figures
+count that all trees draw from the same PLACES). Nodes of one member end. A node whose members are all in one group is done. Shingles that no set of another
 group has bound what a member can share outside its group; members that can't reach the similarity with any leave (this
 loses nothing, and it grows sharper as groups grow). The rest of a small node is compared exhaustively; a large one compares its members with its
-most central one and walks on, one step at a time; what is still large after the last step is compared exhaustively
-too, so no size is a cap. Of a pair, the bound and 64 one-bit hashes (a true pair fails with probability below 1e-4)
+most central one and walks on, one step at a time; what is still large after the last step, or after a step that did
+not make the pairs fewer, is compared exhaustively too, so no size is a cap. Of a pair, the bound and 64 one-bit hashes (a true pair fails with probability below 1e-4)
 are looked at first; then it is confirmed on the full sets.
 
 Groups come from confirmed links by rounds of taking the least neighbour and jumping to its least; only classes
@@ -65,11 +66,12 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum.reduceat((h * f) >> U(32), offsets).astype(np.uint32) for f in factors(PLACES, 1000)])
 
 
-def children(keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From each node (of column k of sig) its children's keys and their columns."""
+def children(keys: np.ndarray, sig: np.ndarray, two: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """From each node (of column k of sig) its children's keys and their columns. two: every node branches twice, at different places."""
     col = np.arange(len(keys))
-    second = np.flatnonzero((keys >> U(40)) & U(3) == 0)  # one node in four branches twice
-    place = np.concatenate([keys % U(PLACES), (keys[second] >> U(16)) % U(PLACES)])
+    second = col if two else np.flatnonzero((keys >> U(40)) & U(3) == 0)  # else one node in four branches twice
+    other = (keys + U(1) + (keys >> U(16)) % U(PLACES - 1)) if two else keys[second] >> U(16)
+    place = np.concatenate([keys % U(PLACES), other % U(PLACES)])
     col, up = np.concatenate([col, second]), np.concatenate([keys, keys[second]])
     token = sig[place.astype(np.int64), col].astype(U)
     return mixed(up * U(0x9E3779B97F4A7C15) + mixed(token + (place << U(32)))), col
@@ -127,13 +129,13 @@ def first_nodes(classes: DataFrame) -> DataFrame:
 
 
 def next_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """One step on from node, rep, bits."""
+    """One step on from node, rep, bits, to two children: with 1.25 fewer and fewer pairs at 0.8 would meet the deeper the node is."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, PLACES).T
-                keys, col = children(b.column(0).to_numpy().view(U), sig)
+                keys, col = children(b.column(0).to_numpy().view(U), sig, two=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), b.column(1).take(pa.array(col)), b.column(2).take(pa.array(col))], ["node", "rep", "bits"])
 
     with_sig = classes.select("rep", "sig").join(rows, "rep").select("node", "rep", "bits", "sig")
@@ -244,6 +246,7 @@ def near_groups(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     sets = written(sets_of(docs, written(rows.select("rep").distinct(), "reps"), n), "sets")
     links = tried = docs.sparkSession.createDataFrame([], "a long, b long")
     groups = docs.sparkSession.createDataFrame([], "rep long, comp long")
+    before = None  # pairs of the nodes that the last step walked on from
     for step in range(MORE_STEPS + 1):
         n_rows = rows.count()
         grouped = sized_join(rows, groups, ["rep"], "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -257,10 +260,12 @@ def near_groups(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
         if step == 0:  # first every class to one other, the best centre of all its nodes
             pairs, large = to_centre(live).groupBy("member").agg(F.min(F.struct("centre", "a", "b")).alias("m")).select("m.a", "m.b"), None
         else:
-            small = live if step == MORE_STEPS else live.filter(F.col("pairs") <= SMALL_PAIRS)
+            total = live.select("node", "pairs").distinct().agg(F.sum(F.when(F.col("pairs") > SMALL_PAIRS, F.col("pairs")))).first()[0]
+            last = step == MORE_STEPS or bool(before and total and total >= before)
+            small = live if last else live.filter(F.col("pairs") <= SMALL_PAIRS)
             x, y = (small.select("node", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "bits", "comp", "n", "own")]) for s in "xy")
             pairs = x.join(y, (x.node == y.node) & (F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & may_link("_x", "_y"))
-            large = live.filter(F.lit(step < MORE_STEPS) & (F.col("pairs") > SMALL_PAIRS))
+            large = live.filter(F.lit(not last) & (F.col("pairs") > SMALL_PAIRS))
             if step == 1:  # then the likeliest pair of each two groups; what that joins need not be compared
                 both = F.struct(F.least("comp_x", "comp_y"), F.greatest("comp_x", "comp_y")).alias("groups")
                 pairs = pairs.groupBy(both).agg(F.min(F.struct(F.col("own_x") + F.col("own_y"), F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))).alias("m")).select("m.a", "m.b")
@@ -276,6 +281,7 @@ def near_groups(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
         if large is not None:
             if large.isEmpty():
                 return groups
+            before = total
             rows = written(next_nodes(large.select("node", "rep", "bits"), classes), "nodes", 2 * n_rows)
     return groups
 

@@ -76,3 +76,15 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = N.near_dedup(spark.createDataFrame([(3, "a b c", 1), (3, "a b c", 1), (2, "A b c", 1), (None, "a b c", 1), (5, "q", 0)], schema)).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (2, 2, True), (3, 2, False), (3, 2, False), (5, 5, True)]
     assert N.near_dedup(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pairs_meet_at_any_depth(spark):
+    rnd, pairs = np.random.default_rng(5), 500
+    a = rnd.integers(0, 1 << 32, (pairs, N.PLACES), dtype=np.uint32)
+    b = np.where(rnd.random(a.shape) < 0.8, a, rnd.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    classes = spark.createDataFrame([(k, 0, bytearray(x.tobytes())) for k, x in enumerate(np.concatenate([a, b]))], "rep long, bits long, sig binary")
+    nodes = N.first_nodes(classes)
+    for _ in range(6):
+        nodes = N.next_nodes(nodes, classes)
+    both = nodes.selectExpr("node", f"rep % {pairs} as pair").groupBy("node", "pair").count().filter("count > 1")
+    assert both.select("pair").distinct().count() >= 0.995 * pairs
