@@ -30,3 +30,20 @@ def test_extra_columns_null_texts_and_no_rows(spark, tiny):
     for part in (docs, docs.limit(0)):
         for _, stage in C.STAGES:
             part = written(stage(spark, part, tiny), "x")
+
+
+def test_repeated_rows_leave_once_and_rows_without_id_stay(spark, tiny):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    near = words(7, 60)
+    rows = [(1, words(1, 40)), (1, words(1, 40)), (1, words(1, 40)), (None, words(2, 40)), (None, words(2, 40)), (None, words(3, 50)), (4, words(4, 40)), (4, words(5, 40)), (5, words(5, 40)), (None, words(4, 40)), (8, near), (8, near + " end"), (9, near + " stop"), (8, words(8, 40))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(C.STAGES)
+    exact = written(stages["exact_dedup"](spark, docs, tiny), "exact")
+    assert sorted((r.text, r.doc_id) for r in exact.collect()) == sorted({t: d for d, t in sorted(rows, key=lambda r: r[0] or 0)}.items())
+    kept = written(stages["near_dedup"](spark, exact, tiny), "near")
+    got = sorted((r.doc_id or 0, r.text[:4]) for r in kept.collect())
+    assert got == [(0, "w2x0"), (0, "w3x0"), (1, "w1x0"), (4, "w4x0"), (5, "w5x0"), (8, "w7x0"), (8, "w8x0")]
+    mixed = written(stages["mixing"](spark, kept, tiny), "mixed")
+    assert set(Counter(r.text for r in mixed.collect()).values()) <= {1, 2} and mixed.columns == docs.columns
+    packed = stages["packing"](spark, mixed, tiny).collect()
+    assert {r.doc_id for r in packed if r.bin is not None} == {r.doc_id for r in mixed.collect()} and None in {r.doc_id for r in packed}
