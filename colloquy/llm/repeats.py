@@ -38,6 +38,7 @@ from .words import U, factors, in_slices, mixed
 SPAN = 100
 GRAM = 32
 PIECE = 1 << 22  # bytes of a text looked at together
+PLACE_BITS = 24  # of a place among the bytes looked at together, 2 * PIECE at most; the rest of 64 is hash
 BLOCK = 1_200_000  # bytes of contexts sorted together
 HOT = 10_000
 ANCHORS_SENT = 4_000_000  # 8 bytes each: sent to the tasks at most
@@ -95,7 +96,9 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     for k in range(ROUNDS):
         h = h[: len(h) - (1 << k)] * STEP_FACTORS[k] + h[1 << k :]
     h = mixed(h)
-    low = U((1 << 24) - 1)
+    if len(data) >> PLACE_BITS:
+        raise ValueError("places beyond PLACE_BITS")
+    low = U((1 << PLACE_BITS) - 1)
     at = (window_min((h & ~low) | np.arange(len(h), dtype=U), SPAN - GRAM + 1) & low).astype(np.int64)
     begins = np.cumsum(lengths) - lengths
     text = np.repeat(np.arange(len(texts)), lengths)
@@ -106,6 +109,18 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return of, first - begins[of], last - first + 1, h[at[first]], Sums(data).of(first, last + SPAN)
 
 
+def runs_in_turn(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """As runs, over lists of texts of no more than two pieces together."""
+    out, first, size = [], 0, 0
+    for k, part in enumerate(parts):
+        size += len(part)
+        if size >= PIECE or k == len(parts) - 1:
+            of, *rest = runs(parts[first : k + 1])
+            out.append((of + first, *rest))
+            first, size = k + 1, 0
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else runs([])
+
+
 def pieces(text: bytes) -> list[tuple[int, bytes]]:
     """A text in parts that share SPAN - 1 bytes with the next, so that each string of SPAN bytes is in one."""
     return [(k, text[k : k + PIECE + SPAN - 1]) for k in range(0, max(1, len(text) - SPAN + 1), PIECE)]
@@ -125,7 +140,7 @@ def run_rows(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
             for first, texts in in_slices(b.column(1).to_pylist(), 120_000):
                 cut = [(first + k, base, part) for k, t in enumerate(texts) for base, part in pieces(t)]
                 doc, base = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
-                of, start, n, anchor, context = runs([c[2] for c in cut])
+                of, start, n, anchor, context = runs_in_turn([c[2] for c in cut])
                 if wanted is not None:
                     keys = anchor.astype(np.int64)
                     at = np.minimum(np.searchsorted(wanted.value, keys), max(0, len(wanted.value) - 1))

@@ -105,3 +105,18 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = sorted((r.doc_id or 0, r.n_bytes, len(r.kept)) for r in R.without_repeats(df).collect())
     assert got == [(0, 10, 10), (1, 130, 130), (1, 130, 130), (2, 130, 0)]
     assert R.without_repeats(df.limit(0)).count() == 0
+
+
+def test_texts_beyond_the_place_bits():
+    rnd = random.Random(11)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    text = letters[np.random.default_rng(11).integers(0, 26, 17 << 20)].tobytes()
+    line = bytes(rnd.choice(b"abcdefgh") for _ in range(300))
+    parts = [p for _, p in R.pieces(line + text + line)]
+    of, start, n, anchor, context = R.runs_in_turn(parts)
+    keys, counts = np.unique(np.stack([anchor, context]), axis=1, return_counts=True)
+    base = np.cumsum([0, *[R.PIECE] * (len(parts) - 1)])
+    again = np.isin(anchor, keys[0][counts > 1]) & np.isin(context, keys[1][counts > 1])
+    starts = {int(base[o] + s + k) for o, s, m in zip(of[again], start[again], n[again]) for k in range(m)}
+    end = len(text) + 300  # runs at the edges of the line have other contexts
+    assert {*range(69, 132)} <= starts and {*range(end + 69, end + 132)} <= starts
