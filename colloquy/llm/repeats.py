@@ -10,8 +10,9 @@ with one anchor form a run of at most 69, and the bytes its strings cover, 168 a
 3. What is left are first contexts that share an anchor with other contexts. Their bytes are dealt by anchor into
    blocks, and each block's suffixes are sorted in two stages: suffixes smaller than their successors directly, the
    others induced by scanning the buckets in order. Neighbours with a common prefix of SPAN bytes or more are equal
-   strings, of which all but the earliest repeat. An anchor with more than HOT contexts would fill a task: its
-   strings are dealt one by one by their own hash instead, which keeps equal ones together just as well.
+   strings, of which all but the earliest repeat. An anchor with more than HOT contexts would fill a task: of its
+   strings only 128 bits of hash are dealt, the first of each is found by an aggregation that is combined before the
+   shuffle, and the others are marked by a salted join, so that no task holds all copies of one string.
 4. Ranges meet their documents and are cut out.
 
 The anchors, a document's contexts and its ranges go to the tasks only if their counted rows and bytes are few;
@@ -28,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, sized_join, text_of, written
+from .common import read_table, salted_left_join, sized_join, text_of, written
 from .words import U, factors, in_slices, mixed
 
 SPAN = 100
@@ -288,7 +290,7 @@ def later_copies(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray) ->
 
 
 def context_rows(texts: DataFrame) -> DataFrame:
-    """route, doc_id, start, bytes of the contexts in `packed` (of FIRST) of each text."""
+    """route, doc_id, start, bytes of the contexts in `packed` (of FIRST) of each text, but for those of hot anchors."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,17 +303,37 @@ def context_rows(texts: DataFrame) -> DataFrame:
                         continue  # of another row with this doc_id
                     if not f["hot"]:
                         rows.append((f["anchor"], doc, f["start"], raw[f["start"] : f["start"] + f["n"] + SPAN - 1]))
-                        continue
-                    part = np.frombuffer(raw, np.uint8, f["n"] + SPAN - 1, f["start"])
-                    at = np.arange(f["n"])
-                    routes = Sums(part).of(at, at + SPAN).astype(np.int64).tolist()
-                    rows += [(r, doc, f["start"] + k, raw[f["start"] + k : f["start"] + k + SPAN]) for k, r in enumerate(routes)]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["route", "doc_id", "start", "bytes"])
 
     return texts.mapInArrow(per_batch, "route long, doc_id long, start long, bytes binary")
 
 
+def hot_strings(texts: DataFrame) -> DataFrame:
+    """string (128 bits of hash), doc_id, start of each string of the hot contexts in `packed` (of FIRST) of each text."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                raw, found = text.encode(), np.frombuffer(first, FIRST)
+                found = found[(found["hot"] > 0) & (found["start"].astype(np.int64) + found["n"] + SPAN - 1 <= len(raw))]  # else of another row with this doc_id
+                for k in range(0, len(found), 1000):
+                    starts = np.concatenate([np.arange(s, s + n) for s, n in found[["start", "n"]][k : k + 1000].tolist()]).astype(np.int64)
+                    strings = [xxhash.xxh3_128_digest(raw[s : s + SPAN]) for s in starts.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array(np.full(len(starts), doc, np.int64)), pa.array(starts)], ["string", "doc_id", "start"])
+
+    return texts.mapInArrow(per_batch, "string binary, doc_id long, start long")
+
+
+def later_strings(strings: DataFrame) -> DataFrame:
+    """doc_id, start, end of the strings that are equal to an earlier one."""
+    strings = written(strings, "strings")
+    place = F.struct("doc_id", "start")
+    first = strings.groupBy("string").agg(F.min(place).alias("earliest"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    both = salted_left_join(strings, written(first, "earliest"), "string", place)
+    return both.filter(F.col("earliest") < place).select("doc_id", "start", (F.col("start") + SPAN).alias("end"))
+
+
 def sorted_blocks(contexts: DataFrame) -> DataFrame:
     """doc_id, start, end of what repeats within the contexts of one route."""
 
@@ -379,6 +401,8 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     left = written(packed_lists(left, FIRST), "left")
     texts = sized_join(docs, left, ["doc_id"], "inner", payload="packed").select("doc_id", "text", "packed")
     ranges = whole.union(sorted_blocks(context_rows(texts)))
+    if not several.filter(F.col("contexts") > hot).isEmpty():
+        ranges = ranges.union(later_strings(hot_strings(texts)))
     return written(packed_lists(ranges.select("doc_id", F.struct("start", "end").alias("items")), RANGE, join=True), "ranges")
 
 

@@ -120,3 +120,14 @@ def test_texts_beyond_the_place_bits():
     starts = {int(base[o] + s + k) for o, s, m in zip(of[again], start[again], n[again]) for k in range(m)}
     end = len(text) + 300  # runs at the edges of the line have other contexts
     assert {*range(69, 132)} <= starts and {*range(end + 69, end + 132)} <= starts
+
+
+def test_strings_of_hot_anchors_are_not_held_together(spark):
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line = text(130)
+    rows = [(k, text(rnd.randint(0, 150)) + line + text(150)) for k in range(150)]
+    assert compare(spark, rows, hot=20) > 130 * 149
+    items = [np.array([(0, 1, hot, 5)], R.FIRST).tobytes() for hot in (0, 1)]
+    texts = spark.createDataFrame([(k, line, bytearray(x)) for k, x in enumerate(items)], "doc_id long, text string, packed binary")
+    assert [r.doc_id for r in R.context_rows(texts).collect()] == [0]
