@@ -38,6 +38,16 @@ URL_TAIL = ".,;:!?*$%&#"
 CUES = ("account", "acct", "iban", "passport", "konto", "compte", "cuenta", "customer id", "user id")
 ACCOUNT = re.compile(r"(?:\s*+(?:number|no|nr|id)\b\.?)?\s*+[:=#]?\s*+([A-Za-z]{0,4}+[0-9](?:[\x20-]?[A-Za-z0-9])*+)")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{11,30}")
+PART = re.compile(r"[A-Za-z0-9]++")
+NUMBER = re.compile(r"[A-Za-z0-9-]++(?:\x20[0-9]++(?:-[0-9]++)*+(?!-?[A-Za-z]))*+")  # one run, and groups of digits that follow
+LONGEST_ID = 34
+IBAN_LENGTHS = {
+    **dict.fromkeys(("NO",), 15), **dict.fromkeys(("BE",), 16), **dict.fromkeys(("DK", "FO", "FI", "GL", "NL", "SD", "FK"), 18), **dict.fromkeys(("MK", "SI"), 19),
+    **dict.fromkeys(("AT", "BA", "EE", "KZ", "LT", "LU", "XK", "MN"), 20), **dict.fromkeys(("HR", "LV", "LI", "CH"), 21), **dict.fromkeys(("BH", "BG", "CR", "GE", "DE", "IE", "ME", "RS", "GB", "VA"), 22),
+    **dict.fromkeys(("TL", "GI", "IQ", "IL", "AE", "OM", "SO"), 23), **dict.fromkeys(("AD", "CZ", "MD", "PK", "RO", "SA", "SK", "ES", "SE", "TN", "VG"), 24), **dict.fromkeys(("PT", "ST", "LY"), 25), **dict.fromkeys(("IS", "TR"), 26),
+    **dict.fromkeys(("FR", "GR", "IT", "MC", "MR", "SM", "BI", "DJ"), 27), **dict.fromkeys(("AL", "AZ", "BY", "CY", "DO", "GT", "HU", "LB", "NI", "PL", "SV", "HN"), 28), **dict.fromkeys(("BR", "EG", "PS", "QA", "UA"), 29),
+    **dict.fromkeys(("JO", "KW", "MU", "YE"), 30), **dict.fromkeys(("MT", "SC"), 31), "LC": 32, "RU": 33,
+}
 
 
 @cache
@@ -63,17 +73,43 @@ def _iban(value: str) -> bool:
     return bool(IBAN.fullmatch(flat)) and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def _ends(value: str) -> list[tuple[int, int]]:
+    """Letters and digits up to the end of each group, and where it ends, up to LONGEST_ID of them."""
+    out, n = [], 0
+    for m in PART.finditer(value):
+        n += len(m[0])
+        if n > LONGEST_ID:
+            break
+        out.append((n, m.end()))
+    return out
+
+
+def _iban_end(value: str) -> int:
+    """Where an IBAN that value begins with ends; 0 without one. It ends with a group: at its country's length, else the last that fits."""
+    fixed = IBAN_LENGTHS.get(value[:2].upper())
+    return next((end for n, end in reversed(_ends(value)) if n == (fixed or n) and _iban(value[:end])), 0)
+
+
+def _number_end(value: str) -> int:
+    """Where the number that value begins with ends; 0 if it has fewer than five digits or its first run is too long."""
+    run = NUMBER.match(value)[0]
+    first = len(run.partition(" ")[0])
+    end = first if first <= LONGEST_ID else 0
+    for n, e in _ends(run):
+        if e > first and run[e : e + 1] in ("", " "):
+            end = e
+    return end if sum("0" <= c <= "9" for c in run[:end]) >= 5 else 0
+
+
 def _account(text: str, end: int) -> tuple[int, int] | None:
     if end < len(text) and text[end].isalnum() and not text[end].isdigit():
         return None  # the cue is part of a longer word
     m = ACCOUNT.match(text, end)
     if not m:
         return None
-    value = m[1]
-    if _iban(value[:42]):
-        return m.span(1)
-    word = re.match(r"[A-Za-z0-9-]+", value)[0]
-    return (m.start(1), m.start(1) + len(word)) if len(word) <= 34 and sum(c.isdigit() for c in word) >= 5 else None
+    value, start = m[1], m.start(1)
+    size = _iban_end(value) or _number_end(value)
+    return (start, start + size) if size else None
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:

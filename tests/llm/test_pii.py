@@ -67,3 +67,19 @@ def test_nulls_long_texts_and_empty_tables(spark):
     got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [len(r.spans) for r in sorted(got, key=lambda r: len(r.spans))] == [0, 0, 0, 20_000, 25_000]
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_grouped_accounts_before_other_words():
+    def account(text):
+        return [text[s:e] for s, k, e in pii.spans(text) if pii.KINDS[k] == "account"]
+
+    assert account("iban: DE89 3704 0044 0532 0130 00 was used") == ["DE89 3704 0044 0532 0130 00"]
+    assert account("my IBAN GB29 NWBK 6016 1331 9268 19 and then some words") == ["GB29 NWBK 6016 1331 9268 19"]
+    assert account("IBAN DE89370400440532013000 is 5 years old") == ["DE89370400440532013000"]
+    assert account("iban NO93 8601 1117 947 12 days") == ["NO93 8601 1117 947"]
+    assert account("account number 1234 5678 90 was closed") == ["1234 5678 90"]
+    assert account("account 12-34 56-78 90") == ["12-34 56-78 90"]
+    assert account("account 12345678 was closed 3 days ago") == ["12345678"]
+    assert account("account number 1234 was closed") == []
+    assert account("account " + "1" * 35 + " 22222") == []
+    assert account("account " + "1234 " * 20) == [("1234 " * 8).strip()]
