@@ -95,7 +95,7 @@ def first_accepted(rows: DataFrame, per_case: int) -> DataFrame:
     """The first per_case rows of each case by turn, with qid tag-NNN in order of case and turn. rows: only accepted ones."""
     kept = rows.withColumn("made", F.row_number().over(Window.partitionBy("tag", "case_no").orderBy("turn"))).filter(F.col("made") <= per_case)
     seq = F.row_number().over(Window.partitionBy("tag").orderBy("case_no", "made"))
-    return kept.withColumn("qid", F.concat("tag", F.lit("-"), F.lpad(seq.cast("string"), 3, "0"))).drop("made")
+    return kept.withColumn("qid", F.concat("tag", F.lit("-"), F.format_string("%03d", seq))).drop("made")
 
 
 def told_apart(rows: DataFrame, form: tuple[str, str] = ("", " 혐의 사건의 "), by: tuple[str, ...] = ("tag", "question")) -> DataFrame:

@@ -191,3 +191,9 @@ def test_streamed_translations_are_cached_once(spark, tmp_path):
         incremental.translate_arrivals(stream, str(tmp_path / "cache"), str(tmp_path / "cp"), lambda df: df.selectExpr("en", "upper(en) as ko")).awaitTermination()
         spark.createDataFrame([("b",), ("c",)], "body string").write.mode("append").parquet(str(source))
     assert sorted((r.en, r.ko) for r in S.read_cache(spark, str(tmp_path / "cache")).collect()) == [("a", "A"), ("b", "B"), ("c", "C")]
+
+
+def test_numbers_of_questions_beyond_999(spark):
+    rows = spark.range(1005).selectExpr("'t' as tag", "cast(id div 10 as int) as case_no", "cast(id % 10 as int) as turn")
+    got = sorted(r.qid for r in G.first_accepted(rows, 10).collect())
+    assert got == sorted(f"t-{k:03d}" for k in range(1, 1006))
