@@ -6,14 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
-#: A side of at most this many rows may be broadcast; beyond it the join shuffles.
+#: A side of at most this many rows and bytes may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 
@@ -21,18 +24,31 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made for this process where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of this process; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="colloquy-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
     return _own["dir"]
 
 
+def tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/colloquy-{spark.sparkContext.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder. For callers that have saved their results."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Rows of a file when a small table is written that a loop made.
@@ -57,14 +73,24 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS, payload: str | None = None) -> DataFrame:
-    """big joined to a written table: broadcast when its counted rows (and the bytes of a binary column) are few, else a shuffled join that AQE may split."""
-    few = small.limit(limit + 1).count() <= limit
-    if few and payload:
-        few = (small.agg(F.sum(F.length(payload))).first()[0] or 0) <= BROADCAST_BYTES
-    if few:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("merge"), on, how)
+def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a written table may be sent to all tasks, by its counted rows and bytes."""
+    width, parts = 8 * len(df.columns), []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.ArrayType):
+            parts.append(F.size(F.coalesce(F.col(f.name), F.array())) * 8)
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.octet_length(F.coalesce(F.col(f.name), F.lit("").cast(f.dataType))))
+    if not parts:
+        rows = df.count()
+        return rows <= limit and rows * width <= BROADCAST_BYTES
+    rows, more = df.agg(F.count("*"), F.sum(reduce(add, (p.cast("long") for p in parts)))).first()
+    return rows <= limit and rows * width + (more or 0) <= BROADCAST_BYTES
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """big joined to a written table: broadcast when its counted rows and bytes are few, else a shuffled join that AQE may split."""
+    return big.join(F.broadcast(small) if few(small, limit) else small.hint("merge"), on, how)
 
 
 def salted_left_join(big: DataFrame, small: DataFrame, key: str, by: Column, salts: int = 16) -> DataFrame:

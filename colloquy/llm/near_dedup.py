@@ -3,43 +3,51 @@
 A document is the set of its word shingles; documents link when 100 * common >= SIMILAR * all shingles of both, and
 one of each group of linked documents stays. Equal sets are one class. In each of TREES independent trees a class
 walks from the root: at every node one or two places of its MinHash signature are chosen by the node's own random
-bits (1.25 on average, the inverse of the similarity), and the tokens there name the children. Documents at 0.8
-meet in one of twelve trees' nodes after FIRST_STEPS steps with probability 0.9996, and more alike ones oftener. Deeper
-steps choose two places at every node, so that a pair that met goes on to meet with 0.999 at any depth (both figures
-count that all trees draw from the same PLACES). Nodes of one member end. A node whose members are all in one group is done. Shingles that no set of another
-group has bound what a member can share outside its group; members that can't reach the similarity with any leave (this
-loses nothing, and it grows sharper as groups grow). The rest of a small node is compared exhaustively; a large one compares its members with its
-most central one and walks on, one step at a time; what is still large after the last step, or after a step that did
-not make the pairs fewer, is compared exhaustively too, so no size is a cap. Of a pair, the bound and 64 one-bit hashes (a true pair fails with probability below 1e-4)
-are looked at first; then it is confirmed on the full sets.
-
-Groups come from confirmed links by rounds of taking the least neighbour and jumping to its least; only classes
+bits (1.25 on average, the inverse of the similarity), and the tokens there name the children. After FIRST_STEPS steps
+nodes of one member end, and of nodes with equal members one stays. Nodes of more than MEMBERS members walk on (1.5
+places a node) while that makes their pairs fewer.
+
+A node is compared exhaustively in units of about MEMBERS members. First by signature: two members of different
+groups may link if their sizes allow it and AGREE of their PLACES agree. Members that such pairs join are a cluster;
+equal clusters of several nodes are one. Then on the full sets: each cluster's pairs are counted exactly, and what
+comes out is each member's least linked member, so rows grow with members, not with pairs. A node of several units is
+dealt anew once the groups within units are known: blocks of one large group, and blocks of the rest; all pairs of
+blocks are compared but those of one and the same group. So no size is a cap.
+
+What can be lost: pairs that meet in no node, and those whose signatures agree too little; `recall` computes the
+probability of both. Nothing else does: links are confirmed on sets of 64-bit shingle hashes.
+
+Groups come from links by rounds of taking the least neighbour and jumping to its least; only classes
 with links take part, nothing is gathered on the driver.
 
 Defined cases: null and empty texts have an empty set, are linked with nothing and stay; fewer words than a shingle
-make one of all; rows that share a doc_id are one node and share its group; a row without doc_id has no group and
+make one of all; rows that share a doc_id are each compared by their own text; a row without doc_id has no group and
 stays; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, salted_left_join, sized_join, text_of, written
+from .common import few, read_table, salted_left_join, sized_join, text_of, written
 from .words import U, factors, in_slices, mixed, word_hashes
 
 SIMILAR = 80  # percent
 TREES = 12
 PLACES = 64  # of a signature
-FIRST_STEPS = 4
-MORE_STEPS = 16
-SMALL_PAIRS = 1 << 17  # of members in different groups: a node with no more is compared exhaustively at once
-BITS_APART = 16  # of 64, at most
+FIRST_STEPS, FIRST_TWICE = 4, 4  # one node in FIRST_TWICE branches twice
+MORE_STEPS, MORE_TWICE = 16, 2
+MEMBERS = 1024  # of a unit
+AGREE = 32  # places, at least, of a pair that is compared on its sets
+PAIRS = 50_000  # looked at in one go
+SHARED = 4096  # shingles counted in one go
+SEND_BYTES = 8 << 20  # of sets in one batch
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,17 +70,17 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """MinHash values, a row per place; offsets: where each (non-empty) set begins."""
-    return np.stack([np.minimum.reduceat((h * f) >> U(32), offsets).astype(np.uint32) for f in factors(PLACES, 1000)])
+    """16 bits of each MinHash value, a row per place; offsets: where each (non-empty) set begins."""
+    return np.stack([np.minimum.reduceat((h * f) >> U(32), offsets).astype(np.uint16) for f in factors(PLACES, 1000)])
 
 
-def children(keys: np.ndarray, sig: np.ndarray, two: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """From each node (of column k of sig) its children's keys and their columns. two: every node branches twice, at different places."""
+def children(keys: np.ndarray, sig: np.ndarray, twice: int) -> tuple[np.ndarray, np.ndarray]:
+    """From each node (of column k of sig) its children's keys and their columns. One node in `twice` branches at two places."""
     col = np.arange(len(keys))
-    second = col if two else np.flatnonzero((keys >> U(40)) & U(3) == 0)  # else one node in four branches twice
-    other = (keys + U(1) + (keys >> U(16)) % U(PLACES - 1)) if two else keys[second] >> U(16)
-    place = np.concatenate([keys % U(PLACES), other % U(PLACES)])
-    col, up = np.concatenate([col, second]), np.concatenate([keys, keys[second]])
+    second = np.flatnonzero((keys >> U(40)) % U(twice) == 0)
+    place, up = keys % U(PLACES), keys[second]
+    other = (place[second] + U(1) + (up >> U(16)) % U(PLACES - 1)) % U(PLACES)
+    place, col, up = np.concatenate([place, other]), np.concatenate([col, second]), np.concatenate([keys, up])
     token = sig[place.astype(np.int64), col].astype(U)
     return mixed(up * U(0x9E3779B97F4A7C15) + mixed(token + (place << U(32)))), col
 
@@ -82,18 +90,26 @@ def walk(sig: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
     roots = factors(TREES, 77)
     keys, col = np.repeat(roots, sig.shape[1]), np.tile(np.arange(sig.shape[1]), TREES)
     for _ in range(steps):
-        keys, at = children(keys, sig[:, col])
+        keys, at = children(keys, sig[:, col], FIRST_TWICE)
         col = col[at]
     both = np.unique(np.stack([keys, col.astype(U)]), axis=1)
     return both[0], both[1].astype(np.int64)
 
 
-def one_bits(sig: np.ndarray) -> np.ndarray:
-    return ((mixed(sig.astype(U)) & U(1)) << np.arange(PLACES, dtype=U)[:, None]).sum(axis=0, dtype=U)
+def recall(similarity: float, steps: int = FIRST_STEPS) -> float:
+    """Probability that a pair meets in a node after `steps` steps and has AGREE places in common. All trees draw from the same places."""
+    total = 0.0
+    for k in range(AGREE, PLACES + 1):
+        q, meet = k / PLACES, 1.0
+        for step in range(steps):
+            second = 1 / (FIRST_TWICE if step >= steps - FIRST_STEPS else MORE_TWICE)  # from the leaves up
+            meet = (1 - second) * q * meet + second * (1 - (1 - q * meet) ** 2)
+        total += comb(PLACES, k) * similarity**k * (1 - similarity) ** (PLACES - k) * (1 - (1 - meet) ** TREES)
+    return total
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, print (of the set), bits, sig."""
+    """row (a number of its own), doc_id, n_shingles, print (of the set), sig."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,202 +117,273 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 h, text = shingle_sets(texts, n)
                 count = np.bincount(text, minlength=len(texts))
                 full = np.flatnonzero(count)
-                prints, bits, sigs = [None] * len(texts), [None] * len(texts), [None] * len(texts)
+                prints, sigs = [None] * len(texts), [None] * len(texts)
                 if len(full):
-                    offsets = np.append(0, np.cumsum(count[full])[:-1])
-                    sums = np.stack([np.add.reduceat(h, offsets), np.add.reduceat(mixed(h ^ U(0x5851F42D4C957F2D)), offsets)], axis=1)
-                    sig = signatures(h, offsets)
-                    ones = one_bits(sig).astype(np.int64)
+                    offsets = np.cumsum(count[full]) - count[full]
+                    sums, sig = prints_of(h, offsets), signatures(h, offsets)
                     for k, at in enumerate(full.tolist()):
-                        prints[at], bits[at], sigs[at] = sums[k].tobytes(), int(ones[k]), sig[:, k].tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(count, pa.int64()), pa.array(prints, pa.binary()), pa.array(bits, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "print", "bits", "sig"])
+                        prints[at], sigs[at] = sums[k].tobytes(), sig[:, k].tobytes()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(count, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "print", "sig"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(per_batch, "doc_id long, n_shingles long, print binary, sig binary")
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(per_batch, "doc_id long, n_shingles long, print binary, bits long, sig binary")
+
+def prints_of(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits of each set."""
+    return np.stack([np.add.reduceat(h, offsets), np.add.reduceat(mixed(h ^ U(0x5851F42D4C957F2D)), offsets)], axis=1)
 
 
 def first_nodes(classes: DataFrame) -> DataFrame:
-    """node, rep, bits: where every class is after FIRST_STEPS steps."""
+    """node, cls: where every class is after FIRST_STEPS steps."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            reps, bits, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            cls, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
             for at in range(0, len(raw), 5_000):
-                sig = np.frombuffer(b"".join(raw[at : at + 5_000]), np.uint32).reshape(-1, PLACES).T
-                keys, col = walk(sig, FIRST_STEPS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(reps[at + col]), pa.array(bits[at + col])], ["node", "rep", "bits"])
+                keys, col = walk(signature_rows(raw[at : at + 5_000]).T, FIRST_STEPS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(cls[at + col])], ["node", "cls"])
 
-    return classes.select("rep", "bits", "sig").mapInArrow(per_batch, "node long, rep long, bits long")
+    return classes.select("cls", "sig").mapInArrow(per_batch, "node long, cls long")
 
 
 def next_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """One step on from node, rep, bits, to two children: with 1.25 fewer and fewer pairs at 0.8 would meet the deeper the node is."""
+    """One step on from node, cls."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, PLACES).T
-                keys, col = children(b.column(0).to_numpy().view(U), sig, two=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), b.column(1).take(pa.array(col)), b.column(2).take(pa.array(col))], ["node", "rep", "bits"])
-
-    with_sig = classes.select("rep", "sig").join(rows, "rep").select("node", "rep", "bits", "sig")
-    return with_sig.mapInArrow(per_batch, "node long, rep long, bits long").distinct()
-
-
-def sets_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """rep, print, shingles (8 bytes each, in order) of the documents that stand for the classes in reps (rep, print)."""
+                keys, col = children(b.column(0).to_numpy().view(U), signature_rows(b.column(2).to_pylist()).T, MORE_TWICE)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), b.column(1).take(pa.array(col))], ["node", "cls"])
+
+    with_sig = classes.select("cls", "sig").join(rows.select("node", "cls"), "cls").select("node", "cls", "sig")
+    return with_sig.mapInArrow(per_batch, "node long, cls long").distinct()
+
+
+def signature_rows(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint16).reshape(-1, PLACES)
+
+
+def crowded(rows: DataFrame) -> DataFrame:
+    """node, cls, size (members) of nodes of two members and more; of nodes with equal members (by 128 bits) one."""
+    members = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"members_{k}") for k in (1, 2)]
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), *members).filter("size > 1")
+    nodes = nodes.groupBy("size", "members_1", "members_2").agg(F.min("node").alias("node"))
+    return written(sized_join(rows, written(nodes.select("node", "size"), "sizes"), ["node"], "inner").select("node", "cls", "size"), "nodes")
+
+
+def all_nodes(classes: DataFrame) -> DataFrame:
+    """node, cls, size of the nodes to compare: large ones walk on while their pairs get fewer."""
+    rows = crowded(written(first_nodes(classes), "first-nodes"))
+    for _ in range(MORE_STEPS):
+        large = rows.filter(F.col("size") > MEMBERS)
+        pairs = large.agg(F.sum(F.col("size").cast("double") - 1)).first()[0]
+        if not pairs:
+            break
+        deeper = crowded(written(next_nodes(large, classes), "next-nodes"))
+        if (deeper.agg(F.sum(F.col("size").cast("double") - 1)).first()[0] or 0) >= pairs:
+            break
+        rows = written(rows.filter(F.col("size") <= MEMBERS).union(deeper), "nodes")
+    return rows
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches in order of their first column."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            key = b.column(0).to_numpy()
+            if held and held[-1].column(0)[-1].as_py() != key[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            cut = int(np.count_nonzero(key != key[-1]))
+            if cut:
+                yield pa.Table.from_batches([*held, b.slice(0, cut)])
+                held = []
+            held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def joined(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """labels (each the least place of its group) with the groups of i and j made one."""
+    while True:
+        low = np.minimum(labels[i], labels[j])
+        new = labels.copy()
+        np.minimum.at(new, labels[i], low)
+        np.minimum.at(new, labels[j], low)
+        new = new[new]
+        if (new == labels).all():
+            return new
+        labels = new
+
+
+def likely_clusters(unit: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in order of unit) that may link with another group's in their unit, and the least place of what such pairs join."""
+    size = len(unit)
+    ends = np.searchsorted(unit, unit, side="right")
+    pairs = np.append(0, np.cumsum(ends - np.arange(size) - 1))
+    labels, at = np.arange(size), 0
+    while at < size:
+        to = max(at + 1, int(np.searchsorted(pairs, pairs[at] + PAIRS, side="right")) - 1)
+        i = np.repeat(np.arange(at, to), pairs[at + 1 : to + 1] - pairs[at:to])
+        j = i + 1 + np.arange(pairs[to] - pairs[at]) - (pairs[i] - pairs[at])
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        may = (comp[i] != comp[j]) & (100 * low >= SIMILAR * high)
+        i, j = i[may], j[may]
+        may = np.count_nonzero(sig[i] == sig[j], axis=1) >= AGREE
+        labels, at = joined(labels, i[may], j[may]), to
+    used = np.flatnonzero(np.bincount(labels, minlength=size)[labels] > 1)
+    return used, labels[used]
+
+
+def clusters(units: DataFrame, classes: DataFrame) -> DataFrame:
+    """cluster, cls of members of units (unit, cls, comp) that may link with another group. A cluster's number comes from its members."""
+
+    def per_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            unit, cls, comp, n = (t.column(k).to_numpy() for k in range(4))
+            used, label = likely_clusters(unit, comp, n, signature_rows(t.column(4).to_pylist()))
+            if len(used):
+                number = np.zeros(len(unit), U)
+                np.add.at(number, label, mixed(cls[used].astype(U) + U(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(number[label]).astype(np.int64)), pa.array(cls[used])], ["cluster", "cls"])
+
+    rows = sized_join(classes.select("cls", "n", "sig"), written(units, "units"), ["cls"], "inner").select("unit", "cls", "comp", "n", "sig")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(per_group, "cluster long, cls long")
+
+
+def with_sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """cluster, cls, shingles (8 bytes each, in order). rows: rep, print, cls, clusters; a document stands for its class if its print is the class's."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cluster", "cls", "shingles"]
         for b in batches:
-            for first, texts in in_slices(b.column(1).to_pylist()):
+            for first, texts in in_slices(b.column(0).to_pylist()):
                 h, text = shingle_sets(texts, n)
                 ends = np.cumsum(np.bincount(text, minlength=len(texts)))
-                raw = h.tobytes()
-                sets = [raw[8 * i : 8 * j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(sets, pa.binary())], ["rep", "shingles"])
+                raw, begin, size, out = h.tobytes(), 0, 0, ([], [], [])
+                for k, end in enumerate(ends.tolist()):
+                    if end > begin and prints_of(h[begin:end], np.zeros(1, np.int64)).tobytes() == b.column(1)[first + k].as_py():
+                        for c in b.column(3)[first + k].as_py():
+                            for column, value in zip(out, (c, b.column(2)[first + k].as_py(), raw[8 * begin : 8 * end]), strict=True):
+                                column.append(value)
+                            size += 8 * (end - begin)
+                            if size > SEND_BYTES:
+                                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names)
+                                size, out = 0, ([], [], [])
+                    begin = end
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text"))
-    return sized_join(texts, reps, ["rep"], "left_semi").mapInArrow(per_batch, "rep long, shingles binary").dropDuplicates(["rep"])
-
-
-def facts_of(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """rep, n (shingles), own (those found in no set of another group) of members (rep, comp)."""
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            reps, comps = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for first in range(0, b.num_rows, 500):
-                raw = b.column(2).slice(first, 500).to_pylist()
-                sizes = [len(x) // 8 for x in raw]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps[first : first + 500], sizes)), pa.array(np.repeat(comps[first : first + 500], sizes)), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["rep", "comp", "shingle"])
-
-    rows = sized_join(sets, members, ["rep"], "inner").select("rep", "comp", "shingles").mapInArrow(per_batch, "rep long, comp long, shingle long")
-    w = Window.partitionBy("shingle")
-    alone = F.min("comp").over(w) == F.max("comp").over(w)
-    return rows.withColumn("alone", alone).groupBy("rep").agg(F.count("*").alias("n"), F.count_if("alone").alias("own"))
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link by their full sets."""
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, U), np.frombuffer(y, U)]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= SIMILAR * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    got = pairs.join(sets.withColumnRenamed("rep", "a").withColumnRenamed("shingles", "x"), "a")
-    got = got.join(sets.withColumnRenamed("rep", "b").withColumnRenamed("shingles", "y"), "b")
-    return written(got.select("a", "b", "x", "y").mapInArrow(per_batch, "a long, b long"), "links")
+    return sized_join(texts, rows, ["rep"], "inner").select("text", "print", "cls", "clusters").mapInArrow(per_batch, "cluster long, cls long, shingles binary")
+
+
+def linked(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the least place among those that links join it to. Common shingles are counted by products of blocks of the sets' incidence."""
+    m, n = len(sets), np.array([len(x) for x in sets], np.float64)
+    member = np.repeat(np.arange(m), n.astype(np.int64))
+    _, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    member, at = member[df[at] > 1], at[df[at] > 1]
+    order = np.argsort(at, kind="stable")
+    member, at = member[order], np.cumsum(np.append(0, np.diff(at[order]) != 0))[: len(order)]
+    common = np.zeros((m, m))
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, SHARED):
+        low, high = np.searchsorted(at, [first, first + SHARED])
+        block = np.zeros((m, min(SHARED, int(at[-1]) + 1 - first)), np.float32)
+        block[member[low:high], at[low:high] - first] = 1
+        common += block @ block.T
+    i, j = np.nonzero(np.triu(100 * common >= SIMILAR * (n[:, None] + n[None, :] - common), 1))
+    return joined(np.arange(m), i, j)
+
+
+def confirmed(rows: DataFrame) -> DataFrame:
+    """cls, low: the least class that links within a cluster join each class to, if it is another."""
+
+    def per_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            cluster, cls, raw = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2)
+            edges = [*np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])).tolist(), len(cluster)]
+            for first, end in zip(edges, edges[1:]):
+                order = first + np.argsort(cls[first:end], kind="stable")
+                lows = linked([np.frombuffer(raw[int(k)].as_buffer(), U) for k in order])
+                a, b = cls[order], cls[order[lows]]
+                if (a != b).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["cls", "low"])
+
+    return rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(per_group, "cls long, low long").distinct()
+
+
+def links_of(docs: DataFrame, classes: DataFrame, units: DataFrame, n: int) -> DataFrame:
+    """cls, low: links that the units (unit, cls, comp) hold between different groups, by the least class they join each to."""
+    found = clusters(units, classes).groupBy("cls").agg(F.collect_set("cluster").alias("clusters"))
+    rows = sized_join(classes.select("cls", "rep", "print"), written(found, "clusters"), ["cls"], "inner")
+    return written(confirmed(with_sets(docs, written(rows.select("rep", "print", "cls", "clusters"), "compared"), n)), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """rep, comp (the least rep that can be reached) of every end of a link."""
-    n = links.count() * 2
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges", n)
-    state = written(both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("m")).select("rep", F.least("rep", "m").alias("comp")), "components", n)
+    """cls, comp (the least class that can be reached) of every end of a link."""
+    both = written(links.select(F.col("cls").alias("a"), F.col("low").alias("b")).union(links.select("low", "cls")).distinct(), "edges")
+    state = written(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("m")).select("cls", F.least("cls", "m").alias("comp")), "components")
+    small = few(both)
+    side = F.broadcast if small else (lambda df: df.hint("merge"))
     while True:
-        near = sized_join(both.withColumnRenamed("b", "rep"), state, ["rep"], "inner").groupBy(F.col("a").alias("rep")).agg(F.min("comp").alias("near"))
-        low = state.join(near, "rep").select("rep", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = state.select(F.col("rep").alias("comp"), F.col("comp").alias("far"))
-        new = written(sized_join(low, jump, ["comp"], "left").select("rep", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "components", n)
-        done = new.filter("old <> comp").isEmpty()
-        state = new.select("rep", "comp")
-        if done:
+        near = both.join(side(state.withColumnRenamed("cls", "b")), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
+        low = near.join(side(state), "cls").select("cls", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        jump = state.select(F.col("cls").alias("comp"), F.col("comp").alias("far"))
+        new = low.join(side(jump), "comp", "left").select("cls", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp"))
+        new = written(new.coalesce(4) if small else new, "components")
+        state = new.select("cls", "comp")
+        if new.filter("old <> comp").isEmpty():
             return state
 
 
-def with_partners(rows: DataFrame) -> DataFrame:
-    """rows (node, rep, ...) without members that can't be linked to another group: shingles of its own group are in no set outside it,
-    so a member shares at most n - own, with a set of no fewer than the least n of its node."""
-    least = rows.groupBy("node").agg(F.min("n").alias("least_n"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    most = F.col("n") - F.col("own")
-    return rows.join(least, "node").filter(100 * most >= SIMILAR * (F.col("own") + F.greatest(most, "least_n"))).drop("least_n")
-
-
-def may_link(x: str, y: str) -> Column:
-    """By one-bit hashes and by what both sets can share at most."""
-    most = F.least(F.col(f"n{x}") - F.col(f"own{x}"), F.col(f"n{y}") - F.col(f"own{y}"))
-    bits = F.bit_count(F.col(f"bits{x}").bitwiseXOR(F.col(f"bits{y}"))) <= BITS_APART
-    return bits & (100 * most >= SIMILAR * (F.col(f"n{x}") + F.col(f"n{y}") - most))
-
-
-def to_centre(rows: DataFrame) -> DataFrame:
-    """a, b: each member with the member of its node that has the fewest shingles of its own (the least edited one)."""
-    centre = F.min(F.struct("own", "rep", "n", "bits")).alias("c")
-    both = rows.join(rows.groupBy("node").agg(centre), "node").select("rep", "n", "own", "bits", *[F.col(f"c.{k}").alias(f"{k}_c") for k in ("rep", "n", "own", "bits")])
-    both = both.filter((F.col("rep") != F.col("rep_c")) & may_link("", "_c"))
-    return both.select(F.least("rep", "rep_c").alias("a"), F.greatest("rep", "rep_c").alias("b"), F.col("rep").alias("member"), F.struct("own_c", "rep_c").alias("centre"))
+def units_of(nodes: DataFrame) -> DataFrame:
+    """unit, cls, comp: nodes in parts of about MEMBERS members."""
+    part = F.pmod(F.xxhash64("cls", "node"), F.ceil(F.col("size") / MEMBERS))
+    return nodes.select(F.xxhash64("node", part).alias("unit"), "cls", F.col("cls").alias("comp"))
 
 
-def open_nodes(rows: DataFrame) -> DataFrame:
-    """rows (node, comp, ...) of nodes with members of different groups, and how many pairs those make."""
-    size = F.sum("m").cast("double")
-    left = rows.groupBy("node", "comp").agg(F.count("*").alias("m")).groupBy("node").agg(((size * size - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).filter("pairs > 0")
-    return rows.join(left, "node")
+def units_across(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """unit, cls, comp: two blocks of a node each. A group of more than half a unit has blocks of its own, which are not compared with one another."""
+    half = MEMBERS // 2
+    rows = written(sized_join(nodes.select("node", "cls"), groups, ["cls"], "left").select("node", "cls", F.coalesce("comp", "cls").alias("comp")), "grouped")
+    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("m")).withColumn("own", F.col("m") > half)
+    rest = sizes.groupBy("node").agg(F.count("*").alias("groups"), F.sum(F.when(~F.col("own"), F.col("m"))).alias("rest")).filter("groups > 1")
+    dealt = sizes.join(rest, "node").select("node", "comp", F.when(F.col("own"), F.col("comp")).alias("owner"), F.ceil(F.when(F.col("own"), F.col("m")).otherwise(F.col("rest")) / half).alias("parts"))
+    block = F.xxhash64("node", "owner", F.pmod(F.xxhash64("cls", "node"), F.col("parts")))
+    rows = written(sized_join(rows, written(dealt, "dealt"), ["node", "comp"], "inner").select("node", "cls", "comp", "owner", block.alias("block")), "blocks")
+    x, y = (rows.select("node", F.col("owner").alias(f"owner_{s}"), F.col("block").alias(s)).distinct() for s in "xy")
+    pairs = x.join(y, "node").filter((F.col("x") <= F.col("y")) & (F.col("owner_x").isNull() | ~F.col("owner_x").eqNullSafe(F.col("owner_y"))))
+    pairs = pairs.select(F.xxhash64("x", "y").alias("unit"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return sized_join(rows, written(pairs, "units"), ["block"], "inner").select("unit", "cls", "comp")
 
 
 def near_groups(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """rep, comp of classes that are linked."""
-    rows = written(first_nodes(classes), "nodes")
-    many = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").select("node")
-    rows = written(rows.join(many, "node"), "nodes")
-    sets = written(sets_of(docs, written(rows.select("rep").distinct(), "reps"), n), "sets")
-    links = tried = docs.sparkSession.createDataFrame([], "a long, b long")
-    groups = docs.sparkSession.createDataFrame([], "rep long, comp long")
-    before = None  # pairs of the nodes that the last step walked on from
-    for step in range(MORE_STEPS + 1):
-        n_rows = rows.count()
-        grouped = sized_join(rows, groups, ["rep"], "left").withColumn("comp", F.coalesce("comp", "rep"))
-        live = written(open_nodes(grouped).drop("pairs"), "live", n_rows)
-        if live.isEmpty():
-            return groups
-        facts = written(facts_of(sets, written(live.select("rep", "comp").distinct(), "members", n_rows)), "facts", n_rows)
-        live = written(open_nodes(with_partners(sized_join(live, facts, ["rep"], "inner"))), "live", n_rows)
-        if live.isEmpty():
-            return groups
-        if step == 0:  # first every class to one other, the best centre of all its nodes
-            pairs, large = to_centre(live).groupBy("member").agg(F.min(F.struct("centre", "a", "b")).alias("m")).select("m.a", "m.b"), None
-        else:
-            total = live.select("node", "pairs").distinct().agg(F.sum(F.when(F.col("pairs") > SMALL_PAIRS, F.col("pairs")))).first()[0]
-            last = step == MORE_STEPS or bool(before and total and total >= before)
-            small = live if last else live.filter(F.col("pairs") <= SMALL_PAIRS)
-            x, y = (small.select("node", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "bits", "comp", "n", "own")]) for s in "xy")
-            pairs = x.join(y, (x.node == y.node) & (F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & may_link("_x", "_y"))
-            large = live.filter(F.lit(not last) & (F.col("pairs") > SMALL_PAIRS))
-            if step == 1:  # then the likeliest pair of each two groups; what that joins need not be compared
-                both = F.struct(F.least("comp_x", "comp_y"), F.greatest("comp_x", "comp_y")).alias("groups")
-                pairs = pairs.groupBy(both).agg(F.min(F.struct(F.col("own_x") + F.col("own_y"), F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))).alias("m")).select("m.a", "m.b")
-            else:
-                pairs = pairs.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-            pairs = pairs.union(to_centre(large).select("a", "b"))
-            if step == 1:
-                large = None  # the same nodes again
-        fresh = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", n_rows)
-        if not fresh.isEmpty():
-            links, tried = links.union(confirmed(fresh, sets)), tried.union(fresh)
-            groups = components(links)
-        if large is not None:
-            if large.isEmpty():
-                return groups
-            before = total
-            rows = written(next_nodes(large.select("node", "rep", "bits"), classes), "nodes", 2 * n_rows)
-    return groups
+    """cls, comp of classes (cls, rep, print, n, sig) that are linked."""
+    nodes = all_nodes(classes)
+    links = links_of(docs, classes, units_of(nodes), n)
+    groups = components(links)
+    large = nodes.filter(F.col("size") > MEMBERS)
+    if large.isEmpty():
+        return groups
+    return components(links.union(links_of(docs, classes, units_across(large, groups), n)))
 
 
 def near_dedup(docs: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document. n: words of a shingle."""
     sk = written(sketches(docs, n), "sketches")
-    same = sk.filter("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    same = written(same, "classes")
-    reps = sk.select(F.col("doc_id").alias("rep"), "print", "bits", "sig").join(same.select("rep", "print"), ["rep", "print"]).dropDuplicates(["rep"])
-    groups = near_groups(docs, written(reps.select("rep", "bits", "sig"), "reps"), n)
-    comp = same.join(groups, "rep", "left").select("print", F.coalesce("comp", "rep").alias("comp"), "rows")
-    many = comp.join(groups.groupBy("comp").agg(F.count("*").alias("classes")), "comp", "left").filter("rows > 1 or classes > 1")
-    out = salted_left_join(sk.select("doc_id", "n_shingles", "print"), many.select("print", "comp"), "print", F.col("doc_id"))
-    comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    classes = sk.filter("print is not null and doc_id is not null").groupBy("print").agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"))
+    classes = written(classes, "classes")
+    groups = near_groups(docs, classes, n)
+    named = sized_join(classes.select("cls", "rep", "print"), groups, ["cls"], "inner")
+    named = written(named.select("comp", "rep", "print"), "named")
+    least = written(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
+    alone = sized_join(classes.filter("rows > 1"), groups, ["cls"], "left_anti").select("print", F.col("rep").alias("component_id"))
+    many = sized_join(named, least, ["comp"], "inner").select("print", "component_id").union(alone)
+    out = salted_left_join(sk.select("doc_id", "n_shingles", "print"), many, "print", F.col("doc_id"))
+    comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.col("doc_id").eqNullSafe(comp_id).alias("kept"))
 
 

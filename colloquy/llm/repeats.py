@@ -399,7 +399,7 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     whole = known.filter(later).select("doc_id", "start", (F.col("start") + F.col("n") + (SPAN - 1)).alias("end"))
     left = known.filter(~later & F.col("contexts").isNotNull()).select("doc_id", F.struct("start", "n", "anchor", (F.col("contexts") > hot).alias("hot")).alias("items"))
     left = written(packed_lists(left, FIRST), "left")
-    texts = sized_join(docs, left, ["doc_id"], "inner", payload="packed").select("doc_id", "text", "packed")
+    texts = sized_join(docs, left, ["doc_id"], "inner").select("doc_id", "text", "packed")
     ranges = whole.union(sorted_blocks(context_rows(texts)))
     if not several.filter(F.col("contexts") > hot).isEmpty():
         ranges = ranges.union(later_strings(hot_strings(texts)))
@@ -436,7 +436,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), text_of().alias("text"))
-    got = sized_join(rows, repeated_ranges(rows, hot), ["doc_id"], "left", payload="packed").select("doc_id", "text", "packed")
+    got = sized_join(rows, repeated_ranges(rows, hot), ["doc_id"], "left").select("doc_id", "text", "packed")
     out = got.mapInArrow(per_batch, "doc_id long, n_bytes long, removed array<struct<start long, end long>>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_DOC, F.col("doc_id")))
 

@@ -66,11 +66,45 @@ def test_groups_match_brute_force(spark):
     compare(spark, rows, 2)
 
 
-def test_large_groups_beyond_one_node(spark, monkeypatch):
-    monkeypatch.setattr(N, "SMALL_PAIRS", 6)
+def test_nodes_of_several_units(spark, monkeypatch):
+    monkeypatch.setattr(N, "MEMBERS", 6)
     compare(spark, families(2, 300, [1] * 20 + [80, 40], edits=8, length=60), 5)
 
 
+def test_sets_counted_in_several_blocks(monkeypatch):
+    monkeypatch.setattr(N, "SHARED", 7)
+    rows = families(4, 200, [1, 1, 2, 5, 12], edits=6, length=40)
+    h, text = N.shingle_sets([t.encode() for _, t in rows], 2)
+    lows = N.linked([h[text == k] for k in range(len(rows))])
+    want = brute([(k, t) for k, (_, t) in enumerate(rows)], 2)
+    assert {k: int(v) for k, v in enumerate(lows)} == {k: root for k, (_, root) in want.items()}
+
+
+def test_a_family_of_5000(spark):
+    rnd = random.Random(8)
+    vocab = [f"v{k}" for k in range(500)]
+    base = [rnd.choice(vocab) for _ in range(80)]
+    rows = []
+    for k in range(5000):
+        text = list(base)
+        for _ in range(rnd.randint(0, 12)):
+            text[rnd.randrange(80)] = rnd.choice(vocab)
+        rows.append((k, " ".join(text)))
+    got = {r.doc_id: r.component_id for r in N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    h, text = N.shingle_sets([t.encode() for _, t in rows], 2)
+    lows = N.linked(np.split(h, np.cumsum(np.bincount(text))[:-1]))
+    same = sum(got[k] == int(low) for k, low in enumerate(lows))
+    assert same == len(rows) and len(set(got.values())) > 1
+
+
+def test_very_long_and_repeated_texts(spark):
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(20_000)}" for _ in range(300_000)]
+    other = [w if rnd.random() > 0.02 else "new" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "same " * 200_000), (4, "same " * 10), (5, "x" * 3_000_000)]
+    compare(spark, rows, 2)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     schema = "doc_id long, text string, n_shingles int"
     got = N.near_dedup(spark.createDataFrame([(3, "a b c", 1), (3, "a b c", 1), (2, "A b c", 1), (None, "a b c", 1), (5, "q", 0)], schema)).collect()
@@ -78,13 +112,14 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert N.near_dedup(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_pairs_meet_at_any_depth(spark):
-    rnd, pairs = np.random.default_rng(5), 500
-    a = rnd.integers(0, 1 << 32, (pairs, N.PLACES), dtype=np.uint32)
-    b = np.where(rnd.random(a.shape) < 0.8, a, rnd.integers(0, 1 << 32, a.shape, dtype=np.uint32))
-    classes = spark.createDataFrame([(k, 0, bytearray(x.tobytes())) for k, x in enumerate(np.concatenate([a, b]))], "rep long, bits long, sig binary")
+def test_pairs_meet_as_often_as_computed(spark):
+    rnd, pairs = np.random.default_rng(5), 1000
+    a = rnd.integers(0, 1 << 16, (pairs, N.PLACES), dtype=np.uint16)
+    b = np.where(rnd.random(a.shape) < 0.8, a, rnd.integers(0, 1 << 16, a.shape, dtype=np.uint16))
+    classes = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(np.concatenate([a, b]))], "cls long, sig binary")
     nodes = N.first_nodes(classes)
-    for _ in range(6):
+    for steps in range(N.FIRST_STEPS, N.FIRST_STEPS + 5):
+        both = nodes.selectExpr("node", f"cls % {pairs} as pair").groupBy("node", "pair").count().filter("count > 1")
+        assert both.select("pair").distinct().count() / pairs >= N.recall(0.8, steps) - 0.01
         nodes = N.next_nodes(nodes, classes)
-    both = nodes.selectExpr("node", f"rep % {pairs} as pair").groupBy("node", "pair").count().filter("count > 1")
-    assert both.select("pair").distinct().count() >= 0.995 * pairs
+    assert N.recall(0.8) > 0.999 and N.recall(0.85) > 0.9999
