@@ -29,6 +29,7 @@ GEAR = 16  # bytes that decide about a cut
 MEAN = 1024  # bytes between cuts, as a power of two
 LONGEST = 16 * MEAN  # where nothing cuts, as in runs of one byte
 ODD = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier
+NO_DOC = -(2**63)  # stands for a null doc_id where texts are looked up
 
 
 def cut_points(data: np.ndarray, mean: int = MEAN) -> np.ndarray:
@@ -89,8 +90,9 @@ def exact_dedup(docs: DataFrame, mean: int = MEAN, id_bytes: int = 16) -> DataFr
     again = rec.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1 and length(recipe) > 0").select("recipe")
     again = written(again, "again")
     # Verify: bytes under one identifier, of every text whose recipe occurs again.
-    wanted = written(sized_join(rec, again, ["recipe"], "left_semi").select("doc_id", "text_sha256").distinct(), "wanted")
-    texts = sized_join(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), wanted, ["doc_id"], "inner").filter(F.sha2("text", 256) == F.col("text_sha256"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc")
+    wanted = written(sized_join(rec, again, ["recipe"], "left_semi").select(doc, "text_sha256").distinct(), "wanted")
+    texts = sized_join(docs.select(doc, text_of().alias("text")), wanted, ["doc"], "inner").filter(F.sha2("text", 256) == F.col("text_sha256"))
     distinct = chunk_rows(texts, mean, id_bytes).groupBy("id", "chunk").agg(F.lit(1).alias("one"))
     shared = written(distinct.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("chunk")) - 1).filter("rank > 0").select("id", "chunk", "rank"), "ranks")
     if shared.isEmpty():
