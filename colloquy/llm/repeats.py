@@ -15,8 +15,9 @@ with one anchor form a run of at most 69, and the bytes its strings cover, 168 a
    shuffle, and the others are marked by a salted join, so that no task holds all copies of one string.
 4. Ranges meet their documents and are cut out.
 
-The anchors, a document's contexts and its ranges go to the tasks only if their counted rows and bytes are few;
-beyond that the same joins shuffle.
+A document's contexts and its ranges go to the tasks only if their counted rows and bytes are few; beyond that the
+same joins shuffle. Whole contexts are equal by 128 bits of hash: among 10^13 runs any two different ones are mixed up
+with a probability below 10^-12.
 
 Defined cases: null and empty texts have no bytes; texts below SPAN bytes lose nothing; a null doc_id comes before
 all others; rows that share a doc_id stand at the same place, so that neither removes the other's bytes; an empty
@@ -30,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +43,6 @@ PIECE = 1 << 22  # bytes of a text looked at together
 PLACE_BITS = 24  # of a place among the bytes looked at together, 2 * PIECE at most; the rest of 64 is hash
 BLOCK = 1_200_000  # bytes of contexts sorted together
 HOT = 10_000
-ANCHORS_SENT = 4_000_000  # 8 bytes each: sent to the tasks at most
 NO_DOC = -(2**63)
 
 ROUNDS = GRAM.bit_length() - 1
@@ -133,8 +132,8 @@ FIRST = np.dtype([("start", "<i4"), ("n", "u1"), ("hot", "u1"), ("anchor", "<i8"
 RANGE = np.dtype([("start", "<i4"), ("end", "<i4")])
 
 
-def run_rows(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
-    """doc_id, start, n (starts), anchor, context, again (the context came before in the document); of wanted (sorted) anchors if given."""
+def run_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, start, n (starts), anchor, context, again (the context came before in the document)."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,11 +142,6 @@ def run_rows(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
                 cut = [(first + k, base, part) for k, t in enumerate(texts) for base, part in pieces(t)]
                 doc, base = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
                 of, start, n, anchor, context = runs_in_turn([c[2] for c in cut])
-                if wanted is not None:
-                    keys = anchor.astype(np.int64)
-                    at = np.minimum(np.searchsorted(wanted.value, keys), max(0, len(wanted.value) - 1))
-                    keep = np.flatnonzero(wanted.value[at] == keys) if len(wanted.value) else np.zeros(0, np.int64)
-                    of, start, n, anchor, context = (x[keep] for x in (of, start, n, anchor, context))
                 row = doc[of]
                 key = mixed(anchor) ^ context
                 order = np.lexsort((key, row))
@@ -382,10 +376,7 @@ def packed_lists(rows: DataFrame, kind: np.dtype, join: bool = False) -> DataFra
 def shared_runs(docs: DataFrame) -> DataFrame:
     """Runs whose anchor occurs in other runs too."""
     anchors = written(run_rows(docs).groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor"), "anchors")
-    if anchors.limit(ANCHORS_SENT + 1).count() > ANCHORS_SENT:
-        return run_rows(docs).join(anchors.hint("merge"), "anchor", "left_semi")
-    keys = np.sort(anchors.toArrow().column("anchor").to_numpy())
-    return run_rows(docs, docs.sparkSession.sparkContext.broadcast(keys))
+    return run_rows(docs).join(anchors.hint("merge"), "anchor", "left_semi")
 
 
 def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:

@@ -69,8 +69,7 @@ def test_hot_anchors_are_dealt_by_string(spark):
     assert compare(spark, corpus(2), hot=2) > 5000
 
 
-def test_anchors_beyond_what_is_sent(spark, monkeypatch):
-    monkeypatch.setattr(R, "ANCHORS_SENT", 3)
+def test_contexts_and_ranges_beyond_what_is_sent(spark, monkeypatch):
     monkeypatch.setattr("colloquy.llm.common.BROADCAST_BYTES", 10)
     assert compare(spark, corpus(3)) > 5000
 
