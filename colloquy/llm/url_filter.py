@@ -1,9 +1,11 @@
 """URL filter: rules first, then logistic regression on hashed character n-grams (operator 5).
 
 Host and path are cut out and rules matched with column functions. What no rule fits goes to a logistic regression
-on 3- to 5-grams of host and path, hashed to a fixed number of weights. It is fitted on a small labelled URL table:
-a few seed URLs and at most LABELLED_ROWS of the URLs that a rule decides, taken by the order of their hash, so that
-reruns agree. The weights (128 KB, whatever the input) go to the tasks; scoring is one pass without a shuffle.
+on 3- to 5-grams of host and path, hashed to a fixed number of weights. It is fitted on a small labelled URL table
+(`seeds`, or one that the caller gives), never on the pages themselves, so a verdict does not depend on what else is
+judged. In `seeds` every host, ordinary or not, stands with the same paths, prefixes and endings, so that only the
+host's own words can tell the classes apart. The weights (512 KB, whatever the input) go to the tasks; scoring is one
+pass without a shuffle.
 
 Defined cases: a null URL or one without "://" has empty host and path and is scored as such; an empty path starts
 with no rule's path; repeated rows are judged alike; an empty table gives no rows, as does one column of nulls give
@@ -21,22 +23,44 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-# The rules of the query (host and path, verdict) and the seed table (host and path, 1: block).
+# The rules of the query (host and path, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-SEEDS = (
-    ("www.casino-royal.site/en/12", 1), ("best-casino.net/en/4", 1), ("online-casino.top/es/77", 1), ("free-bets.info/en/8", 1), ("sport-bets.net/en/10", 1),
-    ("cheap-pills.shop/en/3", 1), ("buy-pills.net/es/9", 1), ("cheap-meds.top/en/31", 1), ("adult-cams.net/en/55", 1), ("xxx-video.site/en/6", 1),
-    ("win-money.top/en/11", 1), ("poker-win.net/en/21", 1), ("free-loans.info/en/1", 1), ("replica-watches.shop/es/3", 1),
-    ("blog.science.net/en/12", 0), ("www.cityguide.net/es/4", 0), ("m.weather.info/en/77", 0), ("news.daily.net/en/8", 0), ("www.recipes.info/en/10", 0),
-    ("library.net/en/3", 0), ("m.museum.info/es/9", 0), ("www.gardening.net/en/31", 0), ("travelnotes.net/en/55", 0), ("blog.history.info/en/6", 0),
-    ("www.homework.net/en/11", 0), ("forum.music.info/en/21", 0), ("www.bicycles.net/en/1", 0), ("books.info/es/3", 0),
-)
-
-WEIGHTS = 1 << 14
+
+# Words that the labelled table's hosts are made of.
+BAD = "casino poker slots roulette jackpot lottery blackjack betting bets bookie pills pharma meds viagra tablets steroids adult porn xxx sex cams escort nude hookup loans payday forex replica counterfeit warez crack keygen torrent spam linkfarm ads adserver tracker track popup banner clicks phishing malware".split()
+BAIT = "cheap free best top online buy win mega super hot easy fast live vip max cash bonus club farm royal".split()
+GOOD = "science garden museum library weather history music books recipes travel school university homework bicycle cityguide news daily journal review kitchen photo nature birds river mountain council church hospital theatre festival football chess archive forum wiki docs code linux maps radio art design craft wood family village market bakery farm winter window trackway essex middlesex address adsorption shop store club online best free top bank insurance hotel bookshop pharmacy clinic".split()
+SYLLABLES = "an ar be bel da del do en er es fa fen ga gen ha hel in is jo ka kel la len lo ma mer mo na nes no or pa per ra rin ro sa sen st ta ter th the ti tion ul va ven wa wen".split()
+PREFIXES = ("", "www.", "m.", "blog.")
+ENDINGS = ("com", "net", "org", "info", "shop", "top", "site", "example.com", "example.net")
+PATHS = ("", "/", "/en/1", "/es/2", "/fr/3", "/de/4.html", "/en/5/", "/es/6.html", "/index.html", "/news/7")
+NAMES = 800  # made-up hosts of syllables
+
+WEIGHTS = 1 << 16
 GRAMS = (3, 4, 5)
-LABELLED_ROWS = 5_000
-STEPS = 150
-DECAY = 1e-3
+STEPS = 200
+RATE = 30.0
+DECAY = 1e-4
+
+
+def seeds() -> list[tuple[str, str, int]]:
+    """The labelled URL table: host, path, 1 to block. Each bad word alone and with three of BAIT, each good word alone and with
+    another, both with a syllable before or behind, and made-up names; all with every path."""
+    names = [(w, 1) for w in BAD]
+    for k, w in enumerate(BAD):
+        for j in range(3):
+            bait = BAIT[(3 * k + 7 * j) % len(BAIT)]
+            names.append((f"{bait}-{w}" if (k + j) % 3 == 0 else f"{w}-{bait}" if (k + j) % 3 == 1 else bait + w, 1))
+    names += [(w, 0) for w in GOOD] + [(f"{w}-{GOOD[(5 * k + 11) % len(GOOD)]}", 0) for k, w in enumerate(GOOD)]
+    n = len(SYLLABLES)
+    for words, y in ((BAD, 1), (GOOD, 0)):
+        for k, w in enumerate(words):
+            names += [(w + SYLLABLES[(3 * k + 1) % n], y), (SYLLABLES[(5 * k + 2) % n] + w, y)]
+    for k in range(NAMES):
+        x = k * 7919 + 13
+        names.append(("".join(SYLLABLES[x // n**j % n] for j in range(2 + k % 2)), 0))
+    hosts = [(f"{PREFIXES[k % len(PREFIXES)]}{w}.{ENDINGS[k // 3 % len(ENDINGS)]}", y) for k, (w, y) in enumerate(names)]
+    return [(host, path, y) for host, y in hosts for path in PATHS]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -70,7 +94,7 @@ def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = h * np.uint64(0x100000001B3) + data[k : len(data) - n + 1 + k]
         inside = row[: len(h)] == row[n - 1 :]
-        h = (h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)
+        h = (h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - WEIGHTS.bit_length() + 1)
         rows.append(row[: len(inside)][inside])
         got.append(h.astype(np.int64))
     return (np.concatenate(rows), np.concatenate(got)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -88,38 +112,29 @@ def scores(urls: list[str], weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(np.bincount(rows, weights[g], minlength=len(urls)) / np.sqrt(n) + weights[-1])))
 
 
-def fit(urls: list[str], labels: np.ndarray, importance: np.ndarray) -> np.ndarray:
-    """Weights of the n-grams and, last, of the constant, by accelerated gradient steps on the whole table."""
+def fit(urls: list[str], labels: np.ndarray) -> np.ndarray:
+    """Weights of the n-grams and, last, of the constant, by accelerated gradient steps on the whole table; both classes weigh the same."""
     w, step = np.zeros(WEIGHTS + 1), np.zeros(WEIGHTS + 1)
     rows, g = grams(urls)
     scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=len(urls)), 1))
-    importance = importance / importance.sum()
+    importance = np.where(labels > 0, 0.5 / max(1, labels.sum()), 0.5 / max(1, (labels == 0).sum()))
     for _ in range(STEPS):
         ahead = w + 0.9 * step
         p = 1 / (1 + np.exp(-(np.bincount(rows, ahead[g], minlength=len(urls)) * scale + ahead[-1])))
         miss = (p - labels) * importance
         grad = np.append(np.bincount(g, (miss * scale)[rows], minlength=WEIGHTS), miss.sum()) + DECAY * ahead
-        step = 0.9 * step - 2.0 * grad
+        step = 0.9 * step - np.append(np.full(WEIGHTS, RATE), 1.0) * grad
         w = w + step
     return w
 
 
-def labelled(pages: DataFrame, rules, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The labelled URL table: seeds, which weigh half, and at most `most` distinct URLs that a rule decides."""
-    verdicts = dict(rules)
-    rows = pages.filter(F.col("rule").isNotNull()).select("host", "path", "rule").distinct().orderBy(F.xxhash64("host", "path"), "host", "path").limit(most).collect()
-    urls = [shown(h, slash + rest) for s, _ in SEEDS for h, slash, rest in [s.partition("/")]] + [shown(r.host, r.path) for r in rows]
-    labels = np.array([y for _, y in SEEDS] + [verdicts[r.rule] == "block" for r in rows], dtype=float)
-    weight = np.array([1 / len(SEEDS)] * len(SEEDS) + [1 / max(1, len(rows))] * len(rows))
-    return urls, labels, weight
-
-
-def url_filter(pages: DataFrame, rules=RULES, most: int = LABELLED_ROWS) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (of the model, for every URL)."""
+def url_filter(pages: DataFrame, rules=RULES, labelled: list[tuple[str, str, int]] | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (of the model, for every URL). labelled: host, path, 1 to block; `seeds` if not given."""
     host, path = parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    weights = fit(*labelled(rows, rules, most))
+    table = seeds() if labelled is None else labelled
+    weights = fit([shown(h, p) for h, p, _ in table], np.array([y for _, _, y in table], dtype=float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

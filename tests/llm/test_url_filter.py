@@ -49,12 +49,49 @@ def test_grams_match_brute_force():
     assert sorted(g.tolist()) == sorted(x for a in alone for x in a.tolist())
 
 
-def test_the_model_tells_held_out_urls():
-    bad = [U.shown(f"{w}.example", f"/en/{k}") for k, w in enumerate(("casino-stars", "mega-casino", "super-pills", "top-bets"))]
-    good = [U.shown(f"{w}.example", f"/en/{k}") for k, w in enumerate(("www.science", "blog.garden", "m.library", "museum"))]
-    hosts = [(U.shown(*(s.partition("/")[0], "/" + s.partition("/")[2])), y) for s, y in U.SEEDS]
-    w = U.fit([u for u, _ in hosts], np.array([y for _, y in hosts], float), np.ones(len(hosts)))
-    assert U.scores(bad, w).min() > U.scores(good, w).max()
+# Hosts that the labelled table does not hold, labelled by hand.
+HELD_OUT = {
+    1: "casinoworld luckycasino thepokerroom slotsparadise megajackpots lotterywinner mybetting sharpbets bookies24 pillstore pharma-direct bestmeds viagra4u adultshop pornhour xxxclips sexylives webcams escorts4you nudepics paydaycash loans-today replicabags warezone crackdownloads torrentbay spam-factory linkfarms adservice trackers popups clickbait phishers malwarebytes99",
+    0: "physicsforum woodland publiclibrary weatherwatch orchestral cookingclass cityhall riverside birdwatch choirpractice theatreland chessclub linuxdocs mapmakers radiofour watercolour ceramics weavers villagegreen localbakery allotment hillwalkers lakeside nursery algebra chemistry linguist quaker saltmarsh hedgerow dunmore ashbourne kelsington brackwell torrington wenlow harmond pellsworth gorseby",
+}
+HELD_PATHS = ("/en/3", "/es/9", "/fr/2", "/de/8", "/", "/about.html", "/blog/post-12")
+
+
+def test_held_out_urls_and_paths_that_do_not_decide():
+    table = U.seeds()
+    w = U.fit([U.shown(h, p) for h, p, _ in table], np.array([y for *_, y in table], float))
+    known = {part for h, _, _ in table for part in h.split(".")}
+    names = {y: x.split() for y, x in HELD_OUT.items()}
+    assert not known & {n for x in names.values() for n in x}
+    got = {y: np.array([U.scores([U.shown(f"{('', 'www.', 'm.')[k % 3]}{n}.{('net', 'info', 'com', 'org')[k % 4]}", p) for p in HELD_PATHS], w) for k, n in enumerate(x)]) for y, x in names.items()}
+    caught, wrong = (got[1] >= 0.5).sum(), (got[0] >= 0.5).sum()
+    assert caught / got[1].size >= 0.9 and caught / (caught + wrong) >= 0.9
+    spread = np.concatenate([x.max(axis=1) - x.min(axis=1) for x in got.values()])
+    assert spread.mean() < 0.15
+    for p in ("/en/", "/es/", "/fr/", "/de/"):
+        assert abs(U.scores([U.shown("", p + "1")], w)[0] - U.scores([U.shown("", "/xx/1")], w)[0]) < 0.1
+
+
+def test_verdicts_do_not_depend_on_other_pages(spark):
+    rows = [(1, "http://casino-stars.net/en/1"), (2, "http://birdwatch.net/en/1"), (3, "http://x.example.org/es/1"), (4, "http://x.com/de/1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    both = {r.page_id: (r.verdict, r.score) for r in U.url_filter(pages).collect()}
+    assert [both[k][0] for k in (1, 2, 3, 4)] == ["block", "allow", "block", "block"]
+    for k in (1, 2):
+        assert [(r.verdict, r.score) for r in U.url_filter(pages.filter(f"page_id = {k}")).collect()] == [both[k]]
+
+
+def test_a_labelled_table_of_the_caller(spark):
+    pages = spark.createDataFrame([(1, "http://qqqq.net/"), (2, "http://zzzz.net/")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.url_filter(pages, labelled=[("qqqq.org", "/", 1), ("zzzz.org", "/", 0)]).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
+def test_very_long_urls(spark):
+    long = "http://" + "a" * 300_000 + ".net/" + "p/" * 300_000
+    pages = spark.createDataFrame([(1, long), (2, long.replace("http://", ""))], "page_id long, url string")
+    got = {r.page_id: r for r in U.url_filter(pages).collect()}
+    assert (got[1].host, got[1].path, got[1].rule) == brute(long) and got[2].host == ""
 
 
 def test_empty_table(spark):
