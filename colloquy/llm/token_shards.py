@@ -15,6 +15,7 @@ are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -41,6 +42,7 @@ NO_DOC = -(2**63)
 SHARD_IDS = 4_000_000
 CACHED_WORDS = 1_200_000  # a worker forgets its words beyond this many
 LONG_WORD = 64  # longer ones are not remembered
+WORDWISE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}  # a pre-tokenizer that allows to encode word by word
 LINE = "\0"  # stands for a line feed before a word
 MARKS = ".,!?;:"
 SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
@@ -114,8 +116,9 @@ def parse_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, EliasFano]:
 
 
 class WordEncoder:
-    """Ids of whole texts. The tokenizer never joins across a single blank or line feed between other characters,
-    so a text's ids are its words' ids one after another; a worker remembers those of words it has met."""
+    """Ids of whole texts. A byte-level tokenizer with the usual split (WORDWISE) never joins across a single blank or line
+    feed between other characters, so a text's ids are its words' ids one after another; a worker remembers those of
+    words it has met. Any other tokenizer encodes whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -123,6 +126,8 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.wide = "<u2" if self.tok.get_vocab_size() <= 65536 else "<u4"
+        how = json.loads(self.tok.to_str())
+        self.wordwise = how["normalizer"] is None and how["post_processor"] is None and (how["pre_tokenizer"] or {}).items() >= WORDWISE.items()
         self.known: dict[str, bytes | None] = {}  # by word: ids of the blank and the word; after LINE, of line feed and word
         self.feed, *marks = self._encode(["\n", *MARKS])
         self.marks = dict(zip(MARKS, marks, strict=True))
@@ -148,6 +153,8 @@ class WordEncoder:
             known.update((w, known[x] + self.marks[w[-1]]) for w in words if w != x)
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if not self.wordwise:
+            return self._encode(texts)
         if len(self.known) > CACHED_WORDS:
             self.known = {}
         docs = [t.replace("\n", " " + LINE).split(" ") for t in texts]
@@ -194,6 +201,24 @@ def slices(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]
         yield begin, len(texts)
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = None, keep_ids: bool = False) -> DataFrame:
+    """row (a number of its own once written), doc_id, size (ids, the end id included) and, if asked, ids (little-endian,
+    2 bytes each if the vocabulary fits, else 4). A null or empty text has none, not even the end id."""
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        end = b"" if end_id is None else np.array([end_id], dtype=enc.wide).tobytes()
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for i, j in slices(texts):
+                got = [x + end if x else x for x in enc.batch(texts[i:j])]
+                columns = [b.column(0).slice(i, j - i), pa.array([len(x) // np.dtype(enc.wide).itemsize for x in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(got, pa.binary())] if keep_ids else columns, ["doc_id", "size", "ids"][: 2 + keep_ids])
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(per_task, "doc_id long, size long" + ", ids binary" * keep_ids)
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The manifest: part, seq, file, n_docs, n_ids, base (ids of all shards before it)."""
 

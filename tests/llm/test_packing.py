@@ -1,10 +1,37 @@
 from collections import defaultdict
 
+import numpy as np
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tokenizers import Tokenizer
+
 from colloquy.llm import packing as P
 
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def plain_open_size(length, later, lengths, overhead):
+    """Fills each permitted length in thought, looking at all pieces to come from the longest on."""
+    costs = []
+    for size in lengths:
+        if size >= length:
+            held = length
+            for n in sorted(later, reverse=True):
+                if held + n <= size:
+                    held += n
+            costs.append(((size + overhead) / held, size))
+    return min(costs)[1]
+
+
+@given(st.integers(1, 64), st.lists(st.integers(1, 64), max_size=40), st.integers(0, 9))
+@settings(max_examples=300, deadline=None)
+def test_the_opened_size_costs_least(length, later, overhead):
+    later = sorted(x for x in later if x <= length)
+    for lengths in ((64,), (16, 32, 64), (8, 24, 40, 64)):
+        assert P.open_size(length, later, lengths, overhead) == plain_open_size(length, later, lengths, overhead)
+
 
 def plain_best_fit(sizes, lengths):
     """Open bins of the longest length only, found by looking at all of them."""
@@ -48,14 +75,21 @@ def test_joint_sizes_cost_no_more_than_one_size():
     assert sum(sizes) / sum(P.pack(sizes)[2]) > 0.97
 
 
+ROWS = [(k, "w " * (k * 37 % 300), 1) for k in range(150)] + [(500, None, 1), (501, "", 1), (None, "a b", 1), (None, "a b", 1), (7, "w " * 259, 1), (7, "w " * 259, 1), (600, "Ä long text. " * 10_000, 1)]
+
+
+def ids_of(text):
+    got = Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    return [*got, P.END_ID] if got else []
+
+
 def test_every_token_is_packed_once(spark):
-    rows = [(k, "w " * (k * 37 % 300), 1) for k in range(150)] + [(500, None, 1), (501, "", 1), (None, "a b", 1), (7, "w " * 259, 1), (600, "w " * 10_000, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, bin int")
-    got = P.best_fit(docs, shard=60).collect()
-    assert len({r.shard for r in got if r.shard is not None}) == 3
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, bin int")
+    got = P.best_fit(docs, PATH, shard=60).collect()
+    assert len({r.shard for r in got if r.shard is not None}) >= 3
     want, have = defaultdict(int), defaultdict(int)
-    for d, t, _ in rows:
-        want[d] += len((t or "").split())
+    for d, t, _ in ROWS:
+        want[d] += len(ids_of(t))
     at = defaultdict(list)
     for r in got:
         have[r.doc_id] += r.n_tokens
@@ -68,5 +102,19 @@ def test_every_token_is_packed_once(spark):
         assert sum(n for _, n in parts) <= length
 
 
+def test_sequences_hold_the_ids_of_their_documents(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, bin int").repartition(3)
+    pieces, bins = defaultdict(list), P.sequences(docs, PATH, shard=60).collect()
+    for r in bins:
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert len(ids) == r.n_tokens <= r.bin_length
+        for p in r.pieces:
+            pieces[p.doc_id].append((p.part, p.start, ids[p.bin_offset : p.bin_offset + p.n_tokens]))
+    for d in {d for d, t, _ in ROWS}:
+        want = sorted((k, k * 4096, ids[k * 4096 : (k + 1) * 4096]) for e, t, _ in ROWS if e == d for ids in [ids_of(t)] for k in range(-(-len(ids) // 4096)))
+        assert sorted(pieces[d]) == want, d
+
+
 def test_empty_table(spark):
-    assert P.best_fit(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert P.best_fit(docs, PATH).count() == 0 and P.sequences(docs, PATH).count() == 0

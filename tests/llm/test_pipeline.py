@@ -4,6 +4,7 @@ import corpus_pipeline as C
 from colloquy.llm.common import written
 
 from .test_near_dedup import brute
+from .test_packing import ids_of
 
 
 def test_stages_one_after_another(spark, tiny):
@@ -22,7 +23,7 @@ def test_stages_one_after_another(spark, tiny):
     assert ids[3] == {d for d, (_, root) in brute([tuple(r) for r in rows[2]], 5).items() if d == root}
     assert set(Counter(r.doc_id for r in rows[4]).values()) <= {1, 2}
     packed = C.STAGES[-1][1](spark, kept[-1], tiny).collect()
-    assert sum(r.n_tokens for r in packed) == sum(len(r.text.split()) for r in rows[4])
+    assert sum(r.n_tokens for r in packed) == sum(len(ids_of(r.text)) for r in rows[4])
 
 
 def test_extra_columns_null_texts_and_no_rows(spark, tiny):

@@ -47,6 +47,17 @@ def test_held_out_accuracy_and_the_learned_rows(spark, tiny):
     assert kept.columns == docs.columns and kept.count() == sum(r.score >= Q.LEAST_SCORE for r in got)
 
 
+def test_very_long_null_and_repeated_texts(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10**6, "word " * 400_000), (10**6 + 1, "y" * 2_000_000), (10**6 + 2, None), (10**6 + 2, None), (None, "a b")], "doc_id long, text string")
+    both = docs.union(more)
+    model = Q.train(both, spark.read.parquet(f"{tiny}/labels.parquet"))
+    rows = Q.score(both, model).collect()
+    assert len(rows) == docs.count() + 5
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 10**6 + 2}) == 1
+
+
 def test_without_labels_and_without_rows(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

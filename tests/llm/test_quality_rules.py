@@ -45,5 +45,19 @@ def test_sketches_merge(spark):
     assert sorted(whole.collect()) == sorted(parts.collect())
 
 
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k * k % 7001}" for k in range(120_000))
+    rows = [(1, long, "en", "s"), (2, "x" * 2_000_000, "en", "s"), (3, "same " * 100_000, "en", "s")]
+    got = {r.doc_id: r for r in R.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    words = long.split()
+    wins = {}
+    for k in range(len(words) - 7):
+        wins.setdefault(tuple(words[k : k + 8]), []).append(k)
+    again = {k + j for at in wins.values() if len(at) > 1 for k in at for j in range(8)}
+    assert (got[1].n_words, got[1].n_repeat_words) == (120_000, len(again))
+    assert (got[2].n_words, got[2].word_chars, got[2].base_failed) == (1, 2_000_000, True)
+    assert (got[3].n_repeat_words, got[3].base_failed) == (100_000, True)
+
+
 def test_empty_table(spark):
     assert R.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0

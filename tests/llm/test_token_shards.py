@@ -56,3 +56,12 @@ def test_empty_table(spark, tmp_path):
 def test_a_file_of_another_format_is_refused():
     with pytest.raises(ValueError):
         T.parse_shard(b"x" * 64)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Don't  stop 123\n\nnow", "", "É a", "x" * 300, " a  b "]
+    enc, tok = T.WordEncoder(path), Tokenizer.from_file(path)
+    got = [np.frombuffer(b, enc.wide).tolist() for b in enc.batch(texts)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert T.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).wordwise
