@@ -43,6 +43,7 @@ PIECE = 1 << 22  # bytes of a text looked at together
 PLACE_BITS = 24  # of a place among the bytes looked at together, 2 * PIECE at most; the rest of 64 is hash
 BLOCK = 1_200_000  # bytes of contexts sorted together
 HOT = 10_000
+SENT_ROWS = 10_000  # contexts of one batch
 NO_DOC = -(2**63)
 
 ROUNDS = GRAM.bit_length() - 1
@@ -286,19 +287,23 @@ def later_copies(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray) ->
 def context_rows(texts: DataFrame) -> DataFrame:
     """route, doc_id, start, bytes of the contexts in `packed` (of FIRST) of each text, but for those of hot anchors."""
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["route", "doc_id", "start", "bytes"])
+
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, text, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = text.encode()
-                for f in np.frombuffer(first, FIRST).tolist():
-                    f = dict(zip(FIRST.names, f, strict=True))
-                    if f["start"] + f["n"] + SPAN - 1 > len(raw):
-                        continue  # of another row with this doc_id
-                    if not f["hot"]:
-                        rows.append((f["anchor"], doc, f["start"], raw[f["start"] : f["start"] + f["n"] + SPAN - 1]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["route", "doc_id", "start", "bytes"])
+            for doc, text, first in zip(*b.columns, strict=True):
+                doc, raw, found = doc.as_py(), text.as_py().encode(), np.frombuffer(first.as_py(), FIRST)
+                ends = found["start"].astype(np.int64) + found["n"] + SPAN - 1
+                found = found[(found["hot"] == 0) & (ends <= len(raw))]  # else of another row with this doc_id
+                for k in range(0, len(found), SENT_ROWS):
+                    rows += [(anchor, doc, start, raw[start : start + n + SPAN - 1]) for start, n, _, anchor in found[k : k + SENT_ROWS].tolist()]
+                    if len(rows) >= SENT_ROWS:
+                        yield batch_of(rows)
+                        rows = []
+            yield batch_of(rows)
 
     return texts.mapInArrow(per_batch, "route long, doc_id long, start long, bytes binary")
 
@@ -363,12 +368,17 @@ def packed_lists(rows: DataFrame, kind: np.dtype, join: bool = False) -> DataFra
     """doc_id, packed: the list in column `items` of each document, in order, as bytes; ranges that touch joined if asked."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for items in b.column(1).to_pylist():
-                got = sorted(tuple(int(x[c]) for c in kind.names) for x in items)
-                out.append(np.array(merged(got) if join else got, dtype=kind).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "packed"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                items, doc = b.column(1).flatten(), np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+                got = np.empty(len(items), kind)
+                for c in kind.names:
+                    got[c] = items.field(c).to_numpy(zero_copy_only=False)
+                got = got[np.lexsort([*(got[c] for c in reversed(kind.names)), doc])]
+                parts = np.split(got, np.cumsum(np.bincount(doc, minlength=b.num_rows))[:-1])
+                out = [(np.array(merged(x.tolist()), dtype=kind) if join else x).tobytes() for x in parts]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "packed"])
 
     return rows.groupBy("doc_id").agg(F.collect_list("items").alias("items")).mapInArrow(per_batch, "doc_id long, packed binary")
 
@@ -413,7 +423,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             sizes, gone, kept = [], [], []
             for text, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw, at, parts = text.encode(), 0, []

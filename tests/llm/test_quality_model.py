@@ -55,7 +55,7 @@ def test_very_long_null_and_repeated_texts(spark, tiny):
     rows = Q.score(both, model).collect()
     assert len(rows) == docs.count() + 5
     assert all(0 <= r.score <= 1 for r in rows)
-    assert len({r.score for r in rows if r.doc_id == 10**6 + 2}) == 1
+    assert np.ptp([r.score for r in rows if r.doc_id == 10**6 + 2]) < 1e-9
 
 
 def test_without_labels_and_without_rows(spark):
