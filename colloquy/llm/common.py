@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import add
 
@@ -51,6 +53,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that go to a Python worker at once while a table is written.
+ARROW_BYTES = 4 << 20
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of ARROW_BYTES at most, since an executor holds several of them for each core; then what the session had."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 #: Rows of a file when a small table is written that a loop made.
 FILE_ROWS = 250_000
 
@@ -60,7 +78,8 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(-(-rows // FILE_ROWS) + 1)
-    df.write.parquet(path)
+    with arrow_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, salted_left_join, sized_join, text_of, written
+from .words import in_slices
 
 GEAR = 16  # bytes that decide about a cut
 MEAN = 1024  # bytes between cuts, as a power of two
@@ -63,9 +64,9 @@ def recipes(docs: DataFrame, mean: int = MEAN, id_bytes: int = 16) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.encode() for t in b.column(1).to_pylist()]
-            lists = [b"".join(xxhash.xxh3_128_digest(c)[:id_bytes] for c in chunks(t, mean)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "recipe", "text_sha256"])
+            for first, texts in in_slices(b.column(1)):
+                lists = [b"".join(xxhash.xxh3_128_digest(c)[:id_bytes] for c in chunks(t, mean)) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(lists, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "recipe", "text_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(per_batch, "doc_id long, recipe binary, text_sha256 string")
 
@@ -75,11 +76,12 @@ def chunk_rows(docs: DataFrame, mean: int, id_bytes: int) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(doc, k, xxhash.xxh3_128_digest(c)[:id_bytes], c) for k, c in enumerate(chunks(text.encode(), mean))]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["text_sha256", "pos", "id", "chunk"])
+            for first, texts in in_slices(b.column(1)):
+                rows: list[tuple] = []
+                for doc, text in zip(b.column(0).slice(first, len(texts)).to_pylist(), texts, strict=True):
+                    rows += [(doc, k, xxhash.xxh3_128_digest(c)[:id_bytes], c) for k, c in enumerate(chunks(text, mean))]
+                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["text_sha256", "pos", "id", "chunk"])
 
     return docs.select("text_sha256", "text").mapInArrow(per_batch, "text_sha256 string, pos int, id binary, chunk binary")
 

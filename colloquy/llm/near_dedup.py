@@ -47,7 +47,7 @@ MEMBERS = 1024  # of a unit
 AGREE = 32  # places, at least, of a pair that is compared on its sets
 PAIRS = 50_000  # looked at in one go
 SHARED = 4096  # shingles counted in one go
-SEND_BYTES = 8 << 20  # of sets in one batch
+SEND_BYTES = 2 << 20  # of sets in one batch
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in in_slices(b.column(1).to_pylist()):
+            for first, texts in in_slices(b.column(1)):
                 h, text = shingle_sets(texts, n)
                 count = np.bincount(text, minlength=len(texts))
                 full = np.flatnonzero(count)
@@ -140,8 +140,8 @@ def first_nodes(classes: DataFrame) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cls, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for at in range(0, len(raw), 5_000):
-                keys, col = walk(signature_rows(raw[at : at + 5_000]).T, FIRST_STEPS)
+            for at in range(0, len(raw), 1_000):
+                keys, col = walk(signature_rows(raw[at : at + 1_000]).T, FIRST_STEPS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(cls[at + col])], ["node", "cls"])
 
     return classes.select("cls", "sig").mapInArrow(per_batch, "node long, cls long")
@@ -259,7 +259,7 @@ def with_sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cluster", "cls", "shingles"]
         for b in batches:
-            for first, texts in in_slices(b.column(0).to_pylist()):
+            for first, texts in in_slices(b.column(0)):
                 h, text = shingle_sets(texts, n)
                 ends = np.cumsum(np.bincount(text, minlength=len(texts)))
                 raw, begin, size, out = h.tobytes(), 0, 0, ([], [], [])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, written
-from .token_shards import encoded
+from .token_shards import CACHED_WORDS, encoded
 
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16  # cost of a sequence besides its length, in tokens
@@ -93,9 +93,9 @@ def placed(rows: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int =
     return packed.union(empty)
 
 
-def best_fit(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, **how) -> DataFrame:
+def best_fit(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, cached: int = CACHED_WORDS, **how) -> DataFrame:
     """doc_id, part, start, n_tokens, shard, bin, bin_offset, bin_length: where each piece of each document lies. tokenizer: path of its file."""
-    return placed(written(encoded(docs, tokenizer, end_id), "sizes"), **how).drop("row")
+    return placed(written(encoded(docs, tokenizer, end_id, cached=cached), "sizes"), **how).drop("row")
 
 
 def sequences(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, **how) -> DataFrame:

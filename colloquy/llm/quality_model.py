@@ -85,7 +85,7 @@ def contexts(docs: DataFrame) -> DataFrame:
         places, signs = index_vectors()
         total, n = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for _, texts in in_slices(batch.column(0).to_pylist()):
+            for _, texts in in_slices(batch.column(0)):
                 b, text = runs(texts)
                 n += np.bincount(b, minlength=BUCKETS)
                 for gap in range(1, NEAR + 1):
@@ -144,7 +144,7 @@ class Model:
         mean, spread, w1, b1, w2, b2 = self.layers
         return np.tanh((x - mean) / spread @ w1 + b1) @ w2 + b2
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
         got = [self.logits(pooled(part, self.vectors)) for _, part in in_slices(texts)]
         return 1 / (1 + np.exp(-np.concatenate(got) / self.temperature)) if got else np.zeros(0)
 
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in in_slices(b.column(1).to_pylist()):
+            for first, texts in in_slices(b.column(1)):
                 x = pooled(texts, vectors)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), b.column(2).slice(first, len(texts)), lists], ["doc_id", "y", "x"])
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1).to_pylist()))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(per_batch, "doc_id long, score double")
 
@@ -225,7 +225,7 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataF
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pc.filter(b, pa.array(shared.value.scores(b.column(at).to_pylist()) >= least))
+            yield pc.filter(b, pa.array(shared.value.scores(b.column(at)) >= least))
 
     return docs.mapInArrow(per_batch, docs.schema)
 

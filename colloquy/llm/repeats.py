@@ -139,7 +139,7 @@ def run_rows(docs: DataFrame) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            for first, texts in in_slices(b.column(1).to_pylist(), 120_000):
+            for first, texts in in_slices(b.column(1), 120_000):
                 cut = [(first + k, base, part) for k, t in enumerate(texts) for base, part in pieces(t)]
                 doc, base = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
                 of, start, n, anchor, context = runs_in_turn([c[2] for c in cut])
@@ -313,8 +313,8 @@ def hot_strings(texts: DataFrame) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw, found = text.encode(), np.frombuffer(first, FIRST)
+            for doc, text, first in zip(*b.columns, strict=True):
+                doc, raw, found = doc.as_py(), text.as_py().encode(), np.frombuffer(first.as_py(), FIRST)
                 found = found[(found["hot"] > 0) & (found["start"].astype(np.int64) + found["n"] + SPAN - 1 <= len(raw))]  # else of another row with this doc_id
                 for k in range(0, len(found), 1000):
                     starts = np.concatenate([np.arange(s, s + n) for s, n in found[["start", "n"]][k : k + 1000].tolist()]).astype(np.int64)

@@ -26,6 +26,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -120,7 +121,8 @@ class WordEncoder:
     feed between other characters, so a text's ids are its words' ids one after another; a worker remembers those of
     words it has met. Any other tokenizer encodes whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
+        self.cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -155,7 +157,7 @@ class WordEncoder:
     def batch(self, texts: list[str]) -> list[bytes]:
         if not self.wordwise:
             return self._encode(texts)
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached:
             self.known = {}
         docs = [t.replace("\n", " " + LINE).split(" ") for t in texts]
         firsts = self._encode([d[0] for d in docs])
@@ -189,30 +191,28 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def slices(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about `most` characters."""
+def slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Number of the first text and texts, of about `most` bytes together."""
     begin, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= most:
-            yield begin, k + 1
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n
+        if held >= most or k == len(texts) - 1:
+            yield begin, texts.slice(begin, k + 1 - begin).to_pylist()
             begin, held = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = None, keep_ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = None, keep_ids: bool = False, cached: int = CACHED_WORDS) -> DataFrame:
     """row (a number of its own once written), doc_id, size (ids, the end id included) and, if asked, ids (little-endian,
-    2 bytes each if the vocabulary fits, else 4). A null or empty text has none, not even the end id."""
+    2 bytes each if the vocabulary fits, else 4). A null or empty text has none, not even the end id. cached: words that a worker remembers, 250 bytes each;
+    if given, only for the length of a task."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer) if cached == CACHED_WORDS else WordEncoder(tokenizer, cached)
         end = b"" if end_id is None else np.array([end_id], dtype=enc.wide).tobytes()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in slices(texts):
-                got = [x + end if x else x for x in enc.batch(texts[i:j])]
-                columns = [b.column(0).slice(i, j - i), pa.array([len(x) // np.dtype(enc.wide).itemsize for x in got], pa.int64())]
+            for first, texts in slices(b.column(1)):
+                got = [x + end if x else x for x in enc.batch(texts)]
+                columns = [b.column(0).slice(first, len(texts)), pa.array([len(x) // np.dtype(enc.wide).itemsize for x in got], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(got, pa.binary())] if keep_ids else columns, ["doc_id", "size", "ids"][: 2 + keep_ids])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(per_task, "doc_id long, size long" + ", ids binary" * keep_ids)
@@ -242,9 +242,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
 
         manifest = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in slices(texts):
-                for d, got in zip(doc_ids[i:j], enc.batch(texts[i:j]), strict=True):
+            for first, texts in slices(b.column(1)):
+                for d, got in zip(b.column(0).slice(first, len(texts)).to_pylist(), enc.batch(texts), strict=True):
                     held[0].append(d)
                     held[1].append(got + end)
                     held = (held[0], held[1], held[2] + len(got) + len(end))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 
@@ -49,11 +50,11 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     return hashes(data, starts, lengths), text
 
 
-def in_slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """Number of the first text and texts in UTF-8, of about `most` bytes together; null is empty."""
+def in_slices(texts: pa.Array, most: int = 300_000) -> Iterator[tuple[int, list[bytes]]]:
+    """Number of the first text and texts in UTF-8, of about `most` bytes together; null is empty. Never all of a batch at once."""
     first, held, size = 0, [], 0
-    for k, t in enumerate(texts):
-        held.append((t or "").encode())
+    for k, t in enumerate(texts.cast(pa.binary())):
+        held.append(t.as_py() or b"")
         size += len(held[-1])
         if size >= most:
             yield first, held
