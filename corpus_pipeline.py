@@ -83,7 +83,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Where each piece of each document lies in the packed sequences."""
     import public_tokenizers
 
-    return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=200_000)  # workers still hold what the stages before left
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
