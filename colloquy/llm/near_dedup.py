@@ -46,7 +46,7 @@ MORE_STEPS, MORE_TWICE = 16, 2
 MEMBERS = 1024  # of a unit
 AGREE = 32  # places, at least, of a pair that is compared on its sets
 PAIRS = 50_000  # looked at in one go
-SHARED = 4096  # shingles counted in one go
+SHARED = 1024  # shingles counted in one go
 SEND_BYTES = 2 << 20  # of sets in one batch
 
 
@@ -288,14 +288,18 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
     member, at = member[df[at] > 1], at[df[at] > 1]
     order = np.argsort(at, kind="stable")
     member, at = member[order], np.cumsum(np.append(0, np.diff(at[order]) != 0))[: len(order)]
-    common = np.zeros((m, m))
+    common = np.zeros((m, m), np.float32)
     for first in range(0, int(at[-1]) + 1 if len(at) else 0, SHARED):
         low, high = np.searchsorted(at, [first, first + SHARED])
         block = np.zeros((m, min(SHARED, int(at[-1]) + 1 - first)), np.float32)
         block[member[low:high], at[low:high] - first] = 1
         common += block @ block.T
-    i, j = np.nonzero(np.triu(100 * common >= SIMILAR * (n[:, None] + n[None, :] - common), 1))
-    return joined(np.arange(m), i, j)
+    labels = np.arange(m)
+    for first in range(0, m, 128):
+        got = common[first : first + 128].astype(np.float64)
+        i, j = np.nonzero(100 * got >= SIMILAR * (n[first : first + 128, None] + n[None, :] - got))
+        labels = joined(labels, i + first, j)
+    return labels
 
 
 def confirmed(rows: DataFrame) -> DataFrame:
