@@ -69,7 +69,12 @@ def flagged(raw: DataFrame) -> DataFrame:
 
 
 def clean(raw: DataFrame) -> DataFrame:
-    rows = flagged(raw).filter("step = 'kept'")
+    return kept(flagged(raw))
+
+
+def kept(flags: DataFrame) -> DataFrame:
+    """The clean messages among flagged rows."""
+    rows = flags.filter("step = 'kept'")
     return rows.select("src_row", "ts", "nick_from", "nick_to", "dyad", "body", "body_en", "kind", "recipients", "merged_rows")
 
 

@@ -41,10 +41,18 @@ def selected(names: list[str]) -> dict[str, tuple[str, str, str]]:
     return out
 
 
-def clean_job(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clean messages and the accounting of rows."""
-    flags = L.flagged(raw)
-    return L.clean(raw), L.accounting(flags)
+def stored(df: DataFrame, path: str | None) -> DataFrame:
+    """df, read back from a table at path if one is given: what stands before it then runs once."""
+    if path is None:
+        return df
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_job(raw: DataFrame, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clean messages and the accounting of rows. store: where to write the flagged rows, so that both come from one pass."""
+    flags = stored(L.flagged(raw), store)
+    return L.kept(flags), L.accounting(flags)
 
 
 def chunk_job(clean: DataFrame, gap_seconds: float = 3600, size: int = 512, overlap: int = 128, basis: str = "en", count: Callable[[Column], Column] = T.word_count) -> DataFrame:
@@ -64,9 +72,14 @@ def vectors(texts: DataFrame, ids: list[str], model: str, sparse: bool) -> DataF
     return out.join(weights, ids, "left").select(*out.columns, none("tokens", "array<string>"), none("weights", "array<double>"))
 
 
-def evaluate_job(questions: DataFrame, chunks: DataFrame, configs: list[str], scope: str = "doc", tolerance: int = 0, weight: float = R.WEIGHT, k: int = 10) -> DataFrame:
-    """One row per configuration and question with rank and metrics. questions: qid, tag, corpus, question, qtype, gold; chunks: tag, chunk_index, text."""
+def evaluate_job(questions: DataFrame, chunks: DataFrame, configs: list[str], scope: str = "doc", tolerance: int = 0, weight: float = R.WEIGHT, k: int = 10, document: str | None = None) -> DataFrame:
+    """One row per configuration and question with rank and metrics. questions: qid, tag, corpus, question, qtype, gold; chunks: tag, chunk_index, text.
+    document: only questions of documents whose tag begins so; their pools stay whole."""
     out = None
+    if document is not None:
+        questions = questions.filter(F.col("tag").startswith(document))
+        if questions.isEmpty():
+            raise ValueError(f"no document begins with {document!r}")
     for name, (q_model, d_model, mode) in selected(configs).items():
         sparse = mode != "dense"
         q = vectors(R.question_pools(questions, scope).select("qid", "pool_key", F.col("question").alias("text")), ["qid", "pool_key"], q_model, sparse)
@@ -77,11 +90,13 @@ def evaluate_job(questions: DataFrame, chunks: DataFrame, configs: list[str], sc
     return out
 
 
-def translate_job(chunks: DataFrame, ids: list[str], cache: DataFrame, translate: Callable[[], X.Translate], shards: int | None = None, translate_noise: bool = False, keep_original: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Chunks with translated text, and the new rows of the cache."""
+def translate_job(chunks: DataFrame, ids: list[str], cache: DataFrame, translate: Callable[[], X.Translate], shards: int | None = None, translate_noise: bool = False, keep_original: bool = False, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks with translated text, and the new rows of the cache. store: where to write the new rows first; without it, each
+    action on either result asks the model again."""
     lines = X.lines_of(chunks, ids)
     known = X.latest(cache)
     new = X.translated(X.work_list(X.bodies(lines), known, translate_noise), translate, shards).select(F.col("body").alias("en"), F.col("text").alias("ko"))
+    new = stored(new, store)
     text = X.rebuilt(lines, known.select("en", "ko").unionByName(new), ids).withColumnRenamed("text", "__new")
     out = chunks.join(text, ids)
     if keep_original:

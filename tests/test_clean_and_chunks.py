@@ -96,3 +96,14 @@ def test_sliding_windows(spark, n, size, overlap):
         start += size - overlap
     assert [(r.token_start, r.token_end) for r in got] == want
     assert all(r.chunk.split() == words[r.token_start : r.token_end] for r in got)
+
+
+def test_clean_job_from_one_stored_pass(spark, tmp_path):
+    from colloquy.plans import jobs as J
+
+    raw = spark.createDataFrame([(k, k * 100, "ann@x", f"b{k % 3}@x", f"body {k}", f"text {k}") for k in range(9)], "src_row long, t long, from string, to string, body string, body_en string")
+    raw = raw.selectExpr("src_row", "timestamp_seconds(t) as ts", "`from`", "`to`", "body", "body_en")
+    plain, counts = J.clean_job(raw)
+    stored, stored_counts = J.clean_job(raw, str(tmp_path / "flags"))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, stored.collect()))
+    assert counts.collect() == stored_counts.collect()

@@ -7,6 +7,7 @@ from colloquy.operators import encode as E
 from colloquy.operators import evaluate as V
 from colloquy.operators import retrieve as R
 from colloquy.plans import jobs as J
+from colloquy.sources import tables as S
 
 CASES = [
     ([7, 3, 9], [7], 0, 1, 1.0),
@@ -91,6 +92,26 @@ def test_gold_and_config_checks(spark):
         J.check_config("hash-b", "hash-a", "hybrid")
 
 
+def test_evaluate_job_of_some_documents(spark):
+    chunks = spark.createDataFrame([(t, k, f"{t}{k} beta{k} common") for t in ("a_en", "b_en") for k in range(6)], "tag string, chunk_index int, text string")
+    questions = chunks.filter("chunk_index = 2").select("tag", F.col("tag").alias("qid"), F.lit("en").alias("corpus"), F.col("text").alias("question"), F.lit("1 x").alias("qtype"), F.array("chunk_index").alias("gold"))
+    assert {r.tag for r in J.evaluate_job(questions, chunks, ["aa-dense"], document="b").select("tag").collect()} == {"b_en"}
+    with pytest.raises(ValueError):
+        J.evaluate_job(questions, chunks, ["aa-dense"], document="c")
+
+
+def test_results_of_a_run_are_not_replaced_unless_asked(spark, tmp_path):
+    df = spark.createDataFrame([("aa", 0.5)], "config string, value double")
+    for write, read in ((S.write_summary, lambda p: spark.read.csv(p, header=True)), (S.write_query_results, spark.read.json)):
+        path = str(tmp_path / write.__name__)
+        write(df, path, "r1")
+        with pytest.raises(Exception, match="exists"):
+            write(df, path, "r1")
+        write(df, path, "r1", overwrite=True)
+        write(df, path, "r2")
+        assert sorted((r.config, r.run_id) for r in read(path).collect()) == [("aa", "r1"), ("aa", "r2")]
+
+
 def test_evaluate_job_finds_a_text_by_itself(spark):
     chunks = spark.createDataFrame([("d_en", k, f"alpha{k} beta{k} gamma{k} common") for k in range(30)], "tag string, chunk_index int, text string")
     questions = chunks.filter("chunk_index % 5 = 0").select(F.concat(F.lit("q"), "chunk_index").alias("qid"), "tag", F.lit("en").alias("corpus"), F.col("text").alias("question"), F.lit("1 x").alias("qtype"), F.array("chunk_index").alias("gold"))

@@ -63,6 +63,27 @@ def test_translate_job(spark):
     assert set(out.columns) == {"id", "text", "text_en"}
 
 
+def test_a_stored_translation_asks_the_model_once(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def make():
+        def run(prompts):
+            with open(log, "a") as f:
+                f.write("x\n" * len(prompts))
+            return [p.upper() for p in prompts]
+
+        return run
+
+    chunks = spark.createDataFrame([(1, "ann: hello there"), (2, "ann: good day")], "id int, text string")
+    cache = spark.createDataFrame([], S.CACHE)
+    out, new = J.translate_job(chunks, ["id"], cache, make, shards=1, store=str(tmp_path / "new"))
+    with open(log) as f:
+        asked = len(f.readlines())
+    assert {r.text for r in out.collect()} == {"ann: HELLO THERE", "ann: GOOD DAY"} and new.count() == 2
+    with open(log) as f:
+        assert asked == len(f.readlines()) > 0
+
+
 def test_blocks_and_gold(spark):
     text = "head one two A-001 a b c A-002 d A-001 again XA-003 e"
     docs = spark.createDataFrame([("t", text)], "tag string, text string")
