@@ -57,30 +57,46 @@ def one_line_documents(spark, d):
 
 
 def raw_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as a raw message log: a message a minute, its parties by role."""
-    rows = table(spark, d, "conversations")
-    who = lambda role: F.concat(F.lit(f"{role}-"), F.col("conv_id") % 50, F.lit("@host.example"))
-    mine = F.col("role") == "user"
-    src = F.col("conv_id") * 100 + F.col("turn")
-    return rows.select(src.alias("src_row"), F.timestamp_seconds(1577836800 + src * 60).alias("ts"), F.when(mine, who("user")).otherwise(who("bot")).alias("from"), F.when(mine, who("bot")).otherwise(who("user")).alias("to"), F.col("text").alias("body"), F.lower("text").alias("body_en"))
-
-
-_RAW = r"""raw AS (SELECT conv_id * 100 + turn AS src_row, make_timestamp((1577836800 + (conv_id * 100 + turn) * 60) * 1000000) AS ts,
-  CASE role WHEN 'user' THEN 'user-' ELSE 'bot-' END || conv_id % 50 AS nick_from, CASE role WHEN 'user' THEN 'bot-' ELSE 'user-' END || conv_id % 50 AS nick_to,
-  trim(regexp_replace(text, '\s+', ' ', 'g')) AS body, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body_en FROM conversations),
-  live AS (SELECT *, 'bot-' || regexp_extract(nick_from, '\d+') || ' | user-' || regexp_extract(nick_from, '\d+') AS dyad FROM raw WHERE body <> ''),
+    """Conversations as a raw message log: a message a minute, its parties by role. Copy 0 is the message; every turn 3 is mirrored (copy 1),
+    some first turns go to six receivers (copies 2 to 7), some messages go to a room, some are a transport's notice, some hold entities."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    copies = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: (k == 0) | ((k == 1) & (turn == 3)) | ((k > 1) & (turn == 0) & (conv % 20 == 7)))
+    rows = table(spark, d, "conversations").withColumn("k", F.explode(copies)).withColumn("m", conv * 100 + turn)
+    k, mass, mine = F.col("k"), F.col("k") > 1, F.col("role") == "user"
+    who = lambda role, n: F.concat(F.lit(f"{role}-"), n, F.lit("@host.example"))
+    user, bot = who("user", conv % 50), who("bot", conv % 50)
+    sender = F.when(mass, who("boss", conv % 50)).when(mine, user).otherwise(bot)
+    receiver = F.when(mass, who("user", k - 2)).when((conv % 5 == 2) & (turn == 2), F.lit("all@conference.host.example")).when(mine, bot).otherwise(user)
+    body = F.when((conv % 4 == 1) & (turn == 1), F.lit("*** message was not sent")).when(turn % 3 == 1, F.concat(F.lit("&amp;amp; "), "text")).otherwise(F.col("text"))
+    body = F.when(mass, F.concat(F.lit("all hands "), conv)).otherwise(body)
+    late = F.when(mass, 20 * (k - 2)).when(k == 1, 1).otherwise(0)
+    return rows.select((F.col("m") * 20 + k).alias("src_row"), F.timestamp_seconds(1577836800 + F.col("m") * 60 + late).alias("ts"), sender.alias("from"), receiver.alias("to"), body.alias("body"), F.lower(body).alias("body_en"))
+
+
+_RAW = r"""raw AS (SELECT (conv_id * 100 + turn) * 20 + k AS src_row, make_timestamp((1577836800 + (conv_id * 100 + turn) * 60 + CASE WHEN k > 1 THEN 20 * (k - 2) ELSE k END) * 1000000) AS ts,
+  CASE WHEN k > 1 THEN 'boss-' WHEN role = 'user' THEN 'user-' ELSE 'bot-' END || conv_id % 50 AS nick_from,
+  CASE WHEN k > 1 THEN 'user-' || k - 2 WHEN role = 'user' THEN 'bot-' || conv_id % 50 ELSE 'user-' || conv_id % 50 END AS nick_to,
+  k <= 1 AND conv_id % 5 = 2 AND turn = 2 AS room,
+  trim(regexp_replace(CASE WHEN k > 1 THEN 'all hands ' || conv_id WHEN conv_id % 4 = 1 AND turn = 1 THEN '' WHEN turn % 3 = 1 THEN '& ' || text ELSE text END, '\s+', ' ', 'g')) AS body
+  FROM conversations, range(8) AS copies(k) WHERE k = 0 OR k = 1 AND turn = 3 OR k > 1 AND turn = 0 AND conv_id % 20 = 7),
+  live AS (SELECT *, lower(body) AS body_en, least(nick_from, nick_to) || ' | ' || greatest(nick_from, nick_to) AS dyad FROM raw WHERE body <> '' AND NOT room),
   once AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY dyad, body, floor(epoch_us(ts) / 1e7) ORDER BY src_row) = 1),
   gaps AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY nick_from, body ORDER BY ts, src_row) > 600e6, true)::INT AS b FROM once),
-  runs AS (SELECT *, sum(b) OVER (PARTITION BY nick_from, body ORDER BY ts, src_row) AS run FROM gaps)"""
+  runs AS (SELECT *, sum(b) OVER (PARTITION BY nick_from, body ORDER BY ts, src_row) AS run FROM gaps),
+  mass AS (SELECT nick_from, body, run, list_sort(list(DISTINCT nick_to)) AS recipients, count(*) AS merged FROM runs GROUP BY ALL HAVING count(DISTINCT nick_to) >= 5),
+  marked AS (SELECT runs.*, recipients, merged, row_number() OVER (PARTITION BY nick_from, body, run ORDER BY ts, src_row) AS nth FROM runs LEFT JOIN mass USING (nick_from, body, run)),
+  kept AS (SELECT *, CASE WHEN recipients IS NULL THEN 'conversation' ELSE 'broadcast' END AS kind FROM marked WHERE recipients IS NULL OR nth = 1)"""
 
 
-@query(f"WITH {_RAW} SELECT src_row, ts, nick_from, nick_to, dyad, body, body_en, 'conversation' AS kind, 0 AS n_recipients FROM runs")
+@query(f"WITH {_RAW} SELECT src_row, ts, nick_from, nick_to, dyad, body, body_en, kind, coalesce(len(recipients), 0)::INT AS n_recipients FROM kept")
 def clean_messages(spark, d):
     rows = L.clean(raw_messages(spark, d))
     return rows.select("src_row", "ts", "nick_from", "nick_to", "dyad", "body", "body_en", "kind", F.size("recipients").alias("n_recipients"))
 
 
-@query(f"WITH {_RAW} SELECT (SELECT count(*) FROM raw) AS n_input, 0 AS n_room, (SELECT count(*) FROM raw WHERE body = '') AS n_empty, (SELECT count(*) FROM live) - (SELECT count(*) FROM once) AS n_mirrored, 0 AS n_folded, (SELECT count(*) FROM once) AS n_conversation, 0 AS n_broadcast")
+@query(f"""WITH {_RAW} SELECT (SELECT count(*) FROM raw) AS n_input, (SELECT count(*) FROM raw WHERE room) AS n_room, (SELECT count(*) FROM raw WHERE body = '' AND NOT room) AS n_empty,
+ (SELECT count(*) FROM live) - (SELECT count(*) FROM once) AS n_mirrored, (SELECT count(*) FROM marked WHERE recipients IS NOT NULL AND nth > 1) AS n_folded,
+ (SELECT count(*) FROM kept WHERE kind = 'conversation') AS n_conversation, (SELECT count(*) FROM kept WHERE kind = 'broadcast') AS n_broadcast""")
 def row_accounting(spark, d):
     return L.accounting(L.flagged(raw_messages(spark, d)))
 
@@ -131,9 +147,10 @@ def session_report(spark, d):
     return S.session_report(event_sessions(spark, d).withColumn("tokens", F.col("event_id") % 7), "tokens", 9)
 
 
-@query("SELECT 0::BIGINT AS sid, 0::BIGINT AS n_keys WHERE false")
+@query(_SESS + " SELECT sid, count(DISTINCT event_type) AS n_keys FROM s GROUP BY sid HAVING count(DISTINCT event_type) > 1")
 def mixed_sessions(spark, d):
-    return S.mixed_sessions(event_sessions(spark, d), "user_id")
+    """By the type of event, which users' sessions do mix; by user there are none."""
+    return S.mixed_sessions(event_sessions(spark, d), "event_type")
 
 
 _WORDS = r"len(list_filter(string_split_regex({}, '\s+'), lambda x: x <> ''))"
@@ -155,21 +172,47 @@ def conversation_chunk_rows(spark, d):
     return J.chunk_job(L.clean(raw_messages(spark, d)), gap_seconds=1800, size=152, overlap=30)
 
 
-@query()
+#: Chunks by SQL: sessions of kept messages, bodies in pieces, spans over the English counts (120 words, 30 shared), notices behind.
+_CHUNKS = rf"""{_RAW},
+ g AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY dyad ORDER BY ts, src_row) > 1800e6, true)::INT AS begins FROM kept WHERE kind = 'conversation'),
+ sess AS (SELECT *, sum(begins) OVER (ORDER BY dyad, ts, src_row)::BIGINT AS sid FROM g),
+ said AS (SELECT *, strftime(ts, '%H:%M') || ' ' || nick_from || ': ' AS prefix, row_number() OVER (PARTITION BY sid ORDER BY ts, src_row) AS no FROM sess),
+ sized AS (SELECT *, greatest(1, ceil({_WORDS.format("prefix || body_en")} / 120.0))::BIGINT AS cuts FROM said),
+ worded AS (SELECT * EXCLUDE (body, body_en), corpus, said_body, list_filter(string_split_regex(said_body, '\s+'), lambda x: x <> '') AS words FROM
+   (SELECT *, unnest(['ru', 'en']) AS corpus, unnest([body, body_en]) AS said_body FROM sized)),
+ cut AS (SELECT *, CASE WHEN cuts <= 1 OR len(words) = 0 THEN [prefix || said_body] ELSE list_transform(range(cuts), lambda i:
+   prefix || coalesce(nullif(array_to_string(words[i * ceil(len(words) / cuts)::BIGINT + 1:(i + 1) * ceil(len(words) / cuts)::BIGINT], ' '), ''), '…')) END AS said_lines FROM worded),
+ wide AS (SELECT *, max(len(said_lines)) OVER (PARTITION BY sid, no) AS width FROM cut),
+ placed AS (SELECT *, coalesce(said_lines[piece + 1], '…') AS line FROM (SELECT *, unnest(range(width)) AS piece FROM wide)),
+ lines AS (SELECT *, {_WORDS.format("line")} AS tokens, row_number() OVER (PARTITION BY corpus, sid ORDER BY no, piece) AS pos FROM placed),
+ sums AS (SELECT sid, list_prepend(0, list(upto ORDER BY pos)) AS sums, count(*) AS n FROM (SELECT sid, pos, sum(tokens) OVER (PARTITION BY sid ORDER BY pos)::BIGINT AS upto FROM lines WHERE corpus = 'en') GROUP BY sid),
+ spans AS (SELECT sid, sums, n, 1 AS part, 0::BIGINT AS a, greatest(1, len(list_filter(sums, lambda x: x <= 120)) - 1)::BIGINT AS b FROM sums
+   UNION ALL
+   SELECT sid, sums, n, part + 1, s, greatest(s + 1, len(list_filter(sums, lambda x: x <= sums[s + 1] + 120)) - 1)::BIGINT FROM
+     (SELECT *, greatest(a + 1, least(b, len(list_filter(sums, lambda x: x <= sums[b + 1] - 30)) - 1))::BIGINT AS s FROM spans WHERE b < n)),
+ parts AS (SELECT *, max(part) OVER (PARTITION BY sid) AS n_parts FROM spans),
+ conv AS (SELECT corpus, sid, dyad, part, n_parts, min(ts) AS t0, max(ts) AS t1, count(DISTINCT no)::INT AS n_messages, (sum(tokens) + 32)::INT AS n_tokens, string_agg(line, chr(10) ORDER BY pos) AS body
+   FROM lines JOIN parts USING (sid) WHERE pos > parts.a AND pos <= parts.b GROUP BY corpus, sid, dyad, part, n_parts),
+ notes AS (SELECT *, unnest(['ru', 'en']) AS corpus, unnest([body, body_en]) AS note FROM (SELECT *, row_number() OVER (ORDER BY src_row) AS no FROM kept WHERE kind = 'broadcast')),
+ told AS (SELECT corpus, no, merged, '[공지] ' || nick_from || ' -> ' || len(recipients) || '명 | ' || strftime(ts, '%Y-%m-%d %H:%M') || chr(10) || '수신: ' || array_to_string(recipients, ', ') || chr(10) || nick_from || ': ' || note AS text FROM notes),
+ chunk AS (SELECT corpus, (row_number() OVER (PARTITION BY corpus ORDER BY dyad, sid, part) - 1)::INT AS chunk_index, sid AS session_id, 'conversation' AS kind, n_messages, part::INT AS part, n_parts::INT AS n_parts, n_tokens,
+     '[대화] ' || dyad || ' | ' || strftime(t0, '%Y-%m-%d') || CASE WHEN t0::DATE = t1::DATE THEN '' ELSE '~' || strftime(t1, '%m-%d') END || ' ' || strftime(t0, '%H:%M') || '~' || strftime(t1, '%H:%M')
+     || CASE WHEN n_parts > 1 THEN ' (' || part || '/' || n_parts || ')' ELSE '' END || chr(10) || body AS text FROM conv
+   UNION ALL
+   SELECT corpus, (no - 1 + (SELECT count(*) FROM conv WHERE conv.corpus = told.corpus))::INT, -no, 'broadcast', merged::INT, 1, 1, {_WORDS.format("text")}::INT, text FROM told)"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunk")
 def conversation_chunks(spark, d):
     return conversation_chunk_rows(spark, d).select("corpus", "chunk_index", "session_id", "kind", "n_messages", "part", "n_parts", "n_tokens", "text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHUNKS} SELECT corpus, count(*) AS n_chunks, count(*) FILTER (kind = 'conversation') AS n_conversation, count(*) FILTER (kind = 'broadcast') AS n_broadcast,
+ floor(quantile_cont(n_tokens, 0.5) FILTER (kind = 'conversation'))::BIGINT AS median_tokens, max(n_tokens) FILTER (kind = 'conversation')::BIGINT AS max_tokens, count(*) FILTER (kind = 'conversation' AND n_tokens > 152) AS n_over FROM chunk GROUP BY corpus""")
 def chunk_report(spark, d):
     return C.chunk_report(conversation_chunk_rows(spark, d), 152)
 
 
-@query("SELECT '' AS corpus, 0::BIGINT AS n, 0::BIGINT AS most WHERE false")
-def uneven_corpora(spark, d):
-    return C.uneven_corpora(conversation_chunk_rows(spark, d))
-
-
 _WINDOWS = r"""w AS (SELECT doc_id, lang, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS words FROM documents),
  v AS (SELECT doc_id, lang, words, unnest(range(0, greatest(0, ceil((len(words) - 256) / 192.0)::BIGINT) + 1))::INT AS chunk_index FROM w WHERE len(words) > 0),
  win AS (SELECT doc_id, lang, chunk_index, chunk_index * 192 AS token_start, least(chunk_index * 192 + 256, len(words))::INT AS token_end, array_to_string(words[chunk_index * 192 + 1:chunk_index * 192 + 256], ' ') AS chunk FROM v)"""
@@ -190,6 +233,12 @@ def input_report(spark, d):
     return E.input_report(windows(spark, d).withColumn("n_tokens", F.col("token_count")), ["lang"], 200)
 
 
+@query(f"WITH {_WINDOWS}, c AS (SELECT lang AS corpus, count(*) AS n FROM win GROUP BY lang) SELECT corpus, n, (SELECT max(n) FROM c) AS most FROM c WHERE n < (SELECT max(n) FROM c)")
+def uneven_corpora(spark, d):
+    """Windows of the documents' languages, which do differ in number."""
+    return C.uneven_corpora(windows(spark, d).withColumn("corpus", F.col("lang")))
+
+
 @query(f"WITH t AS (SELECT conv_id, turn, {_WORDS.format('text')} AS n FROM conversations) SELECT conv_id, turn, (sum(n) OVER w - n)::BIGINT AS token_start, (sum(n) OVER w)::BIGINT AS token_end FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def token_offsets(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", T.word_count(F.col("text")).alias("n_tokens"))
