@@ -476,7 +476,14 @@ def rebuilt_texts(spark, d):
     return X.rebuilt(chat_lines(spark, d), chat_cache(spark, d), ["conv_id", "turn"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINES}, todo AS (SELECT body FROM b WHERE length(body) % 2 = 1 AND NOT {_NOISE}),
+ dealt AS (SELECT body, length(body) AS n, ('0x' || substr(md5(body), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / 20000.0)::BIGINT) FROM todo) AS shard FROM todo),
+ o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY n, body) AS r, sum(n) OVER (PARTITION BY shard ORDER BY n, body)::BIGINT AS upto FROM dealt),
+ l AS (SELECT shard, list_prepend(0, list(upto ORDER BY r)) AS sums, count(*) FILTER (n <= 300) AS together, count(*) AS total FROM o GROUP BY shard),
+ pk AS (SELECT shard, sums, together, total, -1 AS pack, 0::BIGINT AS first, 1::BIGINT AS next FROM l
+   UNION ALL
+   SELECT shard, sums, together, total, pack + 1, next, CASE WHEN next > together THEN next + 1 ELSE greatest(next + 1, least(next + 8, together + 1, len(list_filter(sums, lambda x: x <= sums[next] + 1200)))) END FROM pk WHERE next <= total)
+ SELECT body, shard::INT AS shard, pack, (r - first + 1)::INT AS no FROM o JOIN pk USING (shard) WHERE r >= first AND r < next AND pack >= 0""")
 def translation_packs(spark, d):
     todo = X.work_list(X.bodies(chat_lines(spark, d)), chat_cache(spark, d))
     return X.packs(todo, X.shards_for(todo))
