@@ -261,8 +261,9 @@ def vectors(spark, d):
 def top_rows(spark, d, mode: str = "dense"):
     rows = vectors(spark, d)
     if mode != "dense":
-        tokens = F.array(F.concat(F.lit("l"), "tag"), F.concat(F.lit("m"), F.col("chunk_index") % 7))
-        rows = rows.withColumn("tokens", tokens).withColumn("weights", F.array(F.lit(0.5), F.lit(0.25)))
+        texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_index"), "text")
+        weights = E.sparse_vectors(E.token_weights(texts, ["chunk_index"], F.col("text")), ["chunk_index"])
+        rows = rows.join(R.as_arrays(weights, ["chunk_index"]), "chunk_index")  # vectors whose number is a document's, by its text
     return R.top_k(rows.filter("qid % 100 = 0"), rows, 10, mode)
 
 
@@ -271,8 +272,11 @@ def dense_top10(spark, d):
     return top_rows(spark, d).withColumn("score", F.round("score", 6))
 
 
-_HYBRID = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
- s AS (SELECT q.vec_id AS qid, c.label::VARCHAR AS tag, c.vec_id AS chunk_index, round({dense} + {w} * (CASE WHEN q.label = c.label THEN 0.25 ELSE 0 END + CASE WHEN q.vec_id % 7 = c.vec_id % 7 THEN 0.0625 ELSE 0 END), 12) AS score FROM v q, v c WHERE q.vec_id % 100 = 0)
+_HYBRID = r"""WITH tok AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents)),
+ sp AS (SELECT doc_id, token, max(1 / (1 + pos)::DOUBLE) AS weight FROM tok GROUP BY ALL),
+ x AS (SELECT q.doc_id AS qid, c.doc_id AS chunk_index, sum(q.weight * c.weight) AS sparse FROM sp q JOIN sp c USING (token) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+ v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (SELECT doc_id FROM sp)),
+ s AS (SELECT q.vec_id AS qid, c.label::VARCHAR AS tag, c.vec_id AS chunk_index, round({dense} + {w} * coalesce(x.sparse, 0), 12) AS score FROM v q CROSS JOIN v c LEFT JOIN x ON x.qid = q.vec_id AND x.chunk_index = c.vec_id WHERE q.vec_id % 100 = 0)
  SELECT qid, tag, chunk_index, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tag, chunk_index)::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10"""
 
 
