@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, salted_left_join, sized_join, text_of, written
+from .common import frugal, read_table, salted_left_join, sized_join, text_of, written
 from .words import in_slices
 
 GEAR = 16  # bytes that decide about a cut
@@ -62,6 +62,7 @@ def chunks(data: bytes, mean: int = MEAN) -> list[bytes]:
 def recipes(docs: DataFrame, mean: int = MEAN, id_bytes: int = 16) -> DataFrame:
     """doc_id, recipe (its chunks' identifiers one after another), text_sha256."""
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in in_slices(b.column(1)):
@@ -74,6 +75,7 @@ def recipes(docs: DataFrame, mean: int = MEAN, id_bytes: int = 16) -> DataFrame:
 def chunk_rows(docs: DataFrame, mean: int, id_bytes: int) -> DataFrame:
     """key (the recipe before ranks), pos, id and bytes of every chunk."""
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in in_slices(b.column(1)):

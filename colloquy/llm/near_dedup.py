@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, read_table, salted_left_join, sized_join, text_of, written
+from .common import few, frugal, read_table, salted_left_join, sized_join, text_of, written
 from .words import U, factors, in_slices, mixed, word_hashes
 
 SIMILAR = 80  # percent
@@ -111,6 +111,7 @@ def recall(similarity: float, steps: int = FIRST_STEPS) -> float:
 def sketches(docs: DataFrame, n: int) -> DataFrame:
     """row (a number of its own), doc_id, n_shingles, print (of the set), sig."""
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in in_slices(b.column(1)):
@@ -137,6 +138,7 @@ def prints_of(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def first_nodes(classes: DataFrame) -> DataFrame:
     """node, cls: where every class is after FIRST_STEPS steps."""
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cls, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
@@ -150,6 +152,7 @@ def first_nodes(classes: DataFrame) -> DataFrame:
 def next_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """One step on from node, cls."""
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -240,6 +243,7 @@ def likely_clusters(unit: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.n
 def clusters(units: DataFrame, classes: DataFrame) -> DataFrame:
     """cluster, cls of members of units (unit, cls, comp) that may link with another group. A cluster's number comes from its members."""
 
+    @frugal
     def per_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
             unit, cls, comp, n = (t.column(k).to_numpy() for k in range(4))
@@ -256,6 +260,7 @@ def clusters(units: DataFrame, classes: DataFrame) -> DataFrame:
 def with_sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """cluster, cls, shingles (8 bytes each, in order). rows: rep, print, cls, clusters; a document stands for its class if its print is the class's."""
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cluster", "cls", "shingles"]
         for b in batches:
@@ -305,6 +310,7 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
 def confirmed(rows: DataFrame) -> DataFrame:
     """cls, low: the least class that links within a cluster join each class to, if it is another."""
 
+    @frugal
     def per_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
             cluster, cls, raw = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2)

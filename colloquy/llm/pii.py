@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_of
+from .common import frugal, read_table, text_of
 
 # The kinds in their order, what may stand in each, the schemes and the cues.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
@@ -158,6 +158,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, spans (kind, start, end) of every document."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in spans(t)] if t else [] for t in b.column(1).to_pylist()]

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, sized_join, text_of, written
+from .common import frugal, read_table, sized_join, text_of, written
 from .words import U, factors, hashes, in_slices, mixed, runs_of
 
 BUCKETS = 1 << 14
@@ -81,6 +81,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def contexts(docs: DataFrame) -> DataFrame:
     """bucket, n, v: how often and the sum of its neighbours' index vectors, over all documents."""
 
+    @frugal
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
         total, n = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS, dtype=np.int64)
@@ -194,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     rows = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("double").alias("y")).filter(F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     sample = written(rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
 
+    @frugal
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in in_slices(b.column(1)):
@@ -211,6 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1)))], ["doc_id", "score"])
@@ -223,6 +226,7 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pc.filter(b, pa.array(shared.value.scores(b.column(at)) >= least))

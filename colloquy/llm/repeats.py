@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, salted_left_join, sized_join, text_of, written
+from .common import frugal, read_table, salted_left_join, sized_join, text_of, written
 from .words import U, factors, in_slices, mixed
 
 SPAN = 100
@@ -136,6 +136,7 @@ RANGE = np.dtype([("start", "<i4"), ("end", "<i4")])
 def run_rows(docs: DataFrame) -> DataFrame:
     """doc_id, start, n (starts), anchor, context, again (the context came before in the document)."""
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -291,6 +292,7 @@ def context_rows(texts: DataFrame) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["route", "doc_id", "start", "bytes"])
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
@@ -311,6 +313,7 @@ def context_rows(texts: DataFrame) -> DataFrame:
 def hot_strings(texts: DataFrame) -> DataFrame:
     """string (128 bits of hash), doc_id, start of each string of the hot contexts in `packed` (of FIRST) of each text."""
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text, first in zip(*b.columns, strict=True):
@@ -336,6 +339,7 @@ def later_strings(strings: DataFrame) -> DataFrame:
 def sorted_blocks(contexts: DataFrame) -> DataFrame:
     """doc_id, start, end of what repeats within the contexts of one route."""
 
+    @frugal
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
 
@@ -367,6 +371,7 @@ def sorted_blocks(contexts: DataFrame) -> DataFrame:
 def packed_lists(rows: DataFrame, kind: np.dtype, join: bool = False) -> DataFrame:
     """doc_id, packed: the list in column `items` of each document, in order, as bytes; ranges that touch joined if asked."""
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -421,6 +426,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, removed (ranges of bytes), kept (what is left, as bytes) of every document."""
 
+    @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):

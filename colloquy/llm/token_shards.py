@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read_table, text_of, written
+from .common import fresh_path, frugal, read_table, text_of, written
 
 # Fixed values of the file format.
 MAGIC = b"EFTOKEN1"
@@ -206,6 +206,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = None, keep_ids
     2 bytes each if the vocabulary fits, else 4). A null or empty text has none, not even the end id. cached: words that a worker remembers, 250 bytes each;
     if given, only for the length of a task."""
 
+    @frugal
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer) if cached == CACHED_WORDS else WordEncoder(tokenizer, cached)
         end = b"" if end_id is None else np.array([end_id], dtype=enc.wide).tobytes()
@@ -222,6 +223,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = None, keep_ids
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The manifest: part, seq, file, n_docs, n_ids, base (ids of all shards before it)."""
 
+    @frugal
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -264,6 +266,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of every document in the shards named in the manifest."""
 
+    @frugal
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         for b in batches:
@@ -282,6 +285,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 def shard_digests(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files; ids are digested where they are read."""
 
+    @frugal
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         for b in batches:
