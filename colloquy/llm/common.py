@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce, wraps
@@ -17,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.sources.scratch import fresh_path
+
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
@@ -24,37 +22,6 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of this process; a cluster must name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="colloquy-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return _own["dir"]
-
-
-def tables_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/colloquy-{spark.sparkContext.applicationId}"
-
-
-def remove_tables(spark: SparkSession) -> None:
-    """Delete all tables that this application has written to the shared folder. For callers that have saved their results."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 #: Bytes of rows that go to a Python worker at once while a table is written.
 ARROW_BYTES = 4 << 20
 
