@@ -9,20 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# A transport's notice line in two languages, and what ends an address that lost its at-sign.
+# A transport's notice line in two languages.
 NOTICE_LINE = r"(?imud)^[ \t]*(?:\[\d{2}:\d{2}:\d{2}\][ \t]*)?\*\*\*.*?(?:message was not sent|сообщение не было отправлено).*?$\n?"
-ADDRESS_TAIL = r"(?i)\.?q?3?mcco35auwcstmt\.(?:onion|oinon)$"
 WHITE = r"(?U)[\s\x1c-\x1f]+"
 
 
 @F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: html.unescape(html.unescape(t)) if t is not None and "&" in t else t)
+    return texts.map(lambda t: html.unescape(html.unescape(t)) if t is not None else None)
 
 
 def unescaped(c: Column) -> Column:
-    """Character references replaced twice, so that &amp;#39; becomes an apostrophe."""
-    return _unescape(c)
+    """Character references replaced twice, so that &amp;#39; becomes an apostrophe. Only texts that hold a & leave the JVM."""
+    has = c.contains("&")
+    return F.when(has, _unescape(F.when(has, c))).otherwise(c)
 
 
 def without_notices(c: Column, pattern: str = NOTICE_LINE) -> Column:
@@ -39,11 +39,11 @@ def clean_body(c: Column) -> Column:
     return one_line(without_notices(unescaped(F.coalesce(c, F.lit("")))))
 
 
-def nickname(address: Column, tail: str = ADDRESS_TAIL) -> Column:
-    """What stands before the first at-sign; without one, the address without its known tail, unless nothing is left."""
+def nickname(address: Column, tail: str | None = None) -> Column:
+    """What stands before the first at-sign; without one, the address without its tail (a pattern that the caller knows), unless nothing is left."""
     strip = lambda c: F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     a = strip(F.regexp_replace(strip(F.coalesce(address, F.lit(""))), ">+$", ""))
-    rest = strip(F.regexp_replace(a, tail, ""))
+    rest = a if tail is None else strip(F.regexp_replace(a, tail, ""))
     return F.when(F.instr(a, "@") > 0, strip(F.substring_index(a, "@", 1))).when(rest == "", a).otherwise(rest)
 
 

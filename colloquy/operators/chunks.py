@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.sources.scratch import stored
+
+from . import scan
 
 HEADER_TOKENS = 32
 Counter = Callable[[Column], Column]
+Cutter = Callable[[Column, Column, Column], Column]
 
 
 def plan_spans(tokens: np.ndarray, budget: int, overlap: int) -> list[tuple[int, int]]:
@@ -53,9 +57,11 @@ def pieces(prefix: Column, body: Column, k: Column) -> Column:
     return F.when((k <= 1) | (F.size(words) == 0), F.array(F.concat(prefix, body))).otherwise(cut)
 
 
-def conversation_chunks(sess: DataFrame, fields: dict[str, str], size: int = 512, overlap: int = 128, basis: str = "en", count: Counter = T.word_count) -> DataFrame:
+def conversation_chunks(sess: DataFrame, fields: dict[str, str], size: int = 512, overlap: int = 128, basis: str = "en", count: Counter = T.word_count, cut_up: Cutter | None = None) -> DataFrame:
     """corpus, chunk_index, session_id, kind, participants, ts_start, ts_end, n_messages, part, n_parts, n_tokens, src_rows, text.
-    sess: sid, dyad, ts, src_row, nick_from and a body column for each corpus in fields. basis: the corpus whose counts cut all, 'max' or 'each'."""
+    sess: sid, dyad, ts, src_row, nick_from and a body column for each corpus in fields. basis: the corpus whose counts cut all, 'max' or 'each'.
+    count, cut_up: a text's tokens, and its pieces of equal numbers of them; words unless others are given."""
+    cut_up = cut_up or pieces
     if overlap >= size:
         raise ValueError("the overlap must be below the chunk size")
     budget = size - HEADER_TOKENS
@@ -64,7 +70,7 @@ def conversation_chunks(sess: DataFrame, fields: dict[str, str], size: int = 512
     rows = rows.select("*", *[count(F.concat("prefix", f"b_{k}")).alias(f"t_{k}") for k in fields])
     largest = F.greatest(*[F.col(f"t_{k}") for k in fields]) if len(fields) > 1 else F.col(f"t_{next(iter(fields))}")
     by = {k: largest if basis == "max" else F.col(f"t_{k if basis == 'each' else basis}") for k in fields}
-    cut = {k: pieces(F.col("prefix"), F.col(f"b_{k}"), F.greatest(F.lit(1), F.ceil(by[k] / budget).cast("int"))) for k in fields}
+    cut = {k: cut_up(F.col("prefix"), F.col(f"b_{k}"), F.greatest(F.lit(1), F.ceil(by[k] / budget).cast("int"))) for k in fields}
     if basis == "each":
         lines = None
         for k in fields:
@@ -80,6 +86,7 @@ def conversation_chunks(sess: DataFrame, fields: dict[str, str], size: int = 512
         wide = wide.withColumn("plan", largest if basis == "max" else F.col(f"t_{basis}"))
         lines = wide.select("sid", "dyad", "ts", "src_row", "no", "piece", "plan", F.explode(F.array(*[F.struct(F.lit(k).alias("corpus"), F.col(f"l_{k}").alias("line"), F.col(f"t_{k}").alias("tokens")) for k in fields])).alias("x")).select("*", "x.*").drop("x")
     lines = lines.withColumn("pos", F.row_number().over(Window.partitionBy("corpus", "sid").orderBy("no", "piece"))).withColumn("plan_key", F.concat_ws("/", F.col("sid"), F.col("corpus")) if basis == "each" else F.col("sid").cast("string"))
+    lines = stored(lines, "lines")  # cut once, for the plan and for the texts
     items = lines if basis == "each" else lines.filter(F.col("corpus") == next(iter(fields)))
     plan = planned(items.select("plan_key", "pos", "plan"), "plan_key", "pos", "plan", budget, overlap)
     member = lines.join(plan, "plan_key").filter(F.col("pos").between(F.col("first"), F.col("last")))
@@ -88,14 +95,12 @@ def conversation_chunks(sess: DataFrame, fields: dict[str, str], size: int = 512
         F.min("ts").alias("ts_start"), F.max("ts").alias("ts_end"), F.count_distinct("no").cast("int").alias("n_messages"), (F.sum("tokens") + HEADER_TOKENS).cast("int").alias("n_tokens"),
         F.array_sort(F.collect_list(line)).alias("lines"), F.array_sort(F.collect_set(F.struct("no", "src_row"))).alias("rows"),
     )
-    # Dense numbers: chunks of the pairs before, of the pair's sessions before, and the part.
-    pair = got.groupBy("corpus", "dyad").agg(F.count("*").alias("n"))
-    before = pair.select("corpus", "dyad", (F.sum("n").over(Window.partitionBy("corpus").orderBy("dyad")) - F.col("n")).alias("before"))
-    number = F.row_number().over(Window.partitionBy("corpus", "dyad").orderBy("sid", "part")) - 1
-    got = got.withColumn("in_pair", number).join(before, ["corpus", "dyad"])
+    # Dense numbers in a corpus: sessions are numbered by pair and time.
+    got = scan.numbered(scan.in_order(got, ["corpus", "sid", "part"], "chunks"), "number")
+    got = got.join(F.broadcast(got.groupBy("corpus").agg(F.min("number").alias("begin"))), "corpus")  # one row per corpus
     head = T.chunk_header(F.col("dyad"), F.col("ts_start"), F.col("ts_end"), F.col("part"), F.col("n_parts"))
     return got.select(
-        "corpus", (F.col("before") + F.col("in_pair")).cast("int").alias("chunk_index"), F.col("sid").cast("long").alias("session_id"), F.lit("conversation").alias("kind"), F.split("dyad", r" \| ").alias("participants"),
+        "corpus", (F.col("number") - F.col("begin")).cast("int").alias("chunk_index"), F.col("sid").cast("long").alias("session_id"), F.lit("conversation").alias("kind"), F.split("dyad", r" \| ").alias("participants"),
         "ts_start", "ts_end", "n_messages", F.col("part").cast("int").alias("part"), F.col("n_parts").cast("int").alias("n_parts"), "n_tokens", F.col("rows.src_row").alias("src_rows"),
         F.concat_ws("\n", head, F.array_join("lines.line", "\n")).alias("text"),
     )
@@ -103,8 +108,7 @@ def conversation_chunks(sess: DataFrame, fields: dict[str, str], size: int = 512
 
 def broadcast_chunks(notices: DataFrame, fields: dict[str, str], count: Counter | None = T.word_count) -> DataFrame:
     """One chunk per notice and corpus, numbered 0, 1, ... in source order, sessions -1, -2, ..."""
-    number = F.row_number().over(Window.orderBy("src_row"))  # one row per notice: a few in a hundred thousand messages
-    rows = notices.withColumn("no", number).withColumn("who", F.filter("recipients", lambda x: x != ""))
+    rows = scan.numbered(scan.in_order(notices, ["src_row"], "notices"), "no").withColumn("no", F.col("no") + 1).withColumn("who", F.filter("recipients", lambda x: x != ""))
     rows = rows.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("corpus"), F.col(c).alias("b")) for k, c in fields.items()])).alias("x"))
     text = F.concat(T.notice_header(F.col("nick_from"), F.col("who"), F.col("ts")), F.lit("\n수신: "), F.array_join("who", ", "), F.lit("\n"), F.col("nick_from"), F.lit(": "), F.col("x.b"))
     rows = rows.withColumn("text", text)
@@ -135,8 +139,8 @@ def uneven_corpora(chunks: DataFrame) -> DataFrame:
     return n.join(n.agg(F.max("n").alias("most")), F.col("n") < F.col("most")).select("corpus", "n", "most")
 
 
-def sliding_windows(docs: DataFrame, tokens: Column, size: int = 512, overlap: int = 128) -> DataFrame:
-    """docs with chunk_index, token_start, token_end, token_count, text: windows of `size` tokens every size - overlap, the last one the
+def sliding_windows(docs: DataFrame, tokens: Column, size: int = 512, overlap: int = 128, text: Counter = lambda part: F.array_join(part, " ")) -> DataFrame:
+    """docs with chunk_index, token_start, token_end, token_count, chunk (by `text`, of its tokens): windows of `size` tokens every size - overlap, the last one the
     first that reaches the end. Their number has a closed form, so rows are made without state."""
     if overlap >= size:
         raise ValueError("the overlap must be below the chunk size")
@@ -145,6 +149,6 @@ def sliding_windows(docs: DataFrame, tokens: Column, size: int = 512, overlap: i
     rows = docs.withColumn("__t", tokens).filter(F.size("__t") > 0).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), n)))
     start = F.col("chunk_index") * step
     part = F.slice("__t", start + 1, size)
-    return rows.select(*docs.columns, "chunk_index", start.alias("token_start"), (start + F.size(part)).alias("token_end"), F.size(part).alias("token_count"), F.array_join(part, " ").alias("chunk"))
+    return rows.select(*docs.columns, "chunk_index", start.alias("token_start"), (start + F.size(part)).alias("token_end"), F.size(part).alias("token_count"), text(part).alias("chunk"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.sources.scratch import stored
+
+from . import scan
+from .joins import text_key
 
 MIRROR_SECONDS = 10
 NOTICE_GAP_SECONDS = 600
@@ -21,25 +25,42 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (micros(later) - micros(earlier)) / 1e6
 
 
-def first_of_mirrored(df: DataFrame, keys: list[str], ts: str, order: str, seconds: int = MIRROR_SECONDS) -> DataFrame:
-    """df with `mirrored`: another row of the same keys came before it, by `order`, in the same bucket of time."""
-    bucket = F.floor(micros(F.col(ts)) / (seconds * 1_000_000))
-    return df.withColumn("mirrored", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(order)) > 1)
+def _keyed(df: DataFrame, keys: list[str], text: str | None) -> tuple[DataFrame, list[str]]:
+    """df, and the columns to deal it by: a text goes by its key; scans compare the texts themselves besides."""
+    if text is None:
+        return df, keys
+    return df.withColumn("__body", text_key(F.col(text))), [*keys, "__body"]
+
+
+def first_of_mirrored(df: DataFrame, keys: list[str], ts: str, order: str, seconds: int = MIRROR_SECONDS, text: str | None = None) -> DataFrame:
+    """df with `mirrored`: another row of the same keys, and the same text if one is named, came before it, by `order`, in the same
+    bucket of time. A scan over all rows in order of keys, bucket and `order`."""
+    rows, by = _keyed(df, keys, text)
+    rows = scan.in_order(rows.withColumn("__bucket", F.floor(micros(F.col(ts)) / (seconds * 1_000_000))), [*by, "__bucket", order], "mirrored")
+    got = scan.begun(rows, F.struct(*by, "__bucket"), lambda now, was: ~now.eqNullSafe(was), "__new", text=text)
+    return got.withColumn("mirrored", ~F.col("__new")).select(*df.columns, "mirrored")
+
 
+def with_runs(df: DataFrame, keys: list[str], ts: str, order: str, gap_seconds: float, text: str | None = None) -> DataFrame:
+    """df with `run`: 1, 2, ... over all rows in order of keys and time; another key, or a gap above gap_seconds, begins a new one; and
+    `begins`, whether a row is the first of its run. A key with a third of all rows is spread like any other."""
+    rows, by = _keyed(df, keys, text)
+    rows = scan.in_order(rows, [*by, ts, order], "runs")
 
-def with_runs(df: DataFrame, keys: list[str], ts: str, order: str, gap_seconds: float) -> DataFrame:
-    """df with `run`: numbered by time within the keys; a gap above gap_seconds begins a new one."""
-    w = Window.partitionBy(*keys).orderBy(ts, order)
-    begins = F.coalesce((seconds_between(F.col(ts), F.lag(ts).over(w)) > gap_seconds).cast("int"), F.lit(1))
-    return df.withColumn("__begins", begins).withColumn("run", F.sum("__begins").over(w)).drop("__begins")
+    def begins(now: Column, was: Column) -> Column:
+        same = now.keys.eqNullSafe(was.keys)
+        return ~same | F.coalesce((now.at - was.at) / 1e6 > gap_seconds, F.lit(True))
 
+    got = scan.begun(rows, F.struct(F.struct(*by).alias("keys"), micros(F.col(ts)).alias("at")), begins, "begins", text=text)
+    return got.select(*df.columns, F.col("begins_no").alias("run"), "begins")
 
-def folded_notices(df: DataFrame, keys: list[str], receiver: str, ts: str, order: str, gap_seconds: float = NOTICE_GAP_SECONDS, least: int = NOTICE_RECEIVERS) -> DataFrame:
+
+def folded_notices(df: DataFrame, keys: list[str], receiver: str, ts: str, order: str, gap_seconds: float = NOTICE_GAP_SECONDS, least: int = NOTICE_RECEIVERS, text: str | None = None) -> DataFrame:
     """df with kind, recipients, merged_rows and `folded`: in a run that reaches `least` receivers all rows but the earliest fold into it."""
-    runs = with_runs(df, keys, ts, order, gap_seconds)
-    per = runs.groupBy(*keys, "run").agg(F.array_sort(F.collect_set(receiver)).alias("recipients"), F.array_sort(F.collect_list(order)).alias("merged_rows")).filter(F.size("recipients") >= least)
-    first = F.row_number().over(Window.partitionBy(*keys, "run").orderBy(ts, order)) == 1
-    rows = runs.withColumn("__first", first).join(per, [*keys, "run"], "left")
+    runs = stored(with_runs(df, keys, ts, order, gap_seconds, text), "notice-runs")
+    many = runs.groupBy("run").agg(F.count_distinct(receiver).alias("n")).filter(F.col("n") >= least).select("run")
+    per = runs.join(many, "run", "left_semi").groupBy("run").agg(F.array_sort(F.collect_set(receiver)).alias("recipients"), F.array_sort(F.collect_list(order)).alias("merged_rows"))
+    rows = runs.join(per, "run", "left")
     mass = F.col("recipients").isNotNull()
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     return rows.select(
@@ -47,29 +68,31 @@ def folded_notices(df: DataFrame, keys: list[str], receiver: str, ts: str, order
         F.when(mass, "broadcast").otherwise("conversation").alias("kind"),
         none("recipients", "array<string>").alias("recipients"),
         none("merged_rows", "array<bigint>").alias("merged_rows"),
-        (mass & ~F.col("__first")).alias("folded"),
+        (mass & ~F.col("begins")).alias("folded"),
     )
 
 
-def prepared(raw: DataFrame) -> DataFrame:
-    """raw: src_row, ts, from, to, body, body_en. One projection: clean bodies, names, pair, and why a row goes."""
-    rows = raw.select("src_row", "ts", T.nickname(F.col("from")).alias("nick_from"), T.nickname(F.col("to")).alias("nick_to"), T.clean_body(F.col("body")).alias("body"), T.clean_body(F.col("body_en")).alias("body_en"), T.is_group_room(F.col("from"), F.col("to")).alias("room"))
+def prepared(raw: DataFrame, tail: str | None = None) -> DataFrame:
+    """raw: src_row, ts, from, to, body, body_en. One projection: clean bodies, names, pair, and why a row goes. tail: of addresses without an at-sign."""
+    name = lambda c: T.nickname(F.col(c), tail)
+    rows = raw.select("src_row", "ts", name("from").alias("nick_from"), name("to").alias("nick_to"), T.clean_body(F.col("body")).alias("body"), T.clean_body(F.col("body_en")).alias("body_en"), T.is_group_room(F.col("from"), F.col("to")).alias("room"))
     empty = (F.col("body") == "") | (F.col("body_en") == "")
     return rows.withColumn("dyad", T.pair_key(F.col("nick_from"), F.col("nick_to"))).withColumn("step", F.when(F.col("room"), "room").when(empty, "empty").otherwise("kept")).drop("room")
 
 
-def flagged(raw: DataFrame) -> DataFrame:
-    """Every row with its step: room, empty, mirrored, folded or kept; later steps see only what earlier ones kept."""
-    rows = prepared(raw)
-    live = first_of_mirrored(rows.filter("step = 'kept'"), ["dyad", "body"], "ts", "src_row")
-    notices = folded_notices(live.filter(~F.col("mirrored")).drop("mirrored"), ["nick_from", "body"], "nick_to", "ts", "src_row")
+def flagged(raw: DataFrame, tail: str | None = None) -> DataFrame:
+    """Every row with its step: room, empty, mirrored, folded or kept; later steps see only what earlier ones kept. The input is
+    read and decoded once, into a table."""
+    rows = stored(prepared(raw, tail), "prepared")
+    live = stored(first_of_mirrored(rows.filter("step = 'kept'"), ["dyad"], "ts", "src_row", text="body"), "live")
+    notices = folded_notices(live.filter(~F.col("mirrored")).drop("mirrored"), ["nick_from"], "nick_to", "ts", "src_row", text="body")
     notices = notices.withColumn("step", F.when(F.col("folded"), "folded").otherwise("kept")).drop("folded")
     gone = rows.filter("step <> 'kept'").unionByName(live.filter("mirrored").withColumn("step", F.lit("mirrored")).drop("mirrored"))
     return notices.unionByName(gone, allowMissingColumns=True)
 
 
-def clean(raw: DataFrame) -> DataFrame:
-    return kept(flagged(raw))
+def clean(raw: DataFrame, tail: str | None = None) -> DataFrame:
+    return kept(flagged(raw, tail))
 
 
 def kept(flags: DataFrame) -> DataFrame:
@@ -78,11 +101,16 @@ def kept(flags: DataFrame) -> DataFrame:
     return rows.select("src_row", "ts", "nick_from", "nick_to", "dyad", "body", "body_en", "kind", "recipients", "merged_rows")
 
 
+def counts() -> list[Column]:
+    """How many flagged rows each step took and what is left."""
+    step, kind = F.col("step"), F.col("kind")
+    took = [F.count_if(step == s).alias(f"n_{s}") for s in ("room", "empty", "mirrored", "folded")]
+    return [F.count(F.lit(1)).alias("n_input"), *took, *(F.count_if((step == "kept") & (kind == k)).alias(f"n_{k}") for k in ("conversation", "broadcast"))]
+
+
 def accounting(flags: DataFrame) -> DataFrame:
     """One row: how many rows each step took and what is left."""
-    n = lambda c: F.count_if(c)
-    step = F.col("step")
-    return flags.agg(F.count("*").alias("n_input"), n(step == "room").alias("n_room"), n(step == "empty").alias("n_empty"), n(step == "mirrored").alias("n_mirrored"), n(step == "folded").alias("n_folded"), n((step == "kept") & (F.col("kind") == "conversation")).alias("n_conversation"), n((step == "kept") & (F.col("kind") == "broadcast")).alias("n_broadcast"))
+    return flags.agg(*counts())
 
 
 def profile(raw: DataFrame, sender: str = "from", receiver: str = "to") -> DataFrame:

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
 def hashing_encoder(dim: int = 64, seed: int = 0) -> Encoder:
-    """The offline default: words by sign and place of their hash, of unit length."""
+    """The offline default: words by sign and place of their hash (the first 32 bits of MD5 of seed, colon and word), of unit length."""
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float32)
+        known: dict[str, int] = {}
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = zlib.crc32(w.encode(), seed)
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = int(hashlib.md5(f"{seed}:{w}".encode()).hexdigest()[:8], 16)
                 out[i, h % dim] += 1.0 if h & 0x80000000 else -1.0
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
@@ -45,6 +49,22 @@ def dense_vectors(df: DataFrame, text: str, model: str = "hash-a", make: Callabl
     return df.mapInPandas(per_task, schema)
 
 
+def encoded(df: DataFrame, text: str = "text", model: str = "model") -> DataFrame:
+    """df with embedding, each row by the encoder that its column `model` names, in one pass; an encoder is made once per task."""
+    schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))])
+    makers = dict(ENCODERS)
+
+    def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict[str, Encoder] = {}
+        for b in batches:
+            for name, rows in b.groupby(model, sort=False):
+                if name not in made:
+                    made[name] = makers[name]()
+                yield rows.assign(embedding=list(made[name](rows[text].fillna("").tolist())))
+
+    return df.mapInPandas(per_task, schema)
+
+
 def unit(vector: Column) -> Column:
     """Divided by its length, at least 1e-12; in doubles."""
     v = F.transform(vector, lambda x: x.cast("double"))
@@ -66,6 +86,31 @@ def sparse_vectors(weights: DataFrame, ids: list[str], special: list[str] | None
     return rows.groupBy(*ids, "token").agg(F.max("weight").alias("weight"))
 
 
+def sparse_arrays(df: DataFrame, text: str = "text") -> DataFrame:
+    """df without its text, with tokens and weights (arrays): what sparse_vectors has of token_weights, each text by itself and without a shuffle.
+    A word weighs most where it comes first."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    rows = df.withColumn("tokens", words).drop(text)
+    schema = StructType([*rows.schema.fields, StructField("weights", ArrayType(DoubleType()))])
+    place = rows.columns.index("tokens")
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(place)
+            lengths, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+            begins = np.cumsum(lengths) - lengths
+            row = np.repeat(np.arange(b.num_rows), lengths)
+            code = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.sort(np.unique(row * (int(code.max()) + 1 if len(code) else 1) + code, return_index=True)[1])
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(row[first], minlength=b.num_rows))), pa.int32())
+            columns = [*b.columns]
+            columns[place] = pa.ListArray.from_arrays(ends, flat.take(pa.array(first)))
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(1 / (1 + first - begins[row[first]]), pa.float64())))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.mapInArrow(per_batch, schema)
+
+
 def token_offsets(chunks: DataFrame, tag: str = "tag", order: str = "chunk_index", count: str = "n_tokens") -> DataFrame:
     """token_start and token_end: running sums within a document."""
     upto = F.sum(count).over(Window.partitionBy(tag).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

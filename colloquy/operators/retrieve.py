@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Questions scored in one pass; more are scored in further passes, so what goes to the tasks is bounded.
-QUESTIONS_A_PASS = 4096
+from colloquy.sources.scratch import stored
+
+from .joins import sized_join
+
+QUESTIONS = 1024  # in a packed row
+CHUNKS = 2048
+POSTINGS = 4_000_000  # products of weights held at once
 WEIGHT = 0.3
 
 
@@ -31,65 +36,143 @@ def question_pools(questions: DataFrame, scope: str, tag: str = "tag") -> DataFr
     return questions.withColumn("pool_key", F.col(tag) if scope == "doc" else F.lit("__all__"))
 
 
-def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "dense", weight: float = WEIGHT) -> DataFrame:
-    """qid, tag, chunk_index, score, rank, n_candidates of each question's k best candidates; ties go by tag and chunk_index.
+def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "dense", weight: float = WEIGHT, digits: int = 12) -> DataFrame:
+    """qid, tag, chunk_index, score, rank, n_candidates of each question's k best candidates; ties (of scores rounded to `digits`) go by
+    tag and chunk_index.
 
     questions: qid, pool_key, embedding and, unless dense, tokens and weights (arrays). chunks: pool_key, tag, chunk_index and the
-    same. A pass takes QUESTIONS_A_PASS questions to the tasks, which score a batch of chunks as one matrix, keep k per
-    question and batch, and send only those on. The score matrix is never stored, and chunks never move before their top k.
+    same. A null embedding counts as zeros, null tokens as none. Both sides are packed into rows of many: a row of questions meets
+    the rows of chunks in its pool, by a broadcast if all questions are few, else by a shuffled join that AQE may split; each
+    meeting is one matrix of scores, of which only k a question go on. Chunks are packed where they lie and don't move before
+    that, and the driver holds nothing of either side.
     """
     if mode not in ("dense", "sparse", "hybrid"):
         raise ValueError(mode)
-    columns = ["qid", "pool_key", *(["embedding"] if mode != "sparse" else []), *(["tokens", "weights"] if mode != "dense" else [])]
-    n = questions.count()
-    blocks = max(1, -(-n // QUESTIONS_A_PASS))
-    out = None
-    for block in range(blocks):
-        part = questions.select(*columns).filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).orderBy("qid").toPandas()
-        got = _top_k_of(part, dict(questions.dtypes)["qid"], chunks.select("tag", "chunk_index", *columns[1:]), k, mode, weight)
-        out = got if out is None else out.unionByName(got)
+    columns = [*(["embedding"] if mode != "sparse" else []), *(["tokens", "weights"] if mode != "dense" else [])]
+    asked = questions.select("qid", "pool_key", *columns)
+    packs = max(1, -(-asked.count() // QUESTIONS))
+    asked = stored(packed(asked.repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_"), "questions")
+    rows = packed(chunks.select("pool_key", "tag", "chunk_index", *columns), ["tag", "chunk_index"], columns, CHUNKS, "c_")
+    met = sized_join(rows, asked, ["pool_key"], "inner")
+    scale = 1.0 if mode == "sparse" else weight
+    at = {c: i for i, c in enumerate(met.columns)}
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(j)[i] for c, j in at.items()}
+                nq, nc = len(row["q_qid"]), len(row["c_tag"])
+                scores = np.zeros((nq, nc))
+                if mode != "sparse":
+                    q, c = matrix(row["q_dense"], nq), matrix(row["c_dense"], nc)
+                    if q.shape[1] and c.shape[1]:  # else one side has no vector at all
+                        scores += q @ c.T
+                if mode != "dense":
+                    scores += scale * shared_weights(row, nq, nc)
+                q, c, best = best_of(np.round(scores, digits), k)
+                yield pa.RecordBatch.from_arrays([row["q_qid"].values.take(pa.array(q)), pa.array([row["pool_key"].as_py()] * len(q), pa.string()), row["c_tag"].values.take(pa.array(c)), row["c_chunk_index"].values.take(pa.array(c)), pa.array(best)], ["qid", "pool_key", "tag", "chunk_index", "score"])
+
+    kinds = {"qid": dict(questions.dtypes)["qid"], **{c: dict(chunks.dtypes)[c] for c in ("tag", "chunk_index")}}
+    out = met.mapInArrow(per_batch, f"qid {kinds['qid']}, pool_key string, tag {kinds['tag']}, chunk_index {kinds['chunk_index']}, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "tag", "chunk_index")
     sizes = chunks.groupBy("pool_key").agg(F.count("*").alias("n_candidates"))
     ranked = out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.join(sizes, "pool_key").select("qid", "tag", "chunk_index", "score", "rank", "n_candidates")
 
 
-def _top_k_of(part: pd.DataFrame, qid: str, chunks: DataFrame, k: int, mode: str, weight: float) -> DataFrame:
-    by_pool = {key: g.index.to_numpy() for key, g in part.groupby("pool_key")}
-    qids = part.qid.tolist()
-    dense = np.array(part.embedding.tolist(), dtype=float) if mode != "sparse" else None
-    postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-    if mode != "dense":
-        for i, (tokens, weights) in enumerate(zip(part.tokens, part.weights, strict=True)):
-            for t, w in zip(tokens, weights, strict=True):
-                postings[t].append((i, w))
-        postings = dict(postings)
-    scale = 1.0 if mode == "sparse" else weight
+def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefix: str) -> DataFrame:
+    """Rows of up to `size` rows of one pool that lie together, in order of their ids: pool_key; the ids as arrays; vectors as one matrix (`dense`); words as
+    one list (`tokens`) with `weights` and, in `ends`, where each row's words end."""
+    kinds = dict(rows.dtypes)
+    schema = ["pool_key string", *(f"{prefix}{c} array<{kinds[c]}>" for c in ids), *([f"{prefix}dense binary"] if "embedding" in columns else []), *([f"{prefix}tokens array<string>", f"{prefix}weights binary", f"{prefix}ends binary"] if "tokens" in columns else [])]
 
-    def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, g in b.groupby("pool_key"):
-                rows = by_pool.get(key)
-                if rows is None:
-                    continue
-                g = g.sort_values(["tag", "chunk_index"], ignore_index=True)
-                scores = np.zeros((len(rows), len(g)))
-                if dense is not None:
-                    scores += dense[rows] @ np.array(g.embedding.tolist(), dtype=float).T
-                if mode != "dense":
-                    at = {q: i for i, q in enumerate(rows.tolist())}
-                    for c, (tokens, weights) in enumerate(zip(g.tokens, g.weights, strict=True)):
-                        for t, w in zip(tokens, weights, strict=True):
-                            for q, qw in postings.get(t, ()):
-                                if q in at:
-                                    scores[at[q], c] += scale * qw * w
-                best = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
-                i = np.repeat(np.arange(len(rows)), best.shape[1])
-                c = best.ravel()
-                yield pd.DataFrame({"qid": [qids[q] for q in rows[i]], "pool_key": key, "tag": g.tag.to_numpy()[c], "chunk_index": g.chunk_index.to_numpy()[c], "score": np.round(scores[i, c], 12)})
-
-    kinds = dict(chunks.dtypes)
-    return chunks.mapInPandas(per_task, f"qid {qid}, pool_key string, tag {kinds['tag']}, chunk_index {kinds['chunk_index']}, score double")
+            table = pa.Table.from_batches([b]).sort_by([("pool_key", "ascending"), *((c, "ascending") for c in ids)]).combine_chunks()
+            pool = table["pool_key"].combine_chunks().dictionary_encode()
+            key = pool.indices.to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            cuts = [(i, min(j, i + size)) for a, j in zip(edges, edges[1:], strict=False) for i in range(a, j, size)]
+            for i, j in cuts:
+                part = table.slice(i, j - i)
+                out = [pa.array([part["pool_key"][0].as_py()], pa.string())]
+                for c in ids:
+                    x = part[c].combine_chunks()
+                    out.append(pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x))
+                if "embedding" in columns:
+                    out.append(pa.array([dense_of(part["embedding"].combine_chunks()).tobytes()], pa.binary()))
+                if "tokens" in columns:
+                    words, weights = part["tokens"].combine_chunks(), part["weights"].combine_chunks()
+                    ends = np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+                    flat = words.flatten()
+                    out += [pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), pa.array([weights.flatten().to_numpy(zero_copy_only=False).astype(float).tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, [c.split(" ")[0] for c in schema])
+
+    return rows.mapInArrow(per_batch, ", ".join(schema))
+
+
+def dense_of(vectors: pa.ListArray) -> np.ndarray:
+    """A matrix of vectors of one length; zeros for null."""
+    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    dim = int(lengths.max()) if len(lengths) else 0
+    out = np.zeros((len(vectors), dim))
+    if dim:
+        if not np.isin(lengths, (0, dim)).all():
+            raise ValueError("vectors of one table differ in length")
+        out[lengths == dim] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return out
+
+
+def matrix(packed_rows: pa.Scalar, n: int) -> np.ndarray:
+    x = np.frombuffer(packed_rows.as_py(), float)
+    return x.reshape(n, -1)
+
+
+def shared_weights(row: dict[str, pa.Scalar], nq: int, nc: int) -> np.ndarray:
+    """Sums of products of the weights of words that a question and a chunk share. The questions' words are postings in arrays: one
+    list of (question, weight) by word, so each word of a chunk that some question has adds a slice of it."""
+    words = row["q_tokens"].values
+    out = np.zeros(nq * nc)
+    if not len(words) or not len(row["c_tokens"].values):
+        return out.reshape(nq, nc)
+    coded = words.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    of = np.repeat(np.arange(nq), np.diff(np.frombuffer(row["q_ends"].as_py(), np.int64), prepend=0))[order]
+    weights = np.frombuffer(row["q_weights"].as_py(), float)[order]
+    begins = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+    found = pc.index_in(row["c_tokens"].values, value_set=coded.dictionary)
+    at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+    word = found.fill_null(0).to_numpy(zero_copy_only=False)[at]
+    chunk = np.repeat(np.arange(nc), np.diff(np.frombuffer(row["c_ends"].as_py(), np.int64), prepend=0))[at]
+    own = np.frombuffer(row["c_weights"].as_py(), float)[at]
+    n = np.diff(begins)[word]
+    upto = np.cumsum(n)
+    step = 0
+    while step < len(n):  # postings of about POSTINGS entries at a time
+        end = max(step + 1, int(np.searchsorted(upto, (upto[step - 1] if step else 0) + POSTINGS, side="right")))
+        m = n[step:end]
+        place = np.repeat(begins[word[step:end]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        cell = of[place] * nc + np.repeat(chunk[step:end], m)
+        out += np.bincount(cell, np.repeat(own[step:end], m) * weights[place], nq * nc)
+        step = end
+    return out.reshape(nq, nc)
+
+
+def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k largest of each row, the first columns of equals."""
+    n = scores.shape[1]
+    if n > k:
+        least = np.partition(scores, n - k, axis=1)[:, n - k]
+        row, col = np.nonzero(scores >= least[:, None])
+    else:
+        row, col = np.divmod(np.arange(scores.size), n)
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    row, col = row[keep], col[keep]
+    return row, col, scores[row, col]
 
 
 def as_arrays(sparse: DataFrame, ids: list[str]) -> DataFrame:
@@ -99,9 +182,24 @@ def as_arrays(sparse: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def sparse_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """qid, tag, chunk_index, sparse: products summed over shared tokens of a pool. questions: qid, pool_key, token, weight."""
-    pairs = chunks.withColumnRenamed("weight", "w").join(questions.select("qid", "pool_key", "token", F.col("weight").alias("qw")), ["pool_key", "token"])
-    return pairs.groupBy("qid", "tag", "chunk_index").agg(F.sum(F.col("w") * F.col("qw")).alias("sparse"))
+    """qid, tag, chunk_index, sparse of each question and each chunk of its pool that share a word. questions: qid, pool_key, tokens, weights
+    (arrays); chunks: pool_key, tag, chunk_index and the same. A sum is whole where it is made: nothing of it is shuffled."""
+    columns = ["tokens", "weights"]
+    packs = max(1, -(-questions.count() // QUESTIONS))
+    asked = stored(packed(questions.select("qid", "pool_key", *columns).repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_"), "questions")
+    met = sized_join(packed(chunks.select("pool_key", "tag", "chunk_index", *columns), ["tag", "chunk_index"], columns, CHUNKS, "c_"), asked, ["pool_key"], "inner")
+    at = {c: i for i, c in enumerate(met.columns)}
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(j)[i] for c, j in at.items()}
+                scores = shared_weights(row, len(row["q_qid"]), len(row["c_tag"]))
+                q, c = np.nonzero(scores)
+                yield pa.RecordBatch.from_arrays([row["q_qid"].values.take(pa.array(q)), row["c_tag"].values.take(pa.array(c)), row["c_chunk_index"].values.take(pa.array(c)), pa.array(scores[q, c])], ["qid", "tag", "chunk_index", "sparse"])
+
+    kinds = dict(chunks.dtypes)
+    return met.mapInArrow(per_batch, f"qid {dict(questions.dtypes)['qid']}, tag {kinds['tag']}, chunk_index {kinds['chunk_index']}, sparse double")
 
 
 def with_neighbours(chunks: DataFrame, condition: Column, n: int = 0, tag: str = "tag", order: str = "chunk_index") -> DataFrame:
@@ -128,6 +226,13 @@ def chunk_filter(speaker: str | None = None, recipient: str | None = None, pair:
     return out & F.col("text").contains(keyword) if keyword is not None else out
 
 
-def one_dimension(sparse_dims: DataFrame) -> DataFrame:
-    """Vector tables whose vocabulary size isn't the common one; stacking needs there to be none."""
-    return sparse_dims.select("sparse_dim").distinct().agg(F.count("*").alias("n_dims")).filter("n_dims > 1")
+def uneven_dimensions(vectors: DataFrame, by: str = "model", vector: str = "embedding") -> DataFrame:
+    """Models whose vectors differ in length, with the least and the greatest; stacking needs there to be none."""
+    sizes = vectors.filter(F.col(vector).isNotNull()).groupBy(by).agg(F.min(F.size(vector)).alias("least"), F.max(F.size(vector)).alias("greatest"))
+    return sizes.filter("least < greatest")
+
+
+def check_dimensions(vectors: DataFrame, by: str = "model", vector: str = "embedding") -> None:
+    bad = uneven_dimensions(vectors, by, vector).limit(5).collect()
+    if bad:
+        raise ValueError(f"vectors of one model differ in length: {[tuple(r) for r in bad]}")

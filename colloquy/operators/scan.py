@@ -51,12 +51,14 @@ def _own_order() -> Any:
     return Window.partitionBy(RANGE).orderBy(PLACE)
 
 
-def begun(rows: DataFrame, now: Column, begins: Callable[[Column, Column], Column], name: str) -> DataFrame:
+def begun(rows: DataFrame, now: Column, begins: Callable[[Column, Column], Column], name: str, text: str | None = None) -> DataFrame:
     """rows of in_order with `name`: whether begins(now, what it was in the row before) holds, and `name`_no, how often it held so far.
-    The first of all rows begins. now: a struct of what is compared; null never equals what it isn't null-safe against."""
+    The first of all rows begins. now: a struct of what is compared, without texts, since the edges of ranges go through the driver.
+    text: a column that `now` has a hash of; where the text itself differs from the row before, a row begins too."""
     w = _own_order()
-    slim = rows.select(RANGE, PLACE, now.alias("now")).withColumn("before", F.lag("now").over(w))
-    inside = F.col("before").isNotNull() & F.coalesce(begins(F.col("now"), F.col("before")), F.lit(True))
+    differs = F.lit(False) if text is None else ~F.col(text).eqNullSafe(F.lag(text).over(w))
+    slim = rows.select(RANGE, PLACE, now.alias("now"), *([text] if text else [])).withColumn("before", F.lag("now").over(w)).withColumn("differs", differs)
+    inside = F.col("before").isNotNull() & (F.coalesce(begins(F.col("now"), F.col("before")), F.lit(True)) | F.col("differs"))
     edges = slim.groupBy(RANGE).agg(F.min_by("now", PLACE).alias("first"), F.max_by("now", PLACE).alias("last"), F.count_if(inside).alias("n"))
     kind = next(f.dataType for f in slim.schema.fields if f.name == "now")
     ends = sorted(edges.select(RANGE, "last", "n", F.lit(False).alias("b"), "first").collect(), key=lambda r: r[RANGE])  # one row a range
@@ -69,8 +71,8 @@ def begun(rows: DataFrame, now: Column, begins: Callable[[Column, Column], Colum
         first = begin_at.get(r[RANGE], True)
         out.append((r[RANGE], first, sofar + first))
         sofar += first + r.n
-    got = _sent(rows.withColumn("__now", now), out, "__first boolean, __upto long").withColumn("__was", F.lag("__now").over(w))
-    here = F.when(F.col("__was").isNull(), F.col("__first")).otherwise(F.coalesce(begins(F.col("__now"), F.col("__was")), F.lit(True)))
+    got = _sent(rows.withColumn("__now", now), out, "__first boolean, __upto long").withColumn("__was", F.lag("__now").over(w)).withColumn("__differs", differs)
+    here = F.when(F.col("__was").isNull(), F.col("__first")).otherwise(F.coalesce(begins(F.col("__now"), F.col("__was")), F.lit(True)) | F.col("__differs"))
     got = got.withColumn(name, here)
     later = F.sum((F.col(name) & F.col("__was").isNotNull()).cast("long")).over(w)
-    return got.withColumn(f"{name}_no", F.col("__upto") + later).drop("__now", "__was", "__first", "__upto")
+    return got.withColumn(f"{name}_no", F.col("__upto") + later).drop("__now", "__was", "__first", "__upto", "__differs")

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clean import with_runs
 
 
 def sessions(df: DataFrame, key: str = "dyad", ts: str = "ts", order: str = "src_row", gap_seconds: float = 3600) -> DataFrame:
-    """df with sid: 1, 2, ... in order of key and time. A window per key; the ids of a key follow the counts of the keys before it,
-    which are added up over one row per key."""
-    rows = with_runs(df, [key], ts, order, gap_seconds)
-    counts = rows.groupBy(key).agg(F.max("run").alias("n"))
-    before = counts.select(key, (F.sum("n").over(Window.orderBy(F.col(key).asc_nulls_first())) - F.col("n")).alias("__before"))
-    return rows.join(before, key).withColumn("sid", F.col("run") + F.col("__before")).drop("run", "__before")
+    """df with sid: 1, 2, ... in order of key and time, by a scan over all rows in that order; no key's rows are one task's."""
+    return with_runs(df, [key], ts, order, gap_seconds).withColumnRenamed("run", "sid").drop("begins")
 
 
 def mixed_sessions(df: DataFrame, key: str = "dyad") -> DataFrame:

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.sources.scratch import stored
+
+from .joins import distinct_texts, join_texts
+
 # How lines of chunks and of a model's answers look, and what is not worth translating.
 RAW_PREFIXES = ("수신: ", "[대화] ", "[공지] ")
 MESSAGE = r"(?d)^(?:(\d{2}:\d{2}) )?([^:]{1,40}): (.*)$"
@@ -46,7 +50,8 @@ def lines_of(chunks: DataFrame, ids: list[str], text: str = "text") -> DataFrame
 
 def bodies(lines: DataFrame) -> DataFrame:
     """Distinct bodies of messages that aren't blank, with `noise`."""
-    return lines.filter((F.col("kind") == "msg") & F.col("body").rlike(r"(?U)\S")).select("body").distinct().withColumn("noise", is_noise(F.col("body")))
+    rows = lines.filter((F.col("kind") == "msg") & F.col("body").rlike(r"(?U)\S"))
+    return distinct_texts(rows, "body").withColumn("noise", is_noise(F.col("body")))
 
 
 def body_report(lines: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ def latest(cache: DataFrame, key: str = "en", value: str = "ko", seq: str = "seq
 def work_list(found: DataFrame, cache: DataFrame, translate_noise: bool = False) -> DataFrame:
     """Bodies that are neither cached nor noise."""
     todo = found if translate_noise else found.filter(~F.col("noise"))
-    return todo.select("body").join(cache.select(F.col("en").alias("body")), "body", "left_anti")
+    return join_texts(todo.select("body"), "body", cache.select("en"), "en", "left_anti")
 
 
 def shards_for(todo: DataFrame) -> int:
@@ -104,43 +109,52 @@ def parsed_answers(answers: DataFrame, ids: list[str], answer: str = "answer", n
     return kept.groupBy(*ids, "no").agg(F.max_by("text", "segment").alias("text"))
 
 
+def answered(run: Translate, prompts: list[str]) -> list[str]:
+    """An answer for each prompt. A batch that fails is halved until the prompt at fault is alone; its answer is empty."""
+    try:
+        got = run(prompts)
+        if len(got) == len(prompts):
+            return got
+    except Exception:  # the model's own failure, of any kind
+        pass
+    if len(prompts) == 1:
+        return [""]
+    half = len(prompts) // 2
+    return answered(run, prompts[:half]) + answered(run, prompts[half:])
+
+
 def translated(todo: DataFrame, translate: Callable[[], Translate], shards: int | None = None) -> DataFrame:
-    """body, text. A pack is one prompt; items that its answer lacks are asked for alone, and stay as they are if that fails too."""
-    per_pack = packs(todo, shards or shards_for(todo)).groupBy("shard", "pack").agg(F.array_sort(F.collect_list(F.struct("no", "body"))).alias("items"))
+    """body, text. A pack is one prompt; items that its answer lacks are asked for alone, and stay as they are if that fails too.
+    What the model says is stored, so each prompt is asked once."""
+    per_pack = stored(packs(todo, shards or shards_for(todo)).groupBy("shard", "pack").agg(F.array_sort(F.collect_list(F.struct("no", "body"))).alias("items")), "packs")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = translate()
         for b in batches:
             prompts = ["\n".join(f"{i['no']}. {i['body']}" for i in items) for items in b["items"]]
-            try:
-                answers = run(prompts)
-            except Exception:  # the model's own failure: the bodies stay as they are
-                answers = [""] * len(prompts)
-            yield b[["shard", "pack"]].assign(answer=answers)
+            yield b[["shard", "pack"]].assign(answer=answered(run, prompts))
 
     asked = per_pack.select("shard", "pack", "items").mapInPandas(ask, "shard int, pack int, answer string")
     flat = per_pack.select("shard", "pack", F.explode("items").alias("i")).select("shard", "pack", "i.no", "i.body")
     sizes = per_pack.select("shard", "pack", F.size("items").alias("n"))
     got = parsed_answers(asked.join(sizes, ["shard", "pack"]), ["shard", "pack"])
-    first = flat.join(got, ["shard", "pack", "no"], "left")
+    first = stored(flat.join(got, ["shard", "pack", "no"], "left"), "answers")
 
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = translate()
         for b in batches:
-            try:
-                answers = run([f"1. {x}" for x in b.body])
-            except Exception:
-                answers = [""] * len(b)
-            yield b[["body"]].assign(answer=answers, n=1)
+            answers = answered(run, [f"1. {x}" for x in b.body])
+            yield b[["shard", "pack", "no"]].assign(answer=answers, n=1)
 
-    again = first.filter("text is null").select("body").mapInPandas(alone, "body string, answer string, n int")
-    retried = parsed_answers(again, ["body"]).select("body", F.col("text").alias("retry"))
-    return first.join(retried, "body", "left").select("body", F.coalesce("text", "retry", "body").alias("text"))
+    at = ["shard", "pack", "no"]
+    again = first.filter("text is null").select(*at, "body").mapInPandas(alone, "shard int, pack int, no int, answer string, n int").withColumnRenamed("no", "item")
+    retried = parsed_answers(again, ["shard", "pack", "item"]).select("shard", "pack", F.col("item").alias("no"), F.col("text").alias("retry"))
+    return first.join(retried, at, "left").select("body", F.coalesce("text", "retry", "body").alias("text"))
 
 
 def rebuilt(lines: DataFrame, cache: DataFrame, ids: list[str]) -> DataFrame:
     """ids, text: each message's body replaced by its translation if there is one, lines in their order."""
-    rows = lines.join(cache.select(F.col("en").alias("body"), "ko"), "body", "left")
+    rows = join_texts(lines, "body", cache.select("en", "ko"), "en", "left").drop("en")
     said = F.concat(F.coalesce(F.concat("ts", F.lit(" ")), F.lit("")), "who", F.lit(": "), F.coalesce("ko", "body"))
     rows = rows.withColumn("out", F.when(F.col("kind") == "msg", said).otherwise(F.col("body")))
     return rows.groupBy(*ids).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "out"))), lambda x: x.out), "\n").alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
@@ -15,6 +15,9 @@ from colloquy.operators import evaluate as V
 from colloquy.operators import retrieve as R
 from colloquy.operators import sessions as S
 from colloquy.operators import translate as X
+from colloquy.sources.scratch import fresh_path, stored
+from colloquy.sources.tables import read_vectors
+from colloquy.streaming.incremental import encode_unfinished
 
 #: Configuration: encoder of questions, encoder of documents, mode.
 CONFIGS: dict[str, tuple[str, str, str]] = {
@@ -41,7 +44,7 @@ def selected(names: list[str]) -> dict[str, tuple[str, str, str]]:
     return out
 
 
-def stored(df: DataFrame, path: str | None) -> DataFrame:
+def kept_at(df: DataFrame, path: str | None) -> DataFrame:
     """df, read back from a table at path if one is given: what stands before it then runs once."""
     if path is None:
         return df
@@ -49,45 +52,66 @@ def stored(df: DataFrame, path: str | None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean_job(raw: DataFrame, store: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Clean messages and the accounting of rows. store: where to write the flagged rows, so that both come from one pass."""
-    flags = stored(L.flagged(raw), store)
-    return L.kept(flags), L.accounting(flags)
+def clean_job(raw: DataFrame, store: str | None = None, tail: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clean messages and the accounting of rows, both from the one pass that writes the flagged rows: the counts are observed as
+    the rows go by. store: where to write them; without it a table of the job's own. tail: of addresses without an at-sign."""
+    seen = Observation("accounting")
+    flags = L.flagged(raw, tail).observe(seen, *L.counts())
+    flags = kept_at(flags, store) if store is not None else stored(flags, "flagged")
+    n = seen.get
+    return L.kept(flags), raw.sparkSession.createDataFrame([tuple(n.values())], ", ".join(f"{c} long" for c in n))
 
 
-def chunk_job(clean: DataFrame, gap_seconds: float = 3600, size: int = 512, overlap: int = 128, basis: str = "en", count: Callable[[Column], Column] = T.word_count) -> DataFrame:
-    """Chunks of both corpora, notices after conversations."""
+def chunk_job(clean: DataFrame, gap_seconds: float = 3600, size: int = 512, overlap: int = 128, basis: str = "en", count: Callable[[Column], Column] = T.word_count, cut: Callable[[Column, Column, Column], Column] = C.pieces) -> DataFrame:
+    """Chunks of both corpora, notices after conversations. count and cut: of tokens, by words unless a tokenizer is given."""
     fields = {"ru": "body", "en": "body_en"}
-    sess = S.sessions(clean.filter("kind = 'conversation'"), gap_seconds=gap_seconds)
-    return C.all_chunks(C.conversation_chunks(sess, fields, size, overlap, basis, count), C.broadcast_chunks(clean.filter("kind = 'broadcast'"), fields, count))
+    if overlap >= size:
+        raise ValueError("the overlap must be below the chunk size")
+    sess = stored(S.sessions(clean.filter("kind = 'conversation'"), gap_seconds=gap_seconds), "sessions")
+    return C.all_chunks(C.conversation_chunks(sess, fields, size, overlap, basis, count, cut), C.broadcast_chunks(clean.filter("kind = 'broadcast'"), fields, count))
 
 
-def vectors(texts: DataFrame, ids: list[str], model: str, sparse: bool) -> DataFrame:
-    """texts (ids, text) with embedding, and tokens and weights if sparse."""
-    out = E.dense_vectors(texts, "text", model)
-    if not sparse:
-        return out
-    weights = R.as_arrays(E.sparse_vectors(E.token_weights(texts, ids, F.col("text")), ids), ids)
-    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    return out.join(weights, ids, "left").select(*out.columns, none("tokens", "array<string>"), none("weights", "array<double>"))
+def vectors(texts: DataFrame) -> DataFrame:
+    """texts (model, text and more) with embedding, tokens and weights, the last two only where the model gives them; without the text."""
+    has = F.when(F.col("model") == SPARSE_ENCODER, F.col("text"))
+    return E.sparse_arrays(E.encoded(texts).withColumn("text", has))
 
 
-def evaluate_job(questions: DataFrame, chunks: DataFrame, configs: list[str], scope: str = "doc", tolerance: int = 0, weight: float = R.WEIGHT, k: int = 10, document: str | None = None) -> DataFrame:
+def of_models(texts: DataFrame, models: set[str]) -> DataFrame:
+    return texts.withColumn("model", F.explode(F.array(*[F.lit(m) for m in sorted(models)])))
+
+
+def evaluate_job(questions: DataFrame, chunks: DataFrame, configs: list[str], scope: str = "doc", tolerance: int = 0, weight: float = R.WEIGHT, k: int = 10, document: str | None = None, table: str | None = None) -> DataFrame:
     """One row per configuration and question with rank and metrics. questions: qid, tag, corpus, question, qtype, gold; chunks: tag, chunk_index, text.
-    document: only questions of documents whose tag begins so; their pools stay whole."""
-    out = None
+    document: only questions of documents whose tag begins so; their pools stay whole. table: of vectors by model and tag; what it has
+    isn't encoded again, what it lacks is added. Each text is encoded once for each model, whatever the number of configurations,
+    and all configurations are searched in one pass, as pools of their own."""
+    spark, chosen = chunks.sparkSession, selected(configs)
     if document is not None:
         questions = questions.filter(F.col("tag").startswith(document))
         if questions.isEmpty():
             raise ValueError(f"no document begins with {document!r}")
-    for name, (q_model, d_model, mode) in selected(configs).items():
-        sparse = mode != "dense"
-        q = vectors(R.question_pools(questions, scope).select("qid", "pool_key", F.col("question").alias("text")), ["qid", "pool_key"], q_model, sparse)
-        d = R.pools(vectors(chunks.select("tag", "chunk_index", "text"), ["tag", "chunk_index"], d_model, sparse), scope)
-        top = V.ranked(R.top_k(q, d, k, mode, weight), ["qid"])
-        rows = V.query_metrics(questions.join(top, "qid"), tolerance).withColumns({"config": F.lit(name), "scope": F.lit(scope)})
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    path = table or fresh_path(spark, "vectors")
+    encode_unfinished(spark, of_models(chunks.select("tag", "chunk_index", "text"), {d for _, d, _ in chosen.values()}), path, vectors)
+    docs = read_vectors(spark, path)
+    asked = R.question_pools(questions, scope).select("qid", "pool_key", F.col("question").alias("text"))
+    asked = stored(vectors(of_models(asked, {q for q, _, _ in chosen.values()})), "question-vectors")
+    R.check_dimensions(docs.select("model", "embedding").unionByName(asked.select("model", "embedding")))
+    table_of = spark.createDataFrame([(name, *config) for name, config in chosen.items()], "config string, q_model string, d_model string, mode string")
+    own = lambda c: F.concat_ws("/", "config", F.col(c))
+    used = {
+        "embedding": F.when(F.col("mode") != "sparse", F.col("embedding")),
+        "tokens": F.when(F.col("mode") != "dense", F.col("tokens")),
+        "weights": F.when(F.col("mode") != "dense", F.col("weights")),
+    }
+    scale = F.when(F.col("mode") == "hybrid", F.lit(weight)).otherwise(F.lit(1.0))
+    q = asked.join(F.broadcast(table_of), F.col("model") == F.col("q_model")).withColumns(used)  # a row for each configuration
+    q = q.select(own("qid").alias("qid"), own("pool_key").alias("pool_key"), "embedding", "tokens", F.transform("weights", lambda x: x * scale).alias("weights"))
+    d = R.pools(docs, scope).join(F.broadcast(table_of), F.col("model") == F.col("d_model")).withColumns(used)
+    d = d.select(own("pool_key").alias("pool_key"), "tag", "chunk_index", "embedding", "tokens", "weights")
+    top = V.ranked(R.top_k(q, d, k, "hybrid", 1.0), ["qid"]).withColumnRenamed("qid", "__qid")
+    each = questions.crossJoin(F.broadcast(table_of.select("config"))).withColumn("__qid", own("qid"))
+    return V.query_metrics(each.join(top, "__qid").drop("__qid"), tolerance).withColumn("scope", F.lit(scope))
 
 
 def translate_job(chunks: DataFrame, ids: list[str], cache: DataFrame, translate: Callable[[], X.Translate], shards: int | None = None, translate_noise: bool = False, keep_original: bool = False, store: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +120,7 @@ def translate_job(chunks: DataFrame, ids: list[str], cache: DataFrame, translate
     lines = X.lines_of(chunks, ids)
     known = X.latest(cache)
     new = X.translated(X.work_list(X.bodies(lines), known, translate_noise), translate, shards).select(F.col("body").alias("en"), F.col("text").alias("ko"))
-    new = stored(new, store)
+    new = kept_at(new, store)
     text = X.rebuilt(lines, known.select("en", "ko").unionByName(new), ids).withColumnRenamed("text", "__new")
     out = chunks.join(text, ids)
     if keep_original:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.functions import tokens as N
 from colloquy.operators import chunks as C
 from colloquy.operators import clean as L
 from colloquy.operators import detections as D
@@ -98,7 +99,7 @@ def clean_messages(spark, d):
  (SELECT count(*) FROM live) - (SELECT count(*) FROM once) AS n_mirrored, (SELECT count(*) FROM marked WHERE recipients IS NOT NULL AND nth > 1) AS n_folded,
  (SELECT count(*) FROM kept WHERE kind = 'conversation') AS n_conversation, (SELECT count(*) FROM kept WHERE kind = 'broadcast') AS n_broadcast""")
 def row_accounting(spark, d):
-    return L.accounting(L.flagged(raw_messages(spark, d)))
+    return J.clean_job(raw_messages(spark, d))[1]
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type, user_id % 10, floor(epoch_us(ts) / 3.6e9) ORDER BY event_id) > 1 AS mirrored FROM events")
@@ -169,7 +170,7 @@ def packed_conversations(spark, d):
 
 
 def conversation_chunk_rows(spark, d):
-    return J.chunk_job(L.clean(raw_messages(spark, d)), gap_seconds=1800, size=152, overlap=30)
+    return J.chunk_job(J.clean_job(raw_messages(spark, d))[0], gap_seconds=1800, size=152, overlap=30)
 
 
 #: Chunks by SQL: sessions of kept messages, bodies in pieces, spans over the English counts (120 words, 30 shared), notices behind.
@@ -228,6 +229,29 @@ def sliding_windows(spark, d):
     return windows(spark, d).select("doc_id", "chunk_index", "token_start", "token_end", "token_count", "chunk")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def token_chunks(spark, d):
+    """Conversations in chunks of a tokenizer's ids: sizes are counts of ids, long bodies are cut by ids."""
+    path = tokenizer_file()
+    kept, _ = J.clean_job(raw_messages(spark, d))
+    rows = J.chunk_job(kept, gap_seconds=1800, size=512, overlap=128, count=N.count(path), cut=N.cut(path))
+    return rows.select("corpus", "chunk_index", "session_id", "kind", "n_messages", "part", "n_parts", "n_tokens", "src_rows", "text")
+
+
+@query()
+def token_windows(spark, d):
+    """Windows over the ids of whole documents, with the text of each window's ids."""
+    path = tokenizer_file()
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return C.sliding_windows(docs, N.ids(path)("text"), 512, 128, N.text_of(path)).select("doc_id", "chunk_index", "token_start", "token_end", "token_count", "chunk")
+
+
 @query(f"WITH {_WINDOWS} SELECT lang, count(*) AS n_chunks, (sum(token_end - token_start) // count(*))::BIGINT AS mean_tokens, max(token_end - token_start)::BIGINT AS max_tokens, count(*) FILTER (token_end - token_start > 200) AS n_oversize FROM win GROUP BY lang")
 def input_report(spark, d):
     return E.input_report(windows(spark, d).withColumn("n_tokens", F.col("token_count")), ["lang"], 200)
@@ -260,10 +284,9 @@ def vectors(spark, d):
 
 def top_rows(spark, d, mode: str = "dense"):
     rows = vectors(spark, d)
-    if mode != "dense":
-        texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_index"), "text")
-        weights = E.sparse_vectors(E.token_weights(texts, ["chunk_index"], F.col("text")), ["chunk_index"])
-        rows = rows.join(R.as_arrays(weights, ["chunk_index"]), "chunk_index")  # vectors whose number is a document's, by its text
+    if mode != "dense":  # every document and every vector is a candidate, whatever it lacks
+        texts = E.sparse_arrays(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_index"), "text"))
+        rows = rows.join(texts, "chunk_index", "full").withColumns({"qid": F.col("chunk_index"), "tag": F.coalesce("tag", F.lit("none")), "pool_key": F.lit("all")})
     return R.top_k(rows.filter("qid % 100 = 0"), rows, 10, mode)
 
 
@@ -275,12 +298,12 @@ def dense_top10(spark, d):
 _HYBRID = r"""WITH tok AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents)),
  sp AS (SELECT doc_id, token, max(1 / (1 + pos)::DOUBLE) AS weight FROM tok GROUP BY ALL),
  x AS (SELECT q.doc_id AS qid, c.doc_id AS chunk_index, sum(q.weight * c.weight) AS sparse FROM sp q JOIN sp c USING (token) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
- v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (SELECT doc_id FROM sp)),
- s AS (SELECT q.vec_id AS qid, c.label::VARCHAR AS tag, c.vec_id AS chunk_index, round({dense} + {w} * coalesce(x.sparse, 0), 12) AS score FROM v q CROSS JOIN v c LEFT JOIN x ON x.qid = q.vec_id AND x.chunk_index = c.vec_id WHERE q.vec_id % 100 = 0)
+ v AS MATERIALIZED (SELECT coalesce(vec_id, doc_id) AS id, coalesce(label::VARCHAR, 'none') AS tag, embedding::DOUBLE[] AS e FROM embeddings FULL JOIN documents ON vec_id = doc_id),
+ s AS (SELECT q.id AS qid, c.tag, c.id AS chunk_index, round({dense} + {w} * coalesce(x.sparse, 0), 12) AS score FROM v q CROSS JOIN v c LEFT JOIN x ON x.qid = q.id AND x.chunk_index = c.id WHERE q.id % 100 = 0)
  SELECT qid, tag, chunk_index, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tag, chunk_index)::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10"""
 
 
-@query(_HYBRID.format(dense="list_dot_product(q.e, c.e)", w=0.3))
+@query(_HYBRID.format(dense="coalesce(list_dot_product(q.e, c.e), 0)", w=0.3))
 def hybrid_top10(spark, d):
     return top_rows(spark, d, "hybrid").withColumn("score", F.round("score", 6)).drop("n_candidates")
 
@@ -312,11 +335,11 @@ def mean_sparse_tokens(spark, d):
 @query(f"""WITH {_SPARSE}, x AS (SELECT q.doc_id AS qid, c.doc_id AS chunk_index, round(sum(q.weight * c.weight), 9) AS sparse FROM sp q JOIN sp c USING (lang, token) WHERE q.doc_id % 100 = 0 GROUP BY ALL)
  SELECT qid, chunk_index, round(sparse, 6) AS sparse, row_number() OVER (PARTITION BY qid ORDER BY sparse DESC, chunk_index)::INT AS rank FROM x QUALIFY rank <= 10""")
 def sparse_top10(spark, d):
-    rows = sparse_rows(spark, d).select(F.col("lang").alias("pool_key"), F.col("lang").alias("tag"), F.col("doc_id").alias("chunk_index"), "token", "weight")
-    questions = rows.filter("chunk_index % 100 = 0").select(F.col("chunk_index").alias("qid"), "pool_key", "token", "weight")
-    got = R.sparse_scores(questions, rows).withColumn("sparse", F.round("sparse", 9))
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sparse"), "chunk_index"))
-    return got.withColumn("rank", best).filter("rank <= 10").select("qid", "chunk_index", F.round("sparse", 6).alias("sparse"), "rank")
+    docs = table(spark, d, "documents").select(F.col("lang").alias("pool_key"), F.col("lang").alias("tag"), F.col("doc_id").alias("chunk_index"), "text")
+    rows = E.sparse_arrays(docs)
+    questions = rows.filter("chunk_index % 100 = 0").withColumnRenamed("chunk_index", "qid")
+    got = R.top_k(questions, rows, 10, "sparse", digits=9).filter("score > 0")
+    return got.select("qid", "chunk_index", F.round("score", 6).alias("sparse"), "rank")
 
 
 _UNIT = "SELECT vec_id, round(list_sum(u), 6) AS total FROM (SELECT vec_id, list_transform(e, lambda x: x / greatest(n, 1e-12)) AS u FROM (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: 3 * x::DOUBLE) AS e FROM embeddings)))"

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,12 +59,63 @@ def test_pools_and_hybrid_scores(spark):
         top("doc", "else")
 
 
-def test_more_questions_than_a_pass(spark, monkeypatch):
-    monkeypatch.setattr(R, "QUESTIONS_A_PASS", 3)
-    rows = spark.createDataFrame([(k, "t", k, "all", [float(k), 1.0]) for k in range(20)], "qid long, tag string, chunk_index int, pool_key string, embedding array<double>")
-    got = R.top_k(rows, rows, 2).collect()
-    assert len(got) == 40 and all(r.n_candidates == 20 for r in got)
-    assert {r.qid: r.chunk_index for r in got if r["rank"] == 1} == {k: 19 for k in range(1, 20)} | {0: 0}
+def random_rows(n, seed, dim=3):
+    rnd = np.random.default_rng(seed)
+    words = ["a", "b", "c", "dé", "the"]
+    out = []
+    for k in range(n):
+        mine = [words[i] for i in np.flatnonzero(rnd.random(5) < 0.4)]
+        out.append((k, f"t{k % 4}", k, f"p{k % 3 % 2}", None if k % 7 == 3 else rnd.integers(-2, 3, dim).astype(float).tolist(), None if k % 5 == 4 else mine, None if k % 5 == 4 else rnd.integers(1, 4, len(mine)).astype(float).tolist()))
+    return out
+
+
+ROWS = "qid long, tag string, chunk_index int, pool_key string, embedding array<double>, tokens array<string>, weights array<double>"
+
+
+def plain_scores(q, c, mode, weight):
+    dense = sum(x * y for x, y in zip(q[4] or [], c[4] or []))
+    sparse = sum(a * b for t, a in zip(q[5] or [], q[6] or []) for u, b in zip(c[5] or [], c[6] or []) if t == u)
+    return {"dense": dense, "sparse": sparse, "hybrid": dense + weight * sparse}[mode]
+
+
+@pytest.mark.parametrize("sent", [32 << 20, 10])
+@pytest.mark.parametrize("mode", ["dense", "sparse", "hybrid"])
+def test_top_k_in_blocks_matches_plain_scores(spark, monkeypatch, mode, sent):
+    for name, value in (("QUESTIONS", 3), ("CHUNKS", 5), ("POSTINGS", 7)):
+        monkeypatch.setattr(R, name, value)
+    monkeypatch.setattr("colloquy.operators.joins.BROADCAST_BYTES", sent)
+    rows = random_rows(60, 1)
+    df = spark.createDataFrame(rows, ROWS).repartition(4)
+    got = {}
+    for r in R.top_k(df.filter("qid % 4 = 0"), df, 5, mode, 0.5).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.tag, r.chunk_index, r.score, r.n_candidates))
+    want = {}
+    for q in rows[::4]:
+        pool = [c for c in rows if c[3] == q[3]]
+        best = sorted((-plain_scores(q, c, mode, 0.5), c[1], c[2]) for c in pool)[:5]
+        want[q[0]] = [(i + 1, tag, at, -s, len(pool)) for i, (s, tag, at) in enumerate(best)]
+    assert {q: sorted(x) for q, x in got.items()} == want
+
+
+def test_sparse_scores_of_all_that_share_a_word(spark):
+    rows = random_rows(40, 2)
+    df = spark.createDataFrame(rows, ROWS).repartition(3)
+    got = {(r.qid, r.chunk_index): r.sparse for r in R.sparse_scores(df.filter("qid < 6"), df).collect()}
+    want = {(q[0], c[2]): plain_scores(q, c, "sparse", 1) for q in rows[:6] for c in rows if c[3] == q[3]}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_the_driver_holds_no_questions(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("qid"), F.lit("t").alias("tag"), F.col("id").alias("chunk_index"), F.lit("all").alias("pool_key"), F.array((F.col("id") % 97).cast("double"), F.lit(1.0)).alias("embedding"))
+    got = R.top_k(rows, rows.filter("qid < 50"), 2)
+    assert got.agg(F.count("*"), F.count_distinct("qid"), F.count_if((F.col("rank") == 1) & (F.col("chunk_index") != 49) & (F.col("qid") % 97 > 0))).first()[:] == (200_000, 100_000, 0)
+
+
+def test_sparse_arrays_are_sparse_vectors(spark):
+    df = spark.createDataFrame([(1, "the cat, The dog; éa x1 x1", 5), (2, None, 6), (3, "", 7), (4, "a " * 1000 + "b", 8)], "id int, text string, other int").repartition(2)
+    got = sorted((r.id, r.other, t, w) for r in E.sparse_arrays(df).collect() for t, w in zip(r.tokens, r.weights))
+    want = sorted((r.id, r.other, r.token, r.weight) for r in E.sparse_vectors(E.token_weights(df, ["id", "other"], F.col("text")), ["id", "other"]).collect())
+    assert got == want and {r.id for r in E.sparse_arrays(df).collect()} == {1, 2, 3, 4}
 
 
 def test_neighbours_and_filters(spark):

@@ -20,8 +20,10 @@ def test_notice_lines_go_and_messages_stay(spark):
 
 
 def test_nicknames(spark):
-    for address, nick in (("bob@host", "bob"), (" bob@host> ", "bob"), ("twinq3mcco35auwcstmt.onion", "twin"), ("vjud.q3mcco35auwcstmt.onion", "vjud"), ("q3mcco35auwcstmt.onion", "q3mcco35auwcstmt.onion"), ("a@b@c", "a"), ("plain", "plain")):
-        assert one(spark, address, T.nickname) == nick
+    tail = r"(?i)\.?zz9relay\.(?:example|exmaple)$"
+    for address, nick in (("bob@host", "bob"), (" bob@host> ", "bob"), ("twinzz9relay.example", "twin"), ("vjud.ZZ9relay.exmaple", "vjud"), ("zz9relay.example", "zz9relay.example"), ("a@b@c", "a"), ("plain", "plain"), (None, "")):
+        assert one(spark, address, lambda c: T.nickname(c, tail)) == nick
+    assert one(spark, "twinzz9relay.example", T.nickname) == "twinzz9relay.example"
 
 
 def test_pair_header_and_lines(spark):
