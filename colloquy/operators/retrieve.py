@@ -49,9 +49,7 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
     if mode not in ("dense", "sparse", "hybrid"):
         raise ValueError(mode)
     columns = [*(["embedding"] if mode != "sparse" else []), *(["tokens", "weights"] if mode != "dense" else [])]
-    asked = questions.select("qid", "pool_key", *columns)
-    packs = max(1, -(-asked.count() // QUESTIONS))
-    asked = stored(packed(asked.repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_"), "questions")
+    asked = packed_questions(questions, columns)
     rows = packed(chunks.select("pool_key", "tag", "chunk_index", *columns), ["tag", "chunk_index"], columns, CHUNKS, "c_")
     met = sized_join(rows, asked, ["pool_key"], "inner")
     scale = 1.0 if mode == "sparse" else weight
@@ -111,6 +109,13 @@ def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefi
     return rows.mapInArrow(per_batch, ", ".join(schema))
 
 
+def packed_questions(questions: DataFrame, columns: list[str]) -> DataFrame:
+    """Stored twice: as rows, since they are counted and dealt, and packed, since their size decides how they travel."""
+    rows = stored(questions.select("qid", "pool_key", *columns), "asked")
+    packs = max(1, -(-rows.count() // QUESTIONS))
+    return stored(packed(rows.repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_"), "questions")
+
+
 def dense_of(vectors: pa.ListArray) -> np.ndarray:
     """A matrix of vectors of one length; zeros for null."""
     lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -185,8 +190,7 @@ def sparse_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """qid, tag, chunk_index, sparse of each question and each chunk of its pool that share a word. questions: qid, pool_key, tokens, weights
     (arrays); chunks: pool_key, tag, chunk_index and the same. A sum is whole where it is made: nothing of it is shuffled."""
     columns = ["tokens", "weights"]
-    packs = max(1, -(-questions.count() // QUESTIONS))
-    asked = stored(packed(questions.select("qid", "pool_key", *columns).repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_"), "questions")
+    asked = packed_questions(questions, columns)
     met = sized_join(packed(chunks.select("pool_key", "tag", "chunk_index", *columns), ["tag", "chunk_index"], columns, CHUNKS, "c_"), asked, ["pool_key"], "inner")
     at = {c: i for i, c in enumerate(met.columns)}
 

@@ -60,17 +60,13 @@ def begun(rows: DataFrame, now: Column, begins: Callable[[Column, Column], Colum
     slim = rows.select(RANGE, PLACE, now.alias("now"), *([text] if text else [])).withColumn("before", F.lag("now").over(w)).withColumn("differs", differs)
     inside = F.col("before").isNotNull() & (F.coalesce(begins(F.col("now"), F.col("before")), F.lit(True)) | F.col("differs"))
     edges = slim.groupBy(RANGE).agg(F.min_by("now", PLACE).alias("first"), F.max_by("now", PLACE).alias("last"), F.count_if(inside).alias("n"))
-    kind = next(f.dataType for f in slim.schema.fields if f.name == "now")
-    ends = sorted(edges.select(RANGE, "last", "n", F.lit(False).alias("b"), "first").collect(), key=lambda r: r[RANGE])  # one row a range
-    if not ends:
-        return rows.withColumn(name, F.lit(True)).withColumn(f"{name}_no", F.lit(0).cast("long"))
-    pairs = rows.sparkSession.createDataFrame([(b[RANGE], b["first"], a["last"]) for a, b in zip(ends, ends[1:], strict=False)], T.StructType([T.StructField(RANGE, T.LongType()), T.StructField("now", kind), T.StructField("before", kind)]))
-    begin_at = {r[RANGE]: r.b for r in pairs.select(RANGE, F.coalesce(begins(F.col("now"), F.col("before")), F.lit(True)).alias("b")).collect()}
+    ends = edges.agg(F.array_sort(F.collect_list(F.struct(RANGE, "first", "last", "n"))).alias("ends"))  # one row, an entry for each range
+    first = F.transform("ends", lambda x, i: F.when(i == 0, True).otherwise(F.coalesce(begins(x.first, F.get("ends", i - 1).last), F.lit(True))))
+    found = ends.select(F.col(f"ends.{RANGE}").alias("at"), first.alias("first"), F.col("ends.n").alias("n")).first()
     out, sofar = [], 0
-    for r in ends:
-        first = begin_at.get(r[RANGE], True)
-        out.append((r[RANGE], first, sofar + first))
-        sofar += first + r.n
+    for at, begin, n in zip(found.at, found["first"], found.n, strict=True):
+        out.append((at, begin, sofar + begin))
+        sofar += begin + n
     got = _sent(rows.withColumn("__now", now), out, "__first boolean, __upto long").withColumn("__was", F.lag("__now").over(w)).withColumn("__differs", differs)
     here = F.when(F.col("__was").isNull(), F.col("__first")).otherwise(F.coalesce(begins(F.col("__now"), F.col("__was")), F.lit(True)) | F.col("__differs"))
     got = got.withColumn(name, here)

@@ -248,7 +248,7 @@ def token_chunks(spark, d):
 def token_windows(spark, d):
     """Windows over the ids of whole documents, with the text of each window's ids."""
     path = tokenizer_file()
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = Q.spread(table(spark, d, "documents").select("doc_id", "text"))
     return C.sliding_windows(docs, N.ids(path)("text"), 512, 128, N.text_of(path)).select("doc_id", "chunk_index", "token_start", "token_end", "token_count", "chunk")
 
 
@@ -284,10 +284,12 @@ def vectors(spark, d):
 
 def top_rows(spark, d, mode: str = "dense"):
     rows = vectors(spark, d)
-    if mode != "dense":  # every document and every vector is a candidate, whatever it lacks
-        texts = E.sparse_arrays(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_index"), "text"))
-        rows = rows.join(texts, "chunk_index", "full").withColumns({"qid": F.col("chunk_index"), "tag": F.coalesce("tag", F.lit("none")), "pool_key": F.lit("all")})
-    return R.top_k(rows.filter("qid % 100 = 0"), rows, 10, mode)
+    if mode == "dense":
+        return R.top_k(rows.filter("qid % 100 = 0"), rows, 10, mode)
+    # Every document and every vector is a candidate, whatever it lacks.
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_index"), "text")
+    rows = rows.join(texts, "chunk_index", "full").withColumns({"qid": F.col("chunk_index"), "tag": F.coalesce("tag", F.lit("none")), "pool_key": F.lit("all")})
+    return R.top_k(E.sparse_arrays(rows.filter("qid % 100 = 0")), E.sparse_arrays(rows), 10, mode)
 
 
 @query(f"WITH {_TOP} SELECT qid, tag, chunk_index, rank::INT AS rank, round(score, 6) AS score, n_candidates FROM top")
@@ -335,10 +337,9 @@ def mean_sparse_tokens(spark, d):
 @query(f"""WITH {_SPARSE}, x AS (SELECT q.doc_id AS qid, c.doc_id AS chunk_index, round(sum(q.weight * c.weight), 9) AS sparse FROM sp q JOIN sp c USING (lang, token) WHERE q.doc_id % 100 = 0 GROUP BY ALL)
  SELECT qid, chunk_index, round(sparse, 6) AS sparse, row_number() OVER (PARTITION BY qid ORDER BY sparse DESC, chunk_index)::INT AS rank FROM x QUALIFY rank <= 10""")
 def sparse_top10(spark, d):
-    docs = table(spark, d, "documents").select(F.col("lang").alias("pool_key"), F.col("lang").alias("tag"), F.col("doc_id").alias("chunk_index"), "text")
-    rows = E.sparse_arrays(docs)
-    questions = rows.filter("chunk_index % 100 = 0").withColumnRenamed("chunk_index", "qid")
-    got = R.top_k(questions, rows, 10, "sparse", digits=9).filter("score > 0")
+    docs = Q.spread(table(spark, d, "documents").select(F.col("lang").alias("pool_key"), F.col("lang").alias("tag"), F.col("doc_id").alias("chunk_index"), "text"))
+    questions = E.sparse_arrays(docs.filter("chunk_index % 100 = 0").withColumnRenamed("chunk_index", "qid"))
+    got = R.top_k(questions, E.sparse_arrays(docs), 10, "sparse", digits=9).filter("score > 0")
     return got.select("qid", "chunk_index", F.round("score", 6).alias("sparse"), "rank")
 
 

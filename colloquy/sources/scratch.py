@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +35,7 @@ def tables_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_folder.get() or tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -44,6 +48,18 @@ def remove_tables(spark: SparkSession) -> None:
     remove_path(spark, tables_dir(spark))
 
 
+@contextmanager
+def within(spark: SparkSession) -> Iterator[None]:
+    """What this thread writes here meanwhile goes to a folder of its own, which is removed at the end."""
+    path = fresh_path(spark, "within")
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        remove_path(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table of their own: what stands before it runs once."""
     path = fresh_path(df.sparkSession, name)

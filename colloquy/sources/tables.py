@@ -15,6 +15,12 @@ CACHE = "seq long, en string, ko string"
 TEXT_KEYS = ("text", "content", "body")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on as many partitions as there are cores: the rows of a table of a few splits are dealt out, a larger one stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_raw_messages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Quoted bodies may span lines, so a file is one split; its rows are dealt anew. The header's first, unnamed column is the row id."""
     rows = spark.read.schema(RAW).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=True)
