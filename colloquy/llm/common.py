@@ -5,23 +5,17 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import reduce, wraps
-from operator import add
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colloquy.sources.scratch import fresh_path
 
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
-#: A side of at most this many rows and bytes may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 32 << 20
-
 #: Bytes of rows that go to a Python worker at once while a table is written.
 ARROW_BYTES = 4 << 20
 
@@ -63,9 +57,10 @@ def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 FILE_ROWS = 250_000
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage ends there. rows: about how many, if known; few go to few files."""
-    path = fresh_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, rows: int | None = None, path: str | None = None) -> DataFrame:
+    """The same rows, read back from a table in the shared folder: lineage ends there. rows: about how many, if known; few go to few files.
+    path: of a table that isn't there yet, else a fresh one."""
+    path = path or fresh_path(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(-(-rows // FILE_ROWS) + 1)
     with arrow_batches(df.sparkSession):
@@ -82,26 +77,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table may be sent to all tasks, by its counted rows and bytes."""
-    width, parts = 8 * len(df.columns), []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.ArrayType):
-            parts.append(F.size(F.coalesce(F.col(f.name), F.array())) * 8)
-        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            parts.append(F.octet_length(F.coalesce(F.col(f.name), F.lit("").cast(f.dataType))))
-    if not parts:
-        rows = df.count()
-        return rows <= limit and rows * width <= BROADCAST_BYTES
-    rows, more = df.agg(F.count("*"), F.sum(reduce(add, (p.cast("long") for p in parts)))).first()
-    return rows <= limit and rows * width + (more or 0) <= BROADCAST_BYTES
-
-
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """big joined to a written table: broadcast when its counted rows and bytes are few, else a shuffled join that AQE may split."""
-    return big.join(F.broadcast(small) if few(small, limit) else small.hint("merge"), on, how)
-
-
 def salted_left_join(big: DataFrame, small: DataFrame, key: str, by: Column, salts: int = 16) -> DataFrame:
     """Left join on one key that may be hot: big's rows of a key are dealt over `salts` tasks by `by`, small's are copied to each."""
     s = "__salt"

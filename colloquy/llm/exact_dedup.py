@@ -23,7 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, read_table, salted_left_join, sized_join, text_of, written
+from colloquy.operators.joins import sized_join
+
+from .common import frugal, read_table, salted_left_join, text_of, written
 from .words import in_slices
 
 GEAR = 16  # bytes that decide about a cut

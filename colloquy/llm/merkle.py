@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import scan
+from colloquy.operators.joins import sized_join
 
-from .common import frugal, read_table, sized_join, written
+from .common import frugal, read_table, written
 
 FAN = 8
 LEVELS = 3  # of a block, so that it has 512 nodes
@@ -225,7 +226,8 @@ def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
         above = paths_down(tier, above, levels)
     # `above` has a path for each subroot now, by its number.
     tops = names.join(above.select(F.col("block").alias("item"), "path"), "item").select("key", F.col("node").alias("subroot"), "path")
-    tops = written(tops.crossJoin(F.broadcast(root.select(F.col("node").alias("root")))), "tops")  # one root
+    whole = root.first()
+    tops = written(tops.withColumn("root", F.lit(whole.node if whole else None).cast("binary")), "tops")
     above = None
     for tier in reversed(low):
         new = tier.filter(F.col("total") <= size).select("key", "block").join(tops.select("key", "path"), "key")  # keys whose topmost tier this is

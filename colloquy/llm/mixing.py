@@ -24,7 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, read_table, sized_join, text_of, written
+from colloquy.operators.joins import sized_join
+
+from .common import BLANK_RUN, read_table, text_of, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5

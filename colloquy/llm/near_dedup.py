@@ -35,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, frugal, read_table, salted_left_join, sized_join, text_of, written
+from colloquy.operators.joins import few, sized_join
+
+from .common import frugal, read_table, salted_left_join, text_of, written
 from .words import U, factors, in_slices, mixed, word_hashes
 
 SIMILAR = 80  # percent

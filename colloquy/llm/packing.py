@@ -98,9 +98,9 @@ def best_fit(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, cache
     return placed(written(encoded(docs, tokenizer, end_id, cached=cached), "sizes"), **how).drop("row")
 
 
-def sequences(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, **how) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, cached: int = CACHED_WORDS, **how) -> DataFrame:
     """shard, bin, bin_length, n_tokens, ids (little-endian, as `encoded` gives them), pieces (bin_offset, doc_id, part, start, n_tokens) of every packed sequence."""
-    rows = written(encoded(docs, tokenizer, end_id, keep_ids=True), "encoded")
+    rows = written(encoded(docs, tokenizer, end_id, keep_ids=True, cached=cached), "encoded")
     pieces = written(placed(rows.select("row", "doc_id", "size"), **how).filter("bin is not null"), "pieces")
     wide = F.octet_length("ids") / F.col("size")
     piece = F.struct("bin_offset", "doc_id", "part", "start", "n_tokens", F.substring("ids", (F.col("start") * wide + 1).cast("int"), (F.col("n_tokens") * wide).cast("int")).alias("ids"))

@@ -26,7 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, read_table, sized_join, text_of, written
+from colloquy.operators.joins import sized_join
+
+from .common import frugal, read_table, text_of, written
 from .words import U, factors, hashes, in_slices, mixed, runs_of
 
 BUCKETS = 1 << 14

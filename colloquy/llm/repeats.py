@@ -15,12 +15,16 @@ with one anchor form a run of at most 69, and the bytes its strings cover, 168 a
    shuffle, and the others are marked by a salted join, so that no task holds all copies of one string.
 4. Ranges meet their documents and are cut out.
 
+A row is known by its doc_id and a 64-bit hash of its text all the way, so that rows which share a doc_id, or have none,
+are told apart; rows equal in both are worked on once and lose the same bytes.
+
 A document's contexts and its ranges go to the tasks only if their counted rows and bytes are few; beyond that the
 same joins shuffle. Whole contexts are equal by 128 bits of hash: among 10^13 runs any two different ones are mixed up
 with a probability below 10^-12.
 
 Defined cases: null and empty texts have no bytes; texts below SPAN bytes lose nothing; a null doc_id comes before
-all others; rows that share a doc_id stand at the same place, so that neither removes the other's bytes; an empty
+all others; rows that share a doc_id, or have none, stand at the same place: none removes another's bytes, each its own
+repeats and those of smaller doc_ids; an empty
 table gives no rows; extra columns are not read.
 """
 
@@ -31,10 +35,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, read_table, salted_left_join, sized_join, text_of, written
+from colloquy.operators.joins import sized_join
+
+from .common import frugal, read_table, salted_left_join, text_of, written
 from .words import U, factors, in_slices, mixed
 
 SPAN = 100
@@ -134,24 +140,24 @@ RANGE = np.dtype([("start", "<i4"), ("end", "<i4")])
 
 
 def run_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n (starts), anchor, context, again (the context came before in the document)."""
+    """doc_id, row, start, n (starts), anchor, context, again (the context came before in the row). docs: doc_id, row, text."""
 
     @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for first, texts in in_slices(b.column(1), 120_000):
+            ids, rows = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for first, texts in in_slices(b.column(2), 120_000):
                 cut = [(first + k, base, part) for k, t in enumerate(texts) for base, part in pieces(t)]
                 doc, base = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
                 of, start, n, anchor, context = runs_in_turn([c[2] for c in cut])
-                row = doc[of]
+                at = doc[of]
                 key = mixed(anchor) ^ context
-                order = np.lexsort((key, row))
-                again = np.zeros(len(row), bool)
-                again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((start + base[of]).astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(again)], ["doc_id", "start", "n", "anchor", "context", "again"])
+                order = np.lexsort((key, at))
+                again = np.zeros(len(at), bool)
+                again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (at[order[1:]] == at[order[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(rows[at]), pa.array((start + base[of]).astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(again)], ["doc_id", "row", "start", "n", "anchor", "context", "again"])
 
-    return docs.mapInArrow(per_batch, "doc_id long, start long, n int, anchor long, context long, again boolean")
+    return docs.select("doc_id", "row", "text").mapInArrow(per_batch, "doc_id long, row long, start long, n int, anchor long, context long, again boolean")
 
 
 def packed(data: np.ndarray) -> np.ndarray:
@@ -258,8 +264,8 @@ def common_prefixes(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def later_copies(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, start and end of ranges of strings that are equal to an earlier one among these contexts."""
+def later_copies(contexts: list[bytes], docs: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, row, start and end of ranges of strings that among these contexts are equal to one of a smaller doc, or an earlier one of their row."""
     lengths = np.array([len(c) for c in contexts])
     ends = np.cumsum(lengths)
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
@@ -267,90 +273,92 @@ def later_copies(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray) ->
     inside = np.arange(len(data)) - (ends - lengths)[ctx]
     at = suffix_order(data, ends)
     at = at[inside[at] + SPAN <= lengths[ctx[at]]]
+    none = (np.zeros(0, np.int64),) * 4
     if len(at) < 2:
-        return (np.zeros(0, np.int64),) * 3
-    new = np.append(True, common_prefixes(packed(data), at) < SPAN)
-    rank_order = np.lexsort((starts, docs))
-    d, s = docs[rank_order], starts[rank_order]
-    rank = np.empty(len(docs), dtype=np.int64)
-    rank[rank_order] = np.cumsum(np.append(0, (d[1:] != d[:-1]) | (s[1:] != s[:-1])))
-    key = (rank[ctx[at]] << 32) + inside[at]
-    least = np.minimum.reduceat(key, np.flatnonzero(new))
-    gone = np.sort(at[key > least[np.cumsum(new) - 1]])
+        return none
+    group = np.cumsum(np.append(True, common_prefixes(packed(data), at) < SPAN)) - 1
+    c = ctx[at]
+    order = np.lexsort((starts[c] + inside[at], rows[c], docs[c], group))
+    at, group, c = at[order], group[order], c[order]
+    new = np.append(True, group[1:] != group[:-1])
+    least = docs[c[np.flatnonzero(new)]][group]
+    later = ~new & ((docs[c] > least) | np.append(False, rows[c[1:]] == rows[c[:-1]]))
+    gone = np.sort(at[later])
     if not len(gone):
-        return (np.zeros(0, np.int64),) * 3
+        return none
     cut = np.append(True, (np.diff(gone) != 1) | (np.diff(ctx[gone]) != 0))
     a, b = gone[np.flatnonzero(cut)], gone[np.append(np.flatnonzero(cut)[1:] - 1, len(gone) - 1)]
     c = ctx[a]
-    return docs[c], starts[c] + inside[a], starts[c] + inside[b] + SPAN
+    return docs[c], rows[c], starts[c] + inside[a], starts[c] + inside[b] + SPAN
 
 
 def context_rows(texts: DataFrame) -> DataFrame:
-    """route, doc_id, start, bytes of the contexts in `packed` (of FIRST) of each text, but for those of hot anchors."""
+    """route, doc_id, row, start, bytes of the contexts in `packed` (of FIRST) of each text, but for those of hot anchors."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["route", "doc_id", "start", "bytes"])
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["route", "doc_id", "row", "start", "bytes"])
 
     @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, text, first in zip(*b.columns, strict=True):
-                doc, raw, found = doc.as_py(), text.as_py().encode(), np.frombuffer(first.as_py(), FIRST)
-                ends = found["start"].astype(np.int64) + found["n"] + SPAN - 1
-                found = found[(found["hot"] == 0) & (ends <= len(raw))]  # else of another row with this doc_id
+            for doc, row, text, first in zip(*b.columns, strict=True):
+                doc, row, raw, found = doc.as_py(), row.as_py(), text.as_py().encode(), np.frombuffer(first.as_py(), FIRST)
+                found = found[found["hot"] == 0]
                 for k in range(0, len(found), SENT_ROWS):
-                    rows += [(anchor, doc, start, raw[start : start + n + SPAN - 1]) for start, n, _, anchor in found[k : k + SENT_ROWS].tolist()]
+                    rows += [(anchor, doc, row, start, raw[start : start + n + SPAN - 1]) for start, n, _, anchor in found[k : k + SENT_ROWS].tolist()]
                     if len(rows) >= SENT_ROWS:
                         yield batch_of(rows)
                         rows = []
             yield batch_of(rows)
 
-    return texts.mapInArrow(per_batch, "route long, doc_id long, start long, bytes binary")
+    return texts.mapInArrow(per_batch, "route long, doc_id long, row long, start long, bytes binary")
 
 
 def hot_strings(texts: DataFrame) -> DataFrame:
-    """string (128 bits of hash), doc_id, start of each string of the hot contexts in `packed` (of FIRST) of each text."""
+    """string (128 bits of hash), doc_id, row, start of each string of the hot contexts in `packed` (of FIRST) of each text."""
 
     @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, first in zip(*b.columns, strict=True):
-                doc, raw, found = doc.as_py(), text.as_py().encode(), np.frombuffer(first.as_py(), FIRST)
-                found = found[(found["hot"] > 0) & (found["start"].astype(np.int64) + found["n"] + SPAN - 1 <= len(raw))]  # else of another row with this doc_id
+            for doc, row, text, first in zip(*b.columns, strict=True):
+                doc, row, raw, found = doc.as_py(), row.as_py(), text.as_py().encode(), np.frombuffer(first.as_py(), FIRST)
+                found = found[found["hot"] > 0]
                 for k in range(0, len(found), 1000):
                     starts = np.concatenate([np.arange(s, s + n) for s, n in found[["start", "n"]][k : k + 1000].tolist()]).astype(np.int64)
                     strings = [xxhash.xxh3_128_digest(raw[s : s + SPAN]) for s in starts.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array(np.full(len(starts), doc, np.int64)), pa.array(starts)], ["string", "doc_id", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array(np.full(len(starts), doc, np.int64)), pa.array(np.full(len(starts), row, np.int64)), pa.array(starts)], ["string", "doc_id", "row", "start"])
 
-    return texts.mapInArrow(per_batch, "string binary, doc_id long, start long")
+    return texts.mapInArrow(per_batch, "string binary, doc_id long, row long, start long")
 
 
 def later_strings(strings: DataFrame) -> DataFrame:
-    """doc_id, start, end of the strings that are equal to an earlier one."""
+    """doc_id, row, start, end of the strings that are equal to one of a smaller doc_id, or to an earlier one of their row."""
     strings = written(strings, "strings")
-    place = F.struct("doc_id", "start")
-    first = strings.groupBy("string").agg(F.min(place).alias("earliest"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    both = salted_left_join(strings, written(first, "earliest"), "string", place)
-    return both.filter(F.col("earliest") < place).select("doc_id", "start", (F.col("start") + SPAN).alias("end"))
+    first = strings.groupBy("string").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    both = written(salted_left_join(strings, written(first, "least"), "string", F.struct("doc_id", "row", "start")).filter("least is not null"), "shared-strings")
+    # What is left in the first documents repeats where its own row has it before.
+    earlier = F.row_number().over(Window.partitionBy("string", "doc_id", "row").orderBy("start")) > 1
+    own = both.filter("doc_id = least").withColumn("earlier", earlier).filter("earlier")
+    return both.filter("doc_id > least").select("doc_id", "row", "start").unionByName(own.select("doc_id", "row", "start")).withColumn("end", F.col("start") + SPAN)
 
 
 def sorted_blocks(contexts: DataFrame) -> DataFrame:
-    """doc_id, start, end of what repeats within the contexts of one route."""
+    """doc_id, row, start, end of what repeats within the contexts of one route."""
 
     @frugal
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
 
         def flush() -> pa.RecordBatch:
-            got = later_copies([c for h in held for c in h[2]], np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], ["doc_id", "start", "end"])
+            got = later_copies([c for h in held for c in h[3]], *(np.concatenate([h[k] for h in held]) for k in range(3)))
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], ["doc_id", "row", "start", "end"])
 
         size, last = 0, None
         for b in batches:
             route = b.column(0).to_numpy()
-            docs, starts, texts = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()
+            docs, rows, starts, texts = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist()
             edges = np.append(np.flatnonzero(np.diff(route)) + 1, len(route)).tolist()
             begin = 0
             for end in edges:
@@ -359,33 +367,33 @@ def sorted_blocks(contexts: DataFrame) -> DataFrame:
                 if size >= BLOCK and route[begin] != last:
                     yield flush()
                     held, size = [], 0
-                held.append((docs[begin:end], starts[begin:end], texts[begin:end]))
+                held.append((docs[begin:end], rows[begin:end], starts[begin:end], texts[begin:end]))
                 size += sum(map(len, texts[begin:end]))
                 begin, last = end, route[end - 1]
         if held:
             yield flush()
 
-    return contexts.repartition("route").sortWithinPartitions("route").mapInArrow(per_task, "doc_id long, start long, end long")
+    return contexts.repartition("route").sortWithinPartitions("route").mapInArrow(per_task, "doc_id long, row long, start long, end long")
 
 
 def packed_lists(rows: DataFrame, kind: np.dtype, join: bool = False) -> DataFrame:
-    """doc_id, packed: the list in column `items` of each document, in order, as bytes; ranges that touch joined if asked."""
+    """doc_id, row, packed: the list in column `items` of each row, in order, as bytes; ranges that touch joined if asked."""
 
     @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                items, doc = b.column(1).flatten(), np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+                items, doc = b.column(2).flatten(), np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
                 got = np.empty(len(items), kind)
                 for c in kind.names:
                     got[c] = items.field(c).to_numpy(zero_copy_only=False)
                 got = got[np.lexsort([*(got[c] for c in reversed(kind.names)), doc])]
                 parts = np.split(got, np.cumsum(np.bincount(doc, minlength=b.num_rows))[:-1])
                 out = [(np.array(merged(x.tolist()), dtype=kind) if join else x).tobytes() for x in parts]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "packed"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "row", "packed"])
 
-    return rows.groupBy("doc_id").agg(F.collect_list("items").alias("items")).mapInArrow(per_batch, "doc_id long, packed binary")
+    return rows.groupBy("doc_id", "row").agg(F.collect_list("items").alias("items")).mapInArrow(per_batch, "doc_id long, row long, packed binary")
 
 
 def shared_runs(docs: DataFrame) -> DataFrame:
@@ -395,21 +403,21 @@ def shared_runs(docs: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, packed (of RANGE): all that repeats. docs: doc_id without nulls, text."""
+    """doc_id, row, packed (of RANGE): all that repeats. docs: doc_id without nulls, row, text; no two of one doc_id and row."""
     found = written(shared_runs(docs), "runs")
     firsts = written(found.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "contexts")
     several = firsts.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     firsts = written(firsts.join(several, "anchor", "left"), "firsts")
     known = written(found.join(firsts, ["anchor", "context"]), "known")
     later = F.col("again") | (F.col("doc_id") > F.col("first"))
-    whole = known.filter(later).select("doc_id", "start", (F.col("start") + F.col("n") + (SPAN - 1)).alias("end"))
-    left = known.filter(~later & F.col("contexts").isNotNull()).select("doc_id", F.struct("start", "n", "anchor", (F.col("contexts") > hot).alias("hot")).alias("items"))
+    whole = known.filter(later).select("doc_id", "row", "start", (F.col("start") + F.col("n") + (SPAN - 1)).alias("end"))
+    left = known.filter(~later & F.col("contexts").isNotNull()).select("doc_id", "row", F.struct("start", "n", "anchor", (F.col("contexts") > hot).alias("hot")).alias("items"))
     left = written(packed_lists(left, FIRST), "left")
-    texts = sized_join(docs, left, ["doc_id"], "inner").select("doc_id", "text", "packed")
+    texts = sized_join(docs, left, ["doc_id", "row"], "inner").select("doc_id", "row", "text", "packed")
     ranges = whole.union(sorted_blocks(context_rows(texts)))
     if not several.filter(F.col("contexts") > hot).isEmpty():
         ranges = ranges.union(later_strings(hot_strings(texts)))
-    return written(packed_lists(ranges.select("doc_id", F.struct("start", "end").alias("items")), RANGE, join=True), "ranges")
+    return written(packed_lists(ranges.select("doc_id", "row", F.struct("start", "end").alias("items")), RANGE, join=True), "ranges")
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -423,6 +431,15 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, row, text) with one of each doc_id and row. Texts move only of those that come again, one a task."""
+    again = written(docs.groupBy("doc_id", "row").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id", "row"), "again")
+    if again.isEmpty():
+        return docs
+    one = sized_join(docs, again, ["doc_id", "row"], "left_semi").groupBy("doc_id", "row").agg(F.first("text").alias("text"))
+    return sized_join(docs, again, ["doc_id", "row"], "left_anti").unionByName(written(one, "one-of-each"))
+
+
 def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, removed (ranges of bytes), kept (what is left, as bytes) of every document."""
 
@@ -442,8 +459,8 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 kept.append(b"".join([*parts, raw[at:]]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), text_of().alias("text"))
-    got = sized_join(rows, repeated_ranges(rows, hot), ["doc_id"], "left").select("doc_id", "text", "packed")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.xxhash64(text_of()).alias("row"), text_of().alias("text"))
+    got = sized_join(rows, repeated_ranges(once(rows), hot), ["doc_id", "row"], "left").select("doc_id", "text", "packed")
     out = got.mapInArrow(per_batch, "doc_id long, n_bytes long, removed array<struct<start long, end long>>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_DOC, F.col("doc_id")))
 

@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, read_table, sized_join, written
+from colloquy.operators.joins import sized_join
+
+from .common import frugal, read_table, written
 
 PARTS = 8
 ENTRIES = 16

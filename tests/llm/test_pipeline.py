@@ -1,7 +1,11 @@
+import os
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline as C
 from colloquy.llm.common import written
+from colloquy.sources.scratch import tables_dir
 
 from .test_near_dedup import brute
 from .test_packing import ids_of
@@ -47,4 +51,33 @@ def test_repeated_rows_leave_once_and_rows_without_id_stay(spark, tiny):
     mixed = written(stages["mixing"](spark, kept, tiny), "mixed")
     assert set(Counter(r.text for r in mixed.collect()).values()) <= {1, 2} and mixed.columns == docs.columns
     packed = stages["packing"](spark, mixed, tiny).collect()
-    assert {r.doc_id for r in packed if r.bin is not None} == {r.doc_id for r in mixed.collect()} and None in {r.doc_id for r in packed}
+    assert pieces_of(packed) == sorted([(r.doc_id or 0, 0, ids_of(r.text)) for r in mixed.collect()])
+
+
+def pieces_of(packed):
+    """doc_id (0 for null), start and ids of every piece in the sequences."""
+    out = []
+    for r in packed:
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert len(ids) == r.n_tokens <= r.bin_length
+        out += [(p.doc_id or 0, p.start, ids[p.bin_offset : p.bin_offset + p.n_tokens]) for p in r.pieces]
+    return sorted(out)
+
+
+def test_very_long_texts_go_through_all_stages(spark, tiny):
+    rows = [r for r in spark.read.parquet(f"{tiny}/documents.parquet").collect() if r.text]
+    long = " ".join(r.text for r in rows[:150])
+    assert len(long) > 100_000
+    docs = spark.createDataFrame([*rows, *[(k, t, "en", rows[0].source, len(t)) for k, t in ((10_000, long), (10_001, long), (None, long[::-1]))]], spark.read.parquet(f"{tiny}/documents.parquet").schema)
+    for name, stage in C.STAGES:
+        docs = written(stage(spark, docs, tiny), name)
+    starts = [(d, s) for d, s, _ in pieces_of(docs.collect())]
+    assert len(starts) > 20 and max(s for _, s in starts) % 4096 == 0
+
+
+def test_a_run_removes_the_tables_between_its_stages(spark, tiny):
+    tables = lambda: set(os.listdir(tables_dir(spark))) if os.path.exists(tables_dir(spark)) else set()
+    before = tables()
+    out = C.run(spark, tiny)
+    left = tables() - before
+    assert {x.rsplit("-", 1)[0] for x in left} == {"stage-packing"} and out.count() > 0

@@ -1,40 +1,41 @@
-import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from colloquy.llm import repeats as R
 
 
 def brute(rows):
-    """By doc_id: bytes, removed flags."""
-    seen, out = {}, {}
-    for d, t in sorted(rows, key=lambda r: r[0]):
+    """Bytes and removed flags of each row: what covers a string that a row of a smaller doc_id has, or its own row before."""
+    place = lambda d: -(2**63) if d is None else d
+    least = {}
+    for d, t in rows:
         raw = (t or "").encode()
-        gone = np.zeros(len(raw), bool)
+        for w in {raw[i : i + 100] for i in range(len(raw) - 99)}:
+            least[w] = min(place(d), least.get(w, place(d)))
+    out = []
+    for d, t in rows:
+        raw = (t or "").encode()
+        gone, own = np.zeros(len(raw), bool), set()
         for i in range(len(raw) - 99):
             w = raw[i : i + 100]
-            if w in seen:
+            if w in own or least[w] < place(d):
                 gone[i : i + 100] = True
-            else:
-                seen[w] = (d, i)
-        out[d] = (raw, gone)
+            own.add(w)
+        out.append((d, raw, gone))
     return out
 
 
 def compare(spark, rows, hot=R.HOT):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in R.without_repeats(df, hot).collect()}
-    want = brute(rows)
-    assert got.keys() == want.keys()
-    for d, (raw, gone) in want.items():
-        flags = np.zeros(len(raw), bool)
-        for r in got[d].removed:
-            flags[r.start : r.end] = True
-        assert np.array_equal(flags, gone), d
-        assert hashlib.sha256(bytes(got[d].kept)).hexdigest() == hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest()
-        assert len(got[d].removed) == int((np.diff(gone.astype(int), prepend=0) == 1).sum())
-    return sum(int(g.sum()) for _, g in want.values())
+    got = sorted([(str(r.doc_id), r.n_bytes, bytes(r.kept), tuple((x.start, x.end) for x in r.removed)) for r in R.without_repeats(df, hot).collect()])
+    want = []
+    for d, raw, gone in brute(rows):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        want.append((str(d), len(raw), bytes(np.frombuffer(raw, np.uint8)[~gone]), tuple(zip(edge[::2].tolist(), edge[1::2].tolist()))))
+    assert got == sorted(want)
+    return sum(int(g.sum()) for _, _, g in brute(rows))
 
 
 def corpus(seed):
@@ -70,7 +71,7 @@ def test_hot_anchors_are_dealt_by_string(spark):
 
 
 def test_contexts_and_ranges_beyond_what_is_sent(spark, monkeypatch):
-    monkeypatch.setattr("colloquy.llm.common.BROADCAST_BYTES", 10)
+    monkeypatch.setattr("colloquy.operators.joins.BROADCAST_BYTES", 10)
     assert compare(spark, corpus(3)) > 5000
 
 
@@ -106,6 +107,29 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert R.without_repeats(df.limit(0)).count() == 0
 
 
+def letters(seed, n):
+    return "".join(random.Random(seed).choices("abcdefghij ", k=n))
+
+
+@pytest.mark.parametrize("hot", [R.HOT, 3])
+def test_rows_that_share_a_doc_id_or_have_none(spark, hot):
+    line = letters(1, 300)
+    rows = [(1, letters(2, 50) + line), (2, letters(3, 200) + line + letters(4, 90)), (2, letters(5, 600)), (2, line), (2, letters(6, 20) + line + line)]
+    assert compare(spark, rows, hot) == 300 * 4
+    rows = [(None, line + "y" + line), (None, letters(7, 600)), (None, letters(8, 30) + line), (3, letters(9, 400)), (3, line + letters(10, 90)), (None, ""), (None, None)]
+    assert compare(spark, rows, hot) == 300 * 2
+    assert compare(spark, [(4, line + letters(11, 50)), (4, letters(12, 170) + line)], hot) == 0
+
+
+@pytest.mark.parametrize("hot", [R.HOT, 3])
+def test_a_third_of_all_rows_without_a_doc_id(spark, hot):
+    rnd = random.Random(13)
+    parts = [letters(20 + k, 150) for k in range(8)]
+    rows = [(None if k % 3 == 0 else rnd.choice([k, 7]), "".join(rnd.choices(parts, k=rnd.randint(0, 3))) + letters(100 + k, rnd.randint(0, 200))) for k in range(90)]
+    rows += [(None, rows[0][1])] * 30 + [(7, parts[0] * 2)] * 30
+    assert compare(spark, rows, hot) > 5000
+
+
 def test_texts_beyond_the_place_bits():
     rnd = random.Random(11)
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
@@ -128,5 +152,5 @@ def test_strings_of_hot_anchors_are_not_held_together(spark):
     rows = [(k, text(rnd.randint(0, 150)) + line + text(150)) for k in range(150)]
     assert compare(spark, rows, hot=20) > 130 * 149
     items = [np.array([(0, 1, hot, 5)], R.FIRST).tobytes() for hot in (0, 1)]
-    texts = spark.createDataFrame([(k, line, bytearray(x)) for k, x in enumerate(items)], "doc_id long, text string, packed binary")
+    texts = spark.createDataFrame([(k, 0, line, bytearray(x)) for k, x in enumerate(items)], "doc_id long, row long, text string, packed binary")
     assert [r.doc_id for r in R.context_rows(texts).collect()] == [0]
