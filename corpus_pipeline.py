@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import exact_dedup, mixing, near_dedup, packing, quality_model
-from colloquy.llm.common import read_table, sized_join, written
+from colloquy.llm.common import read_table, written
+from colloquy.operators.joins import sized_join
+from colloquy.sources import scratch
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,10 +82,10 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
+    """The packed sequences: their ids, and for each piece in them its document, its place there and in the sequence."""
     import public_tokenizers
 
-    return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=200_000)  # workers still hold what the stages before left
+    return packing.sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=200_000)  # workers still hold what the stages before left
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -98,9 +100,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows, from a table in the shared folder. What the steps of a stage wrote goes when it is done, its rows when the next one is."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch.fresh_path(spark, f"stage-{name}")
+        with scratch.within(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path=path)
+        if before is not None:
+            scratch.remove_path(spark, before)
+        before = path
     return docs
 
 
