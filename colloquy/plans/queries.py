@@ -297,6 +297,16 @@ def dense_top10(spark, d):
     return top_rows(spark, d).withColumn("score", F.round("score", 6))
 
 
+@query("""WITH v AS (SELECT vec_id, label::VARCHAR AS tag, CASE WHEN label < 5 THEN 'evidence' ELSE 'answer' END AS task, embedding::DOUBLE[] AS e FROM embeddings),
+ s AS (SELECT q.vec_id AS qid, c.tag, c.vec_id AS chunk_index, round(list_dot_product(q.e, c.e), 12) AS score FROM v q JOIN v c ON q.task = 'answer' AND c.task = 'answer' OR q.task = 'evidence' AND c.task = 'evidence' AND q.tag = c.tag WHERE q.vec_id % 100 = 0)
+ SELECT qid, tag, chunk_index, row_number() OVER w::INT AS rank, round(score, 6) AS score, count(*) OVER (PARTITION BY qid) AS n_candidates FROM s WINDOW w AS (PARTITION BY qid ORDER BY score DESC, tag, chunk_index) QUALIFY row_number() OVER w <= 10""")
+def auto_pool_top10(spark, d):
+    """Questions of answer documents look in all of these, others in their own document."""
+    rows = vectors(spark, d).withColumn("task", F.when(F.col("tag") < "5", "evidence").otherwise("answer")).drop("pool_key")
+    got = R.top_k(R.question_pools(rows.filter("qid % 100 = 0"), "auto"), R.pools(rows, "auto"))
+    return got.withColumn("score", F.round("score", 6))
+
+
 _HYBRID = r"""WITH tok AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents)),
  sp AS (SELECT doc_id, token, max(1 / (1 + pos)::DOUBLE) AS weight FROM tok GROUP BY ALL),
  x AS (SELECT q.doc_id AS qid, c.doc_id AS chunk_index, sum(q.weight * c.weight) AS sparse FROM sp q JOIN sp c USING (token) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
@@ -370,11 +380,11 @@ def gold_of(spark, d):
     return rows.withColumn("gold", ahead).filter("qid % 100 = 0 and size(gold) > 0")
 
 
-def metric_rows(spark, d):
+def metric_rows(spark, d, coverage: bool = True):
     """Two configurations: neighbours within 5 and within 40 ids count."""
     rows = gold_of(spark, d).join(V.ranked(top_rows(spark, d), ["qid"]), "qid")
     rows = rows.withColumn("qtype", F.when(F.col("qid") % 300 == 0, "a").when(F.col("qid") % 300 == 100, "b").otherwise("")).withColumn("corpus", F.when(F.col("tag") < "5", "ko").otherwise("en"))
-    both = [V.query_metrics(rows, tol).withColumn("config", F.lit(name)) for name, tol in (("tight", 5), ("loose", 40))]
+    both = [V.query_metrics(rows, tol, coverage).withColumn("config", F.lit(name)) for name, tol in (("tight", 5), ("loose", 40))]
     return both[0].unionByName(both[1])
 
 
@@ -383,6 +393,27 @@ def retrieval_metrics(spark, d):
     return metric_rows(spark, d).select("config", "qid", "tag", "rank", *[F.col(f"`{m}`") for m in V.METRICS])
 
 
+@query(f"""WITH {_TOP}, {_NEXT} SELECT config, qid, tag, rank::INT AS rank, "hit@5", "hit@10", "hit@5" AS "recall@5", "hit@10" AS "recall@10", "mrr@10", "ndcg@10" FROM met""")
+def metrics_without_coverage(spark, d):
+    """Recall as the older runs have it: one hit is all."""
+    return metric_rows(spark, d, coverage=False).select("config", "qid", "tag", "rank", *[F.col(f"`{m}`") for m in V.METRICS])
+
+
+_AXES = f"""ax AS (SELECT *, CASE WHEN tag < '5' THEN 'ko' ELSE 'en' END AS language, CASE WHEN tag < '5' THEN 'evidence' ELSE 'answer' END AS task, CASE WHEN qid % 200 = 0 THEN 'doc' ELSE 'auto' END AS scope FROM met),
+ axes AS (
+ SELECT config, 'language' AS group_kind, language, NULL AS evidence, NULL AS task, count(*) AS n_queries, {_AVG}, CASE WHEN min(scope) = max(scope) THEN min(scope) ELSE 'mixed' END AS scope FROM ax GROUP BY config, language
+ UNION ALL SELECT config, 'evidence_type', NULL, qtype, NULL, count(*), {_AVG}, CASE WHEN min(scope) = max(scope) THEN min(scope) ELSE 'mixed' END FROM ax WHERE qtype <> '' GROUP BY config, qtype
+ UNION ALL SELECT config, 'task_evidence', NULL, qtype, task, count(*), {_AVG}, CASE WHEN min(scope) = max(scope) THEN min(scope) ELSE 'mixed' END FROM ax WHERE qtype <> '' GROUP BY config, qtype, task)"""
+
+
+@query(f"WITH {_TOP}, {_NEXT}, {_AXES} SELECT * FROM axes")
+def means_by_axes(spark, d):
+    """Means by language, by type of evidence, and by that and task."""
+    early = F.col("tag") < "5"
+    rows = metric_rows(spark, d).withColumns({"language": F.when(early, "ko").otherwise("en"), "task": F.when(early, "evidence").otherwise("answer"), "evidence": F.col("qtype"), "scope": F.when(F.col("qid") % 200 == 0, "doc").otherwise("auto")})
+    return V.means(rows, {"language": ["language"], "evidence_type": ["evidence"], "task_evidence": ["task", "evidence"]})
+
+
 _ROLL = f"""roll AS (
  SELECT config, 'document' AS group_kind, tag AS document, count(*) AS n_queries, {_AVG} FROM met GROUP BY config, tag
  UNION ALL SELECT config, 'q_type', 'QTYPE(' || qtype || ')', count(*), {_AVG} FROM met WHERE qtype <> '' GROUP BY config, qtype
@@ -443,7 +474,31 @@ def keyword_neighbours(spark, d):
     return R.with_neighbours(rows, R.chunk_filter(speaker="user", keyword="the"), 1, "conv_id", "turn").select("conv_id", "turn")
 
 
-@query()
+_CONFIGS = ", ".join(f"('{name}', {q}, {d}, '{mode}')" for name, (q, d, mode) in {k: (*({"hash-a": 0, "hash-b": 7}[m] for m in c[:2]), c[2]) for k, c in J.CONFIGS.items()}.items())
+_ENCODERS = rf"""m AS (SELECT conv_id * 100 + turn AS id, role, conv_id, text FROM conversations),
+ conf(config, qs, ds, mode) AS (VALUES {_CONFIGS}),
+ wd AS (SELECT id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS word FROM m),
+ hs AS (SELECT seed, id, ('0x' || substr(md5(seed || ':' || word), 1, 8))::BIGINT AS h FROM wd, (VALUES (0), (7)) AS seeds(seed)),
+ cn AS (SELECT seed, id, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::FLOAT AS c FROM hs GROUP BY ALL),
+ un AS MATERIALIZED (SELECT seed, id, i, (c / greatest(sqrt(sum(c * c) OVER (PARTITION BY seed, id))::FLOAT, 1e-12::FLOAT))::FLOAT AS x FROM cn),
+ ask AS MATERIALIZED (SELECT id AS qid, CASE WHEN length(text) > 200 THEN '1 long' ELSE '2 short' END AS qtype FROM m WHERE conv_id % 100 = 0 AND role = 'user'),
+ cand AS MATERIALIZED (SELECT id AS cid FROM m WHERE role = 'assistant'),
+ dn AS (SELECT a.seed AS qs, b.seed AS ds, a.id AS qid, b.id AS cid, sum(a.x::DOUBLE * b.x::DOUBLE) AS dense FROM un a JOIN un b USING (i) WHERE a.id IN (SELECT qid FROM ask) AND b.id IN (SELECT cid FROM cand) GROUP BY ALL),
+ tk AS (SELECT id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM m)),
+ wt AS MATERIALIZED (SELECT id, token, max(1 / (1 + pos)::DOUBLE) AS weight FROM tk GROUP BY ALL),
+ sx AS (SELECT a.id AS qid, b.id AS cid, sum(a.weight * b.weight) AS sparse FROM wt a JOIN wt b USING (token) WHERE a.id IN (SELECT qid FROM ask) AND b.id IN (SELECT cid FROM cand) GROUP BY ALL),
+ sc AS (SELECT config, qid, qtype, cid, round(CASE WHEN mode <> 'sparse' THEN coalesce(dense, 0) ELSE 0 END + CASE mode WHEN 'sparse' THEN 1 WHEN 'hybrid' THEN 0.3 ELSE 0 END * coalesce(sparse, 0), 12) AS score
+   FROM conf CROSS JOIN ask CROSS JOIN cand LEFT JOIN dn USING (qs, ds, qid, cid) LEFT JOIN sx USING (qid, cid)),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY config, qid ORDER BY score DESC, cid) AS r FROM sc QUALIFY r <= 10),
+ met AS (SELECT config, qid, 'turns_assistant' AS tag, qtype, coalesce(max(r) FILTER (cid = qid + 1), 0) AS rank FROM rk GROUP BY config, qid, qtype),
+ mt AS (SELECT config, tag, qtype, (rank BETWEEN 1 AND 5)::INT::DOUBLE AS "hit@5", (rank BETWEEN 1 AND 10)::INT::DOUBLE AS "hit@10", (rank BETWEEN 1 AND 5)::INT::DOUBLE AS "recall@5", (rank BETWEEN 1 AND 10)::INT::DOUBLE AS "recall@10",
+   CASE WHEN rank > 0 THEN 1 / rank ELSE 0 END AS "mrr@10", CASE WHEN rank > 0 THEN 1 / log2(rank + 1) ELSE 0 END AS "ndcg@10" FROM met)"""
+
+
+@query(f"""WITH {_ENCODERS} SELECT config, 'document' AS group_kind, tag AS document, count(*) AS n_queries, {_AVG} FROM mt GROUP BY config, tag
+ UNION ALL SELECT config, 'q_type', 'QTYPE(' || qtype || ')', count(*), {_AVG} FROM mt GROUP BY config, qtype
+ UNION ALL SELECT config, 'document_q_type', tag || ' / ' || qtype, count(*), {_AVG} FROM mt GROUP BY config, tag, qtype
+ UNION ALL SELECT config, 'overall', unnest(['ALL(다국어)', 'ALL']), count(*), {_AVG} FROM mt GROUP BY config""")
 def encoder_comparison(spark, d):
     """Each later turn is looked for with the turn before it, in the turns of its side."""
     rows = table(spark, d, "conversations").withColumn("chunk_index", F.col("conv_id") * 100 + F.col("turn")).withColumn("tag", F.concat(F.lit("turns_"), "role"))
@@ -489,6 +544,18 @@ def body_report(spark, d):
     return X.body_report(chat_lines(spark, d))
 
 
+def lower_cased():
+    """A model that answers each line of a prompt in lower case."""
+    return lambda prompts: [p.lower() for p in prompts]
+
+
+@query(f"WITH {_LINES} SELECT body, coalesce(nullif(trim(regexp_replace(lower(body), '^\\s+|\\s+$', '', 'g')), ''), body) AS text FROM b WHERE NOT {_NOISE}")
+def translated_bodies(spark, d):
+    """Distinct bodies that aren't noise, by packs and prompts through a model and its parsed answers."""
+    todo = X.work_list(X.bodies(chat_lines(spark, d)), spark.createDataFrame([], Q.CACHE))
+    return X.translated(todo, lambda: lower_cased())
+
+
 def chat_cache(spark, d):
     rows = X.bodies(chat_lines(spark, d)).filter("length(body) % 2 = 0").select(F.lit(1).alias("seq"), F.col("body").alias("en"), F.lower("body").alias("ko"))
     return X.latest(rows.unionByName(rows.withColumn("seq", F.lit(2)).withColumn("ko", F.concat(F.lit("<"), "ko", F.lit(">")))))
@@ -564,6 +631,55 @@ def first_accepted_questions(spark, d):
     return G.first_accepted(rows, 3).select("tag", "case_no", "turn", "qid")
 
 
+@query("""WITH t AS (SELECT doc_id, coalesce(lang, '') || '_' || coalesce(source, '') AS tag, 'A-' || lpad((doc_id % 12)::VARCHAR, 3, '0') AS evidence FROM documents)
+ SELECT doc_id, CASE WHEN starts_with(tag, 'en') THEN 'en' WHEN starts_with(tag, 'e') THEN 'e' WHEN starts_with(tag, 'fr_') THEN 'fr_' ELSE '?' END AS language, CASE WHEN contains(tag, 'web') THEN 'web' ELSE 'other' END AS task, CASE doc_id % 12 WHEN 1 THEN 'meaning' WHEN 8 THEN 'accounts' ELSE '' END AS evidence_type FROM t""")
+def document_labels(spark, d):
+    tag = F.concat_ws("_", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    evidence = F.format_string("A-%03d", F.col("doc_id") % 12)
+    return table(spark, d, "documents").select("doc_id", T.language_of(tag, ("e", "en", "fr_")).alias("language"), T.task_of(tag, "web", "web", "other").alias("task"), T.evidence_type(evidence, {1: "meaning", 8: "accounts"}).alias("evidence_type"))
+
+
+def marked_documents(spark, d):
+    """Documents in which two evidence blocks stand, the first one's id again at the end."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("tag"), F.concat(F.lit("head of it A-001 "), text, F.lit(" B-002 "), text, F.lit(" A-001 end")).alias("text"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id::VARCHAR AS tag, 'head of it A-001 ' || coalesce(text, '') || ' B-002 ' || coalesce(text, '') || ' A-001 end' AS text FROM documents),
+ i AS (SELECT tag, text, unnest(['A-001', 'B-002']) AS block FROM t), p AS (SELECT tag, text, block, position(' ' || block || ' ' IN text)::INT AS char_start FROM i),
+ e AS (SELECT *, coalesce(lead(char_start) OVER (PARTITION BY tag ORDER BY char_start), length(text))::INT AS char_end FROM p)
+ SELECT tag, block, char_start, char_end, {_WORDS.format("substr(text, 1, char_start)")} AS tok_start, {_WORDS.format("substr(text, 1, char_end)")} AS tok_end FROM e""")
+def evidence_spans(spark, d):
+    docs = marked_documents(spark, d)
+    return G.token_spans(G.block_spans(docs), docs).select("tag", "block", "char_start", "char_end", "tok_start", "tok_end")
+
+
+def case_documents(spark, d):
+    who = F.concat(F.lit("People: "), F.coalesce("lang", F.lit("none")), F.lit(", s"), F.col("doc_id") % 7)
+    text = F.concat(who, F.lit("\nCharge: c"), F.col("doc_id") % 4, F.lit("\nA-001 "), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("tag"), text.alias("text"))
+
+
+def case_profiles_of(spark, d):
+    docs = case_documents(spark, d)
+    none = F.lit(None).cast("string")
+    labels = docs.select("tag", F.lit("People").alias("people"), F.lit("Orgs").alias("orgs"), none.alias("places"), F.lit("Terms").alias("keywords"), F.lit("Charge").alias("charge"))
+    return G.profiles(docs, G.block_spans(docs), labels)
+
+
+@query("SELECT doc_id::VARCHAR AS tag, 1 AS case_no, coalesce(lang, 'none') || ';s' || doc_id % 7 AS people, coalesce(lang, 'none') || ';s' || doc_id % 7 AS orgs, coalesce(lang, 'none') || ';s' || doc_id % 7 AS places, 'c' || doc_id % 4 AS charge FROM documents")
+def case_profiles(spark, d):
+    return case_profiles_of(spark, d).select("tag", "case_no", *[F.array_join(c, ";").alias(c) for c in ("people", "orgs", "places")], "charge")
+
+
+@query("""WITH t AS (SELECT doc_id::VARCHAR AS tag, coalesce(lang, 'none') AS a, 's' || doc_id % 7 AS b, 'c' || doc_id % 4 AS charge FROM documents)
+ SELECT tag, 1 AS case_no, charge, no + 1 AS block_no, CASE no WHEN 0 THEN a || ' and ' || b || '?' WHEN 1 THEN b || ' at ' || a || '?' ELSE a || '?' END AS question, no AS turn FROM t, (VALUES (0), (1), (2)) AS n(no)""")
+def case_questions(spark, d):
+    """Questions from templates with the people, organisations and places of each document's case."""
+    templates = spark.createDataFrame([(0, 1, "{people:0} and {people:1}"), (1, 2, "{people:3} at {places:0}"), (2, 3, "{orgs:2}")], "no int, block_no int, text string")
+    return G.questions(case_profiles_of(spark, d), templates, {"people": "someone", "orgs": "a firm", "places": "a place"}, "?")
+
+
 @query(f"WITH {_OVER}, g AS (SELECT bl.doc_id, bl.block, count(chunk_index) AS n FROM bl LEFT JOIN o USING (doc_id, block) GROUP BY ALL) SELECT doc_id AS tag, count(*) FILTER (n BETWEEN 1 AND 2) AS n_questions, count(*) FILTER (n = 1) AS n_one, count(*) FILTER (n = 2) AS n_more, coalesce(avg(n) FILTER (n BETWEEN 1 AND 2), 0) AS mean_gold, 0 AS n_disambiguated, count(*) FILTER (n = 0) AS n_missing, count(*) FILTER (n > 2) AS n_too_many FROM g GROUP BY doc_id")
 def gold_report(spark, d):
     got = G.gold(line_blocks(spark, d), windows(spark, d), "doc_id", 2).withColumnRenamed("doc_id", "tag")

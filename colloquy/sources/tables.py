@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from colloquy.sources.scratch import remove_path
+
 RAW = "src_row long, ts timestamp, `from` string, `to` string, body string, body_en string"
 CLEAN = "src_row long, ts timestamp, nick_from string, nick_to string, dyad string, body string, body_en string, kind string, recipients array<string>, merged_rows array<long>"
 CHUNK = "chunk_index int, session_id long, kind string, participants array<string>, recipients array<string>, ts_start timestamp, ts_end timestamp, n_messages int, part int, n_parts int, n_tokens int, src_rows array<long>, text string"
@@ -21,10 +27,67 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def read_raw_messages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Quoted bodies may span lines, so a file is one split; its rows are dealt anew. The header's first, unnamed column is the row id."""
-    rows = spark.read.schema(RAW).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=True)
-    return rows.repartition(partitions) if partitions else rows.repartition("src_row")
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, at, no, record: the records of CSV files whose quoted fields may span lines, each file read by as many tasks as it has splits.
+
+    Whether a split begins within quotes is told by the number of quotes in the splits before it: one pass counts them (one row a
+    split). In the second pass each task puts its lines together to records from there on. What a split's edge cuts goes on as
+    fragments, two a split at most, which are joined in order. The header is the record of no 0 at 0."""
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    splits, inside, n = sorted(lines.groupBy("file", "at").agg(F.sum(quotes).alias("n")).collect()), [], 0
+    for before, split in zip([None, *splits], splits, strict=False):
+        n = 0 if before is None or before.file != split.file else n + before.n
+        if n % 2:
+            inside.append((split.file, split.at, True))
+    held = spark.createDataFrame(inside, "file string, at long, inside boolean")
+    rows = lines.join(F.broadcast(held), ["file", "at"], "left").select("value", "file", "at", F.coalesce("inside", F.lit(False)).alias("inside"))
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, no, held, within, cut = None, 0, [], False, False
+        out: list[tuple] = []
+
+        def done(last: bool) -> None:
+            """What is held is a record, or at an edge of the split a fragment: of the record before it (no -1), or of one that goes on."""
+            nonlocal no, held, cut
+            if held:
+                out.append((*key, -1 if cut else no, cut or last, "\n".join(held)))
+                no, held, cut = no + (not cut), [], False
+
+        for b in batches:
+            odd = pc.count_substring(b.column(0), '"').to_numpy(zero_copy_only=False) % 2
+            for value, file, at, inside, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), odd.tolist(), strict=True):
+                if (file, at) != key:
+                    done(within)
+                    key, no, within, cut = (file, at), 0, inside, inside
+                held.append(value)
+                within ^= bool(turns)
+                if not within:
+                    done(False)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True)], ["file", "at", "no", "cut", "record"])
+                out.clear()
+        done(within)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True)], ["file", "at", "no", "cut", "record"])
+
+    got = rows.mapInArrow(per_task, "file string, at long, no long, cut boolean, record string")
+    begins = F.sum((F.col("no") >= 0).cast("int")).over(Window.partitionBy("file").orderBy("at", "no"))  # two rows a split
+    parts = got.filter("cut").withColumn("begin", begins).groupBy("file", "begin").agg(F.array_sort(F.collect_list(F.struct("at", "no", "record"))).alias("parts"))
+    whole = parts.select("file", F.col("parts")[0]["at"].alias("at"), F.col("parts")[0]["no"].alias("no"), F.array_join("parts.record", "\n").alias("record"))
+    return got.filter("not cut").drop("cut").unionByName(whole)
+
+
+def read_csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of CSV files with a header, by position; quotes are doubled within quotes, and fields may span lines."""
+    records = csv_records(spark, path).filter("not (at = 0 and no = 0)").withColumn("record", F.regexp_replace("record", r"\r$", "")).filter("record <> ''")
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    return records.select(F.from_csv("record", F.lit(schema), options).alias("row")).select("row.*")
+
+
+def read_raw_messages(spark: SparkSession, path: str) -> DataFrame:
+    """The header's first, unnamed column is the row id."""
+    return read_csv_rows(spark, path, RAW)
 
 
 def write_clean(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -142,3 +205,62 @@ def append_cache(df: DataFrame, path: str) -> None:
     df.select(F.col("seq").cast("long"), "en", "ko").write.mode("append").json(path)
 
 
+#: A cache by key: folders gen=N/bucket=B, where a bucket holds the keys of one hash. A generation is what was added at once, or what older ones were
+#: compacted to; the row with the largest seq of a key holds.
+CACHE_BUCKETS = 64
+
+
+def cache_bucket(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(CACHE_BUCKETS)).cast("int")
+
+
+def _bucket_folders(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """gen, bucket and path of each folder: as many as generations times buckets."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/gen=*/bucket=*"))
+    names = [f.getPath().toString() for f in found or []]
+    return [(int(n.split("/gen=")[1].split("/")[0]), int(n.rsplit("=", 1)[1]), n) for n in names]
+
+
+def has_cache(spark: SparkSession, path: str) -> bool:
+    return bool(_bucket_folders(spark, path))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def add_to_cache(df: DataFrame, path: str) -> None:
+    """New rows (seq, en, ko) as the next generation."""
+    gen = 1 + max((g for g, _, _ in _bucket_folders(df.sparkSession, path)), default=-1)
+    rows = df.select(F.col("seq").cast("long").alias("seq"), "en", "ko", F.lit(gen).alias("gen"), cache_bucket(F.col("en")).alias("bucket"))
+    rows.repartition("bucket").write.mode("append").partitionBy("gen", "bucket").parquet(path)
+
+
+def cached_of(texts: DataFrame, path: str, text: str = "en") -> DataFrame:
+    """seq, en, ko of the buckets that these texts are in; the others are not read."""
+    spark = texts.sparkSession
+    wanted = {r.bucket for r in texts.select(cache_bucket(F.col(text)).alias("bucket")).distinct().collect()}  # at most CACHE_BUCKETS
+    folders = [n for _, b, n in _bucket_folders(spark, path) if b in wanted]
+    return spark.read.schema(CACHE).parquet(*folders) if folders else spark.createDataFrame([], CACHE)
+
+
+def compact_cache(spark: SparkSession, path: str, least: int = 8) -> int:
+    """Buckets of `least` generations or more become one generation with the last row of each key; says how many. Older folders go when the
+    new one is written; if that is cut short, rows are there twice, which changes no result."""
+    folders = _bucket_folders(spark, path)
+    of: dict[int, list[str]] = {}
+    for _, bucket, name in folders:
+        of.setdefault(bucket, []).append(name)
+    full = {b: names for b, names in of.items() if len(names) >= least}
+    old = [n for names in full.values() for n in names]
+    if not old:
+        return 0
+    rows = spark.read.schema(CACHE).parquet(*old).groupBy("en").agg(F.max(F.struct("seq", "ko")).alias("last"))
+    add_to_cache(rows.select("last.seq", "en", "last.ko"), path)
+    for name in old:
+        remove_path(spark, name)
+    return len(full)
+
+

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from colloquy.operators.joins import distinct_texts, join_texts
 from colloquy.sources import tables as S
+from colloquy.sources.scratch import stored
 
 
 def encode_unfinished(spark: SparkSession, texts: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame], overwrite: bool = False) -> int:
@@ -26,19 +29,23 @@ def encode_unfinished(spark: SparkSession, texts: DataFrame, path: str, encode:
 
 
 def translate_arrivals(bodies: DataFrame, cache_path: str, checkpoint: str, translate: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """A stream of bodies: each batch's distinct ones that the cache lacks are translated and appended to it. A batch that
-    runs again after a failure finds its bodies cached."""
+    """A stream of bodies: each batch's distinct ones that the cache lacks are translated and added to it: to the log at cache_path, and to
+    the table by key beside it, of which a batch reads only the buckets of its bodies. A batch that runs again after a
+    failure finds its bodies in the table, or writes them to the log once more, with the same meaning."""
+    table = f"{cache_path.rstrip('/')}-by-key"
 
     def per_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = S.read_cache(spark, cache_path).select("en")
-        except Exception as e:  # no cache yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], "en string")
-        new = batch.selectExpr("body as en").distinct().join(known, "en", "left_anti")
+        asked = stored(distinct_texts(batch.selectExpr("body as en").filter("en is not null"), "en"), "asked")
+        new = stored(join_texts(asked, "en", S.cached_of(asked, table).select(F.col("en").alias("known")), "known", "left_anti"), "new")
         if not new.isEmpty():
-            S.append_cache(translate(new).selectExpr(f"cast({number} as long) as seq", "en", "ko"), cache_path)
+            rows = stored(translate(new).selectExpr(f"cast({number} as long) as seq", "en", "ko"), "translated")
+            S.append_cache(rows, cache_path)
+            S.add_to_cache(rows, table)
+            S.compact_cache(spark, table)
+
+    spark = bodies.sparkSession
+    if not S.has_cache(spark, table) and S.exists(spark, cache_path):
+        S.add_to_cache(S.read_cache(spark, cache_path), table)  # a log from before there was a table
 
     return bodies.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
