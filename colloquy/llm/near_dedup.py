@@ -4,10 +4,11 @@ A document is the set of its word shingles; documents link when 100 * common >=
 one of each group of linked documents stays. Equal sets are one class. In each of TREES independent trees a class
 walks from the root: at every node one or two places of its MinHash signature are chosen by the node's own random
 bits (1.25 on average, the inverse of the similarity), and the tokens there name the children. After FIRST_STEPS steps
-nodes of one member end, and of nodes with equal members one stays. Nodes of more than MEMBERS members walk on (1.5
-places a node) while that makes their pairs fewer.
+nodes of one member end, and of nodes with equal members one stays. A node of more members or shingles than a unit holds
+walks on (1.5 places a node) as long as the pairs that meet again in a branch are so few that all branches together have
+fewer than the node has; each node is judged by itself, and after TRIES draws of its places that fail it stays. The trees are as many as the target recall asks for (`trees_for`).
 
-A node is compared exhaustively in units of about MEMBERS members. First by signature: two members of different
+A node is compared exhaustively in units of about MEMBERS members and SHINGLES shingles. First by signature: two members of different
 groups may link if their sizes allow it and AGREE of their PLACES agree. Members that such pairs join are a cluster;
 equal clusters of several nodes are one. Then on the full sets: each cluster's pairs are counted exactly, and what
 comes out is each member's least linked member, so rows grow with members, not with pairs. A node of several units is
@@ -32,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.joins import few, sized_join
@@ -41,11 +42,13 @@ from .common import frugal, read_table, salted_left_join, text_of, written
 from .words import U, factors, in_slices, mixed, word_hashes
 
 SIMILAR = 80  # percent
-TREES = 12
+RECALL = 0.9995  # of pairs at the least similarity, after FIRST_STEPS steps
 PLACES = 64  # of a signature
 FIRST_STEPS, FIRST_TWICE = 4, 4  # one node in FIRST_TWICE branches twice
 MORE_STEPS, MORE_TWICE = 16, 2
+TRIES = 6  # of a large node to walk on: a place that its path has used splits nothing
 MEMBERS = 1024  # of a unit
+SHINGLES = 4_000_000  # of all members of a unit together
 AGREE = 32  # places, at least, of a pair that is compared on its sets
 PAIRS = 50_000  # looked at in one go
 SHARED = 1024  # shingles counted in one go
@@ -98,18 +101,26 @@ def walk(sig: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1].astype(np.int64)
 
 
-def recall(similarity: float, steps: int = FIRST_STEPS) -> float:
+def recall(similarity: float, steps: int = FIRST_STEPS, trees: int | None = None) -> float:
     """Probability that a pair meets in a node after `steps` steps and has AGREE places in common. All trees draw from the same places."""
-    total = 0.0
+    total, trees = 0.0, TREES if trees is None else trees
     for k in range(AGREE, PLACES + 1):
         q, meet = k / PLACES, 1.0
         for step in range(steps):
             second = 1 / (FIRST_TWICE if step >= steps - FIRST_STEPS else MORE_TWICE)  # from the leaves up
             meet = (1 - second) * q * meet + second * (1 - (1 - q * meet) ** 2)
-        total += comb(PLACES, k) * similarity**k * (1 - similarity) ** (PLACES - k) * (1 - (1 - meet) ** TREES)
+        total += comb(PLACES, k) * similarity**k * (1 - similarity) ** (PLACES - k) * (1 - (1 - meet) ** trees)
     return total
 
 
+def trees_for(target: float) -> int:
+    """The fewest trees with at least this recall of pairs that are just similar enough."""
+    return next(t for t in range(1, 1000) if recall(SIMILAR / 100, FIRST_STEPS, t) >= target)
+
+
+TREES = trees_for(RECALL)
+
+
 def sketches(docs: DataFrame, n: int) -> DataFrame:
     """row (a number of its own), doc_id, n_shingles, print (of the set), sig."""
 
@@ -138,31 +149,38 @@ def prints_of(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def first_nodes(classes: DataFrame) -> DataFrame:
-    """node, cls: where every class is after FIRST_STEPS steps."""
+    """node, parent (itself), cls, n, tries (0), branches (0): where every class is after FIRST_STEPS steps."""
 
     @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
+            cls, n, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
             for at in range(0, len(raw), 1_000):
                 keys, col = walk(signature_rows(raw[at : at + 1_000]).T, FIRST_STEPS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(cls[at + col])], ["node", "cls"])
+                node = pa.array(keys.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([node, node, pa.array(cls[at + col]), pa.array(n[at + col])], ["node", "parent", "cls", "n"])
 
-    return classes.select("cls", "sig").mapInArrow(per_batch, "node long, cls long")
+    rows = classes.select("cls", "n", "sig").mapInArrow(per_batch, "node long, parent long, cls long, n long")
+    return rows.withColumns({"tries": F.lit(0), "branches": F.lit(0)})
 
 
 def next_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """One step on from node, cls."""
+    """node, parent, cls, n, tries (0), branches (of the parent) one step on from node, cls, n, tries."""
 
     @frugal
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys, col = children(b.column(0).to_numpy().view(U), signature_rows(b.column(2).to_pylist()).T, MORE_TWICE)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), b.column(1).take(pa.array(col))], ["node", "cls"])
+                keys, tries = b.column(0).to_numpy().view(U), b.column(3).to_numpy().astype(U)
+                keys = np.where(tries == 0, keys, mixed(keys + tries))
+                branches = 1 + ((keys >> U(40)) % U(MORE_TWICE) == 0).astype(np.int32)  # as children() has it
+                new, col = children(keys, signature_rows(b.column(4).to_pylist()).T, MORE_TWICE)
+                at = pa.array(col)
+                columns = [pa.array(new.astype(np.int64)), *(b.column(k).take(at) for k in range(3)), pa.array(np.zeros(len(col), np.int32)), pa.array(branches[col])]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "parent", "cls", "n", "tries", "branches"])
 
-    with_sig = classes.select("cls", "sig").join(rows.select("node", "cls"), "cls").select("node", "cls", "sig")
-    return with_sig.mapInArrow(per_batch, "node long, cls long").distinct()
+    with_sig = classes.select("cls", "sig").join(rows.select("node", "cls", "n", "tries"), "cls").select("node", "cls", "n", "tries", "sig")
+    return with_sig.mapInArrow(per_batch, "node long, parent long, cls long, n long, tries int, branches int").distinct()
 
 
 def signature_rows(raw: list[bytes]) -> np.ndarray:
@@ -170,26 +188,35 @@ def signature_rows(raw: list[bytes]) -> np.ndarray:
 
 
 def crowded(rows: DataFrame) -> DataFrame:
-    """node, cls, size (members) of nodes of two members and more; of nodes with equal members (by 128 bits) one."""
+    """rows with size (members) and weight (their shingles) of nodes of two members and more; of nodes with equal members (by 128 bits) one."""
     members = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"members_{k}") for k in (1, 2)]
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), *members).filter("size > 1")
-    nodes = nodes.groupBy("size", "members_1", "members_2").agg(F.min("node").alias("node"))
-    return written(sized_join(rows, written(nodes.select("node", "size"), "sizes"), ["node"], "inner").select("node", "cls", "size"), "nodes")
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), *members).filter("size > 1")
+    nodes = nodes.groupBy("size", "weight", "members_1", "members_2").agg(F.min("node").alias("node"))
+    return written(sized_join(rows, written(nodes.select("node", "size", "weight"), "sizes"), ["node"], "inner").select(*rows.columns, "size", "weight"), "nodes")
+
+
+def too_large() -> Column:
+    return (F.col("size") > MEMBERS) | (F.col("weight") > SHINGLES)
 
 
 def all_nodes(classes: DataFrame) -> DataFrame:
-    """node, cls, size of the nodes to compare: large ones walk on while their pairs get fewer."""
+    """node, cls, n, size, weight of the nodes to compare. A large node gives way to its children if, with branches as many as nodes have on
+    average, they would have fewer pairs than it has; else it stays for good."""
     rows = crowded(written(first_nodes(classes), "first-nodes"))
+    done, large = rows.filter(~too_large()), rows.filter(too_large())
     for _ in range(MORE_STEPS):
-        large = rows.filter(F.col("size") > MEMBERS)
-        pairs = large.agg(F.sum(F.col("size").cast("double") - 1)).first()[0]
-        if not pairs:
+        if large.isEmpty():
             break
         deeper = crowded(written(next_nodes(large, classes), "next-nodes"))
-        if (deeper.agg(F.sum(F.col("size").cast("double") - 1)).first()[0] or 0) >= pairs:
-            break
-        rows = written(rows.filter(F.col("size") <= MEMBERS).union(deeper), "nodes")
-    return rows
+        pairs = F.sum(F.col("size").cast("double") - 1)  # a row a member
+        before = large.groupBy("node").agg(pairs.alias("before"))
+        after = deeper.groupBy(F.col("parent").alias("node")).agg((pairs / F.max("branches")).alias("after"))
+        split = written(before.join(after, "node", "left").filter(F.coalesce("after", F.lit(0.0)) * (1 + 1 / MORE_TWICE) < F.col("before")).select("node"), "split")
+        stay = sized_join(large, split, ["node"], "left_anti").withColumn("tries", F.col("tries") + 1)
+        rows = written(sized_join(deeper, split.withColumnRenamed("node", "parent"), ["parent"], "left_semi").select(stay.columns).unionByName(stay), "nodes")
+        ended = ~too_large() | (F.col("tries") >= TRIES)
+        done, large = done.unionByName(rows.filter(ended)), rows.filter(~ended)
+    return done.unionByName(large).select("node", "cls", "n", "size", "weight")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -352,16 +379,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def units_of(nodes: DataFrame) -> DataFrame:
-    """unit, cls, comp: nodes in parts of about MEMBERS members."""
-    part = F.pmod(F.xxhash64("cls", "node"), F.ceil(F.col("size") / MEMBERS))
+    """unit, cls, comp: nodes in parts of about MEMBERS members and SHINGLES shingles."""
+    part = F.pmod(F.xxhash64("cls", "node"), F.ceil(F.greatest(F.col("size") / MEMBERS, F.col("weight") / SHINGLES)))
     return nodes.select(F.xxhash64("node", part).alias("unit"), "cls", F.col("cls").alias("comp"))
 
 
 def units_across(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """unit, cls, comp: two blocks of a node each. A group of more than half a unit has blocks of its own, which are not compared with one another."""
-    half = MEMBERS // 2
-    rows = written(sized_join(nodes.select("node", "cls"), groups, ["cls"], "left").select("node", "cls", F.coalesce("comp", "cls").alias("comp")), "grouped")
-    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("m")).withColumn("own", F.col("m") > half)
+    half = 1 / 2
+    rows = written(sized_join(nodes.select("node", "cls", "n"), groups, ["cls"], "left").select("node", "cls", "n", F.coalesce("comp", "cls").alias("comp")), "grouped")
+    share = F.greatest(F.count("*") / MEMBERS, F.sum("n") / SHINGLES)  # of a unit
+    sizes = rows.groupBy("node", "comp").agg(share.alias("m")).withColumn("own", F.col("m") > half)
     rest = sizes.groupBy("node").agg(F.count("*").alias("groups"), F.sum(F.when(~F.col("own"), F.col("m"))).alias("rest")).filter("groups > 1")
     dealt = sizes.join(rest, "node").select("node", "comp", F.when(F.col("own"), F.col("comp")).alias("owner"), F.ceil(F.when(F.col("own"), F.col("m")).otherwise(F.col("rest")) / half).alias("parts"))
     block = F.xxhash64("node", "owner", F.pmod(F.xxhash64("cls", "node"), F.col("parts")))
@@ -377,7 +405,7 @@ def near_groups(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     nodes = all_nodes(classes)
     links = links_of(docs, classes, units_of(nodes), n)
     groups = components(links)
-    large = nodes.filter(F.col("size") > MEMBERS)
+    large = nodes.filter(too_large())
     if large.isEmpty():
         return groups
     return components(links.union(links_of(docs, classes, units_across(large, groups), n)))
