@@ -36,6 +36,28 @@ ENDINGS = ("com", "net", "org", "info", "shop", "top", "site", "example.com", "e
 PATHS = ("", "/", "/en/1", "/es/2", "/fr/3", "/de/4.html", "/en/5/", "/es/6.html", "/index.html", "/news/7")
 NAMES = 800  # made-up hosts of syllables
 
+# Labelled hosts. Ordinary ones are well-known public sites, the others invented names of the kinds that block lists are full of.
+ORDINARY = """wikipedia.org wiktionary.org archive.org gutenberg.org openstreetmap.org mozilla.org apache.org kernel.org gnu.org debian.org python.org postgresql.org sqlite.org rust-lang.org golang.org nodejs.org
+ github.com gitlab.com bitbucket.org sourceforge.net npmjs.com pypi.org superuser.com serverfault.com askubuntu.com mathoverflow.net quora.com reddit.com medium.com wordpress.com tumblr.com blogspot.com
+ google.com bing.com yahoo.com duckduckgo.com microsoft.com apple.com amazon.com ebay.com etsy.com walmart.com target.com costco.com ikea.com bestbuy.com homedepot.com lowes.com
+ nytimes.com washingtonpost.com theguardian.com bbc.co.uk reuters.com apnews.com bloomberg.com economist.com ft.com wsj.com cnn.com npr.org pbs.org time.com newyorker.com theatlantic.com nationalgeographic.com
+ lefigaro.fr liberation.fr ouest-france.fr spiegel.de zeit.de faz.net sueddeutsche.de tagesschau.de elpais.com elmundo.es lavanguardia.com abc.es repubblica.it lastampa.it nrc.nl volkskrant.nl dn.se politiken.dk
+ harvard.edu stanford.edu berkeley.edu yale.edu princeton.edu cornell.edu columbia.edu umich.edu utexas.edu wisc.edu psu.edu ox.ac.uk cam.ac.uk ucl.ac.uk imperial.ac.uk ed.ac.uk essex.ac.uk manchester.ac.uk
+ ethz.ch epfl.ch tum.de uni-heidelberg.de sorbonne.fr uva.nl ku.dk uio.no kth.se helsinki.fi utoronto.ca mcgill.ca anu.edu.au u-tokyo.ac.jp nus.edu.sg
+ nasa.gov nih.gov cdc.gov noaa.gov usgs.gov loc.gov census.gov irs.gov nps.gov gov.uk nhs.uk parliament.uk europa.eu who.int un.org unesco.org worldbank.org imf.org oecd.org redcross.org
+ nature.com science.org sciencedirect.com springer.com wiley.com jstor.org arxiv.org plos.org ieee.org acm.org pubmed.gov britannica.com merriam-webster.com howstuffworks.com instructables.com
+ imdb.com rottentomatoes.com spotify.com soundcloud.com bandcamp.com goodreads.com librarything.com allrecipes.com epicurious.com seriouseats.com tripadvisor.com booking.com lonelyplanet.com airbnb.com
+ lufthansa.com klm.com airfrance.fr airbus.com siemens.com bosch.com toyota.com honda.com volvo.com michelin.com nestle.com unilever.com pfizer.com novartis.com roche.com deutsche-bank.de hsbc.com""".split()
+UNWANTED = """luckyreels88.win spinmaster-vip.bet goldenwheel777.com royalflush-play.net hotsinglesnearyou.date meetlocalgirls.club nastyvideos-hd.tube hardcoreclips4u.com livecamgirls-now.tv milfdates-tonight.com
+ getrichquick-today.biz doubleyourcoins.xyz cryptogiveaway-elon.live instantcashadvance.loan nocreditcheck-money.com debtfree-in30days.biz makemoney-fromhome.work passiveincome-secrets.biz
+ freegiftcards-generator.club claimyourprize-now.top iphone-winner2024.xyz survey-rewards4you.info congratulations-winner.site secure-login-verify.xyz account-update-alert.info paypa1-support.help bankofamerlca-login.com appleid-unlock.support
+ rolexoutlet-sale.shop designerbags-discount90.store nike-clearance-outlet.vip fakewatches-aaa.ru buyfollowers-instant.top likes4cheap.social seo-backlinks-10000.com guestpost-links.agency rankboost-pbn.biz
+ keto-gummies-official.store weightloss-miracle.diet testosterone-booster-max.com cialis-noprescription.ru buyxanax-overnight.to oxycodone-cheap-usa.su hairgrowth-trick.online enlargement-secret.men
+ downloadcracked-software.ru serialkeys-activator.download freemovies-hdstream.to watchonline-fullmovie.cc mp3juice-download.click moviez4free.icu apk-mod-unlimited.fun hackgame-gems.cheat
+ clickredirect-traffic.pro popunder-network.biz banneradz-exchange.net adclickz-server.com trk-affiliate-offers.top push-notify-subscribe.club yourpcisinfected-call.support virus-alert-microsoft.tech
+ essay-writers-cheap.help buy-dissertation-online.services fake-diploma-degrees.org passport-forsale.onion-market.ws onlinebetting-tips1x2.bet fixedmatches-sure.win sportsbook-odds24.bet baccarat-asia88.vip""".split()
+REAL_PREFIXES = ("", "www.", "m.", "blog.", "en.", "shop.")
+
 WEIGHTS = 1 << 16
 GRAMS = (3, 4, 5)
 STEPS = 200
@@ -45,7 +67,7 @@ DECAY = 1e-4
 
 def seeds() -> list[tuple[str, str, int]]:
     """The labelled URL table: host, path, 1 to block. Each bad word alone and with three of BAIT, each good word alone and with
-    another, both with a syllable before or behind, and made-up names; all with every path."""
+    another, both with a syllable before or behind, made-up names, and the labelled hosts; all with every path."""
     names = [(w, 1) for w in BAD]
     for k, w in enumerate(BAD):
         for j in range(3):
@@ -59,7 +81,8 @@ def seeds() -> list[tuple[str, str, int]]:
     for k in range(NAMES):
         x = k * 7919 + 13
         names.append(("".join(SYLLABLES[x // n**j % n] for j in range(2 + k % 2)), 0))
-    hosts = [(f"{PREFIXES[k % len(PREFIXES)]}{w}.{ENDINGS[k // 3 % len(ENDINGS)]}", y) for k, (w, y) in enumerate(names)]
+    real = [(f"{prefix}{host}", y) for labelled, y in ((ORDINARY, 0), (UNWANTED, 1)) for host in labelled for prefix in REAL_PREFIXES]
+    hosts = real + [(f"{PREFIXES[k % len(PREFIXES)]}{w}.{ENDINGS[k // 3 % len(ENDINGS)]}", y) for k, (w, y) in enumerate(names)]
     return [(host, path, y) for host, y in hosts for path in PATHS]
 
 

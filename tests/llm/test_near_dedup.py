@@ -105,8 +105,13 @@ def test_a_family_that_stays_together_does_not_hold_up_other_nodes(spark, monkey
     monkeypatch.setattr(N, "MEMBERS", 64)
     same = [(10_000 + k, " ".join(f"s{i}" for i in range(400)) + f" x{k}") for k in range(300)]
     rows = boilerplate(1500, 2)
-    sizes = [r.size for r in nodes_of(spark, rows + same).select("node", "size").distinct().filter("size > 64").collect()]
-    assert sizes and all(200 < n <= 300 for n in sizes)  # the family's nodes alone
+    found = {}
+    for steps in (0, N.MORE_STEPS):  # without and with walking on
+        monkeypatch.setattr(N, "MORE_STEPS", steps)
+        large = nodes_of(spark, rows + same).filter("size > 64")
+        found[steps] = large.agg(N.F.count_if(N.F.col("n") < 60), N.F.count_if(N.F.col("n") > 300)).first()  # of the boilerplate, of the family
+    (before, kin), (after, kept) = found.values()
+    assert after < before / 4 and kept >= kin / 2
 
 
 def test_sets_counted_in_several_blocks(monkeypatch):
