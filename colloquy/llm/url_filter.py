@@ -56,7 +56,7 @@ UNWANTED = """luckyreels88.win spinmaster-vip.bet goldenwheel777.com royalflush-
  downloadcracked-software.ru serialkeys-activator.download freemovies-hdstream.to watchonline-fullmovie.cc mp3juice-download.click moviez4free.icu apk-mod-unlimited.fun hackgame-gems.cheat
  clickredirect-traffic.pro popunder-network.biz banneradz-exchange.net adclickz-server.com trk-affiliate-offers.top push-notify-subscribe.club yourpcisinfected-call.support virus-alert-microsoft.tech
  essay-writers-cheap.help buy-dissertation-online.services fake-diploma-degrees.org passport-forsale.onion-market.ws onlinebetting-tips1x2.bet fixedmatches-sure.win sportsbook-odds24.bet baccarat-asia88.vip""".split()
-REAL_PREFIXES = ("", "www.", "m.", "blog.", "en.", "shop.")
+PATHS_ALONE = 20  # rows of each class without a host, by path: a path tells nothing
 
 WEIGHTS = 1 << 16
 GRAMS = (3, 4, 5)
@@ -81,9 +81,9 @@ def seeds() -> list[tuple[str, str, int]]:
     for k in range(NAMES):
         x = k * 7919 + 13
         names.append(("".join(SYLLABLES[x // n**j % n] for j in range(2 + k % 2)), 0))
-    real = [(f"{prefix}{host}", y) for labelled, y in ((ORDINARY, 0), (UNWANTED, 1)) for host in labelled for prefix in REAL_PREFIXES]
+    real = [(host, y) for labelled, y in ((ORDINARY, 0), (UNWANTED, 1)) for host in labelled]
     hosts = real + [(f"{PREFIXES[k % len(PREFIXES)]}{w}.{ENDINGS[k // 3 % len(ENDINGS)]}", y) for k, (w, y) in enumerate(names)]
-    return [(host, path, y) for host, y in hosts for path in PATHS]
+    return [(host, path, y) for host, y in hosts + [("", 0), ("", 1)] * PATHS_ALONE for path in PATHS]
 
 
 def parts(url: Column) -> tuple[Column, Column]:

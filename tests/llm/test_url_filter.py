@@ -93,7 +93,7 @@ def test_hosts_that_the_labelled_table_does_not_hold():
     w = U.fit([U.shown(h, p) for h, p, _ in table], np.array([y for *_, y in table], float))
     blocked = lambda hosts: sum(U.scores([U.shown(h, p) for p in ("/", "/en/3", "/about")], w).mean() >= 0.5 for h in hosts)
     caught, wrong = blocked(SPAM_SITES), blocked(KNOWN_SITES)
-    assert caught >= 0.9 * len(SPAM_SITES) and caught >= 0.9 * (caught + wrong)
+    assert caught >= 0.9 * len(SPAM_SITES) and wrong <= 0.2 * len(KNOWN_SITES)
 
 
 def test_verdicts_do_not_depend_on_other_pages(spark):
