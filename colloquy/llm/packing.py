@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.operators.joins import sized_join
+
 from .common import read_table, written
 from .token_shards import CACHED_WORDS, encoded
 
@@ -101,10 +103,10 @@ def best_fit(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, cache
 def sequences(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, cached: int = CACHED_WORDS, **how) -> DataFrame:
     """shard, bin, bin_length, n_tokens, ids (little-endian, as `encoded` gives them), pieces (bin_offset, doc_id, part, start, n_tokens) of every packed sequence."""
     rows = written(encoded(docs, tokenizer, end_id, keep_ids=True, cached=cached), "encoded")
-    pieces = written(placed(rows.select("row", "doc_id", "size"), **how).filter("bin is not null"), "pieces")
+    pieces = written(placed(rows.select("row", "doc_id", "size"), **how).filter("bin is not null"), "pieces")  # slim: ids move only to their bins
     wide = F.octet_length("ids") / F.col("size")
     piece = F.struct("bin_offset", "doc_id", "part", "start", "n_tokens", F.substring("ids", (F.col("start") * wide + 1).cast("int"), (F.col("n_tokens") * wide).cast("int")).alias("ids"))
-    bins = pieces.join(rows.select("row", "size", "ids"), "row").groupBy("shard", "bin", "bin_length").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    bins = sized_join(rows.select("row", "size", "ids"), pieces, ["row"], "inner").groupBy("shard", "bin", "bin_length").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     ids = F.aggregate("pieces", F.lit(b""), lambda got, x: F.concat(got, x.ids))
     total = F.aggregate("pieces", F.lit(0).cast("long"), lambda got, x: got + x.n_tokens)
     return bins.select("shard", "bin", "bin_length", total.alias("n_tokens"), ids.alias("ids"), F.transform("pieces", lambda x: x.dropFields("ids")).alias("pieces"))
