@@ -85,7 +85,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The packed sequences: their ids, and for each piece in them its document, its place there and in the sequence."""
     import public_tokenizers
 
-    return packing.sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=200_000)  # workers still hold what the stages before left
+    return packing.sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=50_000)  # workers still hold what the stages before left
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
