@@ -1,19 +1,27 @@
-"""Token counts, ids and cuts by a tokenizer's file. The file is loaded once in each Python worker; texts go there in Arrow batches."""
+"""Token counts, ids and cuts by a tokenizer's file. The file is loaded once in each Python worker; texts go there in Arrow batches,
+of which a slice is encoded at a time: an encoding takes many times the bytes of its text."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ELLIPSIS = "…"
+SLICE_BYTES = 1 << 20  # of texts, encoded at once
+SLICE_IDS = 1 << 18  # decoded at once
 
 
 @lru_cache(maxsize=4)
 def loaded(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -21,8 +29,19 @@ def loaded(path: str):
     return tokenizer
 
 
-def _ids(path: str, texts: pa.Array) -> list[list[int]]:
-    return [e.ids for e in loaded(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+def _cuts(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Half-open runs of entries that reach `most` together, or are the last."""
+    begin, held = 0, 0
+    for k, n in enumerate(sizes.fill_null(0).to_pylist()):
+        held += n
+        if held >= most or k == len(sizes) - 1:
+            yield begin, k + 1
+            begin, held = k + 1, 0
+
+
+def _encodings(path: str, texts: pa.Array) -> Iterator[list]:
+    for i, j in _cuts(pc.binary_length(texts), SLICE_BYTES):
+        yield loaded(path).encode_batch_fast([t or "" for t in texts.slice(i, j - i).to_pylist()], add_special_tokens=False)
 
 
 def ids(path: str) -> Callable[[Column], Column]:
@@ -30,7 +49,9 @@ def ids(path: str) -> Callable[[Column], Column]:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        return pa.array(_ids(path, texts), pa.list_(pa.int32()))
+        found = [np.array(e.ids, np.int32) for part in _encodings(path, texts) for e in part]
+        ends = pa.array(list(accumulate(map(len, found), initial=0)), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *found])))
 
     return encode
 
@@ -40,7 +61,7 @@ def count(path: str) -> Callable[[Column], Column]:
 
     @F.arrow_udf("int")
     def counted(texts: pa.Array) -> pa.Array:
-        return pa.array([len(x) for x in _ids(path, texts)], pa.int32())
+        return pa.array([len(e) for part in _encodings(path, texts) for e in part], pa.int32())
 
     return counted
 
@@ -50,7 +71,10 @@ def text_of(path: str) -> Callable[[Column], Column]:
 
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
-        return pa.array(loaded(path).decode_batch([x or [] for x in lists.to_pylist()], skip_special_tokens=False), pa.string())
+        out = []
+        for i, j in _cuts(lists.value_lengths(), SLICE_IDS):
+            out += loaded(path).decode_batch([x or [] for x in lists.slice(i, j - i).to_pylist()], skip_special_tokens=False)
+        return pa.array(out, pa.string())
 
     return decode
 
@@ -61,7 +85,8 @@ def cut(path: str) -> Callable[[Column, Column, Column], Column]:
     @F.arrow_udf("array<string>")
     def pieces(bodies: pa.Array, parts: pa.Array) -> pa.Array:
         out = []
-        for body, k in zip(_ids(path, bodies), parts.to_pylist(), strict=True):
+        ids = (e.ids for part in _encodings(path, bodies) for e in part)
+        for body, k in zip(ids, parts.to_pylist(), strict=True):
             step = -(-len(body) // (k or 1))
             out.append([x.strip() or ELLIPSIS for x in loaded(path).decode_batch([body[i * step : (i + 1) * step] for i in range(k or 0)], skip_special_tokens=False)] if body else None)
         return pa.array(out, pa.list_(pa.string()))

@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colloquy.functions import tokens as N
@@ -61,3 +62,24 @@ def test_windows_of_ids(spark):
     ids = ids_of(TEXTS[-1])
     assert [(r.token_start, r.token_end) for r in got if r.k == 1] == [(s, min(s + 64, len(ids))) for s in range(0, max(1, len(ids) - 16), 48)]
     assert all(r.chunk == N.loaded(PATH).decode((ids if r.k == 1 else ids_of("short"))[r.token_start : r.token_end]) for r in got) and {r.k for r in got} == {1, 2}
+
+
+def test_texts_are_encoded_in_slices_of_bounded_size(spark):
+    """One batch of a table may hold 10,000 texts; their encodings together took gigabytes of a worker."""
+    texts = ["some words " * 5_000, None, "", *["some words " * 2_000] * 60, "end"]
+    parts = list(N._encodings(PATH, pa.array(texts)))
+    assert len(parts) > 1 and sum(map(len, parts)) == len(texts)
+    longest = max(len(t or "") for t in texts)
+    at = 0
+    for part in parts:
+        assert sum(len(t or "") for t in texts[at : at + len(part)]) < N.SLICE_BYTES + longest
+        at += len(part)
+    assert list(N._encodings(PATH, pa.array([], pa.string()))) == []
+
+
+def test_a_windows_row_does_not_carry_its_whole_document(spark):
+    df = spark.createDataFrame([(1, "a b c")], "k int, text string")
+    got = C.sliding_windows(df, F.split("text", " "), 2, 1)
+    plan = got.select("k", "chunk")._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Generate" in line and "[" in line]
+    assert all("__t" not in line for line in plan[: plan.index("Generate")].splitlines())
