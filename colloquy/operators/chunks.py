@@ -144,11 +144,10 @@ def sliding_windows(docs: DataFrame, tokens: Column, size: int = 512, overlap: i
     first that reaches the end. Their number has a closed form, so rows are made without state."""
     if overlap >= size:
         raise ValueError("the overlap must be below the chunk size")
-    step = size - overlap
-    n = F.greatest(F.lit(0), F.ceil((F.size("__t") - size) / step)).cast("int")
-    rows = docs.withColumn("__t", tokens).filter(F.size("__t") > 0).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), n)))
-    start = F.col("chunk_index") * step
-    part = F.slice("__t", start + 1, size)
+    step, t = size - overlap, F.col("__t")
+    n = F.greatest(F.lit(0), F.ceil((F.size(t) - size) / step)).cast("int")
+    # Each row takes its own window only: with the tokens of its whole document a batch of rows would have no bound.
+    windows = F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(t, i * step + 1, size)))
+    rows = docs.withColumn("__t", tokens).select(*docs.columns, F.posexplode(windows).alias("chunk_index", "__part"))
+    start, part = F.col("chunk_index") * step, F.col("__part")
     return rows.select(*docs.columns, "chunk_index", start.alias("token_start"), (start + F.size(part)).alias("token_end"), F.size(part).alias("token_count"), text(part).alias("chunk"))
-
-
