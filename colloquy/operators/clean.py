@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from colloquy.functions import text as T
 from colloquy.sources.scratch import stored
 
 from . import scan
-from .joins import text_key
+from .joins import sized_join, text_key
 
 MIRROR_SECONDS = 10
 NOTICE_GAP_SECONDS = 600
@@ -55,14 +57,16 @@ def with_runs(df: DataFrame, keys: list[str], ts: str, order: str, gap_seconds:
     return got.select(*df.columns, F.col("begins_no").alias("run"), "begins")
 
 
-def folded_notices(df: DataFrame, keys: list[str], receiver: str, ts: str, order: str, gap_seconds: float = NOTICE_GAP_SECONDS, least: int = NOTICE_RECEIVERS, text: str | None = None) -> DataFrame:
-    """df with kind, recipients, merged_rows and `folded`: in a run that reaches `least` receivers all rows but the earliest fold into it."""
+def folded_notices(df: DataFrame, keys: list[str], receiver: str, ts: str, order: str, gap_seconds: float = NOTICE_GAP_SECONDS, least: int = NOTICE_RECEIVERS, text: str | None = None, shown: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """df with kind, recipients, merged_rows and `folded`: in a run that reaches `least` receivers all rows but the earliest fold into it.
+    shown: what rows have of the two lists; it is made once for each run, since each row of a run takes its whole lists."""
     runs = stored(with_runs(df, keys, ts, order, gap_seconds, text), "notice-runs")
     many = runs.groupBy("run").agg(F.count_distinct(receiver).alias("n")).filter(F.col("n") >= least).select("run")
-    per = runs.join(many, "run", "left_semi").groupBy("run").agg(F.array_sort(F.collect_set(receiver)).alias("recipients"), F.array_sort(F.collect_list(order)).alias("merged_rows"))
-    rows = runs.join(per, "run", "left")
+    lists = runs.join(many, "run", "left_semi").groupBy("run").agg(F.array_sort(F.collect_set(receiver)).alias("recipients"), F.array_sort(F.collect_list(order)).alias("merged_rows"))
+    per = stored(lists.select("run", shown(F.col("recipients")).alias("recipients"), shown(F.col("merged_rows")).alias("merged_rows")), "notices")
+    rows = sized_join(runs, per, ["run"], "left")
     mass = F.col("recipients").isNotNull()
-    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    none = lambda c, kind: F.coalesce(c, shown(F.array().cast(kind)))
     return rows.select(
         *df.columns,
         F.when(mass, "broadcast").otherwise("conversation").alias("kind"),

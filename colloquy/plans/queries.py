@@ -118,9 +118,8 @@ _FOLD = """WITH g AS (SELECT *, user_id % 50 AS sender, 'r' || event_id % 17 AS
 @query(_FOLD + " SELECT event_id, CASE WHEN mass THEN 'broadcast' ELSE 'conversation' END AS kind, coalesce(array_to_string(recipients, ';'), '') AS recipients, coalesce(array_to_string(merged_rows, ';'), '') AS merged_rows, mass AND n > 1 AS folded FROM j")
 def folded_events(spark, d):
     rows = table(spark, d, "events").select("event_id", "ts", "event_type", (F.col("user_id") % 50).alias("sender"), F.concat(F.lit("r"), F.col("event_id") % 17).alias("receiver"))
-    got = L.folded_notices(rows, ["sender", "event_type"], "receiver", "ts", "event_id", 86400)
-    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ";").alias(c)
-    return got.select("event_id", "kind", joined("recipients"), joined("merged_rows"), "folded")
+    got = L.folded_notices(rows, ["sender", "event_type"], "receiver", "ts", "event_id", 86400, shown=lambda c: F.array_join(c.cast("array<string>"), ";"))
+    return got.select("event_id", "kind", "recipients", "merged_rows", "folded")
 
 
 @query("SELECT count(*) AS n_messages, count(DISTINCT least(user_id::VARCHAR, event_type) || ' | ' || greatest(user_id::VARCHAR, event_type)) AS n_pairs, (SELECT count(*) FROM (SELECT user_id::VARCHAR FROM events UNION SELECT event_type FROM events)) AS n_accounts FROM events")

@@ -1,3 +1,5 @@
+import datetime
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -107,3 +109,15 @@ def test_clean_job_from_one_stored_pass(spark, tmp_path):
     stored, stored_counts = J.clean_job(raw, str(tmp_path / "flags"))
     assert sorted(map(str, plain.collect())) == sorted(map(str, stored.collect()))
     assert counts.collect() == stored_counts.collect()
+
+
+def test_lists_of_notices_are_shown_once_a_run(spark):
+    """Each row of a run takes its run's lists; what is made of them is made before that, not again for each row."""
+    rows = [(i, datetime.datetime(2020, 1, 1, 10, 0, i), "boss", f"r{i % 6}") for i in range(12)] + [(50, datetime.datetime(2020, 1, 2), "ann", "bob")]
+    df = spark.createDataFrame(rows, "src_row long, ts timestamp, sender string, receiver string")
+    got = L.folded_notices(df, ["sender"], "receiver", "ts", "src_row", 600, shown=lambda c: F.array_join(c.cast("array<string>"), ";"))
+    plain = {r.src_row: r for r in L.folded_notices(df, ["sender"], "receiver", "ts", "src_row", 600).collect()}
+    for r in got.collect():
+        was = plain[r.src_row]
+        assert (r.kind, r.folded, r.recipients, r.merged_rows) == (was.kind, was.folded, ";".join(was.recipients), ";".join(map(str, was.merged_rows)))
+    assert plain[3].merged_rows == list(range(12)) and plain[50].merged_rows == []
