@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from colloquy.sources.scratch import stored
 
-from .joins import sized_join
+from .joins import few, sized_join
 
 QUESTIONS = 1024  # in a packed row
 CHUNKS = 2048
-POSTINGS = 4_000_000  # products of weights held at once
+POSTINGS = 1_000_000  # products of weights held at once
+COMMON = 200  # a word that makes more products than a COMMON-th of a meeting's pairs is summed by a matrix
+WORDS = 512  # columns of such a matrix
+SALTS = 4  # parts of a pool's chunks for each core
 WEIGHT = 0.3
 
 
@@ -42,20 +45,18 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
 
     questions: qid, pool_key, embedding and, unless dense, tokens and weights (arrays). chunks: pool_key, tag, chunk_index and the
     same. A null embedding counts as zeros, null tokens as none. Both sides are packed into rows of many: a row of questions meets
-    the rows of chunks in its pool, by a broadcast if all questions are few, else by a shuffled join that AQE may split; each
-    meeting is one matrix of scores, of which only k a question go on. Chunks are packed where they lie and don't move before
-    that, and the driver holds nothing of either side.
+    the rows of chunks in its pool (`meetings`); each meeting is one matrix of scores. A task keeps k a question of all its meetings, and only
+    these go on. The driver holds nothing of either side.
     """
     if mode not in ("dense", "sparse", "hybrid"):
         raise ValueError(mode)
     columns = [*(["embedding"] if mode != "sparse" else []), *(["tokens", "weights"] if mode != "dense" else [])]
-    asked = packed_questions(questions, columns)
-    rows = packed(chunks.select("pool_key", "tag", "chunk_index", *columns), ["tag", "chunk_index"], columns, CHUNKS, "c_")
-    met = sized_join(rows, asked, ["pool_key"], "inner")
+    met = meetings(questions, chunks, columns)
     scale = 1.0 if mode == "sparse" else weight
     at = {c: i for i, c in enumerate(met.columns)}
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Best] = {}
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(j)[i] for c, j in at.items()}
@@ -67,26 +68,84 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
                         scores += q @ c.T
                 if mode != "dense":
                     scores += scale * shared_weights(row, nq, nc)
-                q, c, best = best_of(np.round(scores, digits), k)
-                yield pa.RecordBatch.from_arrays([row["q_qid"].values.take(pa.array(q)), pa.array([row["pool_key"].as_py()] * len(q), pa.string()), row["c_tag"].values.take(pa.array(c)), row["c_chunk_index"].values.take(pa.array(c)), pa.array(best)], ["qid", "pool_key", "tag", "chunk_index", "score"])
+                pack = row["q_pack"].as_py()
+                if pack not in held:
+                    held[pack] = Best(pack, row["q_qid"].values, k, digits)
+                held[pack].add(scores, row["c_tag"].values, row["c_chunk_index"].values)
+        for best in held.values():
+            if best.table is not None:
+                yield best.rows()
 
     kinds = {"qid": dict(questions.dtypes)["qid"], **{c: dict(chunks.dtypes)[c] for c in ("tag", "chunk_index")}}
-    out = met.mapInArrow(per_batch, f"qid {kinds['qid']}, pool_key string, tag {kinds['tag']}, chunk_index {kinds['chunk_index']}, score double")
+    out = met.mapInArrow(per_task, f"qid {kinds['qid']}, tag {kinds['tag']}, chunk_index {kinds['chunk_index']}, score double, asked long, met long")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "tag", "chunk_index")
-    sizes = chunks.groupBy("pool_key").agg(F.count("*").alias("n_candidates"))
-    ranked = out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.join(sizes, "pool_key").select("qid", "tag", "chunk_index", "score", "rank", "n_candidates")
+    out = out.withColumn("rank", F.row_number().over(best)).withColumn("n_candidates", F.sum("met").over(Window.partitionBy("qid", "asked")))
+    return out.filter(F.col("rank") <= k).select("qid", "tag", "chunk_index", "score", "rank", "n_candidates")
+
+
+def meetings(questions: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
+    """Each packed row of chunks with each packed row of questions of its pool, and q_pack, a number of the latter. Few questions are broadcast, and chunks don't
+    move. Else the chunks of a pool are dealt over parts (SALTS a core) that a copy of its questions meets each, so that no pool is one task's."""
+    asked = packed_questions(questions, columns)
+    rows = packed(chunks.select("pool_key", "tag", "chunk_index", *columns), ["tag", "chunk_index"], columns, CHUNKS, "c_")
+    if few(asked):
+        return rows.join(F.broadcast(asked), "pool_key")
+    parts = SALTS * rows.sparkSession.sparkContext.defaultParallelism
+    rows = stored(rows, "chunks")
+    salts = stored(rows.groupBy("pool_key").agg(F.least(F.count("*"), F.lit(parts)).alias("__salts")), "salts")
+    rows = sized_join(rows, salts, ["pool_key"], "inner").withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__salts"))).drop("__salts")
+    copies = sized_join(asked, salts, ["pool_key"], "inner").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))).drop("__salts")
+    by = ["pool_key", "__salt"]
+    return rows.repartition(parts, *by).join(copies.repartition(parts, *by).hint("merge"), by).drop("__salt")
+
+
+class Best:
+    """The k best of each of some questions, of all chunks they have met so far."""
+
+    def __init__(self, pack: int, qids: pa.Array, k: int, digits: int):
+        self.pack, self.qids, self.k, self.digits, self.met = pack, qids, k, digits, 0
+        self.least = np.full(len(qids), -np.inf)  # what a chunk must reach to be among them
+        self.table: pa.Table | None = None
+
+    def add(self, scores: np.ndarray, tags: pa.Array, indices: pa.Array) -> None:
+        """scores: a row for each question. Chunks are in order of tag and index, so the first k of equals are enough."""
+        self.met += scores.shape[1]
+        may = np.flatnonzero(scores.max(axis=1) >= self.least - 10.0**-self.digits) if scores.shape[1] else np.empty(0, int)
+        if not len(may):
+            return
+        q, c, best = best_of(np.round(scores[may], self.digits), self.k)
+        q = may[q]
+        keep = best >= self.least[q]
+        q, c, best = q[keep], c[keep], best[keep]
+        new = pa.table({"q": pa.array(q), "score": pa.array(best), "tag": tags.take(pa.array(c)), "chunk_index": indices.take(pa.array(c))})
+        if self.table is None:
+            self.table = new
+        else:
+            rows = pa.concat_tables([self.table, new]).combine_chunks()
+            order = pc.sort_indices(rows, sort_keys=[("q", "ascending"), ("score", "descending"), ("tag", "ascending"), ("chunk_index", "ascending")], null_placement="at_start")
+            q = rows["q"].to_numpy()[order.to_numpy()]
+            self.table = rows.take(order.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < self.k)))
+        q, score = self.table["q"].to_numpy(), self.table["score"].to_numpy()
+        full = np.flatnonzero(np.bincount(q, minlength=len(self.least)) == self.k)
+        self.least[full] = score[np.searchsorted(q, full, side="right") - 1]
+
+    def rows(self) -> pa.RecordBatch:
+        """qid, tag, chunk_index, score, the question's number and, in `met` of its first row, how many chunks it has met."""
+        q = self.table["q"].to_numpy()
+        met = np.where(np.diff(q, prepend=-1) != 0, self.met, 0)
+        columns = [self.qids.take(pa.array(q)), *(self.table[c].combine_chunks() for c in ("tag", "chunk_index", "score")), pa.array(self.pack * QUESTIONS + q), pa.array(met, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["qid", "tag", "chunk_index", "score", "asked", "met"])
 
 
 def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefix: str) -> DataFrame:
-    """Rows of up to `size` rows of one pool that lie together, in order of their ids: pool_key; the ids as arrays; vectors as one matrix (`dense`); words as
-    one list (`tokens`) with `weights` and, in `ends`, where each row's words end."""
+    """Rows of up to `size` rows of one pool that lie together, in order of their ids: pool_key; the ids as arrays; vectors as one matrix (`dense`); the distinct
+    words (`tokens`), their places there (`codes`) and `weights` one row after another and, in `ends`, where each row's words end."""
     kinds = dict(rows.dtypes)
-    schema = ["pool_key string", *(f"{prefix}{c} array<{kinds[c]}>" for c in ids), *([f"{prefix}dense binary"] if "embedding" in columns else []), *([f"{prefix}tokens array<string>", f"{prefix}weights binary", f"{prefix}ends binary"] if "tokens" in columns else [])]
+    schema = ["pool_key string", *(f"{prefix}{c} array<{kinds[c]}>" for c in ids), *([f"{prefix}dense binary"] if "embedding" in columns else []), *([f"{prefix}tokens array<string>", f"{prefix}codes binary", f"{prefix}weights binary", f"{prefix}ends binary"] if "tokens" in columns else [])]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            table = pa.Table.from_batches([b]).sort_by([("pool_key", "ascending"), *((c, "ascending") for c in ids)]).combine_chunks()
+            table = pa.Table.from_batches([b]).sort_by([("pool_key", "ascending"), *((c, "ascending") for c in ids)], null_placement="at_start").combine_chunks()
             pool = table["pool_key"].combine_chunks().dictionary_encode()
             key = pool.indices.to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
@@ -102,18 +161,19 @@ def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefi
                 if "tokens" in columns:
                     words, weights = part["tokens"].combine_chunks(), part["weights"].combine_chunks()
                     ends = np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-                    flat = words.flatten()
-                    out += [pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), pa.array([weights.flatten().to_numpy(zero_copy_only=False).astype(float).tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary())]
+                    coded = words.flatten().dictionary_encode()
+                    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+                    out += [pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), pa.array([codes.tobytes()], pa.binary()), pa.array([weights.flatten().to_numpy(zero_copy_only=False).astype(float).tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, [c.split(" ")[0] for c in schema])
 
     return rows.mapInArrow(per_batch, ", ".join(schema))
 
 
 def packed_questions(questions: DataFrame, columns: list[str]) -> DataFrame:
-    """Stored twice: as rows, since they are counted and dealt, and packed, since their size decides how they travel."""
+    """With q_pack, a number of each packed row. Stored twice: as rows, since they are counted and dealt, and packed, since their size decides how they travel."""
     rows = stored(questions.select("qid", "pool_key", *columns), "asked")
     packs = max(1, -(-rows.count() // QUESTIONS))
-    return stored(packed(rows.repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_"), "questions")
+    return stored(packed(rows.repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_").withColumn("q_pack", F.monotonically_increasing_id()), "questions")
 
 
 def dense_of(vectors: pa.ListArray) -> np.ndarray:
@@ -134,32 +194,43 @@ def matrix(packed_rows: pa.Scalar, n: int) -> np.ndarray:
 
 
 def shared_weights(row: dict[str, pa.Scalar], nq: int, nc: int) -> np.ndarray:
-    """Sums of products of the weights of words that a question and a chunk share. The questions' words are postings in arrays: one
-    list of (question, weight) by word, so each word of a chunk that some question has adds a slice of it."""
-    words = row["q_tokens"].values
+    """Sums of products of the weights of words that a question and a chunk share. Words that make many products are columns of two matrices, which are
+    multiplied. The questions' other words are postings in arrays: one list of (question, weight) by word, so each such word of a chunk adds a slice of it."""
     out = np.zeros(nq * nc)
+    words = row["q_tokens"].values
     if not len(words) or not len(row["c_tokens"].values):
         return out.reshape(nq, nc)
-    coded = words.dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False)
+    code = np.frombuffer(row["q_codes"].as_py(), np.int32)
     order = np.argsort(code, kind="stable")
     of = np.repeat(np.arange(nq), np.diff(np.frombuffer(row["q_ends"].as_py(), np.int64), prepend=0))[order]
     weights = np.frombuffer(row["q_weights"].as_py(), float)[order]
-    begins = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
-    found = pc.index_in(row["c_tokens"].values, value_set=coded.dictionary)
-    at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-    word = found.fill_null(0).to_numpy(zero_copy_only=False)[at]
+    begins = np.searchsorted(code[order], np.arange(len(words) + 1))
+    known = pc.index_in(row["c_tokens"].values, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)  # by word of the chunks
+    found = known[np.frombuffer(row["c_codes"].as_py(), np.int32)]
+    at = np.flatnonzero(found >= 0)
+    word = found[at]
     chunk = np.repeat(np.arange(nc), np.diff(np.frombuffer(row["c_ends"].as_py(), np.int64), prepend=0))[at]
     own = np.frombuffer(row["c_weights"].as_py(), float)[at]
+    common = np.flatnonzero(np.diff(begins) * np.bincount(word, minlength=len(words)) > nq * nc / COMMON)
+    if len(common):
+        column = np.full(len(words), -1)
+        column[common] = np.arange(len(common))
+        cells, q_column, c_column = out.reshape(nq, nc), column[code[order]], column[word]
+        for first in range(0, len(common), WORDS):
+            n = min(WORDS, len(common) - first)
+            q, c = (q_column >= first) & (q_column < first + n), (c_column >= first) & (c_column < first + n)
+            a, b = (np.bincount(x * n + y - first, w, size * n).reshape(size, n) for x, y, w, size in ((of[q], q_column[q], weights[q], nq), (chunk[c], c_column[c], own[c], nc)))
+            cells += a @ b.T
+        rest = np.flatnonzero(c_column < 0)
+        word, chunk, own = word[rest], chunk[rest], own[rest]
     n = np.diff(begins)[word]
     upto = np.cumsum(n)
     step = 0
     while step < len(n):  # postings of about POSTINGS entries at a time
         end = max(step + 1, int(np.searchsorted(upto, (upto[step - 1] if step else 0) + POSTINGS, side="right")))
         m = n[step:end]
-        place = np.repeat(begins[word[step:end]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        cell = of[place] * nc + np.repeat(chunk[step:end], m)
-        out += np.bincount(cell, np.repeat(own[step:end], m) * weights[place], nq * nc)
+        place = np.repeat(begins[word[step:end]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        np.add.at(out, of[place] * nc + np.repeat(chunk[step:end], m), np.repeat(own[step:end], m) * weights[place])
         step = end
     return out.reshape(nq, nc)
 
@@ -189,9 +260,7 @@ def as_arrays(sparse: DataFrame, ids: list[str]) -> DataFrame:
 def sparse_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """qid, tag, chunk_index, sparse of each question and each chunk of its pool that share a word. questions: qid, pool_key, tokens, weights
     (arrays); chunks: pool_key, tag, chunk_index and the same. A sum is whole where it is made: nothing of it is shuffled."""
-    columns = ["tokens", "weights"]
-    asked = packed_questions(questions, columns)
-    met = sized_join(packed(chunks.select("pool_key", "tag", "chunk_index", *columns), ["tag", "chunk_index"], columns, CHUNKS, "c_"), asked, ["pool_key"], "inner")
+    met = meetings(questions, chunks, ["tokens", "weights"])
     at = {c: i for i, c in enumerate(met.columns)}
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,41 @@ def test_evaluate_job_finds_a_text_by_itself(spark):
     got = V.roll_up(J.evaluate_job(questions, chunks, ["aa-dense", "aa-hybrid", "aa-sparse"]))
     assert {r.config: r["hit@5"] for r in got.filter("document = 'ALL'").collect()} == {"aa-dense": 1.0, "aa-hybrid": 1.0, "aa-sparse": 1.0}
     assert {c for c in V.compare(got, ["aa-dense", "aa-hybrid"]).columns} == {"metric", "aa-dense", "aa-hybrid"}
+
+
+@pytest.mark.parametrize("common", [1e-9, 4, 1e9])  # no word by matrix, some, all
+def test_products_by_matrix_and_by_postings_are_the_same(monkeypatch, common):
+    monkeypatch.setattr(R, "COMMON", common)
+    monkeypatch.setattr(R, "WORDS", 2)
+    monkeypatch.setattr(R, "POSTINGS", 7)
+    rows = random_rows(50, 3)
+    sides = {"q": rows[:20], "c": rows[20:]}
+    row = {}
+    for s, mine in sides.items():
+        words = sorted({t for r in mine for t in r[5] or []}, reverse=s == "c")
+        row[f"{s}_tokens"] = pa.scalar(words)
+        row[f"{s}_codes"] = pa.scalar(np.array([words.index(t) for r in mine for t in r[5] or []], np.int32).tobytes())
+        row[f"{s}_weights"] = pa.scalar(np.array([w for r in mine for w in r[6] or []]).tobytes())
+        row[f"{s}_ends"] = pa.scalar(np.cumsum([len(r[5] or []) for r in mine]).astype(np.int64).tobytes())
+    got = R.shared_weights(row, 20, 30)
+    assert got.tolist() == [[plain_scores(q, c, "sparse", 1) for c in sides["c"]] for q in sides["q"]]
+
+
+def test_one_pool_is_dealt_over_many_tasks(spark, monkeypatch):
+    """Where questions are too many to be sent to all, the join went by the pool alone: one pool was one task's."""
+    monkeypatch.setattr(R, "CHUNKS", 5)
+    monkeypatch.setattr("colloquy.operators.joins.BROADCAST_BYTES", 10)
+    df = spark.createDataFrame(random_rows(400, 4), ROWS).withColumn("pool_key", F.lit("all")).repartition(4)
+    met = R.meetings(df.filter("qid % 100 = 0"), df, ["embedding"]).withColumn("task", F.spark_partition_id())
+    rows = met.select("task", "q_qid", F.explode("c_chunk_index").alias("c")).select("task", F.explode("q_qid").alias("q"), "c").collect()
+    assert len({r.task for r in rows}) > 4
+    assert len(rows) == len({(r.q, r.c) for r in rows}) == 4 * 400
+
+
+def test_sparse_texts_group_only_rows_that_share_their_ids(spark):
+    rows = [(1, "en", "the cat the"), (2, None, "a b"), (2, None, "b c"), (None, "en", "x y"), (3, "en", None), (4, "en", "")]
+    df = spark.createDataFrame(rows, "id long, lang string, text string").repartition(3)
+    for some in (df, df.filter("id = 1 or id is null")):
+        got = sorted(map(repr, E.sparse_texts(some, ["id", "lang"]).collect()))
+        assert got == sorted(map(repr, E.sparse_vectors(E.token_weights(some, ["id", "lang"], F.col("text")), ["id", "lang"]).collect()))
+    assert "Exchange" not in E.sparse_texts(df.filter("id = 1").coalesce(1), ["id", "lang"])._jdf.queryExecution().executedPlan().toString()
