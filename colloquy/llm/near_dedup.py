@@ -49,6 +49,7 @@ MEMBERS = 1024  # of a unit
 AGREE = 32  # places, at least, of a pair that is compared on its sets
 PAIRS = 50_000  # looked at in one go
 SHARED = 1024  # shingles counted in one go
+STEP_KEYS = 100_000  # that walk on in one go
 SEND_BYTES = 2 << 20  # of sets in one batch
 
 
@@ -166,10 +167,15 @@ def next_nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys, col = children(b.column(0).to_numpy().view(U), signature_rows(b.column(2).to_pylist()).T, MORE_TWICE)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), b.column(1).take(pa.array(col))], ["node", "cls"])
-
-    with_sig = classes.select("cls", "sig").join(rows.select("node", "cls"), "cls").select("node", "cls", "sig")
+                of = np.repeat(np.arange(b.num_rows), b.column(0).value_lengths().to_numpy())
+                sig = signature_rows(b.column(2).to_pylist())
+                for at in range(0, len(of), STEP_KEYS):
+                    part = of[at : at + STEP_KEYS]
+                    keys, col = children(b.column(0).flatten().to_numpy()[at : at + STEP_KEYS].view(U), sig[part].T, MORE_TWICE)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), b.column(1).take(pa.array(part[col]))], ["node", "cls"])
+
+    nodes = rows.groupBy("cls").agg(F.collect_list("node").alias("nodes"))  # a row a class: what is joined grows with classes, not with their nodes
+    with_sig = classes.select("cls", "sig").join(nodes, "cls").select("nodes", "cls", "sig")
     return with_sig.mapInArrow(per_batch, "node long, cls long").distinct()
 
 
@@ -263,7 +269,8 @@ def clusters(units: DataFrame, classes: DataFrame) -> DataFrame:
                 np.add.at(number, label, mixed(cls[used].astype(U) + U(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(mixed(number[label]).astype(np.int64)), pa.array(cls[used])], ["cluster", "cls"])
 
-    rows = sized_join(classes.select("cls", "n", "sig"), written(units, "units"), ["cls"], "inner").select("unit", "cls", "comp", "n", "sig")
+    own = written(units.groupBy("cls").agg(F.collect_list(F.struct("unit", "comp")).alias("units")), "units")  # a row a class, as in next_nodes
+    rows = sized_join(classes.select("cls", "n", "sig"), own, ["cls"], "inner").select("cls", "n", "sig", F.inline("units")).select("unit", "cls", "comp", "n", "sig")
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(per_group, "cluster long, cls long")
 
 
