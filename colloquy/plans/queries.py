@@ -329,8 +329,7 @@ _SPARSE = r"""tok AS (SELECT doc_id, lang, unnest(w) AS token, unnest(range(len(
 
 
 def sparse_rows(spark, d):
-    docs = table(spark, d, "documents")
-    return E.sparse_vectors(E.token_weights(docs, ["doc_id", "lang"], F.col("text")), ["doc_id", "lang"])
+    return E.sparse_texts(Q.spread(table(spark, d, "documents").select("doc_id", "lang", "text")), ["doc_id", "lang"])
 
 
 @query(f"WITH {_SPARSE} SELECT doc_id, lang, token, weight FROM sp")
