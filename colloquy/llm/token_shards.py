@@ -22,7 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import accumulate, chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -131,11 +131,15 @@ class WordEncoder:
         how = json.loads(self.tok.to_str())
         self.wordwise = how["normalizer"] is None and how["post_processor"] is None and (how["pre_tokenizer"] or {}).items() >= WORDWISE.items()
         self.known: dict[str, bytes | None] = {}  # by word: ids of the blank and the word; after LINE, of line feed and word
+        self.learning = True
         self.feed, *marks = self._encode(["\n", *MARKS])
         self.marks = dict(zip(MARKS, marks, strict=True))
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.wide).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+        got = [e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+        ids, width = memoryview(np.fromiter(chain.from_iterable(got), self.wide).tobytes()), np.dtype(self.wide).itemsize
+        ends = list(accumulate((width * len(x) for x in got), initial=0))
+        return [bytes(ids[i:j]) for i, j in pairwise(ends)]
 
     def _learn(self, new: set[str]) -> None:
         """None marks what can't stand alone: an empty word or one that white space begins or ends."""
@@ -161,23 +165,28 @@ class WordEncoder:
             self.known = {}
         docs = [t.replace("\n", " " + LINE).split(" ") for t in texts]
         firsts = self._encode([d[0] for d in docs])
-        known = self.known
-        self._learn(set(chain.from_iterable(islice(d, 1, None) for d in docs)).difference(known))
-        out = []
-        for text, first, d in zip(texts, firsts, docs, strict=True):
-            try:
-                if not text or text[0].isspace() or d[0][-1:].isspace() or LINE in text:
-                    raise TypeError
-                out.append(first + b"".join(map(known.__getitem__, islice(d, 1, None))))
-            except TypeError:  # white space beside a blank or line feed
-                out.append(self._careful(text))
-        for d in docs:
-            if any(len(w) > LONG_WORD for w in d):
-                for w in d:
-                    if len(w) > LONG_WORD:
-                        known.pop(w, None)
+        out = [None if self.learning else self._joined(*x) for x in zip(texts, firsts, docs, strict=True)]
+        late = [k for k, got in enumerate(out) if got is None]  # with words that are not known yet, or can't stand alone
+        new = set(chain.from_iterable(islice(docs[k], 1, None) for k in late)).difference(self.known)
+        self.learning = 2 * len(new) > len(docs)  # then most texts of the next batch have new words too
+        self._learn(new)
+        for k in late:
+            got = self._joined(texts[k], firsts[k], docs[k])
+            out[k] = self._careful(texts[k]) if got is None else got
+        for w in new:
+            if len(w) > LONG_WORD:
+                self.known.pop(w, None)
         return out
 
+    def _joined(self, text: str, first: bytes, words: list[str]) -> bytes | None:
+        """The ids of a text if all its words are known and can stand alone: one look at each word. White space beside a blank or line feed can't."""
+        if not text or text[0].isspace() or words[0][-1:].isspace() or LINE in text:
+            return None
+        try:
+            return first + b"".join(map(self.known.get, islice(words, 1, None)))
+        except TypeError:
+            return None
+
     def _careful(self, text: str) -> bytes:
         return b"".join(self._encode([(" " if k else "") + p for k, p in enumerate(SINGLE_BLANK.split(text))])) if text else b""
 

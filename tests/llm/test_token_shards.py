@@ -65,3 +65,18 @@ def test_other_tokenizers_encode_whole_texts():
     got = [np.frombuffer(b, enc.wide).tolist() for b in enc.batch(texts)]
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert T.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).wordwise
+
+
+def test_a_known_text_takes_one_look_at_each_word():
+    """Known words are not gathered into a set again; new ones, long ones and white space beside a blank still give the tokenizer's ids."""
+    import public_tokenizers
+
+    from colloquy.llm.token_shards import LONG_WORD, WordEncoder
+
+    enc = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["some known words, here", "a\nline and  two blanks", "", "w" * (LONG_WORD + 9) + " x " + "y" * (LONG_WORD + 5), " lead", "tail "] * 3
+    want = [e for t in texts for e in enc._encode([t])]
+    for _ in range(3):
+        assert enc.batch(texts) == want
+    assert not enc.learning and not any(len(w) > LONG_WORD for w in enc.known if w)
+    assert enc.batch(["some known words, here", "some newer words"]) == enc._encode(["some known words, here", "some newer words"])
