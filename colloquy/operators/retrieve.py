@@ -87,7 +87,9 @@ def meetings(questions: DataFrame, chunks: DataFrame, columns: list[str]) -> Dat
     """Each packed row of chunks with each packed row of questions of its pool, and q_pack, a number of the latter. Few questions are broadcast, and chunks don't
     move. Else the chunks of a pool are dealt over parts (SALTS a core) that a copy of its questions meets each, so that no pool is one task's."""
     asked = packed_questions(questions, columns)
-    rows = packed(chunks.select("pool_key", "tag", "chunk_index", *columns), ["tag", "chunk_index"], columns, CHUNKS, "c_")
+    pools = stored(asked.select("pool_key").distinct(), "pools")  # chunks of other pools aren't packed
+    rows = sized_join(chunks.select("pool_key", "tag", "chunk_index", *columns), pools, ["pool_key"], "left_semi")
+    rows = packed(rows, ["tag", "chunk_index"], columns, CHUNKS, "c_")
     if few(asked):
         return rows.join(F.broadcast(asked), "pool_key")
     parts = SALTS * rows.sparkSession.sparkContext.defaultParallelism

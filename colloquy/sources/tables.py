@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from colloquy.operators.joins import few
 from colloquy.sources.scratch import remove_path
 
 RAW = "src_row long, ts timestamp, `from` string, `to` string, body string, body_en string"
@@ -183,8 +184,9 @@ def read_vectors(spark: SparkSession, path: str, model: str | None = None) -> Da
 
 
 def unfinished(wanted: DataFrame, finished: DataFrame, by: list[str]) -> DataFrame:
-    """Rows whose (model, tag) isn't done yet."""
-    return wanted.join(finished.select(*by).distinct(), by, "left_anti")
+    """Rows whose (model, tag) isn't done yet. finished: a written table. Rows don't move where it is small: there may be as few keys as models."""
+    done = finished.select(*by).distinct()
+    return wanted.join(F.broadcast(done) if few(finished) else done, by, "left_anti")
 
 
 def write_summary(df: DataFrame, path: str, run_id: str, overwrite: bool = False) -> None:

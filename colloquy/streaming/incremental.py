@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +14,25 @@ from colloquy.operators.joins import distinct_texts, join_texts
 from colloquy.sources import tables as S
 from colloquy.sources.scratch import stored
 
+TASK_ROWS = 20_000  # encoded and sorted by one task
+TASK_BYTES = 16 << 20  # of their text
+
 
 def encode_unfinished(spark: SparkSession, texts: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame], overwrite: bool = False) -> int:
     """Encodes and writes the (model, tag) parts of texts that the table at path lacks, all of them with overwrite; says how many rows that were."""
     try:
-        finished = S.read_vectors(spark, path).select("model", "tag").distinct()
+        finished = stored(S.read_vectors(spark, path).select("model", "tag").distinct(), "finished")
     except Exception as e:  # no table yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        finished = spark.createDataFrame([], "model string, tag string")
-    todo = texts if overwrite else S.unfinished(texts, finished, ["model", "tag"])
-    n = todo.count()
+        finished = None
+    todo = texts if overwrite or finished is None else S.unfinished(texts, finished, ["model", "tag"])
+    strings = [F.octet_length(F.coalesce(F.col(c), F.lit(""))).cast("long") for c, kind in todo.dtypes if kind == "string"]
+    n, size = todo.agg(F.count("*"), F.sum(reduce(add, strings))).first()
     if n:
-        S.write_vectors(encode(todo), path, overwrite)
+        # A (model, tag) may be most of the table: rows are dealt by ranges, so a task has a bounded part of one, or several small ones.
+        parts = max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS), -(-(size or 0) // TASK_BYTES))
+        S.write_vectors(encode(todo.repartitionByRange(parts, "model", "tag", F.xxhash64(*todo.columns))), path, overwrite)
     return n
 
 

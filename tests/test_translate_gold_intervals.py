@@ -218,3 +218,15 @@ def test_numbers_of_questions_beyond_999(spark):
     rows = spark.range(1005).selectExpr("'t' as tag", "cast(id div 10 as int) as case_no", "cast(id % 10 as int) as turn")
     got = sorted(r.qid for r in G.first_accepted(rows, 10).collect())
     assert got == sorted(f"t-{k:03d}" for k in range(1, 1006))
+
+
+def test_texts_of_one_model_and_tag_are_encoded_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A (model, tag) may be most of the table; no task has it all, and a task's rows have a bound."""
+    monkeypatch.setattr(incremental, "TASK_ROWS", 100)
+    rows = spark.range(1000).selectExpr("'m' as model", "if(id % 10 = 0, 't2', 't1') as tag", "cast(id as int) as chunk_index", "concat('text ', id) as text")
+    path, task = str(tmp_path / "v"), lambda df: df.selectExpr("*", "spark_partition_id() as task")
+    assert incremental.encode_unfinished(spark, rows.filter("tag = 't2'"), path, task) == 100
+    assert incremental.encode_unfinished(spark, rows, path, task) == 900
+    sizes = [r["count"] for r in S.read_vectors(spark, path).filter("tag = 't1'").groupBy("task").count().collect()]
+    assert sum(sizes) == 900 and len(sizes) >= 9 and max(sizes) < 250
+    assert incremental.encode_unfinished(spark, rows, path, task) == 0
