@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from colloquy.sources.scratch import stored
 from . import scan
 
 HEADER_TOKENS = 32
+PARTS = 4  # tasks for each core that long sessions are dealt over
 Counter = Callable[[Column], Column]
 Cutter = Callable[[Column, Column, Column], Column]
 
@@ -39,14 +40,39 @@ def planned(items: DataFrame, key: str, pos: str, tokens: str, budget: int, over
     one = sums.filter((F.col("t") <= budget) | (F.col("first") == F.col("last"))).select(key, F.lit(1).alias("part"), F.lit(1).alias("n_parts"), F.col("first").cast("long"), F.col("last").cast("long"))
     long_ = items.join(sums.filter((F.col("t") > budget) & (F.col("first") < F.col("last"))).select(key), key, "left_semi").select(key, F.col(pos).cast("long").alias("pos"), F.col(tokens).cast("long").alias("tokens"))
 
-    def per_session(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        spans = plan_spans(pdf.tokens.to_numpy(), budget, overlap)
-        at = pdf.pos.to_numpy()
-        return pd.DataFrame({key: pdf[key].iloc[0], "part": range(1, len(spans) + 1), "n_parts": len(spans), "first": [at[a] for a, _ in spans], "last": [at[b - 1] for _, b in spans]})
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []  # the session that rows so far have ended in
+
+        def spans_of(session: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+            pos, sizes = (np.concatenate(x) for x in zip(*session, strict=True))
+            first, end = np.array(plan_spans(sizes, budget, overlap), dtype=np.int64).T
+            return np.arange(1, len(first) + 1), np.full(len(first), len(first)), pos[first], pos[end - 1]
+
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            names = pa.array(np.repeat(np.arange(len(done)), [len(x[1][0]) for x in done]))
+            columns = [np.concatenate(c) for c in zip(*(x[1] for x in done), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x[0] for x in done]).take(names), *(pa.array(c.astype(kind)) for c, kind in zip(columns, (np.int32, np.int32, np.int64, np.int64), strict=True))], [key, "part", "n_parts", "first", "last"])
+
+        for b in batches:
+            keys, done = b.column(0), []
+            pos, sizes = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (1, 2))
+            code = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)] if len(code) else []
+            for i, j in zip(edges, edges[1:], strict=False):
+                if held and keys[i] != at[0]:
+                    done.append((at, spans_of(held)))
+                    held = []
+                at = keys.slice(i, 1)
+                held.append((pos[i:j], sizes[i:j]))
+            if done:
+                yield rows(done)
+        if held:
+            yield rows([(at, spans_of(held))])
 
     kind = dict(items.dtypes)[key]
-    return one.unionByName(long_.groupBy(key).applyInPandas(per_session, f"{key} {kind}, part int, n_parts int, first long, last long"))
+    # By a fixed number: what is few bytes here, and would be put together for that, is much work. Sessions follow one another in a task, without a call for each.
+    parts = PARTS * items.sparkSession.sparkContext.defaultParallelism
+    return one.unionByName(long_.repartition(parts, key).sortWithinPartitions(key, "pos").mapInArrow(per_task, f"{key} {kind}, part int, n_parts int, first long, last long"))
 
 
 def pieces(prefix: Column, body: Column, k: Column) -> Column:

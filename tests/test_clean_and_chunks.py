@@ -121,3 +121,23 @@ def test_lists_of_notices_are_shown_once_a_run(spark):
         was = plain[r.src_row]
         assert (r.kind, r.folded, r.recipients, r.merged_rows) == (was.kind, was.folded, ";".join(was.recipients), ";".join(map(str, was.merged_rows)))
     assert plain[3].merged_rows == list(range(12)) and plain[50].merged_rows == []
+
+
+def test_long_sessions_are_planned_by_many_tasks(spark):
+    """Their counts are few bytes, so that adaptive execution would put them all into one task; sessions may cross batches of rows."""
+    rnd = np.random.default_rng(5)
+    rows = [(f"s{s}", p, int(rnd.integers(0, 50))) for s in range(300) for p in range(1, 30 + s % 5)] + [("long", p, 7) for p in range(3000)] + [("none", 1, None), ("none", 2, 500), ("none", 3, 500)]
+    items = spark.createDataFrame(rows, "key string, pos long, n int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        plan = C.planned(items, "key", "pos", "n", 100, 20)
+        got = sorted(r[:5] for r in plan.collect())
+        tasks = plan.withColumn("task", F.spark_partition_id()).filter("n_parts > 1").agg(F.count_distinct("task")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for k in {r[0] for r in rows}:
+        mine = sorted((p, n or 0) for key, p, n in rows if key == k)
+        spans = C.plan_spans(np.array([n for _, n in mine]), 100, 20)
+        want += [(k, i + 1, len(spans), mine[a][0], mine[b - 1][0]) for i, (a, b) in enumerate(spans)]
+    assert got == sorted(want) and tasks > 8
