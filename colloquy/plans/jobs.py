@@ -15,6 +15,7 @@ from colloquy.operators import evaluate as V
 from colloquy.operators import retrieve as R
 from colloquy.operators import sessions as S
 from colloquy.operators import translate as X
+from colloquy.operators.joins import sized_join
 from colloquy.sources.scratch import fresh_path, stored
 from colloquy.sources.tables import read_vectors
 from colloquy.streaming.incremental import encode_unfinished
@@ -109,6 +110,7 @@ def evaluate_job(questions: DataFrame, chunks: DataFrame, configs: list[str], sc
     q = q.select(own("qid").alias("qid"), own("pool_key").alias("pool_key"), "embedding", "tokens", F.transform("weights", lambda x: x * scale).alias("weights"))
     d = R.pools(docs, scope).join(F.broadcast(table_of), F.col("model") == F.col("d_model")).withColumns(used)
     d = d.select(own("pool_key").alias("pool_key"), "tag", "chunk_index", "embedding", "tokens", "weights")
+    d = sized_join(d, stored(q.select("pool_key").distinct(), "pools"), ["pool_key"], "left_semi")  # chunks that no question looks through aren't packed
     top = V.ranked(R.top_k(q, d, k, "hybrid", 1.0), ["qid"]).withColumnRenamed("qid", "__qid")
     each = questions.crossJoin(F.broadcast(table_of.select("config"))).withColumn("__qid", own("qid"))
     return V.query_metrics(each.join(top, "__qid").drop("__qid"), tolerance).withColumn("scope", F.lit(scope))
