@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +14,26 @@ from colloquy.sources.scratch import stored
 
 from .joins import few, sized_join
 
-QUESTIONS = 1024  # in a packed row
-CHUNKS = 2048
+QUESTIONS = 4096  # in a packed row
+CHUNKS = 4096
 POSTINGS = 1_000_000  # products of weights held at once
 COMMON = 200  # a word that makes more products than a COMMON-th of a meeting's pairs is summed by a matrix
 WORDS = 512  # columns of such a matrix
+COLUMNS = 1024  # of the matrices that bound a meeting's sums; words share the last SHARED of them
+SHARED = 512
+BLOCK = 512  # questions bounded or scored at once
+FIRST = 32  # chunks that a question without a useful limit scores before others
+MANY = 10  # a question that may have more than a MANY-th of a meeting's chunks scores them all
+TABLE = 1 << 21  # weights of questions by word, held at once
+ENTRIES = 1 << 16  # of chunks, looked up there at once
+EARLY = 32  # one of so many packed rows of chunks is searched first, for the questions' limits; FEW of them or more
+FEW = 4
 SALTS = 4  # parts of a pool's chunks for each core
 WEIGHT = 0.3
 
+Weigh = Callable[[pa.RecordBatch], pa.RecordBatch]
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # see `entries`
+
 
 def pools(chunks: DataFrame, scope: str, tag: str = "tag") -> DataFrame:
     """chunks with pool_key: their own document's, the one of all, or (auto) both its own and that of answer documents."""
@@ -39,58 +51,86 @@ def question_pools(questions: DataFrame, scope: str, tag: str = "tag") -> DataFr
     return questions.withColumn("pool_key", F.col(tag) if scope == "doc" else F.lit("__all__"))
 
 
-def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "dense", weight: float = WEIGHT, digits: int = 12) -> DataFrame:
+def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "dense", weight: float = WEIGHT, digits: int = 12, weigh: Weigh | None = None) -> DataFrame:
     """qid, tag, chunk_index, score, rank, n_candidates of each question's k best candidates; ties (of scores rounded to `digits`) go by
     tag and chunk_index.
 
     questions: qid, pool_key, embedding and, unless dense, tokens and weights (arrays). chunks: pool_key, tag, chunk_index and the
-    same. A null embedding counts as zeros, null tokens as none. Both sides are packed into rows of many: a row of questions meets
-    the rows of chunks in its pool (`meetings`); each meeting is one matrix of scores. A task keeps k a question of all its meetings, and only
-    these go on. The driver holds nothing of either side.
+    same; if `weigh` is given, it makes tokens and weights of a batch with tokens, where it is packed. A null embedding counts as zeros, null tokens as none. Both sides are packed into rows of many: a row of questions meets
+    the rows of chunks in its pool (`meetings`). A dense meeting is one matrix of scores; others are one of upper bounds, and only pairs that may be
+    among the k best are scored. A task keeps k a question of all its meetings, and only these go on. The driver holds nothing of either side.
     """
     if mode not in ("dense", "sparse", "hybrid"):
         raise ValueError(mode)
     columns = [*(["embedding"] if mode != "sparse" else []), *(["tokens", "weights"] if mode != "dense" else [])]
-    met = meetings(questions, chunks, columns)
     scale = 1.0 if mode == "sparse" else weight
-    at = {c: i for i, c in enumerate(met.columns)}
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Best] = {}
         for b in batches:
             for i in range(b.num_rows):
-                row = {c: b.column(j)[i] for c, j in at.items()}
+                row = {c: b.column(j)[i] for j, c in enumerate(b.schema.names)}
                 nq, nc = len(row["q_qid"]), len(row["c_tag"])
-                scores = np.zeros((nq, nc))
-                if mode != "sparse":
-                    q, c = matrix(row["q_dense"], nq), matrix(row["c_dense"], nc)
-                    if q.shape[1] and c.shape[1]:  # else one side has no vector at all
-                        scores += q @ c.T
-                if mode != "dense":
-                    scores += scale * shared_weights(row, nq, nc)
                 pack = row["q_pack"].as_py()
                 if pack not in held:
                     held[pack] = Best(pack, row["q_qid"].values, k, digits)
-                held[pack].add(scores, row["c_tag"].values, row["c_chunk_index"].values)
+                    if "q_limits" in row and row["q_limits"].is_valid:
+                        held[pack].least[row["q_limited"].values.to_numpy()] = row["q_limits"].values.to_numpy()
+                dense = None if mode == "sparse" else (matrix(row["q_dense"], nq), matrix(row["c_dense"], nc))
+                if dense and not (dense[0].shape[1] and dense[1].shape[1]):  # one side has no vector at all
+                    dense = None
+                if mode == "dense":
+                    blocks = ((i, dense[0][i : i + BLOCK] @ dense[1].T if dense else np.zeros((min(BLOCK, nq - i), nc))) for i in range(0, nq, BLOCK))  # noqa: B023
+                    held[pack].add(blocks, nc, row["c_tag"].values, row["c_chunk_index"].values)
+                else:
+                    held[pack].add_bounded(Meeting(row, nq, nc, scale, dense), row["c_tag"].values, row["c_chunk_index"].values)
         for best in held.values():
-            if best.table is not None:
-                yield best.rows()
+            yield best.rows()
 
     kinds = {"qid": dict(questions.dtypes)["qid"], **{c: dict(chunks.dtypes)[c] for c in ("tag", "chunk_index")}}
-    out = met.mapInArrow(per_task, f"qid {kinds['qid']}, tag {kinds['tag']}, chunk_index {kinds['chunk_index']}, score double, asked long, met long")
+    search = lambda met: met.mapInArrow(per_task, f"qid {kinds['qid']}, tag {kinds['tag']}, chunk_index {kinds['chunk_index']}, score double, asked long, met long")
+    asked, rows = packed_questions(questions, columns, weigh), packed_chunks(chunks, columns, weigh)
+    if mode != "dense":
+        rows = stored(rows, "chunks")
+        packs = rows.count()
+        if packs >= 2 * EARLY:
+            early = rows.filter(F.pmod(F.xxhash64("c_tag", "c_chunk_index"), F.lit(min(EARLY, packs // FEW))) == 0)
+            asked = stored(with_limits(asked, search(met(asked, early, True)), k, digits), "limited")
+    out = search(met(asked, rows))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "tag", "chunk_index")
     out = out.withColumn("rank", F.row_number().over(best)).withColumn("n_candidates", F.sum("met").over(Window.partitionBy("qid", "asked")))
-    return out.filter(F.col("rank") <= k).select("qid", "tag", "chunk_index", "score", "rank", "n_candidates")
+    return out.filter((F.col("rank") <= k) & F.col("score").isNotNull()).select("qid", "tag", "chunk_index", "score", "rank", "n_candidates")
+
+
+def with_limits(asked: DataFrame, found: DataFrame, k: int, digits: int) -> DataFrame:
+    """Packed questions with the k-th best score of each among some chunks, in q_limits, and its question's place in q_limited. No chunk with less is among the
+    k best of all. They lie a little lower: a pair's score may be rounded otherwise where it is summed in another order."""
+    scores = F.sort_array(F.collect_list("score"), asc=False)  # nulls aren't collected
+    limits = found.groupBy("asked").agg(F.get(scores, F.lit(k - 1)).alias("limit")).filter("limit is not null")
+    per = limits.groupBy(((F.col("asked") - F.col("asked") % QUESTIONS) / QUESTIONS).cast("long").alias("q_pack")).agg(F.collect_list(F.struct((F.col("asked") % QUESTIONS).alias("q"), (F.col("limit") - 2 * 10.0**-digits).alias("limit"))).alias("p"))
+    per = stored(per.select("q_pack", F.col("p.q").alias("q_limited"), F.col("p.limit").alias("q_limits")), "limits")
+    return sized_join(asked, per, ["q_pack"], "left")
+
+
+def packed_chunks(chunks: DataFrame, columns: list[str], weigh: Weigh | None = None) -> DataFrame:
+    return packed(chunks.select("pool_key", "tag", "chunk_index", *given(columns, weigh)), ["tag", "chunk_index"], columns, CHUNKS, "c_", weigh)
+
+
+def given(columns: list[str], weigh: Weigh | None) -> list[str]:
+    return [c for c in columns if weigh is None or c != "weights"]
 
 
 def meetings(questions: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
+    return met(packed_questions(questions, columns), packed_chunks(chunks, columns))
+
+
+def met(asked: DataFrame, rows: DataFrame, spread: bool = False) -> DataFrame:
     """Each packed row of chunks with each packed row of questions of its pool, and q_pack, a number of the latter. Few questions are broadcast, and chunks don't
-    move. Else the chunks of a pool are dealt over parts (SALTS a core) that a copy of its questions meets each, so that no pool is one task's."""
-    asked = packed_questions(questions, columns)
-    rows = packed(chunks.select("pool_key", "tag", "chunk_index", *columns), ["tag", "chunk_index"], columns, CHUNKS, "c_")
-    if few(asked):
-        return rows.join(F.broadcast(asked), "pool_key")
+    move unless they are to be spread. Else the chunks of a pool are dealt over parts (SALTS a core) that a copy of its questions meets each, so that no pool is one task's."""
     parts = SALTS * rows.sparkSession.sparkContext.defaultParallelism
+    if few(asked):
+        both = rows.join(F.broadcast(asked), "pool_key")
+        return both.repartition(parts) if spread else both
     rows = stored(rows, "chunks")
     salts = stored(rows.groupBy("pool_key").agg(F.least(F.count("*"), F.lit(parts)).alias("__salts")), "salts")
     rows = sized_join(rows, salts, ["pool_key"], "inner").withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__salts"))).drop("__salts")
@@ -107,16 +147,64 @@ class Best:
         self.least = np.full(len(qids), -np.inf)  # what a chunk must reach to be among them
         self.table: pa.Table | None = None
 
-    def add(self, scores: np.ndarray, tags: pa.Array, indices: pa.Array) -> None:
-        """scores: a row for each question. Chunks are in order of tag and index, so the first k of equals are enough."""
-        self.met += scores.shape[1]
-        may = np.flatnonzero(scores.max(axis=1) >= self.least - 10.0**-self.digits) if scores.shape[1] else np.empty(0, int)
-        if not len(may):
-            return
-        q, c, best = best_of(np.round(scores[may], self.digits), self.k)
-        q = may[q]
+    def add(self, blocks: Iterator[tuple[int, np.ndarray]], nc: int, tags: pa.Array, indices: pa.Array) -> None:
+        """blocks: the number of a first question; scores, a row for it and each after it. Chunks are in order of tag and index, so the first k of equals are enough."""
+        self.met += nc
+        self.kinds = tags.type, indices.type
+        found = []
+        for begin, scores in blocks:
+            may = np.flatnonzero(scores.max(axis=1) >= self.least[begin : begin + len(scores)] - 10.0**-self.digits) if nc else np.empty(0, int)
+            if len(may):
+                q, c, best = best_of(np.round(scores[may], self.digits), self.k)
+                found.append((begin + may[q], c, best))
+        if found:
+            self.take(*(np.concatenate(x) for x in zip(*found, strict=True)), tags, indices)
+
+    def add_bounded(self, met: Meeting, tags: pa.Array, indices: pa.Array) -> None:
+        """The same of a meeting whose pairs are scored only if their bounds allow a place among the k best. A question with many such pairs scores FIRST of
+        the best bounds before: the k-th of these is its limit from then on. Pairs without a common word are all 0, so the first k of them are enough."""
+        self.met += met.nc
+        self.kinds = tags.type, indices.type
+        met.prepare()
+        slack, first = 10.0**-self.digits, min(max(FIRST, self.k), met.nc)
+        found = []
+        for begin in range(0, met.nq, BLOCK):
+            bounds, margin = met.bounds(begin, min(begin + BLOCK, met.nq))
+            least = self.least[begin : begin + BLOCK]
+            below = lambda rows, least: bounds[rows] < floats_below(least[rows] - slack - margin[rows])[:, None]  # noqa: B023, E731
+            may = ~below(slice(None), least)
+            many = np.flatnonzero(np.count_nonzero(may, axis=1) > first)
+            if len(many):
+                same = (bounds[many] == 0) & met.wordy[begin + many, None]
+                bounds[many] = np.where(same & (np.cumsum(same, axis=1) > self.k), -np.inf, bounds[many])
+                top = np.argpartition(bounds[many], met.nc - first, axis=1)[:, met.nc - first :]
+                top.sort(axis=1)
+                scores = np.round(met.scores(begin + np.repeat(many, first), top.ravel()), self.digits)
+                found.append((begin + np.repeat(many, first), top.ravel(), scores))
+                least = least.copy()
+                least[many] = np.fmax(least[many], np.partition(scores.reshape(top.shape), first - self.k, axis=1)[:, first - self.k])
+                bounds[many[:, None], top] = -np.inf
+                may[many] = ~below(many, least)
+                all_of = many[np.count_nonzero(may[many], axis=1) > met.nc / MANY]
+                if len(all_of):
+                    q, c, scores = best_of(np.round(met.all_scores(begin + all_of), self.digits), self.k)
+                    found = [tuple(x[~np.isin(f[0], begin + all_of)] for x in f) for f in found]  # all of them are scored again
+                    found.append((begin + all_of[q], c, scores))
+                    may[all_of] = False
+            q, c = np.nonzero(may)
+            found.append((begin + q, c, np.round(met.scores(begin + q, c), self.digits)))
+        q, c, best = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = np.flatnonzero((best >= self.least[q]) & (best > -np.inf))
+        q, c, best = q[keep], c[keep], best[keep]
+        order = np.lexsort((c, -best, q))
+        order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < self.k]
+        self.take(q[order], c[order], best[order], tags, indices)
+
+    def take(self, q: np.ndarray, c: np.ndarray, best: np.ndarray, tags: pa.Array, indices: pa.Array) -> None:
         keep = best >= self.least[q]
         q, c, best = q[keep], c[keep], best[keep]
+        if not len(q):
+            return
         new = pa.table({"q": pa.array(q), "score": pa.array(best), "tag": tags.take(pa.array(c)), "chunk_index": indices.take(pa.array(c))})
         if self.table is None:
             self.table = new
@@ -130,14 +218,131 @@ class Best:
         self.least[full] = score[np.searchsorted(q, full, side="right") - 1]
 
     def rows(self) -> pa.RecordBatch:
-        """qid, tag, chunk_index, score, the question's number and, in `met` of its first row, how many chunks it has met."""
-        q = self.table["q"].to_numpy()
-        met = np.where(np.diff(q, prepend=-1) != 0, self.met, 0)
-        columns = [self.qids.take(pa.array(q)), *(self.table[c].combine_chunks() for c in ("tag", "chunk_index", "score")), pa.array(self.pack * QUESTIONS + q), pa.array(met, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["qid", "tag", "chunk_index", "score", "asked", "met"])
+        """qid, tag, chunk_index, score, the question's number and, in `met` of its first row, how many chunks it has met. A question that found
+        nothing has a row without a score."""
+        q = self.table["q"].to_numpy() if self.table is not None else np.empty(0, int)
+        none = np.setdiff1d(np.arange(len(self.least)), q)
+        met = np.append(np.where(np.diff(q, prepend=-1) != 0, self.met, 0), np.full(len(none), self.met))
+        q = np.append(q, none)
+        kinds = {"tag": self.kinds[0], "chunk_index": self.kinds[1], "score": pa.float64()}
+        found = [pa.concat_arrays([*(self.table[c].chunks if self.table is not None else []), pa.nulls(len(none), t)]) for c, t in kinds.items()]
+        return pa.RecordBatch.from_arrays([self.qids.take(pa.array(q)), *found, pa.array(self.pack * QUESTIONS + q), pa.array(met, pa.int64())], ["qid", "tag", "chunk_index", "score", "asked", "met"])
+
+
+class Meeting:
+    """Questions and chunks of a meeting: bounds of the scores of all pairs, exact scores of some."""
+
+    def __init__(self, row: dict[str, pa.Scalar], nq: int, nc: int, scale: float, dense: tuple[np.ndarray, np.ndarray] | None):
+        self.nq, self.nc, self.scale, self.dense = nq, nc, scale, dense
+        self.wordy = np.ones(nq, bool) if dense is None else ~dense[0].any(axis=1)  # whose scores are those of words alone
+        words = row["q_tokens"].values
+        known = pc.index_in(row["c_tokens"].values, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False) if len(words) else np.full(len(row["c_tokens"].values), -1)
+        both = np.zeros(len(words), bool)
+        both[known[known >= 0]] = True
+        number = np.append(np.where(both, np.cumsum(both) - 1, -1), -1)  # of the words that both sides have
+        self.words = int(both.sum())
+        self.q, self.c = (entries(row, side, code, n) for side, code, n in (("q", number, nq), ("c", number[known], nc)))
+
+    def prepare(self) -> None:
+        self.left, self.right = self.matrices()
+        long = float(np.sqrt(np.square(self.right, dtype=float).sum(axis=1).max(initial=0)))
+        self.margin = (self.left.shape[1] + 16) * 2.0**-23 * long * np.sqrt(np.square(self.left, dtype=float).sum(axis=1))  # of products in single precision
+
+    def matrices(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of absolute weights, in single precision. The words with the largest products have columns of their own; the others share some, which only adds."""
+        mass = [np.bincount(word, np.abs(weight), self.words) for word, weight, _, _ in (self.q, self.c)]
+        rank = np.empty(self.words, int)
+        rank[np.argsort(-mass[0] * mass[1], kind="stable")] = np.arange(self.words)
+        own = COLUMNS - SHARED
+        column = np.where(rank < own, rank, own + (rank - own) % SHARED) if self.words > COLUMNS else rank
+        width = min(self.words, COLUMNS)
+        out = []
+        for side, ((word, weight, of, _), n) in enumerate(((self.q, self.nq), (self.c, self.nc))):
+            sums = np.bincount(of * width + column[word], np.abs(weight) * (self.scale if side == 0 else 1), n * width).reshape(n, width)
+            out.append((sums if self.dense is None else np.hstack([sums, self.dense[side]])).astype(np.float32))
+        return out[0], out[1]
+
+    def bounds(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of questions begin to end and all chunks, and by how much a score may be above."""
+        return self.left[begin:end] @ self.right.T, self.margin[begin:end]
+
+    def scores(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Of pairs."""
+        out = self.scale * self.sums(q, c)
+        if self.dense is not None:
+            step = max(1, POSTINGS // self.dense[0].shape[1])
+            for i in range(0, len(q), step):
+                out[i : i + step] += np.einsum("ij,ij->i", self.dense[0][q[i : i + step]], self.dense[1][c[i : i + step]])
+        return out
+
+    def all_scores(self, questions: np.ndarray) -> np.ndarray:
+        """Of some questions and all chunks."""
+        word, weight, of, _ = self.q
+        number = np.full(self.nq, -1)
+        number[questions] = np.arange(len(questions))
+        at = np.flatnonzero(number[of] >= 0)
+        out = self.scale * products(word[at], weight[at], number[of[at]], *self.c[:3], self.words, len(questions), self.nc)
+        return out if self.dense is None else out + self.dense[0][questions] @ self.dense[1].T
+
+    def sums(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Sums of products of the weights of shared words, of pairs: the words of the shorter side are looked up in the longer."""
+        out = np.zeros(len(q))
+        if self.words:
+            short = np.diff(self.q[3])[q] < np.diff(self.c[3])[c]
+            for table, words, a, b, of in ((self.q, self.c, q, c, np.flatnonzero(~short)), (self.c, self.q, c, q, np.flatnonzero(short))):
+                of = of[np.argsort(a[of], kind="stable")]
+                out[of] = looked_up(table, words, self.words, a[of], b[of])
+        return out
+
+
+def looked_up(left: Entries, right: Entries, words: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products of rows a of left and b of right, in order of a: weights of some rows of left lie in a table by word, where the words of right look."""
+    out = np.zeros(len(a))
+    if not len(a):
+        return out
+    (l_word, l_weight, _, l_ends), (r_word, r_weight, _, r_ends) = left, right
+    rows = max(1, TABLE // words)
+    table = np.zeros(rows * words)
+    number = np.cumsum(np.diff(a, prepend=a[0]) != 0)
+    n_left, n = np.diff(l_ends), np.diff(r_ends)[b]
+    upto = np.cumsum(n)
+    step = 0
+    while step < len(a):
+        end = min(int(np.searchsorted(number, number[step] + rows)), int(np.searchsorted(upto, (upto[step - 1] if step else 0) + ENTRIES, side="right")))
+        end = max(step + 1, end)
+        mine = np.flatnonzero(np.diff(number[step:end], prepend=-1)) + step
+        place, of = ranges(l_ends[a[mine]], n_left[a[mine]])
+        at = of * words + l_word.take(place)
+        np.add.at(table, at, l_weight.take(place))
+        m = n[step:end]
+        place, of = ranges(r_ends[b[step:end]], m)
+        products = table.take(r_word.take(place) + np.repeat((number[step:end] - number[step]) * words, m)) * r_weight.take(place)
+        out[step:end] = np.bincount(of, products, end - step)
+        table[at] = 0
+        step = end
+    return out
+
+
+def entries(row: dict[str, pa.Scalar], side: str, number: np.ndarray, n: int) -> Entries:
+    """Word by its number, weight, row of each entry of a side whose word has one; and where each row's begin, and the last ends."""
+    word = number[np.frombuffer(row[f"{side}_codes"].as_py(), np.int32)]
+    of = np.repeat(np.arange(n), np.diff(np.frombuffer(row[f"{side}_ends"].as_py(), np.int64), prepend=0))
+    at = np.flatnonzero(word >= 0)
+    of = of[at]
+    return word[at], np.frombuffer(row[f"{side}_weights"].as_py(), float)[at], of, np.append(0, np.cumsum(np.bincount(of, minlength=n)))
 
 
-def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefix: str) -> DataFrame:
+def ranges(begins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n numbers from each begin, one range after another, and which range each is of."""
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + np.repeat(begins - np.cumsum(n) + n, n), of
+
+
+def floats_below(x: np.ndarray) -> np.ndarray:
+    return np.nextafter(x.astype(np.float32), np.float32(-np.inf))
+
+
+def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefix: str, weigh: Weigh | None = None) -> DataFrame:
     """Rows of up to `size` rows of one pool that lie together, in order of their ids: pool_key; the ids as arrays; vectors as one matrix (`dense`); the distinct
     words (`tokens`), their places there (`codes`) and `weights` one row after another and, in `ends`, where each row's words end."""
     kinds = dict(rows.dtypes)
@@ -145,7 +350,7 @@ def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefi
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            table = pa.Table.from_batches([b]).sort_by([("pool_key", "ascending"), *((c, "ascending") for c in ids)], null_placement="at_start").combine_chunks()
+            table = pa.Table.from_batches([weigh(b) if weigh and b.num_rows else b]).sort_by([("pool_key", "ascending"), *((c, "ascending") for c in ids)], null_placement="at_start").combine_chunks()
             pool = table["pool_key"].combine_chunks().dictionary_encode()
             key = pool.indices.to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
@@ -169,11 +374,11 @@ def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefi
     return rows.mapInArrow(per_batch, ", ".join(schema))
 
 
-def packed_questions(questions: DataFrame, columns: list[str]) -> DataFrame:
+def packed_questions(questions: DataFrame, columns: list[str], weigh: Weigh | None = None) -> DataFrame:
     """With q_pack, a number of each packed row. Stored twice: as rows, since they are counted and dealt, and packed, since their size decides how they travel."""
-    rows = stored(questions.select("qid", "pool_key", *columns), "asked")
+    rows = stored(questions.select("qid", "pool_key", *given(columns, weigh)), "asked")
     packs = max(1, -(-rows.count() // QUESTIONS))
-    return stored(packed(rows.repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_").withColumn("q_pack", F.monotonically_increasing_id()), "questions")
+    return stored(packed(rows.repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_", weigh).withColumn("q_pack", F.monotonically_increasing_id()), "questions")
 
 
 def dense_of(vectors: pa.ListArray) -> np.ndarray:
@@ -194,28 +399,23 @@ def matrix(packed_rows: pa.Scalar, n: int) -> np.ndarray:
 
 
 def shared_weights(row: dict[str, pa.Scalar], nq: int, nc: int) -> np.ndarray:
-    """Sums of products of the weights of words that a question and a chunk share. Words that make many products are columns of two matrices, which are
+    """Sums of products of the weights of words that a question and a chunk share."""
+    met = Meeting(row, nq, nc, 1.0, None)
+    return met.all_scores(np.arange(nq))
+
+
+def products(q_word: np.ndarray, q_weight: np.ndarray, q_of: np.ndarray, word: np.ndarray, own: np.ndarray, chunk: np.ndarray, words: int, nq: int, nc: int) -> np.ndarray:
+    """Of entries of questions and chunks: sums of a matrix. Words that make many products are columns of two matrices, which are
     multiplied. The questions' other words are postings in arrays: one list of (question, weight) by word, so each such word of a chunk adds a slice of it."""
     out = np.zeros(nq * nc)
-    words = row["q_tokens"].values
-    if not len(words) or not len(row["c_tokens"].values):
-        return out.reshape(nq, nc)
-    code = np.frombuffer(row["q_codes"].as_py(), np.int32)
-    order = np.argsort(code, kind="stable")
-    of = np.repeat(np.arange(nq), np.diff(np.frombuffer(row["q_ends"].as_py(), np.int64), prepend=0))[order]
-    weights = np.frombuffer(row["q_weights"].as_py(), float)[order]
-    begins = np.searchsorted(code[order], np.arange(len(words) + 1))
-    known = pc.index_in(row["c_tokens"].values, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)  # by word of the chunks
-    found = known[np.frombuffer(row["c_codes"].as_py(), np.int32)]
-    at = np.flatnonzero(found >= 0)
-    word = found[at]
-    chunk = np.repeat(np.arange(nc), np.diff(np.frombuffer(row["c_ends"].as_py(), np.int64), prepend=0))[at]
-    own = np.frombuffer(row["c_weights"].as_py(), float)[at]
-    common = np.flatnonzero(np.diff(begins) * np.bincount(word, minlength=len(words)) > nq * nc / COMMON)
+    order = np.argsort(q_word, kind="stable")
+    code, of, weights = q_word[order], q_of[order], q_weight[order]
+    begins = np.searchsorted(code, np.arange(words + 1))
+    common = np.flatnonzero(np.diff(begins) * np.bincount(word, minlength=words) > nq * nc / COMMON)
     if len(common):
-        column = np.full(len(words), -1)
+        column = np.full(words, -1)
         column[common] = np.arange(len(common))
-        cells, q_column, c_column = out.reshape(nq, nc), column[code[order]], column[word]
+        cells, q_column, c_column = out.reshape(nq, nc), column[code], column[word]
         for first in range(0, len(common), WORDS):
             n = min(WORDS, len(common) - first)
             q, c = (q_column >= first) & (q_column < first + n), (c_column >= first) & (c_column < first + n)
@@ -267,9 +467,12 @@ def sparse_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(j)[i] for c, j in at.items()}
-                scores = shared_weights(row, len(row["q_qid"]), len(row["c_tag"]))
-                q, c = np.nonzero(scores)
-                yield pa.RecordBatch.from_arrays([row["q_qid"].values.take(pa.array(q)), row["c_tag"].values.take(pa.array(c)), row["c_chunk_index"].values.take(pa.array(c)), pa.array(scores[q, c])], ["qid", "tag", "chunk_index", "sparse"])
+                nq, nc = len(row["q_qid"]), len(row["c_tag"])
+                of = Meeting(row, nq, nc, 1.0, None)
+                for begin in range(0, nq, BLOCK):
+                    scores = of.all_scores(np.arange(begin, min(begin + BLOCK, nq)))
+                    q, c = np.nonzero(scores)
+                    yield pa.RecordBatch.from_arrays([row["q_qid"].values.take(pa.array(begin + q)), row["c_tag"].values.take(pa.array(c)), row["c_chunk_index"].values.take(pa.array(c)), pa.array(scores[q, c])], ["qid", "tag", "chunk_index", "sparse"])
 
     kinds = dict(chunks.dtypes)
     return met.mapInArrow(per_batch, f"qid {dict(questions.dtypes)['qid']}, tag {kinds['tag']}, chunk_index {kinds['chunk_index']}, sparse double")

@@ -288,7 +288,7 @@ def top_rows(spark, d, mode: str = "dense"):
     # Every document and every vector is a candidate, whatever it lacks.
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_index"), "text")
     rows = rows.join(texts, "chunk_index", "full").withColumns({"qid": F.col("chunk_index"), "tag": F.coalesce("tag", F.lit("none")), "pool_key": F.lit("all")})
-    return R.top_k(E.sparse_arrays(rows.filter("qid % 100 = 0")), E.sparse_arrays(rows), 10, mode)
+    return R.top_k(E.all_words(rows.filter("qid % 100 = 0")), E.all_words(rows), 10, mode, weigh=E.weighed)
 
 
 @query(f"WITH {_TOP} SELECT qid, tag, chunk_index, rank::INT AS rank, round(score, 6) AS score, n_candidates FROM top")
@@ -346,8 +346,8 @@ def mean_sparse_tokens(spark, d):
  SELECT qid, chunk_index, round(sparse, 6) AS sparse, row_number() OVER (PARTITION BY qid ORDER BY sparse DESC, chunk_index)::INT AS rank FROM x QUALIFY rank <= 10""")
 def sparse_top10(spark, d):
     docs = Q.spread(table(spark, d, "documents").select(F.col("lang").alias("pool_key"), F.col("lang").alias("tag"), F.col("doc_id").alias("chunk_index"), "text"))
-    questions = E.sparse_arrays(docs.filter("chunk_index % 100 = 0").withColumnRenamed("chunk_index", "qid"))
-    got = R.top_k(questions, E.sparse_arrays(docs), 10, "sparse", digits=9).filter("score > 0")
+    questions = E.all_words(docs.filter("chunk_index % 100 = 0").withColumnRenamed("chunk_index", "qid"))
+    got = R.top_k(questions, E.all_words(docs), 10, "sparse", digits=9, weigh=E.weighed).filter("score > 0")
     return got.select("qid", "chunk_index", F.round("score", 6).alias("sparse"), "rank")
 
 

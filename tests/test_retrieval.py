@@ -209,3 +209,45 @@ def test_sparse_texts_group_only_rows_that_share_their_ids(spark):
         got = sorted(map(repr, E.sparse_texts(some, ["id", "lang"]).collect()))
         assert got == sorted(map(repr, E.sparse_vectors(E.token_weights(some, ["id", "lang"], F.col("text")), ["id", "lang"]).collect()))
     assert "hashpartitioning" not in E.sparse_texts(df.filter("id = 1"), ["id", "lang"])._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sent", [32 << 20, 10])
+@pytest.mark.parametrize("mode", ["sparse", "hybrid"])
+def test_limits_and_bounds_change_no_result(spark, monkeypatch, mode, sent):
+    small = {"QUESTIONS": 3, "CHUNKS": 5, "EARLY": 2, "FEW": 1, "COLUMNS": 3, "SHARED": 2, "BLOCK": 2, "FIRST": 2, "MANY": 2, "TABLE": 4, "ENTRIES": 3, "POSTINGS": 7}
+    for name, value in small.items():
+        monkeypatch.setattr(R, name, value)
+    monkeypatch.setattr("colloquy.operators.joins.BROADCAST_BYTES", sent)
+    limited = []
+    monkeypatch.setattr(R, "with_limits", lambda *a, f=R.with_limits: limited.append(f(*a)) or limited[-1])
+    rows = random_rows(80, 5)
+    df = spark.createDataFrame(rows, ROWS).repartition(4)
+    got = {}
+    for r in R.top_k(df.filter("qid % 4 = 0"), df, 3, mode, 0.5).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.tag, r.chunk_index, r.score, r.n_candidates))
+    want = {}
+    for q in rows[::4]:
+        pool = [c for c in rows if c[3] == q[3]]
+        best = sorted((-plain_scores(q, c, mode, 0.5), c[1], c[2]) for c in pool)[:3]
+        want[q[0]] = [(i + 1, tag, at, -s, len(pool)) for i, (s, tag, at) in enumerate(best)]
+    assert {q: sorted(x) for q, x in got.items()} == want and len(limited) == 1
+
+
+def test_few_pairs_of_a_meeting_are_scored(monkeypatch):
+    """All were, though a bound shows of most that they aren't among the best."""
+    rnd = np.random.default_rng(6)
+    texts = [list(dict.fromkeys(rnd.zipf(1.3, 60) % 5000)) for _ in range(2100)]
+    sides, row = {"q": texts[:100], "c": texts[100:]}, {}
+    for s, mine in sides.items():
+        row[f"{s}_tokens"] = pa.scalar([str(w) for w in range(5000)])
+        row[f"{s}_codes"] = pa.scalar(np.array([w for t in mine for w in t], np.int32).tobytes())
+        row[f"{s}_weights"] = pa.scalar(np.array([1 / (1 + i) for t in mine for i in range(len(t))]).tobytes())
+        row[f"{s}_ends"] = pa.scalar(np.cumsum([len(t) for t in mine]).astype(np.int64).tobytes())
+    met, scored = R.Meeting(row, 100, 2000, 1.0, None), []
+    for name, size in (("scores", lambda q, c: len(q)), ("all_scores", lambda q: len(q) * 2000)):
+        monkeypatch.setattr(met, name, lambda *a, f=getattr(met, name), size=size: scored.append(size(*a)) or f(*a))
+    best = R.Best(0, pa.array(range(100)), 10, 9)
+    best.add_bounded(met, pa.array(["t"] * 2000), pa.array(range(2000)))
+    assert sum(scored) < 100 * 2000 / 4
+    q, c, _ = R.best_of(np.round(R.shared_weights(row, 100, 2000), 9), 10)
+    assert best.table["q"].to_pylist() == q.tolist() and best.table["chunk_index"].to_pylist() == c.tolist()
