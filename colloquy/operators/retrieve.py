@@ -14,20 +14,23 @@ from colloquy.sources.scratch import stored
 
 from .joins import few, sized_join
 
-QUESTIONS = 4096  # in a packed row
-CHUNKS = 4096
+QUESTIONS = 8192  # in a packed row
+CHUNKS = 5000
 POSTINGS = 1_000_000  # products of weights held at once
 COMMON = 200  # a word that makes more products than a COMMON-th of a meeting's pairs is summed by a matrix
 WORDS = 512  # columns of such a matrix
-COLUMNS = 1024  # of the matrices that bound a meeting's sums; words share the last SHARED of them
+COLUMNS = 640  # of the matrices that bound a meeting's sums; words share the last SHARED of them
 SHARED = 512
 BLOCK = 512  # questions bounded or scored at once
 FIRST = 32  # chunks that a question without a useful limit scores before others
-MANY = 10  # a question that may have more than a MANY-th of a meeting's chunks scores them all
+MANY = 10  # questions that may have more than a MANY-th of a meeting's chunks score them all, unless these pairs are few
 TABLE = 1 << 21  # weights of questions by word, held at once
 ENTRIES = 1 << 16  # of chunks, looked up there at once
+ALONE = 64  # pairs whose right sides have so many words on average are looked up one by one
+LONG = 8  # a chunk of more than LONG times its question's words is not looked up in it, but the other way
 EARLY = 32  # one of so many packed rows of chunks is searched first, for the questions' limits; FEW of them or more
 FEW = 4
+KEPT = 4  # packed rows of questions whose matrices a task keeps; those of further ones are made for each meeting
 SALTS = 4  # parts of a pool's chunks for each core
 WEIGHT = 0.3
 
@@ -58,7 +61,7 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
     questions: qid, pool_key, embedding and, unless dense, tokens and weights (arrays). chunks: pool_key, tag, chunk_index and the
     same; if `weigh` is given, it makes tokens and weights of a batch with tokens, where it is packed. A null embedding counts as zeros, null tokens as none. Both sides are packed into rows of many: a row of questions meets
     the rows of chunks in its pool (`meetings`). A dense meeting is one matrix of scores; others are one of upper bounds, and only pairs that may be
-    among the k best are scored. A task keeps k a question of all its meetings, and only these go on. The driver holds nothing of either side.
+    among the k best, by these and by second bounds of their own, are scored. A task keeps k a question of all its meetings, and only these go on. The driver holds nothing of either side.
     """
     if mode not in ("dense", "sparse", "hybrid"):
         raise ValueError(mode)
@@ -67,6 +70,7 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Best] = {}
+        kept: dict[int, Asked] = {}
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(j)[i] for j, c in enumerate(b.schema.names)}
@@ -83,7 +87,13 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
                     blocks = ((i, dense[0][i : i + BLOCK] @ dense[1].T if dense else np.zeros((min(BLOCK, nq - i), nc))) for i in range(0, nq, BLOCK))  # noqa: B023
                     held[pack].add(blocks, nc, row["c_tag"].values, row["c_chunk_index"].values)
                 else:
-                    held[pack].add_bounded(Meeting(row, nq, nc, scale, dense), row["c_tag"].values, row["c_chunk_index"].values)
+                    mine = kept.get(pack)
+                    if mine is None:
+                        vectors = matrix(row["q_dense"], nq) if mode == "hybrid" else None
+                        mine = Asked(row, nq, scale, vectors if vectors is not None and vectors.shape[1] else None)
+                        if len(kept) < KEPT:
+                            kept[pack] = mine
+                    held[pack].add_bounded(Meeting(row, nq, nc, scale, dense, mine), row["c_tag"].values, row["c_chunk_index"].values)
         for best in held.values():
             yield best.rows()
 
@@ -93,10 +103,10 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
     if mode != "dense":
         rows = stored(rows, "chunks")
         packs = rows.count()
-        if packs >= 2 * EARLY:
+        if packs >= EARLY:
             early = rows.filter(F.pmod(F.xxhash64("c_tag", "c_chunk_index"), F.lit(min(EARLY, packs // FEW))) == 0)
-            asked = stored(with_limits(asked, search(met(asked, early, True)), k, digits), "limited")
-    out = search(met(asked, rows))
+            asked = stored(with_limits(asked, search(met(asked, early, written=True, together=FEW)), k, digits), "limited")
+    out = search(met(asked, rows, written=mode != "dense"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "tag", "chunk_index")
     out = out.withColumn("rank", F.row_number().over(best)).withColumn("n_candidates", F.sum("met").over(Window.partitionBy("qid", "asked")))
     return out.filter((F.col("rank") <= k) & F.col("score").isNotNull()).select("qid", "tag", "chunk_index", "score", "rank", "n_candidates")
@@ -124,15 +134,15 @@ def meetings(questions: DataFrame, chunks: DataFrame, columns: list[str]) -> Dat
     return met(packed_questions(questions, columns), packed_chunks(chunks, columns))
 
 
-def met(asked: DataFrame, rows: DataFrame, spread: bool = False) -> DataFrame:
+def met(asked: DataFrame, rows: DataFrame, written: bool = False, together: int = 1) -> DataFrame:
     """Each packed row of chunks with each packed row of questions of its pool, and q_pack, a number of the latter. Few questions are broadcast, and chunks don't
-    move unless they are to be spread. Else the chunks of a pool are dealt over parts (SALTS a core) that a copy of its questions meets each, so that no pool is one task's."""
+    move unless they lie in a table (`written`), whose files may be few. Else the chunks of a pool are dealt over parts (SALTS a core, of `together` chunks or more on average) that a copy of its questions meets each,
+    so that no pool is one task's."""
     parts = SALTS * rows.sparkSession.sparkContext.defaultParallelism
     if few(asked):
-        both = rows.join(F.broadcast(asked), "pool_key")
-        return both.repartition(parts) if spread else both
-    rows = stored(rows, "chunks")
-    salts = stored(rows.groupBy("pool_key").agg(F.least(F.count("*"), F.lit(parts)).alias("__salts")), "salts")
+        return (rows.repartition(parts) if written else rows).join(F.broadcast(asked), "pool_key")
+    rows = rows if written else stored(rows, "chunks")
+    salts = stored(rows.groupBy("pool_key").agg(F.least(F.ceil(F.count("*") / together), F.lit(parts)).alias("__salts")), "salts")
     rows = sized_join(rows, salts, ["pool_key"], "inner").withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__salts"))).drop("__salts")
     copies = sized_join(asked, salts, ["pool_key"], "inner").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))).drop("__salts")
     by = ["pool_key", "__salt"]
@@ -161,8 +171,9 @@ class Best:
             self.take(*(np.concatenate(x) for x in zip(*found, strict=True)), tags, indices)
 
     def add_bounded(self, met: Meeting, tags: pa.Array, indices: pa.Array) -> None:
-        """The same of a meeting whose pairs are scored only if their bounds allow a place among the k best. A question with many such pairs scores FIRST of
-        the best bounds before: the k-th of these is its limit from then on. Pairs without a common word are all 0, so the first k of them are enough."""
+        """The same of a meeting whose pairs are scored only if their bounds allow a place among the k best. A question with very many such pairs scores FIRST of
+        the best bounds before: the k-th of these is its limit from then on. Pairs without a common word are all 0, so the first k of them are enough. What is
+        left must pass second bounds, in which other words share a column."""
         self.met += met.nc
         self.kinds = tags.type, indices.type
         met.prepare()
@@ -173,7 +184,8 @@ class Best:
             least = self.least[begin : begin + BLOCK]
             below = lambda rows, least: bounds[rows] < floats_below(least[rows] - slack - margin[rows])[:, None]  # noqa: B023, E731
             may = ~below(slice(None), least)
-            many = np.flatnonzero(np.count_nonzero(may, axis=1) > first)
+            q, c = np.divmod(np.flatnonzero(may), max(1, met.nc))
+            many = np.flatnonzero(np.bincount(q, minlength=len(bounds)) > max(first, met.nc / MANY))
             if len(many):
                 same = (bounds[many] == 0) & met.wordy[begin + many, None]
                 bounds[many] = np.where(same & (np.cumsum(same, axis=1) > self.k), -np.inf, bounds[many])
@@ -185,13 +197,19 @@ class Best:
                 least[many] = np.fmax(least[many], np.partition(scores.reshape(top.shape), first - self.k, axis=1)[:, first - self.k])
                 bounds[many[:, None], top] = -np.inf
                 may[many] = ~below(many, least)
-                all_of = many[np.count_nonzero(may[many], axis=1) > met.nc / MANY]
-                if len(all_of):
-                    q, c, scores = best_of(np.round(met.all_scores(begin + all_of), self.digits), self.k)
-                    found = [tuple(x[~np.isin(f[0], begin + all_of)] for x in f) for f in found]  # all of them are scored again
-                    found.append((begin + all_of[q], c, scores))
-                    may[all_of] = False
-            q, c = np.nonzero(may)
+                q, c = np.divmod(np.flatnonzero(may), met.nc)
+            if len(met.right) > 1:
+                bounds, margin = met.second_bounds(begin + q, c)
+                left = np.flatnonzero(~(bounds < floats_below(least[q] - slack - margin)))
+                q, c = q[left], c[left]
+            n = np.bincount(q, minlength=len(least))
+            all_of = np.flatnonzero(n > max(first, met.nc / MANY))
+            if n[all_of].sum() > len(met.c[0]) / ALONE:  # else their pairs cost less
+                x, y, scores = best_of(np.round(met.all_scores(begin + all_of), self.digits), self.k)
+                found = [tuple(x[~np.isin(f[0], begin + all_of)] for x in f) for f in found]  # all of them are scored again
+                found.append((begin + all_of[x], y, scores))
+                left = np.flatnonzero(~np.isin(q, all_of))
+                q, c = q[left], c[left]
             found.append((begin + q, c, np.round(met.scores(begin + q, c), self.digits)))
         q, c, best = (np.concatenate(x) for x in zip(*found, strict=True))
         keep = np.flatnonzero((best >= self.least[q]) & (best > -np.inf))
@@ -229,42 +247,82 @@ class Best:
         return pa.RecordBatch.from_arrays([self.qids.take(pa.array(q)), *found, pa.array(self.pack * QUESTIONS + q), pa.array(met, pa.int64())], ["qid", "tag", "chunk_index", "score", "asked", "met"])
 
 
+class Asked:
+    """A packed row of questions as its meetings need it. Words are numbered by falling weight of all questions, so what is often looked up lies together."""
+
+    def __init__(self, row: dict[str, pa.Scalar], nq: int, scale: float, dense: np.ndarray | None):
+        tokens = row["q_tokens"].values
+        self.words, self.nq, self.scale, self.dense = len(tokens), nq, scale, dense
+        word, weight, of, ends = entries(row, "q", np.arange(self.words, dtype=np.int32), nq)
+        order = np.argsort(-np.bincount(word, np.abs(weight), self.words), kind="stable")
+        rank = np.empty(self.words, np.int32)
+        rank[order] = np.arange(self.words)
+        self.tokens = tokens.take(pa.array(order))  # a copy: a slice would hold its whole batch
+        self.entries = rank[word], weight, of, ends
+        self.wordy = np.ones(nq, bool) if dense is None else ~dense.any(axis=1)  # whose scores are those of words alone
+        self.sides: list[np.ndarray] | None = None
+
+    def prepare(self) -> None:
+        """Columns of words, and matrices by them. The words with the largest weights have columns of their own; the others share some, which only adds. Words that
+        share a column in the first arrangement hardly do in the second."""
+        if self.sides is not None:
+            return
+        self.width, self.own, self.columns = min(self.words, COLUMNS), self.words, [np.arange(self.words)]
+        if self.words > COLUMNS:
+            self.own = COLUMNS - SHARED
+            rest = np.arange(self.words - self.own)
+            self.columns = [np.append(np.arange(self.own), self.own + x % SHARED) for x in (rest, np.random.default_rng(0).permutation(rest))]
+        self.sides = self.matrices(self.entries, self.nq, self.scale, self.dense)
+        self.norms = [norms(x) for x in self.sides]
+
+    def matrices(self, of: Entries, n: int, scale: float, dense: np.ndarray | None) -> list[np.ndarray]:
+        """Of absolute weights, in single precision: one for each arrangement, with vectors beside them."""
+        word, weight, row, _ = of
+        weight, out = np.abs(weight) * scale, []
+        for column in self.columns:
+            if not out:
+                new = np.empty((n, self.width + (dense.shape[1] if dense is not None else 0)), np.float32)
+                new[:, : self.width] = np.bincount(row * self.width + column[word], weight, n * self.width).reshape(n, self.width)
+                if dense is not None:
+                    new[:, self.width :] = dense
+            else:
+                new, at = out[0].copy(), np.flatnonzero(column[word] >= self.own)
+                new[:, self.own : self.width] = np.bincount(row[at] * SHARED + column[word[at]] - self.own, weight[at], n * SHARED).reshape(n, SHARED)
+            out.append(new)
+        return out
+
+
 class Meeting:
-    """Questions and chunks of a meeting: bounds of the scores of all pairs, exact scores of some."""
+    """Questions and chunks of a meeting: bounds of the scores of all pairs, exact scores of some. `asked` may be what was made of the questions before."""
 
-    def __init__(self, row: dict[str, pa.Scalar], nq: int, nc: int, scale: float, dense: tuple[np.ndarray, np.ndarray] | None):
+    def __init__(self, row: dict[str, pa.Scalar], nq: int, nc: int, scale: float, dense: tuple[np.ndarray, np.ndarray] | None, asked: Asked | None = None):
+        self.asked = asked or Asked(row, nq, scale, dense[0] if dense else None)
         self.nq, self.nc, self.scale, self.dense = nq, nc, scale, dense
-        self.wordy = np.ones(nq, bool) if dense is None else ~dense[0].any(axis=1)  # whose scores are those of words alone
-        words = row["q_tokens"].values
-        known = pc.index_in(row["c_tokens"].values, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False) if len(words) else np.full(len(row["c_tokens"].values), -1)
-        both = np.zeros(len(words), bool)
-        both[known[known >= 0]] = True
-        number = np.append(np.where(both, np.cumsum(both) - 1, -1), -1)  # of the words that both sides have
-        self.words = int(both.sum())
-        self.q, self.c = (entries(row, side, code, n) for side, code, n in (("q", number, nq), ("c", number[known], nc)))
+        self.wordy = np.ones(nq, bool) if dense is None else self.asked.wordy
+        words = row["c_tokens"].values
+        self.words = self.asked.words
+        known = pc.index_in(words, value_set=self.asked.tokens).fill_null(-1).to_numpy(zero_copy_only=False) if self.words else np.full(len(words), -1)
+        self.q, self.c = self.asked.entries, entries(row, "c", known, nc)
 
     def prepare(self) -> None:
-        self.left, self.right = self.matrices()
-        long = float(np.sqrt(np.square(self.right, dtype=float).sum(axis=1).max(initial=0)))
-        self.margin = (self.left.shape[1] + 16) * 2.0**-23 * long * np.sqrt(np.square(self.left, dtype=float).sum(axis=1))  # of products in single precision
-
-    def matrices(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of absolute weights, in single precision. The words with the largest products have columns of their own; the others share some, which only adds."""
-        mass = [np.bincount(word, np.abs(weight), self.words) for word, weight, _, _ in (self.q, self.c)]
-        rank = np.empty(self.words, int)
-        rank[np.argsort(-mass[0] * mass[1], kind="stable")] = np.arange(self.words)
-        own = COLUMNS - SHARED
-        column = np.where(rank < own, rank, own + (rank - own) % SHARED) if self.words > COLUMNS else rank
-        width = min(self.words, COLUMNS)
-        out = []
-        for side, ((word, weight, of, _), n) in enumerate(((self.q, self.nq), (self.c, self.nc))):
-            sums = np.bincount(of * width + column[word], np.abs(weight) * (self.scale if side == 0 else 1), n * width).reshape(n, width)
-            out.append((sums if self.dense is None else np.hstack([sums, self.dense[side]])).astype(np.float32))
-        return out[0], out[1]
+        self.asked.prepare()
+        self.right = self.asked.matrices(self.c, self.nc, 1.0, self.dense[1] if self.dense else None)
+        width = self.right[0].shape[1]  # without vectors if a side has none
+        self.left = [x[:, :width] for x in self.asked.sides]
+        long = [float(norms(x).max(initial=0)) for x in self.right]
+        self.margins = [(width + 16) * 2.0**-23 * y * x for x, y in zip(self.asked.norms, long, strict=True)]  # of products in single precision
 
     def bounds(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Of questions begin to end and all chunks, and by how much a score may be above."""
-        return self.left[begin:end] @ self.right.T, self.margin[begin:end]
+        return self.left[0][begin:end] @ self.right[0].T, self.margins[0][begin:end]
+
+    def second_bounds(self, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs, by the second arrangement."""
+        left, right, out = self.left[-1], self.right[-1], np.empty(len(q), np.float32)
+        step = max(1, POSTINGS // max(1, left.shape[1]))
+        for i in range(0, len(q), step):
+            out[i : i + step] = np.einsum("ij,ij->i", left[q[i : i + step]], right[c[i : i + step]])
+        return out, self.margins[-1][q]
 
     def scores(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Of pairs."""
@@ -285,10 +343,10 @@ class Meeting:
         return out if self.dense is None else out + self.dense[0][questions] @ self.dense[1].T
 
     def sums(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Sums of products of the weights of shared words, of pairs: the words of the shorter side are looked up in the longer."""
+        """Sums of products of the weights of shared words, of pairs: a chunk's words are looked up in the question, unless it has more than LONG times as many."""
         out = np.zeros(len(q))
         if self.words:
-            short = np.diff(self.q[3])[q] < np.diff(self.c[3])[c]
+            short = LONG * np.diff(self.q[3])[q] < np.diff(self.c[3])[c]
             for table, words, a, b, of in ((self.q, self.c, q, c, np.flatnonzero(~short)), (self.c, self.q, c, q, np.flatnonzero(short))):
                 of = of[np.argsort(a[of], kind="stable")]
                 out[of] = looked_up(table, words, self.words, a[of], b[of])
@@ -301,6 +359,16 @@ def looked_up(left: Entries, right: Entries, words: int, a: np.ndarray, b: np.nd
     if not len(a):
         return out
     (l_word, l_weight, _, l_ends), (r_word, r_weight, _, r_ends) = left, right
+    if np.diff(r_ends)[b].mean() >= ALONE:
+        begins, ends, edges = r_ends[b].tolist(), r_ends[b + 1].tolist(), [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
+        row = np.zeros(words)
+        for i, j in zip(edges, edges[1:], strict=False):
+            mine = slice(l_ends[a[i]], l_ends[a[i] + 1])
+            np.add.at(row, l_word[mine], l_weight[mine])
+            for n in range(i, j):
+                out[n] = row.take(r_word[begins[n] : ends[n]]) @ r_weight[begins[n] : ends[n]]
+            row[l_word[mine]] = 0
+        return out
     rows = max(1, TABLE // words)
     table = np.zeros(rows * words)
     number = np.cumsum(np.diff(a, prepend=a[0]) != 0)
@@ -338,6 +406,11 @@ def ranges(begins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) + np.repeat(begins - np.cumsum(n) + n, n), of
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows."""
+    return np.sqrt(np.einsum("ij,ij->i", x, x, dtype=float))
+
+
 def floats_below(x: np.ndarray) -> np.ndarray:
     return np.nextafter(x.astype(np.float32), np.float32(-np.inf))
 
@@ -377,7 +450,7 @@ def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefi
 def packed_questions(questions: DataFrame, columns: list[str], weigh: Weigh | None = None) -> DataFrame:
     """With q_pack, a number of each packed row. Stored twice: as rows, since they are counted and dealt, and packed, since their size decides how they travel."""
     rows = stored(questions.select("qid", "pool_key", *given(columns, weigh)), "asked")
-    packs = max(1, -(-rows.count() // QUESTIONS))
+    packs = max(1, -(-rows.count() * 8 // (QUESTIONS * 7)))  # not full, since a hash deals them unevenly and a small rest would meet all chunks too
     return stored(packed(rows.repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_", weigh).withColumn("q_pack", F.monotonically_increasing_id()), "questions")
 
 

@@ -251,3 +251,45 @@ def test_few_pairs_of_a_meeting_are_scored(monkeypatch):
     assert sum(scored) < 100 * 2000 / 4
     q, c, _ = R.best_of(np.round(R.shared_weights(row, 100, 2000), 9), 10)
     assert best.table["q"].to_pylist() == q.tolist() and best.table["chunk_index"].to_pylist() == c.tolist()
+
+
+def packed_row(texts: list[list[int]], n: int) -> dict[str, pa.Scalar]:
+    """The first n as questions, the others as chunks, with words by number."""
+    row = {}
+    for s, mine in (("q", texts[:n]), ("c", texts[n:])):
+        row[f"{s}_tokens"] = pa.scalar([str(w) for w in range(5000)])
+        row[f"{s}_codes"] = pa.scalar(np.array([w for t in mine for w in t], np.int32).tobytes())
+        row[f"{s}_weights"] = pa.scalar(np.array([1 / (1 + i) for t in mine for i in range(len(t))]).tobytes())
+        row[f"{s}_ends"] = pa.scalar(np.cumsum([len(t) for t in mine]).astype(np.int64).tobytes())
+    return row
+
+
+def test_pairs_that_only_share_a_column_are_not_scored(monkeypatch):
+    """A pair whose first words share a column of the bounds was scored, though they are different words; so were FIRST of each question with more than FIRST pairs."""
+    rnd = np.random.default_rng(7)
+    row = packed_row([rnd.permutation(5000)[:20].tolist() for _ in range(2200)], 200)
+    exact = np.round(R.shared_weights(row, 200, 2000), 9)
+    met, scored = R.Meeting(row, 200, 2000, 1.0, None), []
+    monkeypatch.setattr(met, "scores", lambda q, c, f=met.scores: scored.append(len(q)) or f(q, c))
+    monkeypatch.setattr(met, "all_scores", lambda q, f=met.all_scores: scored.append(len(q) * 2000) or f(q))
+    best = R.Best(0, pa.array(range(200)), 10, 9)
+    best.least[:] = np.sort(exact, axis=1)[:, -10] - 1e-9
+    best.add_bounded(met, pa.array(["t"] * 2000), pa.array(range(2000)))
+    q, c, score = R.best_of(exact, 10)
+    assert best.table["q"].to_pylist() == q.tolist() and best.table["chunk_index"].to_pylist() == c.tolist() and best.table["score"].to_pylist() == score.tolist()
+    assert sum(scored) < 200 * 2000 / 100
+
+
+@pytest.mark.parametrize("alone", [0, 10**9])  # pairs looked up one by one, together
+@pytest.mark.parametrize("long", [0, 1, 10**9])  # questions looked up in chunks, the shorter in the longer, chunks in questions
+def test_pairs_have_the_same_sums_either_way(monkeypatch, alone, long):
+    monkeypatch.setattr(R, "ALONE", alone)
+    monkeypatch.setattr(R, "LONG", long)
+    rnd = np.random.default_rng(8)
+    texts = [rnd.permutation(300)[: rnd.integers(0, 60)].tolist() for _ in range(70)]
+    row = packed_row(texts, 20)
+    q, c = np.divmod(np.arange(20 * 50), 50)
+    mix = rnd.permutation(1000)
+    got = R.Meeting(row, 20, 50, 1.0, None).scores(q[mix], c[mix])
+    want = R.shared_weights(row, 20, 50)[q[mix], c[mix]]
+    assert np.allclose(got, want, rtol=0, atol=1e-12) and want.any()
