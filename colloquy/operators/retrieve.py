@@ -28,7 +28,7 @@ TABLE = 1 << 21  # weights of questions by word, held at once
 ENTRIES = 1 << 16  # of chunks, looked up there at once
 ALONE = 64  # pairs whose right sides have so many words on average are looked up one by one
 LONG = 8  # a chunk of more than LONG times its question's words is not looked up in it, but the other way
-EARLY = 32  # one of so many packed rows of chunks is searched first, for the questions' limits; FEW of them or more
+EARLY = 32  # one of so many packed rows of chunks is searched first, for the questions' limits; FEW of them or more, with vectors and without
 FEW = 4
 KEPT = 4  # packed rows of questions whose matrices a task keeps; those of further ones are made for each meeting
 SALTS = 4  # parts of a pool's chunks for each core
@@ -102,9 +102,12 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
     asked, rows = packed_questions(questions, columns, weigh), packed_chunks(chunks, columns, weigh)
     if mode != "dense":
         rows = stored(rows, "chunks")
-        packs = rows.count()
-        if packs >= EARLY:
-            early = rows.filter(F.pmod(F.xxhash64("c_tag", "c_chunk_index"), F.lit(min(EARLY, packs // FEW))) == 0)
+        dense = F.octet_length("c_dense") > 0 if "embedding" in columns else F.lit(False)
+        packs = {r.dense: r.n for r in rows.groupBy(dense.alias("dense")).agg(F.count("*").alias("n")).collect()}
+        if sum(packs.values()) >= EARLY:
+            # Rows with vectors, which may lie together in few packs, have their own share: without them limits of questions with vectors are far too low.
+            share = {d: min(EARLY, max(1, packs.get(d, 0) // FEW)) for d in (True, False)}
+            early = rows.filter(F.pmod(F.xxhash64("c_tag", "c_chunk_index"), F.when(dense, share[True]).otherwise(share[False])) == 0)
             asked = stored(with_limits(asked, search(met(asked, early, written=True, together=FEW)), k, digits), "limited")
     out = search(met(asked, rows, written=mode != "dense"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "tag", "chunk_index")

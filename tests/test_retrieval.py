@@ -293,3 +293,16 @@ def test_pairs_have_the_same_sums_either_way(monkeypatch, alone, long):
     got = R.Meeting(row, 20, 50, 1.0, None).scores(q[mix], c[mix])
     want = R.shared_weights(row, 20, 50)[q[mix], c[mix]]
     assert np.allclose(got, want, rtol=0, atol=1e-12) and want.any()
+
+
+def test_some_chunks_with_vectors_are_searched_first(spark, monkeypatch):
+    """Vectors that lie in few packed rows were not met in the first search, so limits of questions with vectors came from words alone."""
+    for name, value in {"CHUNKS": 5, "EARLY": 32}.items():
+        monkeypatch.setattr(R, name, value)
+    found = []
+    monkeypatch.setattr(R, "with_limits", lambda asked, rows, *a, f=R.with_limits: found.append(rows) or f(asked, rows, *a))
+    rows = [(i, "a" if i < 10 else "b", i, "all", [1.0, i / 10] if i < 10 else None, ["x"], [0.1]) for i in range(500)]
+    df = spark.createDataFrame(rows, ROWS).coalesce(1)
+    got = R.top_k(df.filter("qid = 0"), df, 2, "hybrid", 0.3).collect()
+    assert "a" in {r.tag for r in found[0].filter("score is not null").collect()}
+    assert sorted((r["rank"], r.chunk_index) for r in got) == [(1, 0), (2, 1)]
