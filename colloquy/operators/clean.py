@@ -11,11 +11,12 @@ from colloquy.functions import text as T
 from colloquy.sources.scratch import stored
 
 from . import scan
-from .joins import sized_join, text_key
+from .joins import row_bytes, sized_join, text_key
 
 MIRROR_SECONDS = 10
 NOTICE_GAP_SECONDS = 600
 NOTICE_RECEIVERS = 5
+PART_BYTES = 128 << 20  # of the lists that rows take, in one part of them
 
 
 def micros(ts: Column) -> Column:
@@ -57,14 +58,31 @@ def with_runs(df: DataFrame, keys: list[str], ts: str, order: str, gap_seconds:
     return got.select(*df.columns, F.col("begins_no").alias("run"), "begins")
 
 
+def _with_lists(runs: DataFrame, per: DataFrame) -> DataFrame:
+    """runs with the lists of their run, null where it has none. per: run, n (its rows) and its lists. All rows of a run take its lists, so they become far
+    more than was read. They are dealt by that: a run's rows over as many slots as have PART_BYTES of lists each, and a slot's rows lie together, since
+    writers hold many rows and keep a value once only where it stands in a row."""
+    size = F.col("n") * row_bytes(per.drop("n"))
+    total = per.agg(F.sum(size)).first()[0] or 0
+    if total <= PART_BYTES:
+        return sized_join(runs, per.drop("n"), ["run"], "left")
+    parts = max(-(-total // PART_BYTES), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = stored(per.select("run", F.ceil(size / PART_BYTES).alias("__slots")), "slots")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("__slots", F.lit(parts)))
+    rows = sized_join(runs, slots, ["run"], "left").withColumn("__slot", place).drop("__slots")
+    copies = per.drop("n").join(slots, "run").withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__slots") - 1))).drop("__slots")
+    by = ["run", "__slot"]
+    return rows.repartition(parts, *by).join(copies.repartition(parts, *by).hint("merge"), by, "left").drop("__slot")
+
+
 def folded_notices(df: DataFrame, keys: list[str], receiver: str, ts: str, order: str, gap_seconds: float = NOTICE_GAP_SECONDS, least: int = NOTICE_RECEIVERS, text: str | None = None, shown: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """df with kind, recipients, merged_rows and `folded`: in a run that reaches `least` receivers all rows but the earliest fold into it.
     shown: what rows have of the two lists; it is made once for each run, since each row of a run takes its whole lists."""
     runs = stored(with_runs(df, keys, ts, order, gap_seconds, text), "notice-runs")
     many = runs.groupBy("run").agg(F.count_distinct(receiver).alias("n")).filter(F.col("n") >= least).select("run")
-    lists = runs.join(many, "run", "left_semi").groupBy("run").agg(F.array_sort(F.collect_set(receiver)).alias("recipients"), F.array_sort(F.collect_list(order)).alias("merged_rows"))
-    per = stored(lists.select("run", shown(F.col("recipients")).alias("recipients"), shown(F.col("merged_rows")).alias("merged_rows")), "notices")
-    rows = sized_join(runs, per, ["run"], "left")
+    lists = runs.join(many, "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(receiver)).alias("recipients"), F.array_sort(F.collect_list(order)).alias("merged_rows"))
+    per = stored(lists.select("run", "n", shown(F.col("recipients")).alias("recipients"), shown(F.col("merged_rows")).alias("merged_rows")), "notices")
+    rows = _with_lists(runs, per)
     mass = F.col("recipients").isNotNull()
     none = lambda c, kind: F.coalesce(c, shown(F.array().cast(kind)))
     return rows.select(

@@ -32,19 +32,21 @@ def distinct_texts(df: DataFrame, text: str) -> DataFrame:
     return df.groupBy(text_key(F.col(text)).alias("key")).agg(F.collect_set(text).alias("texts")).select(F.explode("texts").alias(text))
 
 
-def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table may be sent to all tasks, by its counted rows and bytes."""
-    width, parts = 8 * len(df.columns), []
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    width = [F.lit(8 * len(df.columns)).cast("long")]
     for f in df.schema.fields:
         if isinstance(f.dataType, T.ArrayType):
-            parts.append(F.size(F.coalesce(F.col(f.name), F.array())) * 8)
+            width.append(F.size(F.coalesce(F.col(f.name), F.array())).cast("long") * 8)
         elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            parts.append(F.octet_length(F.coalesce(F.col(f.name), F.lit("").cast(f.dataType))))
-    if not parts:
-        rows = df.count()
-        return rows <= limit and rows * width <= BROADCAST_BYTES
-    rows, more = df.agg(F.count("*"), F.sum(reduce(add, (p.cast("long") for p in parts)))).first()
-    return rows <= limit and rows * width + (more or 0) <= BROADCAST_BYTES
+            width.append(F.octet_length(F.coalesce(F.col(f.name), F.lit("").cast(f.dataType))).cast("long"))
+    return reduce(add, width)
+
+
+def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a written table may be sent to all tasks, by its counted rows and bytes."""
+    rows, size = df.agg(F.count("*"), F.sum(row_bytes(df))).first()
+    return rows <= limit and (size or 0) <= BROADCAST_BYTES
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -123,6 +123,22 @@ def test_lists_of_notices_are_shown_once_a_run(spark):
     assert plain[3].merged_rows == list(range(12)) and plain[50].merged_rows == []
 
 
+def test_rows_with_the_lists_of_their_run_are_dealt_by_bytes(spark, monkeypatch):
+    """A run's rows times its list are far more than was read; all rows of a run went to one task, and many long runs to one, whose writer held them."""
+    at = datetime.datetime(2020, 1, 1)
+    rows = [(i, at + datetime.timedelta(seconds=i), f"boss{i % 3}", f"r{i // 3 % 6}") for i in range(1200)] + [(5000 + i, at + datetime.timedelta(seconds=i), "ann", "bob") for i in range(300)]
+    df = spark.createDataFrame(rows, "src_row long, ts timestamp, sender string, receiver string")
+    fold = lambda: L.folded_notices(df, ["sender"], "receiver", "ts", "src_row", 600, shown=lambda c: F.array_join(c.cast("array<string>"), ";"))
+    want = sorted(fold().collect())
+    monkeypatch.setattr(L, "PART_BYTES", 50_000, raising=False)
+    got = fold().withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r[:-1] for r in got) == sorted(tuple(r) for r in want)
+    size = dict.fromkeys((r.task for r in got), 0)
+    for r in got:
+        size[r.task] += len(r.merged_rows)
+    assert sum(size.values()) > 30 * 50_000 and max(size.values()) < 8 * 50_000
+
+
 def test_long_sessions_are_planned_by_many_tasks(spark):
     """Their counts are few bytes, so that adaptive execution would put them all into one task; sessions may cross batches of rows."""
     rnd = np.random.default_rng(5)
