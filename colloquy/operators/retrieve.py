@@ -14,7 +14,7 @@ from colloquy.sources.scratch import stored
 
 from .joins import few, sized_join
 
-QUESTIONS = 8192  # in a packed row
+QUESTIONS = 8192  # in a packed row, and put together
 CHUNKS = 5000
 POSTINGS = 1_000_000  # products of weights held at once
 COMMON = 200  # a word that makes more products than a COMMON-th of a meeting's pairs is summed by a matrix
@@ -30,8 +30,12 @@ ALONE = 64  # pairs whose right sides have so many words on average are looked u
 LONG = 8  # a chunk of more than LONG times its question's words is not looked up in it, but the other way
 EARLY = 32  # one of so many packed rows of chunks is searched first, for the questions' limits; FEW of them or more, with vectors and without
 FEW = 4
-KEPT = 4  # packed rows of questions whose matrices a task keeps; those of further ones are made for each meeting
-SALTS = 4  # parts of a pool's chunks for each core
+PIECE = 1 << 19  # bytes of a packed row, about; a task puts several together
+FULL = 1 << 23  # of the packed rows of chunks that meet the questions at once
+FLOW = 1 << 20  # words that are weighed and packed at once
+TOGETHER = 2  # times QUESTIONS that one task holds; a pool's further questions are another task's
+SALTS = 4  # parts of a pool's chunks for each core, or more:
+PART = 1 << 28  # bytes of packed chunks in one
 WEIGHT = 0.3
 
 Weigh = Callable[[pa.RecordBatch], pa.RecordBatch]
@@ -59,8 +63,8 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
     tag and chunk_index.
 
     questions: qid, pool_key, embedding and, unless dense, tokens and weights (arrays). chunks: pool_key, tag, chunk_index and the
-    same; if `weigh` is given, it makes tokens and weights of a batch with tokens, where it is packed. A null embedding counts as zeros, null tokens as none. Both sides are packed into rows of many: a row of questions meets
-    the rows of chunks in its pool (`meetings`). A dense meeting is one matrix of scores; others are one of upper bounds, and only pairs that may be
+    same; if `weigh` is given, it makes tokens and weights of a batch with tokens, where it is packed. A null embedding counts as zeros, null tokens as none. Both sides are packed into rows of about PIECE bytes. A task reads some questions
+    of a pool, puts them together and holds them, and then its chunks, of which as many as are FULL meet them at once (`dealt`). A dense meeting is one matrix of scores; others are one of upper bounds, and only pairs that may be
     among the k best, by these and by second bounds of their own, are scored. A task keeps k a question of all its meetings, and only these go on. The driver holds nothing of either side.
     """
     if mode not in ("dense", "sparse", "hybrid"):
@@ -69,47 +73,70 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "den
     scale = 1.0 if mode == "sparse" else weight
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Best] = {}
-        kept: dict[int, Asked] = {}
+        now, held, seen, questions, chunks = None, [], set(), [], []
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(j)[i] for j, c in enumerate(b.schema.names)}
-                nq, nc = len(row["q_qid"]), len(row["c_tag"])
-                pack = row["q_pack"].as_py()
-                if pack not in held:
-                    held[pack] = Best(pack, row["q_qid"].values, k, digits)
-                    if "q_limits" in row and row["q_limits"].is_valid:
-                        held[pack].least[row["q_limited"].values.to_numpy()] = row["q_limits"].values.to_numpy()
-                dense = None if mode == "sparse" else (matrix(row["q_dense"], nq), matrix(row["c_dense"], nc))
-                if dense and not (dense[0].shape[1] and dense[1].shape[1]):  # one side has no vector at all
-                    dense = None
-                if mode == "dense":
-                    blocks = ((i, dense[0][i : i + BLOCK] @ dense[1].T if dense else np.zeros((min(BLOCK, nq - i), nc))) for i in range(0, nq, BLOCK))  # noqa: B023
-                    held[pack].add(blocks, nc, row["c_tag"].values, row["c_chunk_index"].values)
-                else:
-                    mine = kept.get(pack)
-                    if mine is None:
-                        vectors = matrix(row["q_dense"], nq) if mode == "hybrid" else None
-                        mine = Asked(row, nq, scale, vectors if vectors is not None and vectors.shape[1] else None)
-                        if len(kept) < KEPT:
-                            kept[pack] = mine
-                    held[pack].add_bounded(Meeting(row, nq, nc, scale, dense, mine), row["c_tag"].values, row["c_chunk_index"].values)
-        for best in held.values():
-            yield best.rows()
+                key = row["pool_key"].as_py(), row["__group"].as_py()
+                if key != now:
+                    meet(held, chunks)
+                    yield from (best.rows() for best, _, _ in held if best.met)
+                    now, held, seen, questions, chunks = key, [], set(), [], []
+                if row["c_tag"].is_valid:
+                    if questions:
+                        held.append(asker(questions))
+                        questions = []
+                    chunks.append(row)
+                    if sum(len(r["c_tag"]) for r in chunks) >= CHUNKS or sum(r["c_bytes"].as_py() for r in chunks) >= FULL:
+                        meet(held, chunks)
+                        chunks = []
+                elif row["q_pack"].as_py() not in seen:  # else a copy for other chunks that are this task's too
+                    seen.add(row["q_pack"].as_py())
+                    if questions and sum(len(r["q_qid"]) for r in [*questions, row]) > QUESTIONS:
+                        held.append(asker(questions))
+                        questions = []
+                    questions.append(row)
+        meet(held, chunks)
+        yield from (best.rows() for best, _, _ in held if best.met)
+
+    def asker(rows: list[dict[str, pa.Scalar]]) -> tuple[Best, Asked | None, np.ndarray | None]:
+        n = [len(r["q_qid"]) for r in rows]
+        both = together(rows, "q", ["qid"], columns)
+        best = Best(0, both["q_qid"].values, k, digits, np.concatenate([r["q_pack"].as_py() * QUESTIONS + np.arange(m) for r, m in zip(rows, n, strict=True)]))
+        for r, begin in zip(rows, np.cumsum(n) - n, strict=True):
+            if "q_limits" in r and r["q_limits"].is_valid:
+                best.least[begin + r["q_limited"].values.to_numpy()] = r["q_limits"].values.to_numpy()
+        dense = None if mode == "sparse" else matrix(both["q_dense"], sum(n))
+        return best, None if mode == "dense" else Asked(both, sum(n), scale, dense if dense is not None and dense.shape[1] else None), dense
+
+    def meet(held: list, rows: list[dict[str, pa.Scalar]]) -> None:
+        if not held or not rows:
+            return
+        both = together(rows, "c", ["tag", "chunk_index"], columns, ordered=True)
+        nc, tags, indices = len(both["c_tag"]), both["c_tag"].values, both["c_chunk_index"].values
+        own = None if mode == "sparse" else matrix(both["c_dense"], nc)
+        for best, asked, vectors in held:
+            nq = len(best.least)
+            dense = None if own is None or not (vectors.shape[1] and own.shape[1]) else (vectors, own)  # one side may have no vector at all
+            if mode == "dense":
+                blocks = ((i, dense[0][i : i + BLOCK] @ dense[1].T if dense else np.zeros((min(BLOCK, nq - i), nc))) for i in range(0, nq, BLOCK))  # noqa: B023
+                best.add(blocks, nc, tags, indices)
+            else:
+                best.add_bounded(Meeting(both, nq, nc, scale, dense, asked), tags, indices)
 
     kinds = {"qid": dict(questions.dtypes)["qid"], **{c: dict(chunks.dtypes)[c] for c in ("tag", "chunk_index")}}
     search = lambda met: met.mapInArrow(per_task, f"qid {kinds['qid']}, tag {kinds['tag']}, chunk_index {kinds['chunk_index']}, score double, asked long, met long")
-    asked, rows = packed_questions(questions, columns, weigh), packed_chunks(chunks, columns, weigh)
+    asked, rows = packed_questions(questions, columns, weigh), stored(packed_chunks(chunks, columns, weigh), "chunks", large_rows=True)
     if mode != "dense":
-        rows = stored(rows, "chunks")
         dense = F.octet_length("c_dense") > 0 if "embedding" in columns else F.lit(False)
-        packs = {r.dense: r.n for r in rows.groupBy(dense.alias("dense")).agg(F.count("*").alias("n")).collect()}
-        if sum(packs.values()) >= EARLY:
+        per = rows.groupBy(dense.alias("dense")).agg(F.count("*").alias("n"), F.sum(F.size("c_tag")).alias("chunks")).collect()
+        if sum(r.chunks for r in per) > (EARLY - 1) * CHUNKS:
             # Rows with vectors, which may lie together in few packs, have their own share: without them limits of questions with vectors are far too low.
-            share = {d: min(EARLY, max(1, packs.get(d, 0) // FEW)) for d in (True, False)}
+            n = {r.dense: min(r.n, -(-r.chunks // CHUNKS)) for r in per}
+            share = {d: min(EARLY, max(1, n.get(d, 0) // FEW)) for d in (True, False)}
             early = rows.filter(F.pmod(F.xxhash64("c_tag", "c_chunk_index"), F.when(dense, share[True]).otherwise(share[False])) == 0)
-            asked = stored(with_limits(asked, search(met(asked, early, written=True, together=FEW)), k, digits), "limited")
-    out = search(met(asked, rows, written=mode != "dense"))
+            asked = stored(with_limits(asked, search(dealt(asked, early, FEW)), k, digits), "limited", large_rows=True)
+    out = search(dealt(asked, rows))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "tag", "chunk_index")
     out = out.withColumn("rank", F.row_number().over(best)).withColumn("n_candidates", F.sum("met").over(Window.partitionBy("qid", "asked")))
     return out.filter((F.col("rank") <= k) & F.col("score").isNotNull()).select("qid", "tag", "chunk_index", "score", "rank", "n_candidates")
@@ -137,26 +164,73 @@ def meetings(questions: DataFrame, chunks: DataFrame, columns: list[str]) -> Dat
     return met(packed_questions(questions, columns), packed_chunks(chunks, columns))
 
 
-def met(asked: DataFrame, rows: DataFrame, written: bool = False, together: int = 1) -> DataFrame:
+def met(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """Each packed row of chunks with each packed row of questions of its pool, and q_pack, a number of the latter. Few questions are broadcast, and chunks don't
-    move unless they lie in a table (`written`), whose files may be few. Else the chunks of a pool are dealt over parts (SALTS a core, of `together` chunks or more on average) that a copy of its questions meets each,
-    so that no pool is one task's."""
-    parts = SALTS * rows.sparkSession.sparkContext.defaultParallelism
+    move. Else the chunks of a pool are dealt over parts (SALTS a core) that a copy of its questions meets each, so that no pool is one task's."""
     if few(asked):
-        return (rows.repartition(parts) if written else rows).join(F.broadcast(asked), "pool_key")
-    rows = rows if written else stored(rows, "chunks")
-    salts = stored(rows.groupBy("pool_key").agg(F.least(F.ceil(F.count("*") / together), F.lit(parts)).alias("__salts")), "salts")
+        return rows.join(F.broadcast(asked), "pool_key")
+    parts = SALTS * rows.sparkSession.sparkContext.defaultParallelism
+    rows = stored(rows, "chunks", large_rows=True)
+    salts = stored(rows.groupBy("pool_key").agg(F.least(F.count("*"), F.lit(parts)).alias("__salts")), "salts")
     rows = sized_join(rows, salts, ["pool_key"], "inner").withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__salts"))).drop("__salts")
     copies = sized_join(asked, salts, ["pool_key"], "inner").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))).drop("__salts")
     by = ["pool_key", "__salt"]
     return rows.repartition(parts, *by).join(copies.repartition(parts, *by).hint("merge"), by).drop("__salt")
 
 
+def dealt(asked: DataFrame, rows: DataFrame, full: int = 1) -> DataFrame:
+    """Packed rows of questions and of chunks, each in a row of its own, so that no row is large and none is sent once for each row it meets. The questions of a pool are
+    dealt over groups of about TOGETHER times QUESTIONS, its chunks over salts, as many as have `full` times FULL bytes, and SALTS a core or PART bytes at most; each salt has a copy of each
+    group. In a task the questions of a pool and group come first, perhaps more than once, and then its chunks."""
+    n, size = rows.agg(F.count("*"), F.sum("c_bytes")).first()
+    parts = max(1, min(n, max(SALTS * rows.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // PART))))
+    salts = rows.groupBy("pool_key").agg(F.least(F.ceil(F.sum("c_bytes") / (full * FULL)), F.count("*"), F.lit(parts)).alias("__salts"))
+    groups = asked.groupBy("pool_key").agg(F.ceil(F.sum(F.size("q_qid")) / (TOGETHER * QUESTIONS)).alias("__groups"))
+    shares = stored(salts.join(groups, "pool_key"), "shares")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    q = sized_join(asked, shares, ["pool_key"], "inner").withColumn("__group", one(F.col("q_pack"), "__groups")).withColumn("__salt", each("__salts"))
+    c = sized_join(rows, shares, ["pool_key"], "inner").withColumn("__salt", one(F.monotonically_increasing_id(), "__salts")).withColumn("__group", each("__groups"))
+    both = q.unionByName(c, allowMissingColumns=True).drop("__salts", "__groups")
+    return both.repartition(parts, "pool_key", "__group", "__salt").sortWithinPartitions("pool_key", "__group", F.col("c_tag").isNotNull()).drop("__salt")
+
+
+def together(rows: list[dict[str, pa.Scalar]], side: str, ids: list[str], columns: list[str], ordered: bool = False) -> dict[str, pa.Scalar]:
+    """One packed row of several, whose rows stand in order of their ids if that is asked."""
+    found = {f"{side}_{c}": pa.concat_arrays([r[f"{side}_{c}"].values for r in rows]) for c in ids}
+    n = len(found[f"{side}_{ids[0]}"])
+    order = pc.sort_indices(pa.table(found), sort_keys=[(c, "ascending") for c in found], null_placement="at_start").to_numpy() if ordered else np.arange(n)
+    out: dict[str, pa.Scalar] = {c: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x.take(pa.array(order)))[0] for c, x in found.items()}
+    sizes = [len(r[f"{side}_{ids[0]}"]) for r in rows]
+    if "embedding" in columns:
+        parts = [matrix(r[f"{side}_dense"], m) for r, m in zip(rows, sizes, strict=True)]
+        dims = {x.shape[1] for x in parts} - {0}
+        if len(dims) > 1:
+            raise ValueError("vectors of one table differ in length")
+        dim = max(dims, default=0)
+        out[f"{side}_dense"] = pa.scalar(np.concatenate([x if x.shape[1] == dim else np.zeros((len(x), dim)) for x in parts])[order].tobytes(), pa.binary())
+    if "tokens" in columns:
+        words = [r[f"{side}_tokens"].values for r in rows]
+        coded = pa.concat_arrays(words).dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        first = np.cumsum([0, *map(len, words)])
+        read = lambda name, kind: [np.frombuffer(r[f"{side}_{name}"].as_py(), kind) for r in rows]
+        codes = np.concatenate([number[x + i] for x, i in zip(read("codes", np.int32), first, strict=False)])
+        lengths = np.concatenate([np.diff(x, prepend=0) for x in read("ends", np.int64)])
+        place, _ = ranges((np.cumsum(lengths) - lengths)[order], lengths[order])
+        out[f"{side}_tokens"] = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)[0]
+        for name, x in (("codes", codes[place]), ("weights", np.concatenate(read("weights", float))[place]), ("ends", np.cumsum(lengths[order]))):
+            out[f"{side}_{name}"] = pa.scalar(x.tobytes(), pa.binary())
+    return out
+
+
 class Best:
     """The k best of each of some questions, of all chunks they have met so far."""
 
-    def __init__(self, pack: int, qids: pa.Array, k: int, digits: int):
-        self.pack, self.qids, self.k, self.digits, self.met = pack, qids, k, digits, 0
+    def __init__(self, pack: int, qids: pa.Array, k: int, digits: int, numbers: np.ndarray | None = None):
+        """numbers: of the questions; without them they follow from their packed row's number."""
+        self.qids, self.k, self.digits, self.met = qids, k, digits, 0
+        self.numbers = pack * QUESTIONS + np.arange(len(qids)) if numbers is None else numbers
         self.least = np.full(len(qids), -np.inf)  # what a chunk must reach to be among them
         self.table: pa.Table | None = None
 
@@ -247,7 +321,7 @@ class Best:
         q = np.append(q, none)
         kinds = {"tag": self.kinds[0], "chunk_index": self.kinds[1], "score": pa.float64()}
         found = [pa.concat_arrays([*(self.table[c].chunks if self.table is not None else []), pa.nulls(len(none), t)]) for c, t in kinds.items()]
-        return pa.RecordBatch.from_arrays([self.qids.take(pa.array(q)), *found, pa.array(self.pack * QUESTIONS + q), pa.array(met, pa.int64())], ["qid", "tag", "chunk_index", "score", "asked", "met"])
+        return pa.RecordBatch.from_arrays([self.qids.take(pa.array(q)), *found, pa.array(self.numbers[q]), pa.array(met, pa.int64())], ["qid", "tag", "chunk_index", "score", "asked", "met"])
 
 
 class Asked:
@@ -419,24 +493,35 @@ def floats_below(x: np.ndarray) -> np.ndarray:
 
 
 def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefix: str, weigh: Weigh | None = None) -> DataFrame:
-    """Rows of up to `size` rows of one pool that lie together, in order of their ids: pool_key; the ids as arrays; vectors as one matrix (`dense`); the distinct
-    words (`tokens`), their places there (`codes`) and `weights` one row after another and, in `ends`, where each row's words end."""
+    """Rows of up to `size` rows and about PIECE bytes of one pool that lie together, in order of their ids: pool_key; the ids as arrays; vectors as one matrix (`dense`); the distinct
+    words (`tokens`), their places there (`codes`) and `weights` one row after another and, in `ends`, where each row's words end; `bytes`, about how many these are."""
     kinds = dict(rows.dtypes)
-    schema = ["pool_key string", *(f"{prefix}{c} array<{kinds[c]}>" for c in ids), *([f"{prefix}dense binary"] if "embedding" in columns else []), *([f"{prefix}tokens array<string>", f"{prefix}codes binary", f"{prefix}weights binary", f"{prefix}ends binary"] if "tokens" in columns else [])]
+    schema = ["pool_key string", *(f"{prefix}{c} array<{kinds[c]}>" for c in ids), f"{prefix}bytes long", *([f"{prefix}dense binary"] if "embedding" in columns else []), *([f"{prefix}tokens array<string>", f"{prefix}codes binary", f"{prefix}weights binary", f"{prefix}ends binary"] if "tokens" in columns else [])]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in flowing(whole)):
             table = pa.Table.from_batches([weigh(b) if weigh and b.num_rows else b]).sort_by([("pool_key", "ascending"), *((c, "ascending") for c in ids)], null_placement="at_start").combine_chunks()
             pool = table["pool_key"].combine_chunks().dictionary_encode()
             key = pool.indices.to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            cuts = [(i, min(j, i + size)) for a, j in zip(edges, edges[1:], strict=False) for i in range(a, j, size)]
+            width = np.full(table.num_rows, 24, np.int64)
+            for c, each in (("embedding", 8), ("tokens", 12)):
+                if c in columns:
+                    width += each * table[c].combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            upto = np.append(0, np.cumsum(width))
+            cuts = []
+            for i, end in zip(edges, edges[1:], strict=False):
+                while i < end:
+                    j = max(i + 1, min(end, i + size, int(np.searchsorted(upto, upto[i] + PIECE, side="right")) - 1))
+                    cuts.append((i, j))
+                    i = j
             for i, j in cuts:
                 part = table.slice(i, j - i)
                 out = [pa.array([part["pool_key"][0].as_py()], pa.string())]
                 for c in ids:
                     x = part[c].combine_chunks()
                     out.append(pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x))
+                out.append(pa.array([upto[j] - upto[i]], pa.int64()))
                 if "embedding" in columns:
                     out.append(pa.array([dense_of(part["embedding"].combine_chunks()).tobytes()], pa.binary()))
                 if "tokens" in columns:
@@ -450,11 +535,24 @@ def packed(rows: DataFrame, ids: list[str], columns: list[str], size: int, prefi
     return rows.mapInArrow(per_batch, ", ".join(schema))
 
 
+def flowing(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about FLOW words."""
+    if "tokens" not in b.schema.names:
+        yield b
+        return
+    upto = np.append(0, np.cumsum(b.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + FLOW, side="right")) - 1)
+        yield b.slice(i, j - i)
+        i = j
+
+
 def packed_questions(questions: DataFrame, columns: list[str], weigh: Weigh | None = None) -> DataFrame:
     """With q_pack, a number of each packed row. Stored twice: as rows, since they are counted and dealt, and packed, since their size decides how they travel."""
     rows = stored(questions.select("qid", "pool_key", *given(columns, weigh)), "asked")
     packs = max(1, -(-rows.count() * 8 // (QUESTIONS * 7)))  # not full, since a hash deals them unevenly and a small rest would meet all chunks too
-    return stored(packed(rows.repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_", weigh).withColumn("q_pack", F.monotonically_increasing_id()), "questions")
+    return stored(packed(rows.repartition(packs, F.xxhash64("qid")), ["qid"], columns, QUESTIONS, "q_", weigh).withColumn("q_pack", F.monotonically_increasing_id()), "questions", large_rows=True)
 
 
 def dense_of(vectors: pa.ListArray) -> np.ndarray:

@@ -60,8 +60,12 @@ def within(spark: SparkSession) -> Iterator[None]:
         remove_path(spark, path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Of tables whose rows are large: their size is looked at after each few rows, and readers, which take a row group at once, get small ones.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
+
+
+def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     """The same rows, read back from a table of their own: what stands before it runs once."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -306,3 +306,39 @@ def test_some_chunks_with_vectors_are_searched_first(spark, monkeypatch):
     got = R.top_k(df.filter("qid = 0"), df, 2, "hybrid", 0.3).collect()
     assert "a" in {r.tag for r in found[0].filter("score is not null").collect()}
     assert sorted((r["rank"], r.chunk_index) for r in got) == [(1, 0), (2, 1)]
+
+
+def test_packed_rows_are_bounded_by_bytes(spark, monkeypatch):
+    """CHUNKS rows were packed together however long they were, and a packed row travelled with each that it met: tasks held rows of many MB, writers and readers of tables many of these."""
+    monkeypatch.setattr(R, "PIECE", 4000, raising=False)
+    rows = [(i, "t", i, "all", None, [f"w{i}_{j}" for j in range(20 if i < 300 else 2000)], [1.0] * (20 if i < 300 else 2000)) for i in range(302)]
+    df = spark.createDataFrame(rows, ROWS).coalesce(1)
+    packs = R.packed_chunks(df, ["tokens", "weights"]).select(F.size("c_tag").alias("n"), (F.octet_length("c_codes") + F.octet_length("c_weights")).alias("size")).collect()
+    assert sum(r.n for r in packs) == 302 and max(r.size for r in packs if r.n > 1) <= 4000
+    assert sum(r.n == 1 and r.size == 24_000 for r in packs) == 2
+
+
+@pytest.mark.parametrize("mode", ["dense", "sparse", "hybrid"])
+def test_questions_of_a_pool_in_several_tasks(spark, monkeypatch, mode):
+    """A row of questions and a row of chunks were one row; now each reaches a task by itself, questions first, and many questions are several tasks'."""
+    for name, value in {"QUESTIONS": 3, "CHUNKS": 5, "PIECE": 150, "FULL": 400, "PART": 1000, "TOGETHER": 1, "FLOW": 6, "EARLY": 4, "FEW": 1}.items():
+        monkeypatch.setattr(R, name, value, raising=False)
+    dealt = []
+    monkeypatch.setattr(R, "dealt", lambda *a, f=getattr(R, "dealt", None): dealt.append(f(*a)) or dealt[-1], raising=False)
+    rows = random_rows(120, 9)
+    df = spark.createDataFrame(rows, ROWS).repartition(4)
+    got = {}
+    for r in R.top_k(df.filter("qid % 4 = 0"), df, 4, mode, 0.5).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.tag, r.chunk_index, r.score, r.n_candidates))
+    want = {}
+    for q in rows[::4]:
+        pool = [c for c in rows if c[3] == q[3]]
+        best = sorted((-plain_scores(q, c, mode, 0.5), c[1], c[2]) for c in pool)[:4]
+        want[q[0]] = [(i + 1, tag, at, -s, len(pool)) for i, (s, tag, at) in enumerate(best)]
+    assert {q: sorted(x) for q, x in got.items()} == want
+    met = dealt[-1].select("pool_key", "__group", F.spark_partition_id().alias("task"), "q_qid", "c_chunk_index").collect()
+    assert all((r.q_qid is None) != (r.c_chunk_index is None) for r in met)
+    assert len({r["__group"] for r in met}) > 1 and len({r.task for r in met}) > 4
+    for n in {(r.pool_key, r["__group"]) for r in met}:
+        chunks = [c for r in met if (r.pool_key, r["__group"]) == n for c in r.c_chunk_index or []]
+        assert len(chunks) == len(set(chunks)) == len([r for r in rows if r[3] == n[0]])
