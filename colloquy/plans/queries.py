@@ -479,7 +479,7 @@ _ENCODERS = rf"""m AS (SELECT conv_id * 100 + turn AS id, role, conv_id, text FR
  hs AS (SELECT seed, id, ('0x' || substr(md5(seed || ':' || word), 1, 8))::BIGINT AS h FROM wd, (VALUES (0), (7)) AS seeds(seed)),
  cn AS (SELECT seed, id, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::FLOAT AS c FROM hs GROUP BY ALL),
  un AS MATERIALIZED (SELECT seed, id, i, (c / greatest(sqrt(sum(c * c) OVER (PARTITION BY seed, id))::FLOAT, 1e-12::FLOAT))::FLOAT AS x FROM cn),
- ask AS MATERIALIZED (SELECT id AS qid, CASE WHEN length(text) > 200 THEN '1 long' ELSE '2 short' END AS qtype FROM m WHERE conv_id % 100 = 0 AND role = 'user'),
+ ask AS MATERIALIZED (SELECT id AS qid, CASE WHEN length(text) > 200 THEN '1 long' ELSE '2 short' END AS qtype FROM m WHERE role = 'user'),
  cand AS MATERIALIZED (SELECT id AS cid FROM m WHERE role = 'assistant'),
  dn AS (SELECT a.seed AS qs, b.seed AS ds, a.id AS qid, b.id AS cid, sum(a.x::DOUBLE * b.x::DOUBLE) AS dense FROM un a JOIN un b USING (i) WHERE a.id IN (SELECT qid FROM ask) AND b.id IN (SELECT cid FROM cand) GROUP BY ALL),
  tk AS (SELECT id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM m)),
@@ -498,10 +498,10 @@ _ENCODERS = rf"""m AS (SELECT conv_id * 100 + turn AS id, role, conv_id, text FR
  UNION ALL SELECT config, 'document_q_type', tag || ' / ' || qtype, count(*), {_AVG} FROM mt GROUP BY config, tag, qtype
  UNION ALL SELECT config, 'overall', unnest(['ALL(다국어)', 'ALL']), count(*), {_AVG} FROM mt GROUP BY config""")
 def encoder_comparison(spark, d):
-    """Each later turn is looked for with the turn before it, in the turns of its side."""
+    """Each turn of a user looks for the turn after it, in all turns of the other side."""
     rows = table(spark, d, "conversations").withColumn("chunk_index", F.col("conv_id") * 100 + F.col("turn")).withColumn("tag", F.concat(F.lit("turns_"), "role"))
     chunks = rows.select("tag", "chunk_index", "text")
-    asked = rows.filter("conv_id % 100 = 0").select(F.concat(F.lit("q"), "chunk_index").alias("qid"), F.lit("turns_assistant").alias("tag"), T.corpus_of(F.lit("turns_assistant")).alias("corpus"), F.col("text").alias("question"), F.when(F.length("text") > 200, "1 long").otherwise("2 short").alias("qtype"), F.array((F.col("chunk_index") + 1).cast("int")).alias("gold"), "role").filter("role = 'user'").drop("role")
+    asked = rows.select(F.concat(F.lit("q"), "chunk_index").alias("qid"), F.lit("turns_assistant").alias("tag"), T.corpus_of(F.lit("turns_assistant")).alias("corpus"), F.col("text").alias("question"), F.when(F.length("text") > 200, "1 long").otherwise("2 short").alias("qtype"), F.array((F.col("chunk_index") + 1).cast("int")).alias("gold"), "role").filter("role = 'user'").drop("role")
     return V.roll_up(J.evaluate_job(asked, chunks, list(J.CONFIGS)))
 
 

@@ -46,3 +46,10 @@ def test_entry_and_queries_without_sql(spark, tiny):
     assert entry.oracle_sql().keys() <= entry.queries().keys()
     packs = catalog.queries()["translation_packs"](spark, tiny)
     assert packs.count() == catalog.queries()["translation_work"](spark, tiny).count()
+
+
+def test_every_turn_of_a_user_is_asked(spark, tiny):
+    """Only one conversation of 100 was."""
+    asked = spark.read.parquet(f"{tiny}/conversations.parquet").filter("role = 'user'").count()
+    got = catalog.queries()["encoder_comparison"](spark, tiny).filter("document = 'ALL'").select("config", "n_queries").collect()
+    assert {r.n_queries for r in got} == {asked} and len(got) == 6
